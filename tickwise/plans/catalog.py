@@ -179,3 +179,252 @@ def suite_rounded(df: DataFrame) -> DataFrame:
 @query("indicator_suite")
 def indicator_suite(spark, sf):
     return suite_rounded(I.suite(_bars_close(spark, sf)))
+
+
+# --- output shaping (O6, O29-O32) -------------------------------------------------------
+
+from ..operators import shaping as SH  # noqa: E402
+
+
+@query("sma_trimmed")
+def sma_trimmed(spark, sf):
+    s = I.sma(_bars_close(spark, sf), 20)
+    return SH.trim_warmup(s, SH.warmup_rows("sma", {"window": 20})).select("symbol", "date", "sma")
+
+
+@query("rsi_trimmed")
+def rsi_trimmed(spark, sf):
+    s = I.rsi(_bars_close(spark, sf), 14)
+    return SH.trim_warmup(s, SH.warmup_rows("rsi", {"period": 14})).select("symbol", "date", "rsi")
+
+
+@query("macd_trimmed")
+def macd_trimmed(spark, sf):
+    m = I.macd(_bars_close(spark, sf), 12, 26, 9)
+    m = SH.fill_missing(SH.trim_warmup(m, SH.warmup_rows("macd", {"slow_period": 26})),
+                        ["macd", "signal", "histogram"])
+    return m.select("symbol", "date", r4("macd").alias("macd"), r4("signal").alias("signal"),
+                    r4("histogram").alias("histogram"))
+
+
+@query("bollinger_filled")
+def bollinger_filled(spark, sf):
+    bb = I.bollinger(_bars_close(spark, sf), 20, 2.0)
+    bb = SH.fill_missing(SH.trim_warmup(bb, SH.warmup_rows("bollinger", {"period": 20})),
+                         ["upper", "middle", "lower"])
+    return bb.select("symbol", "date", r4("upper").alias("upper"), "middle",
+                     r4("lower").alias("lower"))
+
+
+@query("suite_long")
+def suite_long(spark, sf):
+    s = I.suite(_bars_close(spark, sf))
+    long = SH.to_long(s, I.SUITE_COLUMNS)
+    return long.select("symbol", "date", "indicator", r4("value").alias("value"))
+
+
+@query("indicator_documents")
+def indicator_documents(spark, sf):
+    s = I.sma(S.series(_bars_close(spark, sf), None, "1996-01-01", "1996-12-31"), 20)
+    docs = SH.documents(s.withColumnRenamed("sma", "value"), ["symbol"], ["value"],
+                        header={"indicator": "SMA", "window": F.lit(20)})
+    return docs.select("symbol", "indicator", "window", "data_points", "first_date", "last_date",
+                       r4(F.aggregate("data", F.lit(0.0), lambda acc, p: acc + p["value"]))
+                       .alias("value_sum"))
+
+
+# --- entitlement policy (O33-O39) -----------------------------------------------------------
+
+from ..operators import policy as P  # noqa: E402
+
+BARS_AS_OF = "1999-01-01"
+
+
+@query("tier_entitlements")
+def tier_entitlements(spark, sf):
+    u = P.with_limits(td.users(spark, sf))
+    return u.select("id", "tier", "tier_rank", "requests_per_day", "data_limit_days",
+                    F.array_join("allowed_indicators", ",").alias("allowed"))
+
+
+def _requests_with_tier(spark, sf):
+    u = td.users(spark, sf).select(F.col("id").alias("user_id"), "tier")
+    return td.requests(spark, sf).join(u, "user_id", "left")
+
+
+@query("indicator_entitlement")
+def indicator_entitlement(spark, sf):
+    r = _requests_with_tier(spark, sf)
+    return r.select("request_id", "tier", "indicator",
+                    P.indicator_allowed(F.col("tier"), F.col("indicator")).alias("entitled"))
+
+
+@query("tier_gate")
+def tier_gate(spark, sf):
+    r = _requests_with_tier(spark, sf)
+    return r.select("request_id", "tier", "indicator",
+                    P.tier_gate(F.col("tier"), F.col("indicator")).alias("gate_ok"))
+
+
+@query("default_range")
+def default_range(spark, sf):
+    r = td.requests_open_ranges(spark, sf)
+    s, e = P.default_range(F.col("start_date"), F.col("end_date"), BARS_AS_OF, 365)
+    return r.select("request_id", s.alias("start_date"), e.alias("end_date"))
+
+
+@query("clamp_range")
+def clamp_range(spark, sf):
+    from ..operators.requests import data_range
+    r = P.with_limits(_requests_with_tier(spark, sf))
+    d0, d1 = data_range(td.bars(spark, sf))
+    s, e = P.clamp_range(F.col("start_date"), F.col("end_date"), F.col("data_limit_days"),
+                         BARS_AS_OF, d0, d1)
+    return r.select("request_id", "tier", s.alias("eff_start"), e.alias("eff_end"))
+
+
+@query("reject_range")
+def reject_range(spark, sf):
+    r = P.with_limits(_requests_with_tier(spark, sf))
+    swap = F.col("request_id") % 7 == 0
+    s = F.when(swap, F.col("end_date")).otherwise(F.col("start_date"))
+    e = F.when(swap, F.col("start_date")).otherwise(F.col("end_date"))
+    return r.select("request_id", "tier",
+                    P.reject_range(s, e, F.col("data_limit_days"), "1997-06-01").alias("status_code"))
+
+
+@query("param_bounds")
+def param_bounds(spark, sf):
+    r = td.requests_with_params(spark, sf)
+    ok = P.params_within_bounds(F.col("indicator"), F.col("params"))
+    return r.select("request_id", "indicator", ok.alias("params_ok"),
+                    F.when(ok, F.lit(200)).otherwise(F.lit(422)).alias("status_code"))
+
+
+# --- quotas (O40-O43) ------------------------------------------------------------------------
+
+from ..operators import quota as Q  # noqa: E402
+
+
+@query("quota_decision")
+def quota_decision(spark, sf):
+    r = Q.with_daily_limit(td.requests(spark, sf), td.users(spark, sf), P.TEST_POLICY)
+    d = Q.quota_decision(r, P.TEST_POLICY)
+    return d.select("request_id", "user_id", "day", "allowed", "used", "remaining", "reset_date")
+
+
+@query("quota_usage")
+def quota_usage(spark, sf):
+    return Q.quota_usage(td.requests(spark, sf), td.users(spark, sf), P.TEST_POLICY)
+
+
+@query("quota_retention")
+def quota_retention(spark, sf):
+    counters = Q.daily_counts(td.requests(spark, sf))
+    return Q.quota_retention(counters, "2024-01-30 12:00:00", 24).select("user_id", "day", "requests")
+
+
+# --- identity (O46-O48) ------------------------------------------------------------------------
+
+from ..operators import identity as ID  # noqa: E402
+
+
+@query("resolve_keys")
+def resolve_keys(spark, sf):
+    out = ID.resolve_keys(td.key_requests(spark, sf), td.api_keys(spark, sf), td.users(spark, sf))
+    return out.select("request_id", "api_key", "reason", "user_id", "status_code")
+
+
+@query("key_listing")
+def key_listing(spark, sf):
+    return ID.key_listing(td.api_keys(spark, sf)).select("user_id", "id", "key_hint", "is_active")
+
+
+@query("intake_conflicts")
+def intake_conflicts(spark, sf):
+    out = ID.intake_check(td.intake_candidates(spark, sf), td.users(spark, sf))
+    return out.select("candidate_id", "username", "email", "status", "tier")
+
+
+# --- materialised results (O49-O52) ---------------------------------------------------------------
+
+from ..operators import results as RS  # noqa: E402
+
+
+def _cache_entries(spark, sf):
+    """The cache as the request stream writes it: one entry per request,
+    keyed by its parameter key, written at the request's time."""
+    r = td.requests(spark, sf)
+    key = RS.params_key(F.col("symbol"), F.col("indicator"), F.col("params"),
+                        F.col("start_date"), F.col("end_date"))
+    return r.select("request_id", key.alias("params_key"), F.col("ts").alias("cached_at"))
+
+
+@query("params_key")
+def params_key(spark, sf):
+    return _cache_entries(spark, sf).select("request_id", "params_key")
+
+
+@query("fresh_results")
+def fresh_results(spark, sf):
+    live = RS.fresh(_cache_entries(spark, sf), "2024-01-30 00:00:00", ttl_minutes=1440)
+    return RS.newest_per_key(live, ["request_id"]).select("params_key", "request_id")
+
+
+@query("invalidate_matches")
+def invalidate_matches(spark, sf):
+    return RS.matching(_cache_entries(spark, sf), "indicator:S1:*").select("params_key", "request_id")
+
+
+# --- request tables (O53-O54) and request log (O55) --------------------------------------------------
+
+from ..operators import logs as LG  # noqa: E402
+from ..operators import requests as RQ  # noqa: E402
+
+
+@query("batch_request_status")
+def batch_request_status(spark, sf):
+    st = RQ.request_status(td.requests(spark, sf), td.users(spark, sf), td.bars(spark, sf),
+                           BARS_AS_OF, P.TEST_POLICY)
+    return st.select("request_id", "status_code", "reason", "eff_start", "eff_end", "points")
+
+
+def _batch(spark, sf, indicator):
+    r = td.requests(spark, sf).where(F.col("indicator") == indicator)
+    return RQ.evaluate(r, td.bars(spark, sf), indicator)
+
+
+@query("batch_sma")
+def batch_sma(spark, sf):
+    return _batch(spark, sf, "sma").select("request_id", "date", "sma")
+
+
+@query("batch_ema")
+def batch_ema(spark, sf):
+    return _batch(spark, sf, "ema").select("request_id", "date", r4("ema").alias("ema"))
+
+
+@query("batch_rsi")
+def batch_rsi(spark, sf):
+    return _batch(spark, sf, "rsi").select("request_id", "date", "rsi")
+
+
+@query("batch_macd")
+def batch_macd(spark, sf):
+    m = _batch(spark, sf, "macd")
+    return m.select("request_id", "date", r4("macd").alias("macd"), r4("signal").alias("signal"),
+                    r4("histogram").alias("histogram"))
+
+
+@query("batch_bollinger")
+def batch_bollinger(spark, sf):
+    bb = _batch(spark, sf, "bollinger")
+    return bb.select("request_id", "date", r4("upper").alias("upper"), "middle",
+                     r4("lower").alias("lower"))
+
+
+@query("request_log_rollup")
+def request_log_rollup(spark, sf):
+    out = LG.rollup(td.request_log(spark, sf), exact=True)
+    return out.select("endpoint", "day", "requests", "avg_ms", r4("p50_ms").alias("p50_ms"),
+                      r4("p95_ms").alias("p95_ms"), "error_ratio")

@@ -265,3 +265,304 @@ SELECT symbol, date, sma, round(ema, 4) AS ema, rsi, round(macd, 4) AS macd,
        round(macd_signal, 4) AS macd_signal, round(macd_histogram, 4) AS macd_histogram,
        round(bb_upper, 4) AS bb_upper, bb_middle, round(bb_lower, 4) AS bb_lower
 FROM suite""")
+
+# --- output shaping -------------------------------------------------------------------
+
+sql("sma_trimmed", with_(BARS) + f"""
+SELECT symbol, date, sma FROM (
+  SELECT symbol, date, avg(close) OVER {_frame(20)} AS sma,
+         row_number() OVER ({_W}) AS pos FROM bars) WHERE pos > 19""")
+
+sql("rsi_trimmed", with_(BARS, _rsi_sql("bars", "symbol", 14)) + f"""
+SELECT symbol, date, rsi FROM (SELECT symbol, date, rsi, row_number() OVER ({_W}) AS pos FROM rsi)
+WHERE pos > 14""")
+
+sql("macd_trimmed", with_recursive(BARS, _ewm_recursive("bars", "symbol", "close", {}, (12, 26, 9))) + """
+SELECT symbol, date, round(coalesce(m_fast - m_slow, 0.0), 4) AS macd,
+       round(coalesce(m_signal, 0.0), 4) AS signal,
+       round(coalesce(m_fast - m_slow - m_signal, 0.0), 4) AS histogram
+FROM ewm WHERE rn > 25""")
+
+sql("bollinger_filled", with_(BARS) + f"""
+SELECT symbol, date, round(coalesce(upper, 0.0), 4) AS upper, coalesce(middle, 0.0) AS middle,
+       round(coalesce(lower, 0.0), 4) AS lower FROM (
+  SELECT symbol, date,
+         avg(close) OVER {_frame(20)} + stddev_samp(close) OVER {_frame(20)} * 2.0 AS upper,
+         avg(close) OVER {_frame(20)} AS middle,
+         avg(close) OVER {_frame(20)} - stddev_samp(close) OVER {_frame(20)} * 2.0 AS lower,
+         row_number() OVER ({_W}) AS pos
+  FROM bars) WHERE pos > 19""")
+
+sql("suite_long", with_recursive(*SUITE_CTES, SUITE_SELECT) + """
+SELECT symbol, date, indicator, round(value, 4) AS value
+FROM suite UNPIVOT INCLUDE NULLS (value FOR indicator IN
+  (sma, ema, rsi, macd, macd_signal, macd_histogram, bb_upper, bb_middle, bb_lower))""")
+
+sql("indicator_documents", with_(BARS) + f"""
+SELECT symbol, 'SMA' AS indicator, 20 AS window, count(*) AS data_points,
+       min(date) AS first_date, max(date) AS last_date, round(sum(sma), 4) AS value_sum
+FROM (SELECT symbol, date, avg(close) OVER {_frame(20)} AS sma
+      FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31')
+GROUP BY symbol""")
+
+# --- policy ----------------------------------------------------------------------------------
+
+sql("tier_entitlements", with_(USERS, POLICY) + """
+SELECT u.id, u.tier, p.tier_rank, p.requests_per_day, p.data_limit_days, p.allowed
+FROM users u JOIN tier_policy p
+  ON p.tier = CASE WHEN u.tier IN ('free', 'pro', 'premium') THEN u.tier ELSE 'free' END""")
+
+sql("indicator_entitlement", with_(USERS, REQUESTS, POLICY) + f"""
+SELECT r.request_id, u.tier, r.indicator,
+       list_contains(string_split(p.allowed, ','), lower(r.indicator)) AS entitled
+FROM requests r LEFT JOIN users u ON u.id = r.user_id
+LEFT JOIN tier_policy p ON p.tier = CASE WHEN u.tier IN ('free', 'pro', 'premium') THEN u.tier ELSE 'free' END""")
+
+sql("tier_gate", with_(USERS, REQUESTS) + f"""
+SELECT r.request_id, u.tier, r.indicator,
+       (CASE u.tier WHEN 'free' THEN 0 WHEN 'pro' THEN 1 WHEN 'premium' THEN 2 ELSE 0 END)
+         >= (CASE lower(r.indicator) WHEN 'sma' THEN 0 WHEN 'ema' THEN 0 WHEN 'rsi' THEN 1
+             WHEN 'macd' THEN 1 WHEN 'bollinger' THEN 2 ELSE 0 END) AS gate_ok
+FROM requests r LEFT JOIN users u ON u.id = r.user_id""")
+
+sql("default_range", with_(REQUESTS) + """
+SELECT request_id,
+       coalesce(CASE WHEN request_id % 4 IN (0, 1) THEN NULL ELSE start_date END,
+                CAST(coalesce(CASE WHEN request_id % 4 IN (0, 2) THEN NULL ELSE end_date END,
+                              DATE '1999-01-01') - 365 AS DATE)) AS start_date,
+       coalesce(CASE WHEN request_id % 4 IN (0, 2) THEN NULL ELSE end_date END,
+                DATE '1999-01-01') AS end_date
+FROM requests""")
+
+_LIMITED = """
+limited AS (
+  SELECT r.*, u.tier, u.is_active AS user_active, p.tier_rank, p.requests_per_day AS daily_limit,
+         p.data_limit_days
+  FROM requests r LEFT JOIN users u ON u.id = r.user_id
+  LEFT JOIN tier_policy p
+    ON p.tier = CASE WHEN u.tier IN ('free', 'pro', 'premium') THEN u.tier ELSE 'free' END
+)"""
+
+_GREATEST3 = ("CASE WHEN {a} >= coalesce({b}, {a}) AND {a} >= {c} THEN {a} "
+              "WHEN coalesce({b}, {c}) >= {c} THEN coalesce({b}, {c}) ELSE {c} END")
+
+sql("clamp_range", with_(BARS, USERS, REQUESTS, POLICY, _LIMITED) + f"""
+SELECT request_id, tier,
+       CAST({_GREATEST3.format(a="start_date", b="DATE '1999-01-01' - data_limit_days",
+                               c="(SELECT min(date) FROM bars)")} AS DATE) AS eff_start,
+       least(end_date, (SELECT max(date) FROM bars)) AS eff_end
+FROM limited""")
+
+sql("reject_range", with_(USERS, REQUESTS, POLICY, _LIMITED) + """
+SELECT request_id, tier,
+       CASE WHEN s > e THEN 400
+            WHEN data_limit_days IS NOT NULL AND s < DATE '1997-06-01' - data_limit_days THEN 403
+            ELSE 200 END AS status_code
+FROM (SELECT *, CASE WHEN request_id % 7 = 0 THEN end_date ELSE start_date END AS s,
+                CASE WHEN request_id % 7 = 0 THEN start_date ELSE end_date END AS e FROM limited)""")
+
+sql("param_bounds", with_(REQUESTS) + """
+SELECT request_id, indicator, ok AS params_ok, CASE WHEN ok THEN 200 ELSE 422 END AS status_code
+FROM (SELECT request_id, indicator,
+        CASE indicator
+          WHEN 'sma' THEN n BETWEEN 1 AND 200
+          WHEN 'ema' THEN n BETWEEN 1 AND 200
+          WHEN 'rsi' THEN n BETWEEN 1 AND 100
+          WHEN 'macd' THEN n BETWEEN 1 AND 100 AND request_id % 230 BETWEEN 1 AND 200
+          ELSE n BETWEEN 1 AND 200 AND (request_id % 61) / 10.0 BETWEEN 0.1 AND 5.0
+        END AS ok
+      FROM (SELECT *, request_id % 250 AS n FROM requests))""")
+
+# --- quotas ------------------------------------------------------------------------------------
+
+sql("quota_decision", with_(USERS, REQUESTS, TEST_POLICY, _LIMITED) + """
+SELECT request_id, user_id, day,
+       daily_limit IS NULL OR rk <= daily_limit AS allowed,
+       CASE WHEN daily_limit IS NULL THEN 0 WHEN rk <= daily_limit THEN rk - 1 ELSE daily_limit END
+         AS used,
+       CASE WHEN daily_limit IS NULL THEN NULL WHEN rk <= daily_limit THEN daily_limit - rk + 1
+            ELSE 0 END AS remaining,
+       CASE WHEN daily_limit IS NOT NULL AND rk > daily_limit THEN CAST(day + 1 AS DATE) END
+         AS reset_date
+FROM (SELECT *, CAST(ts AS DATE) AS day,
+             CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, request_id)
+                  AS INTEGER) AS rk
+      FROM limited)""")
+
+sql("quota_usage", with_(USERS, REQUESTS, TEST_POLICY) + """
+SELECT user_id, day, tier, daily_limit, used,
+       CASE WHEN daily_limit IS NOT NULL THEN greatest(daily_limit - used, 0) END AS remaining,
+       CASE WHEN daily_limit IS NOT NULL AND used >= daily_limit THEN CAST(day + 1 AS DATE) END
+         AS reset_date
+FROM (SELECT c.user_id, c.day, u.tier, p.requests_per_day AS daily_limit,
+             CASE WHEN p.requests_per_day IS NULL THEN 0
+                  ELSE least(CAST(c.n AS INTEGER), p.requests_per_day) END AS used
+      FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM requests GROUP BY 1, 2) c
+      LEFT JOIN users u ON u.id = c.user_id
+      LEFT JOIN tier_policy p
+        ON p.tier = CASE WHEN u.tier IN ('free', 'pro', 'premium') THEN u.tier ELSE 'free' END)""")
+
+sql("quota_retention", with_(REQUESTS) + """
+SELECT user_id, day, requests FROM (
+  SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests, min(ts) AS first_ts
+  FROM requests GROUP BY 1, 2)
+WHERE first_ts >= TIMESTAMP '2024-01-29 12:00:00'""")
+
+# --- identity -------------------------------------------------------------------------------------
+
+sql("resolve_keys", with_(USERS, API_KEYS) + """
+SELECT request_id, api_key, reason,
+       CASE WHEN reason = 'ok' THEN key_user END AS user_id,
+       CASE WHEN reason = 'ok' THEN 200 ELSE 401 END AS status_code
+FROM (
+  SELECT p.request_id, p.api_key, k.user_id AS key_user,
+         CASE WHEN NOT (starts_with(p.api_key, 'key_') AND length(p.api_key) > 10) THEN 'invalid_format'
+              WHEN k.user_id IS NULL THEN 'invalid_key'
+              WHEN u.is_active IS NULL OR NOT u.is_active THEN 'user_inactive'
+              ELSE 'ok' END AS reason
+  FROM (SELECT event_id AS request_id,
+               CASE WHEN event_id % 10 = 0 THEN 'tok_' || CAST(event_id AS VARCHAR)
+                    WHEN event_id % 10 = 1 THEN 'key_' || lpad(CAST(event_id + 1000000000 AS VARCHAR), 10, '0')
+                    ELSE 'key_' || lpad(CAST(event_id AS VARCHAR), 10, '0') END AS api_key
+        FROM events) p
+  LEFT JOIN (SELECT key, user_id FROM api_keys WHERE is_active) k
+    ON k.key = p.api_key AND starts_with(p.api_key, 'key_') AND length(p.api_key) > 10
+  LEFT JOIN users u ON u.id = k.user_id)""")
+
+sql("key_listing", with_(API_KEYS) + """
+SELECT user_id, id, substring(key, 1, 10) || '...' AS key_hint, is_active FROM api_keys""")
+
+sql("intake_conflicts", with_(USERS) + r"""
+SELECT candidate_id, username, email,
+       CASE WHEN NOT (length(username) BETWEEN 3 AND 50) THEN 'invalid_username'
+            WHEN NOT regexp_matches(email, '^[^@]+@[^@]+\.[^@]+$') THEN 'invalid_email'
+            WHEN username IN (SELECT username FROM users) OR email IN (SELECT email FROM users)
+              THEN 'conflict'
+            ELSE 'ok' END AS status,
+       CASE WHEN tier IN ('free', 'pro', 'premium') THEN tier ELSE 'free' END AS tier
+FROM (SELECT event_id AS candidate_id,
+        CASE WHEN event_id % 3 = 0 THEN 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0')
+             WHEN event_id % 5 = 0 THEN 'u' || CAST(event_id % 10 AS VARCHAR)
+             ELSE 'new_user_' || CAST(event_id AS VARCHAR) END AS username,
+        CASE WHEN event_id % 3 = 1 THEN 'customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@example.com'
+             WHEN event_id % 7 = 0 THEN 'not-an-email'
+             ELSE 'new' || CAST(event_id AS VARCHAR) || '@example.com' END AS email,
+        CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'pro' END AS tier
+      FROM events WHERE event_type = 'signup')""")
+
+# --- materialised results ------------------------------------------------------------------------
+
+_CACHE = """
+cache AS (
+  SELECT request_id, ts AS cached_at,
+         'indicator:' || symbol || ':' || upper(indicator) || ':' ||
+         CASE indicator
+           WHEN 'sma' THEN 'end_date:' || CAST(end_date AS VARCHAR) || '_start_date:' || CAST(start_date AS VARCHAR) || '_window:20'
+           WHEN 'ema' THEN 'end_date:' || CAST(end_date AS VARCHAR) || '_start_date:' || CAST(start_date AS VARCHAR) || '_window:20'
+           WHEN 'rsi' THEN 'end_date:' || CAST(end_date AS VARCHAR) || '_period:14_start_date:' || CAST(start_date AS VARCHAR)
+           WHEN 'macd' THEN 'end_date:' || CAST(end_date AS VARCHAR) || '_fast_period:12_signal_period:9_slow_period:26_start_date:' || CAST(start_date AS VARCHAR)
+           ELSE 'end_date:' || CAST(end_date AS VARCHAR) || '_period:20_start_date:' || CAST(start_date AS VARCHAR) || '_std_dev:2.0'
+         END AS params_key
+  FROM requests
+)"""
+
+sql("params_key", with_(REQUESTS, _CACHE) + """
+SELECT request_id, params_key FROM cache""")
+
+sql("fresh_results", with_(REQUESTS, _CACHE) + """
+SELECT params_key, arg_max(request_id, cached_at) AS request_id
+FROM cache
+WHERE cached_at > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1440 MINUTE
+  AND cached_at <= TIMESTAMP '2024-01-30 00:00:00'
+GROUP BY params_key""")
+
+sql("invalidate_matches", with_(REQUESTS, _CACHE) + """
+SELECT params_key, request_id FROM cache WHERE params_key GLOB 'indicator:S1:*'""")
+
+# --- request tables -------------------------------------------------------------------------------
+
+sql("batch_request_status", with_(BARS, USERS, REQUESTS, TEST_POLICY, _LIMITED) + """
+, gated AS (
+  SELECT *,
+         coalesce(user_active, false) AS identity_ok,
+         (CASE tier WHEN 'free' THEN 0 WHEN 'pro' THEN 1 WHEN 'premium' THEN 2 ELSE 0 END)
+           >= (CASE lower(indicator) WHEN 'sma' THEN 0 WHEN 'ema' THEN 0 WHEN 'rsi' THEN 1
+               WHEN 'macd' THEN 1 WHEN 'bollinger' THEN 2 ELSE 0 END) AS tier_ok
+  FROM limited
+), ranked AS (
+  SELECT g.*, q.rk FROM gated g LEFT JOIN (
+    SELECT request_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE)
+                                          ORDER BY ts, request_id) AS rk
+    FROM gated WHERE identity_ok AND tier_ok) q USING (request_id)
+), clamped AS (
+  SELECT *,
+    CASE WHEN NOT identity_ok THEN 401 WHEN NOT tier_ok THEN 403
+         WHEN daily_limit IS NOT NULL AND rk > daily_limit THEN 429 END AS gate,
+    CAST(CASE WHEN data_limit_days IS NULL THEN greatest(start_date, (SELECT min(date) FROM bars))
+              ELSE greatest(start_date, DATE '1999-01-01' - data_limit_days, (SELECT min(date) FROM bars))
+         END AS DATE) AS eff_start,
+    least(end_date, (SELECT max(date) FROM bars)) AS eff_end,
+    symbol IN (SELECT DISTINCT symbol FROM bars) AS known
+  FROM ranked
+), counted AS (
+  SELECT c.request_id, count(*) AS points
+  FROM clamped c JOIN bars b ON b.symbol = c.symbol AND b.date BETWEEN c.eff_start AND c.eff_end
+  WHERE c.gate IS NULL AND c.known
+  GROUP BY c.request_id
+)
+SELECT c.request_id,
+       CASE WHEN gate IS NOT NULL THEN gate WHEN NOT known THEN 404
+            WHEN coalesce(n.points, 0) = 0 THEN 404 ELSE 200 END AS status_code,
+       CASE WHEN gate = 401 THEN 'unauthenticated' WHEN gate = 403 THEN 'tier'
+            WHEN gate = 429 THEN 'quota' WHEN NOT known THEN 'unknown_symbol'
+            WHEN coalesce(n.points, 0) = 0 THEN 'empty_range' ELSE 'ok' END AS reason,
+       eff_start, eff_end,
+       CASE WHEN gate IS NULL AND known AND coalesce(n.points, 0) > 0 THEN n.points ELSE 0 END AS points
+FROM clamped c LEFT JOIN counted n USING (request_id)""")
+
+
+def _batch_points(indicator: str) -> str:
+    return f"""
+pts AS (
+  SELECT r.request_id, b.date, b.close
+  FROM requests r JOIN bars b ON b.symbol = r.symbol AND b.date BETWEEN r.start_date AND r.end_date
+  WHERE r.indicator = '{indicator}'
+)"""
+
+
+_RW = "PARTITION BY request_id ORDER BY date"
+
+
+def _rframe(n: int) -> str:
+    return f"({_RW} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+sql("batch_sma", with_(BARS, REQUESTS, _batch_points("sma")) + f"""
+SELECT request_id, date, avg(close) OVER {_rframe(20)} AS sma FROM pts""")
+
+sql("batch_ema", with_recursive(BARS, REQUESTS, _batch_points("ema"),
+                                _ewm_recursive("pts", "request_id", "close", {"ema": 20})) + """
+SELECT request_id, date, round(ema, 4) AS ema FROM ewm""")
+
+sql("batch_rsi", with_(BARS, REQUESTS, _batch_points("rsi"), _rsi_sql("pts", "request_id", 14)) + """
+SELECT request_id, date, rsi FROM rsi""")
+
+sql("batch_macd", with_recursive(BARS, REQUESTS, _batch_points("macd"),
+                                 _ewm_recursive("pts", "request_id", "close", {}, (12, 26, 9))) + """
+SELECT request_id, date, round(m_fast - m_slow, 4) AS macd, round(m_signal, 4) AS signal,
+       round(m_fast - m_slow - m_signal, 4) AS histogram FROM ewm""")
+
+sql("batch_bollinger", with_(BARS, REQUESTS, _batch_points("bollinger")) + f"""
+SELECT request_id, date,
+       round(avg(close) OVER {_rframe(20)} + stddev_samp(close) OVER {_rframe(20)} * 2.0, 4) AS upper,
+       avg(close) OVER {_rframe(20)} AS middle,
+       round(avg(close) OVER {_rframe(20)} - stddev_samp(close) OVER {_rframe(20)} * 2.0, 4) AS lower
+FROM pts""")
+
+sql("request_log_rollup", with_(REQUEST_LOG) + """
+SELECT endpoint, CAST(timestamp AS DATE) AS day, count(*) AS requests,
+       avg(response_time) AS avg_ms,
+       round(quantile_cont(response_time, 0.5), 4) AS p50_ms,
+       round(quantile_cont(response_time, 0.95), 4) AS p95_ms,
+       avg(CASE WHEN status_code >= 500 THEN 1.0 ELSE 0.0 END) AS error_ratio
+FROM request_log GROUP BY endpoint, CAST(timestamp AS DATE)""")
