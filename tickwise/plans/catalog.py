@@ -428,3 +428,25 @@ def request_log_rollup(spark, sf):
     out = LG.rollup(td.request_log(spark, sf), exact=True)
     return out.select("endpoint", "day", "requests", "avg_ms", r4("p50_ms").alias("p50_ms"),
                       r4("p95_ms").alias("p95_ms"), "error_ratio")
+
+
+# --- streaming (O44-O45) -----------------------------------------------------------------------
+
+from ..streaming import quota_stream as QS  # noqa: E402
+
+
+def _request_stream(spark, sf):
+    events = QS.read_event_stream(spark, sf, glob="events.parquet")
+    return td.requests_from_events(events)
+
+
+@query("stream_quota_counts")
+def stream_quota_counts(spark, sf):
+    return QS.run_to_parquet(spark, QS.daily_counts_stream(_request_stream(spark, sf)),
+                             "stream-quota-counts")
+
+
+@query("stream_quota_decision")
+def stream_quota_decision(spark, sf):
+    dec = QS.decisions_stream(_request_stream(spark, sf), td.users(spark, sf), P.TEST_POLICY)
+    return QS.run_to_parquet(spark, dec, "stream-quota-decision")

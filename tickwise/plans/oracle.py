@@ -566,3 +566,13 @@ SELECT endpoint, CAST(timestamp AS DATE) AS day, count(*) AS requests,
        round(quantile_cont(response_time, 0.95), 4) AS p95_ms,
        avg(CASE WHEN status_code >= 500 THEN 1.0 ELSE 0.0 END) AS error_ratio
 FROM request_log GROUP BY endpoint, CAST(timestamp AS DATE)""")
+
+# --- streaming (closed days only: the last day stays open under the watermark) ----------
+
+sql("stream_quota_counts", with_(REQUESTS) + """
+SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests
+FROM requests
+WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM requests)
+GROUP BY 1, 2""")
+
+SQL["stream_quota_decision"] = SQL["quota_decision"]

@@ -123,7 +123,12 @@ def _indicator_of(event_type: Column) -> Column:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicator requests: one per event (FIXTURES.md §3)."""
-    e = raw(spark, sf_dir, "events")
+    return requests_from_events(raw(spark, sf_dir, "events"))
+
+
+def requests_from_events(e: DataFrame) -> DataFrame:
+    """The request rule as a plain projection, so a stream of events maps
+    to a stream of requests with the same code."""
     start = F.date_add(F.lit(REQUEST_EPOCH).cast("date"), (F.col("event_id") % 1000).cast("int"))
     ind = _indicator_of(F.col("event_type"))
     return e.select(
@@ -208,6 +213,6 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["raw", "bars", "raw_bars", "users", "api_keys", "requests", "requests_open_ranges",
+__all__ = ["raw", "bars", "raw_bars", "users", "api_keys", "requests", "requests_from_events", "requests_open_ranges",
            "requests_with_params", "key_requests", "intake_candidates", "request_log",
            "normalise_dates", "key_string", "default_params"]
