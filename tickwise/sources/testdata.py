@@ -8,9 +8,13 @@ twin in ``tickwise.plans.oracle`` so DuckDB derives the same rows.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .bars import normalise_dates
 
 # Fixed values of the fixture derivation (FIXTURES.md §3).
@@ -32,7 +36,40 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
+    """The bars table of ``sf_dir``.
+
+    Derived once per session and written as a table bucketed and sorted by
+    symbol under the shared checkpoint folder (the stored bars table of a
+    deployment; it also cuts the lineage back to lineitem). Window queries
+    partitioned by symbol then read co-located buckets and plan no Exchange.
+    ``materialise=False`` returns the derivation itself."""
+    if not materialise:
+        return derive_bars(spark, sf_dir)
+    return stored_table(spark, sf_dir, "bars", derive_bars, bucket_by="symbol",
+                        sort_by=("symbol", "date"))
+
+
+_STORED: dict = {}
+
+
+def stored_table(spark: SparkSession, sf_dir: str, name: str, derive, bucket_by: str,
+                 sort_by=()) -> DataFrame:
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    table = _STORED.get(key)
+    if table is None or not spark.catalog.tableExists(table):
+        table = "tickwise_%s_%s" % (name, hashlib.sha1(repr(key).encode()).hexdigest()[:12])
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        path = scratch_path(spark, table)
+        (derive(spark, sf_dir).repartition(buckets, bucket_by)
+            .write.mode("overwrite").format("parquet")
+            .bucketBy(buckets, bucket_by).sortBy(*sort_by)
+            .option("path", path).saveAsTable(table))
+        _STORED[key] = table
+    return spark.table(table)
+
+
+def derive_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per (supplier, ship day): floor(extended price) as the price,
     open/close at the smallest/largest (orderkey, linenumber, partkey).
 
