@@ -24,17 +24,32 @@ def _by(df, sym, col):
     return [r[col] for r in df.where(df.symbol == sym).orderBy("date").select(col).collect()]
 
 
-@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 129, 300])
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 129, 300, 1300])
 @pytest.mark.parametrize("span", [1, 2, 9, 26, 200])
 def test_ewm_block_edges(spark, n, span):
     rng = np.random.default_rng(n * 1000 + span)
-    closes = list(np.round(rng.uniform(50, 150, n), 2))
+    closes = [float(x) for x in np.round(rng.uniform(50, 150, n), 2)]
     out = I.ema(_frame(spark, {"A": closes}), span)
     got = _by(out, "A", "ema")
     want = pd.Series(closes).ewm(span=span, adjust=False).mean().tolist()
     assert np.allclose(got, want, rtol=0, atol=1e-9)
 
 
+def test_ewm_crosses_epochs_on_long_series(spark):
+    """Series longer than the epoch (4160 rows at span 200, 576 for MACD)."""
+    rng = np.random.default_rng(11)
+    closes = [float(x) for x in np.round(100 + np.cumsum(rng.normal(0, 1, 9000)), 2)]
+    df = _frame(spark, {"L": closes})
+    got = _by(I.ema(df, 200), "L", "ema")
+    want = pd.Series(closes).ewm(span=200, adjust=False).mean().tolist()
+    assert np.allclose(got, want, rtol=0, atol=1e-9)
+    m = I.macd(df, 12, 26, 9).where("symbol = 'L'").orderBy("date").toPandas()
+    c = pd.Series(closes)
+    line = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
+    assert np.allclose(m["macd"], line, atol=1e-9)
+    assert np.allclose(m["signal"], line.ewm(span=9, adjust=False).mean(), atol=1e-9)
+
+
 def test_period_one_identities(spark):
     closes = [3.0, 1.0, 4.0, 1.0, 5.0]
     df = _frame(spark, {"A": closes})

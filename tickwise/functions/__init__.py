@@ -1,5 +1,5 @@
-from .kernels import (EWM_INDEX, drop_index, ewm_means, first_difference, gain, loss,
+from .kernels import (EWM_INDEX, drop_index, ewm_epoch, ewm_means, first_difference, gain, loss,
                       rolling_mean, rolling_std, series_window, trailing)
 
-__all__ = ["EWM_INDEX", "drop_index", "ewm_means", "first_difference", "gain", "loss",
+__all__ = ["EWM_INDEX", "drop_index", "ewm_epoch", "ewm_means", "first_difference", "gain", "loss",
            "rolling_mean", "rolling_std", "series_window", "trailing"]

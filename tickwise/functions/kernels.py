@@ -7,8 +7,8 @@ rolling frames use "min 1 row" semantics (V3), which Spark's frame
 aggregates have natively.
 
 Kernels that share one ``(keys, order)`` window spec are planned by Catalyst
-as one Exchange on ``keys`` plus one sort; the blocked exponential mean adds
-a second sort and no exchange.
+as one Exchange on ``keys`` plus one sort; the exponential mean adds one
+more sort per epoch size and no exchange.
 """
 
 from __future__ import annotations
@@ -61,98 +61,124 @@ def loss(diff: Column) -> Column:
 #
 # e[0] = x[0];  e[t] = a*x[t] + q*e[t-1],  a = 2/(span+1), q = 1-a   (V5)
 #
-# Spark has no recursive window function, so the recurrence is evaluated as a
-# two-level blocked scan with ordinary window aggregates:
-#   i = ordinal of the row among the series' non-null values, b = i div B,
-#   j = i mod B.
-#   In-block part  l = q^j * sum_{k<=j} w_k x_k q^-k   (running sum per block;
-#   w = 1 for the seed row i = 0, else a). Exponents stay below B, so nothing
-#   overflows for span >= 2.
-#   Block tail t_b = l at j = B-1. The value entering block b is
-#   E_(b-1) = sum_{m>=1} D^(m-1) t_(b-m), D = q^B; terms older than K blocks
-#   weigh less than 2^-60 and are dropped (K <= 66 at span 200).
-#   e = l + q^(j+1) * E_(b-1).
-# The tails of the previous K blocks are gathered by a RANGE frame on b, the
-# Horner sum is evaluated once per block and spread over the block by an
-# unbounded per-block window. All of it stays inside the ``keys`` partitioning.
-
-BLOCK = 64
+# Spark has no recursive window function. Unrolled, the recurrence is
+#   e[t] = sum_{k<=t} w_k q^(t-k) x_k,   w_0 = 1 (seed), w_k = a otherwise,
+# which is evaluated with running aggregates only:
+#   i = ordinal of the row among the series' non-null values; rows are cut
+#   into epochs of E rows, ep = i div E, r = i mod E.
+#   R = running sum over the epoch of w x q^-r   (exponents stay below E)
+#   P = R at the end of the previous epoch, carried forward by last(ignorenulls)
+#   e = q^r R + q^(r+E) P
+# Epochs older than the previous one weigh less than q^E <= 2^-60 and are
+# dropped; E is chosen per span so that q^-E cannot overflow. Each level costs
+# one sort and two running windows inside the ``keys`` partitioning, and
+# spans with compatible epoch sizes share them.
+
 _PRECISION_BITS = 60
+_MAX_EXPONENT = 600.0  # q^-(E-1) * |x| * E stays far below 1e308
+_EPOCH_GRAIN = 64
+
+
+def _epoch_bounds(span: int) -> tuple[int, int]:
+    lnq = -math.log(1.0 - 2.0 / (span + 1.0))
+    lo = math.ceil(_PRECISION_BITS * math.log(2.0) / lnq)
+    hi = math.floor(_MAX_EXPONENT / lnq)
+    return lo, hi
+
+
+def _epoch_for(spans, preferred: int | None = None) -> int | None:
+    bounds = [_epoch_bounds(s) for s in spans]
+    lo = max(b[0] for b in bounds)
+    hi = min(b[1] for b in bounds)
+    if preferred is not None and lo <= preferred <= hi:
+        return preferred
+    e = -(-lo // _EPOCH_GRAIN) * _EPOCH_GRAIN
+    return e if e <= hi else None
 
 
-def _carry_blocks(q: float, block: int) -> int:
-    if q <= 0.0:
-        return 1
-    return max(1, math.ceil(_PRECISION_BITS * math.log(2.0) / (-block * math.log(q))))
+def _group_spans(spans, preferred=None):
+    """Greedy grouping of spans that can share one epoch size."""
+    groups = []
+    for s in sorted(set(spans)):
+        for g in groups:
+            e = _epoch_for(g["spans"] + [s], preferred)
+            if e is not None:
+                g["spans"].append(s)
+                g["epoch"] = e
+                break
+        else:
+            groups.append({"spans": [s], "epoch": _epoch_for([s], preferred)})
+    return groups
 
 
-def _horner_step(d: float):
-    def step(acc, t):
-        return acc * F.lit(d) + t
-    return step
+EWM_INDEX = "__ewm_i"
 
 
 def ewm_means(df: DataFrame, specs, keys=("symbol",), order: str = "date",
-              block: int = BLOCK, index_cols=None) -> DataFrame:
+              index_col: str | None = None, epoch_hint: int | None = None) -> DataFrame:
     """Add one exponential-mean column per ``(source, span, out)`` spec.
 
-    All sources in one call must share the same null pattern (they are
-    derived from one base column); null rows get a NULL result and do not
-    break the recurrence (V15: the mean runs over the non-null values).
-    ``index_cols`` names existing (i, b, j) columns from an earlier call with
-    the same null pattern, so chained means (MACD's signal) reuse one index.
+    All sources in one call must share the same null pattern (they derive
+    from one base column); null rows get a NULL result and do not break the
+    recurrence (V15: the mean runs over the non-null values). ``index_col``
+    names an ordinal column from an earlier call with the same null pattern
+    (chained means, such as MACD's signal, reuse it).
     """
     specs = list(specs)
     if not specs:
         return df
-    first_src = specs[0][0]
-    w_run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    if index_cols is None:
-        i_c, b_c, j_c = "__ewm_i", "__ewm_b", "__ewm_j"
-        df = (df.withColumn(i_c, F.count(first_src).over(w_run) - F.lit(1))
-                .withColumn(b_c, F.floor(F.col(i_c) / F.lit(block)))
-                .withColumn(j_c, F.col(i_c) - F.col(b_c) * F.lit(block)))
-    else:
-        i_c, b_c, j_c = index_cols
-    i, b, j = F.col(i_c), F.col(b_c), F.col(j_c)
-    w_blk = (Window.partitionBy(*keys, b_c).orderBy(order)
-             .rowsBetween(Window.unboundedPreceding, 0))
-    w_all_blk = Window.partitionBy(*keys, b_c)
-
-    stage_l, stage_list, stage_carry, final = {}, {}, {}, {}
-    for src, span, out in specs:
+    for _, span, _ in specs:
         if span < 1:
             raise ValueError("span must be >= 1")
-        x = F.col(src)
+    if index_col is None:
+        index_col = EWM_INDEX
+        w_run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn(index_col, F.count(specs[0][0]).over(w_run) - F.lit(1))
+    i = F.col(index_col)
+    final = {}
+    smooth = [s for s in specs if s[1] > 1]
+    for src, span, out in specs:
         if span == 1:  # a = 1: the mean is the value itself
-            final[out] = x
-            continue
-        a = 2.0 / (span + 1.0)
-        q = 1.0 - a
-        kb = _carry_blocks(q, block)
-        weight = F.when(i == 0, F.lit(1.0)).otherwise(F.lit(a))
-        term = F.when(x.isNotNull(), weight * x * F.pow(F.lit(q), -j))
-        l_c, lst_c, car_c = f"__{out}_l", f"__{out}_tails", f"__{out}_carry"
-        stage_l[l_c] = F.pow(F.lit(q), j) * F.sum(term).over(w_blk)
-        tail = F.when((j == block - 1) & x.isNotNull(), F.col(l_c))
-        w_tails = Window.partitionBy(*keys).orderBy(b_c).rangeBetween(-kb, -1)
-        stage_list[lst_c] = F.collect_list(tail).over(w_tails)
-        horner = F.aggregate(F.col(lst_c), F.lit(0.0), _horner_step(q ** block))
-        stage_carry[car_c] = F.max(F.when(j == 0, horner)).over(w_all_blk)
-        final[out] = F.when(
-            x.isNotNull(),
-            F.col(l_c) + F.pow(F.lit(q), j + 1) * F.coalesce(F.col(car_c), F.lit(0.0)))
-
-    for stage in (stage_l, stage_list, stage_carry):
-        if stage:
-            df = df.withColumns(stage)
+            final[out] = F.col(src)
+    temp = []
+    for g in _group_spans([s[1] for s in smooth], epoch_hint):
+        E = g["epoch"]
+        ep_c = f"__ewm_ep{E}"
+        if ep_c not in df.columns:  # kept until drop_index: chained calls reuse its sort
+            df = df.withColumn(ep_c, F.floor(i / F.lit(E)))
+        ep = F.col(ep_c)
+        r = i - ep * F.lit(E)
+        w_epoch = (Window.partitionBy(*keys, ep_c).orderBy(order)
+                   .rowsBetween(Window.unboundedPreceding, 0))
+        w_prev = (Window.partitionBy(*keys).orderBy(ep_c, order)
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        members = [s for s in smooth if s[1] in g["spans"]]
+        running, carried = {}, {}
+        for src, span, out in members:
+            a = 2.0 / (span + 1.0)
+            q = 1.0 - a
+            x = F.col(src)
+            weight = F.when(i == 0, F.lit(1.0)).otherwise(F.lit(a))
+            term = F.when(x.isNotNull(), weight * x * F.pow(F.lit(q), -r))
+            run_c, prev_c = f"__{out}_run", f"__{out}_prev"
+            running[run_c] = F.sum(term).over(w_epoch)
+            end = (r == E - 1) & x.isNotNull()
+            carried[prev_c] = F.last(F.when(end, F.col(run_c)), ignorenulls=True).over(w_prev)
+            final[out] = F.when(
+                x.isNotNull(),
+                F.pow(F.lit(q), r) * F.col(run_c)
+                + F.pow(F.lit(q), r + F.lit(E)) * F.coalesce(F.col(prev_c), F.lit(0.0)))
+            temp += [run_c, prev_c]
+        df = df.withColumns(running).withColumns(carried)
     df = df.withColumns(final)
-    temp = [c for st in (stage_l, stage_list, stage_carry) for c in st]
     return df.drop(*temp)
 
 
-def drop_index(df: DataFrame) -> DataFrame:
-    return df.drop("__ewm_i", "__ewm_b", "__ewm_j")
+def ewm_epoch(spans) -> int | None:
+    """The epoch size a set of spans would share (to pass as a hint)."""
+    g = _group_spans([s for s in spans if s > 1])
+    return g[0]["epoch"] if len(g) == 1 else None
 
 
-EWM_INDEX = ("__ewm_i", "__ewm_b", "__ewm_j")
+def drop_index(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c == EWM_INDEX or c.startswith("__ewm_ep")])

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import (EWM_INDEX, drop_index, ewm_means, first_difference, gain,
-                                 loss, rolling_mean, rolling_std, series_window, trailing)
+from ..functions.kernels import (EWM_INDEX, drop_index, ewm_epoch, ewm_means, first_difference,
+                                 gain, loss, rolling_mean, rolling_std, series_window, trailing)
 from ..schema import require_columns
 
 # Defaults and bounds of the live endpoints.
@@ -67,14 +67,15 @@ def macd(df: DataFrame, fast_period: int = 12, slow_period: int = 26, signal_per
          out=("macd", "signal", "histogram")) -> DataFrame:
     """MACD line, signal (EMA of the line, V6) and histogram.
 
-    Fast and slow means share one blocked scan; the signal reuses its index.
+    Fast and slow means share one epoch scan; the signal reuses its index and sort.
     ``fast < slow`` is not required.
     """
     require_columns(df, col)
     m, s, h = out
     df = ewm_means(df, [(col, fast_period, "__fast"), (col, slow_period, "__slow")], keys, order)
     df = df.withColumn(m, F.col("__fast") - F.col("__slow"))
-    df = ewm_means(df, [(m, signal_period, s)], keys, order, index_cols=EWM_INDEX)
+    df = ewm_means(df, [(m, signal_period, s)], keys, order, index_col=EWM_INDEX,
+                   epoch_hint=ewm_epoch([fast_period, slow_period]))
     df = df.withColumn(h, F.col(m) - F.col(s))
     return drop_index(df.drop("__fast", "__slow"))
 
@@ -99,7 +100,7 @@ def suite(df: DataFrame, sma_window: int = 20, ema_window: int = 20, rsi_period:
     """All five indicators over all series in one plan.
 
     Every window shares the ``keys`` partitioning: one Exchange for the whole
-    suite, one sort for the row frames, one more for the blocked scans.
+    suite, one sort for the row frames, one more for the exponential means.
     """
     require_columns(df, col)
     fast, slow, sig = macd_periods
@@ -116,7 +117,8 @@ def suite(df: DataFrame, sma_window: int = 20, ema_window: int = 20, rsi_period:
     df = ewm_means(df, [(col, ema_window, "ema"), (col, fast, "__fast"), (col, slow, "__slow")],
                    keys, order)
     df = df.withColumn("macd", F.col("__fast") - F.col("__slow"))
-    df = ewm_means(df, [("macd", sig, "macd_signal")], keys, order, index_cols=EWM_INDEX)
+    df = ewm_means(df, [("macd", sig, "macd_signal")], keys, order, index_col=EWM_INDEX,
+                   epoch_hint=ewm_epoch([ema_window, fast, slow]))
     df = df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
     return drop_index(df.drop("__fast", "__slow"))
 
