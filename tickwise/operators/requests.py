@@ -14,12 +14,12 @@ split handles a hot (symbol, year) on the request side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import indicators as I
-from .policy import (DEFAULT_POLICY, clamp_range, default_range, params_within_bounds,
-                     tier_gate, tier_limits)
+from .policy import (DEFAULT_POLICY, clamp_range, default_range, max_daily_limit,
+                     params_within_bounds, tier_gate, tier_limits)
 from .quota import day_of
 
 
@@ -63,8 +63,6 @@ def request_status(requests: DataFrame, users: DataFrame, bars: DataFrame, as_of
     eligible = F.col("__identity") & F.col("__tier_ok") & F.col("__bounds_ok")
 
     # Quota: top-k per user-day among eligible requests (see operators.quota).
-    from pyspark.sql import Window
-    from .policy import max_daily_limit
     w = Window.partitionBy("user_id", "__day").orderBy("ts", "request_id")
     winners = (r.where(eligible & F.col("daily_limit").isNotNull())
                 .select("request_id", "user_id", "ts", "daily_limit",
