@@ -50,7 +50,7 @@ def bars_date_norm(spark, sf):
 def bars_sorted(spark, sf):
     laid_out = B.sorted_layout(td.bars(spark, sf))
     return laid_out.select("symbol", "date",
-                           F.row_number().over(K.series_window()).alias("i"))
+                           F.row_number().over(K.series_window()).cast("bigint").alias("i"))
 
 
 @query("series_by_symbol")

@@ -19,9 +19,11 @@ collected on the driver.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.policy import DEFAULT_POLICY, tier_limits
 from ..session import scratch_path
 
+# The state function runs in executor Python workers; ship it by value so the
+# workers need only pandas, not this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampNTZType()),
