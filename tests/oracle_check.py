@@ -37,11 +37,9 @@ def canon(v):
             return "<nan>"
         if f == 0.0:
             f = 0.0
-        if f.is_integer() and abs(f) < 2**53:
-            return repr(float(f))
         return repr(f)
     if isinstance(v, int):
-        return repr(float(v)) if False else str(v)
+        return str(v)
     if isinstance(v, dt.datetime):
         return v.isoformat()
     if isinstance(v, dt.date):

@@ -14,7 +14,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, session_id
 from .bars import normalise_dates
 
 # Fixed values of the fixture derivation (FIXTURES.md §3).
@@ -55,7 +55,7 @@ _STORED: dict = {}
 
 def stored_table(spark: SparkSession, sf_dir: str, name: str, derive, bucket_by: str,
                  sort_by=()) -> DataFrame:
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    key = (session_id(spark), os.path.abspath(sf_dir), name)
     table = _STORED.get(key)
     if table is None or not spark.catalog.tableExists(table):
         table = "tickwise_%s_%s" % (name, hashlib.sha1(repr(key).encode()).hexdigest()[:12])
