@@ -120,23 +120,37 @@ def request_points(requests: DataFrame, bars: DataFrame, start_col: str = "start
 
 def evaluate(requests: DataFrame, bars: DataFrame, indicator: str, params: dict | None = None,
              start_col: str = "start_date", end_col: str = "end_date") -> DataFrame:
-    """One indicator with one parameter set for a table of requests;
-    windows are partitioned by ``request_id`` so each request sees only its
-    own range."""
+    """One indicator with one parameter set for a table of requests.
+
+    Identical requests give identical points, so each distinct (symbol,
+    start, end) is evaluated once, with windows partitioned by that range
+    (each range sees only its own rows, V1; a range is bounded by the calendar
+    days it spans). The points are joined back to the requests on the same
+    key: the window output is already partitioned by it, so only the request
+    table moves for the join, and a range requested many times is the case
+    AQE's skew split handles.
+    """
     p = dict(I.DEFAULTS[indicator.lower()])
     p.update(params or {})
-    pts = request_points(requests, bars, start_col, end_col)
-    k = ("request_id",)
+    key = ("symbol", start_col, end_col)
+    ranges = requests.select(*key).distinct()
+    # Partition the points by the whole range key: a hot symbol's ranges then
+    # spread over many tasks instead of inheriting the bars' symbol buckets.
+    pts = range_join(ranges, bars.select("symbol", "date", "close"), start_col, end_col)
+    pts = pts.repartition(*key)
     ind = indicator.lower()
     if ind == "sma":
-        return I.sma(pts, int(p["window"]), keys=k)
-    if ind == "ema":
-        return I.ema(pts, int(p["window"]), keys=k)
-    if ind == "rsi":
-        return I.rsi(pts, int(p["period"]), keys=k)
-    if ind == "macd":
-        return I.macd(pts, int(p["fast_period"]), int(p["slow_period"]), int(p["signal_period"]),
-                      keys=k)
-    if ind == "bollinger":
-        return I.bollinger(pts, int(p["period"]), float(p["std_dev"]), keys=k)
-    raise ValueError(f"unknown indicator {indicator}")
+        out = I.sma(pts, int(p["window"]), keys=key)
+    elif ind == "ema":
+        out = I.ema(pts, int(p["window"]), keys=key)
+    elif ind == "rsi":
+        out = I.rsi(pts, int(p["period"]), keys=key)
+    elif ind == "macd":
+        out = I.macd(pts, int(p["fast_period"]), int(p["slow_period"]), int(p["signal_period"]),
+                     keys=key)
+    elif ind == "bollinger":
+        out = I.bollinger(pts, int(p["period"]), float(p["std_dev"]), keys=key)
+    else:
+        raise ValueError(f"unknown indicator {indicator}")
+    reqs = requests.select("request_id", *key)
+    return reqs.join(out, list(key)).drop(*key)
