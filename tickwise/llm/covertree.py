@@ -188,7 +188,7 @@ BLOCKS = "dim int, cell int, sub int, block binary"
 def _index(k: int, queries: bool):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         dim = key[0].as_py()
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float64).reshape(-1, dim)
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float64).reshape(table.num_rows, dim)
         ids, floor = table.column("id").to_numpy(), table.column("floor").to_numpy()
         if not queries:
             keep = fewest(ids, x, k + 1)
