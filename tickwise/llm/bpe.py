@@ -41,9 +41,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tickwise.llm.common import read, segments
 
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 SEGMENT_CHARS = 4_000_000
-CACHED_WORDS = 200_000  # words remembered by a task; then the memory starts anew
+CACHED = 150_000  # words, and chunks, remembered by a task in each of two generations
 _NEVER = np.int64(1) << 40
+_LAST = 1 << 40
 
 
 class WordBpe:
@@ -57,8 +59,8 @@ class WordBpe:
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
             raise ValueError(f"{path}: not a word-level BPE of the supported kind")
         self.suffix = model["end_of_word_suffix"]
-        self.words = regex.compile(steps[0]["pattern"]["Regex"], regex.V0)
-        self.blanks = regex.compile(r"\p{White_Space}+")
+        # White space only separates words, so it need not be folded to one blank first.
+        self.words = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"), regex.V0)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.vocab: dict[str, int] = model["vocab"]
@@ -83,10 +85,10 @@ class WordBpe:
         for a, b, t in zip(left.tolist(), right.tolist(), made.tolist()):
             self.sound[t] &= self.sound[a] and self.sound[b]
         self.byte_char = _byte_chars()
-        self.starts: dict[str, int] = {}  # longest inner token by first two characters
+        self.starts: dict[str, int] = {}  # longest inner token by its first three characters
         for t in self.vocab:
             if not t.endswith(self.suffix):
-                self.starts[t[:2]] = max(self.starts.get(t[:2], 0), len(t))
+                self.starts[t[:3]] = max(self.starts.get(t[:3], 0), len(t))
 
     def _joined(self, a: str, b: str) -> str:
         return a + b  # the suffix is only ever at the end of b
@@ -119,7 +121,7 @@ class WordBpe:
             if (last := vocab.get(chars[i:] + suffix)) is not None:
                 out.append(last)
                 return out
-            for k in range(min(n - i - 1, self.starts.get(chars[i:i + 2], 1)), 0, -1):
+            for k in range(min(n - i - 1, self.starts.get(chars[i:i + 3], 2)), 0, -1):
                 if (t := vocab.get(chars[i:i + k])) is not None:
                     break
             out.append(t)
@@ -128,14 +130,18 @@ class WordBpe:
     def exact(self, chars: str) -> list[int]:
         """Plain BPE: the merge of highest priority, leftmost first, until none applies."""
         parts = [*chars[:-1], chars[-1] + self.suffix]
-        rank = self.rank
         if len(parts) > 60:
             return self._exact_long(parts)
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), _NEVER))
-            if (parts[best], parts[best + 1]) not in rank:
-                break
-            parts[best:best + 2] = [parts[best] + parts[best + 1]]
+        get = self.rank.get
+        ranks = [get(p, _LAST) for p in zip(parts, parts[1:])]
+        while ranks and (low := min(ranks)) != _LAST:
+            i = ranks.index(low)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), _LAST)
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), _LAST)
         return [self.vocab[p] for p in parts]
 
     def _exact_long(self, parts: list[str]) -> list[int]:
@@ -177,15 +183,23 @@ class WordBpe:
             proposed[i] = self.exact(chars[i])
         return proposed
 
-    def split(self, text: str) -> list[str]:
-        """Words and special tokens of a text, in order."""
+    def chunks(self, text: str) -> list[str]:
+        """Runs without white space, and special tokens, in order: no word goes beyond one."""
         if self.specials and any(s in text for s in self.special):
-            return [w for k, part in enumerate(self.specials.split(text)) for w in ([part] if k % 2 else self._words(part))]
-        return self._words(text)
+            return [w for k, part in enumerate(self.specials.split(text)) for w in ([part] if k % 2 else self._chunks(part))]
+        return self._chunks(text)
 
-    def _words(self, text: str) -> list[str]:
-        text = self.blanks.sub(" ", unicodedata.normalize("NFC", text))
-        return self.words.findall(text.replace("Σ", "σ").lower())
+    def _chunks(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = text.lower()
+        if _SEPARATORS.search(text):  # blanks for str.split, but no white space
+            return [text]
+        return text.split()
+
+    def split(self, text: str) -> list[str]:
+        """Words and special tokens of a text, in order."""
+        return [w for c in self.chunks(text) for w in ([c] if c in self.special else self.words.findall(c))]
 
     def decode(self, ids) -> str:
         return " ".join([self.token[i] for i in ids])
@@ -204,27 +218,53 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+class _Memory(dict):
+    """Remembers about ``size`` to twice as many keys: those asked for since the last change of generation."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys that are in neither generation; the others come to the new one."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        old, out = self.old, []
+        for k in keys:
+            if k in self:
+                continue
+            if (v := old.get(k)) is None:
+                out.append(k)
+            else:
+                self[k] = v
+        return out
+
+
 def _encode(path: str, id_column: str, full: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        known: dict[str, tuple[int, str, str, list[int]]] = {}
-
-        def learn(words: list[str]) -> None:
-            for w, ids in zip(words, bpe.encode_words(words)):
-                known[w] = (len(ids), " ".join(map(str, ids)), bpe.decode(ids), ids if full else None)
-
-        for batch, texts in segments(batches, "text", SEGMENT_CHARS):
-            split = [bpe.split(t) if t else [] for t in texts]
-            if len(known) > CACHED_WORDS:
-                known.clear()
+        words, known = _Memory(CACHED), _Memory(CACHED)  # -> tokens, ids and text joined, ids
+
+        def joined(parts: list[tuple]) -> tuple:
+            return (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]), [i for p in parts for i in p[3]] if full else None)
+
+        def learn(new: set[str]) -> None:
+            split = {c: bpe.words.findall(c) for c in known.missing(new) if c not in bpe.special}
+            asked = words.missing({w for ws in split.values() for w in ws})
+            for w, ids in zip(asked, bpe.encode_words(asked)):
+                words[w] = (len(ids), " ".join(map(str, ids)), bpe.decode(ids), ids if full else None)
+            for c, ws in split.items():
+                known[c] = words[ws[0]] if len(ws) == 1 else joined([words[w] for w in ws])
             for w, i in bpe.special.items():
                 known[w] = (1, str(i), w, [i] if full else None)
-            new = {w for words in split for w in words if w not in known}
-            if new:
-                learn(list(new))
+
+        for batch, texts in segments(batches, "text", SEGMENT_CHARS):
+            split = [bpe.chunks(t) if t else [] for t in texts]
+            learn({c for chunks in split for c in chunks})
             counts, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
-            for words in split:
-                got = [known[w] for w in words]
+            for chunks in split:
+                got = [g for g in map(known.__getitem__, chunks) if g[0]]
                 decoded = " ".join([g[2] for g in got])
                 counts.append(sum([g[0] for g in got]))
                 ids_sha.append(hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest())
