@@ -47,8 +47,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ascii_lower(c: Column) -> Column:
-    """A-Z only; other letters keep their case."""
-    return F.translate(c, UPPER, UPPER.lower())
+    """A-Z only; other letters keep their case. ``lower`` does it for strings
+    of ASCII alone, many times faster."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
 def strip_blanks(c: Column) -> Column:

@@ -21,18 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import UPPER, ascii_lower, read, strip_blanks
+from tickwise.llm.common import UPPER, ascii_lower, read, strip_blanks, written
 
 LEAST = 10  # code points that a key needs
 DOCUMENTS = 2  # a key in so many documents is a repeat
 
 
-def _hashed(line: Column, least: int) -> Column:
-    """(xxhash64, murmur3) of a line's key; null if the key is short."""
-    key = ascii_lower(strip_blanks(line))
-    return F.when(F.length(key) >= least, F.struct(F.xxhash64(key).alias("x"), F.hash(key).alias("m")))
-
-
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, documents: int = DOCUMENTS) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept`` (the text after).
 
@@ -41,8 +35,9 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     lines = F.split(F.coalesce(F.col(text_column), F.lit("")), "\n", -1)
     fingerprint = F.xxhash64(text_column)  # tells apart different rows of one id
     keyed = (docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), fingerprint.alias("__print"), F.posexplode(lines).alias("__pos", "__line"))
-             .select("__id", "__print", "__pos", _hashed(F.col("__line"), least).alias("__h")))
-    long = keyed.where(F.col("__h").isNotNull())
+             .withColumn("__line", strip_blanks(F.col("__line"))).where(F.length("__line") >= least)
+             .withColumn("__line", ascii_lower(F.col("__line"))))
+    long = written(keyed.select("__id", "__print", "__pos", F.struct(F.xxhash64("__line").alias("x"), F.hash("__line").alias("m")).alias("__h")), "lines")  # both sides of the join below read it
     if documents == 2:
         repeats = long.groupBy("__h").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where(F.col("__first") < F.col("__last"))
     else:
