@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tickwise.llm.common import UPPER, ascii_lower, read, strip_blanks
+from tickwise.llm.common import UPPER, ascii_lower, read, strip_blanks, written
 
 #: (sentences, words at least) of the runs that count.
 RUNS = ((1, 50), (2, 20), (3, 10))
@@ -41,16 +41,15 @@ _B = r"[\x20\x09-\x0D]"
 SENTENCE = rf"[^.!?\n]+[.!?\n]*{_B}*|[.!?\n]+{_B}*"
 
 
-def _runs(sentences: Column, runs) -> Column:
-    """Array of (pos, k, x, m) of the runs of an array of (x, m, words)."""
+def _runs(keys: Column, runs) -> Column:
+    """Array of (pos, k, x, m) of the runs of an array of (x, m, w)."""
     def of(k: int, words: int) -> Column:
-        def at(i: Column) -> Column:
-            own = F.slice(F.col("__keys"), i + 1, k)
-            xs, ms = own["x"], own["m"]
-            total = F.aggregate(own["w"], F.lit(0), lambda a, w: a + w)
-            return F.struct(i.alias("pos"), F.lit(k).alias("k"), F.xxhash64(xs, F.lit(k)).alias("x"), F.hash(ms, F.lit(k)).alias("m"), total.alias("w"))
-        every = F.when(F.size(sentences) >= k, F.sequence(F.lit(0), F.size(sentences) - k)).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(every, at), lambda r: r["w"] >= words)
+        places = F.when(F.size(keys) >= k, F.sequence(F.lit(0), F.size(keys) - k)).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(places, lambda i: F.struct(i.alias("pos"), *[F.get(keys, i + j).alias(f"s{j}") for j in range(k)]))
+        long = F.filter(parts, lambda r: sum((r[f"s{j}"]["w"] for j in range(k)), F.lit(0)) >= words)
+        return F.transform(long, lambda r: F.struct(
+            r["pos"].alias("pos"), F.lit(k).alias("k"), F.xxhash64(*[r[f"s{j}"]["x"] for j in range(k)], F.lit(k)).alias("x"),
+            F.hash(*[r[f"s{j}"]["m"] for j in range(k)], F.lit(k)).alias("m")))
     return F.concat(*[of(k, words) for k, words in runs])
 
 
@@ -95,9 +94,10 @@ def dedup_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     texts = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull())
     # The keys of a document's sentences, in order, computed row by row (no shuffle).
     keyed = texts.select(F.col(id_column).alias("__id"), fingerprint.alias("__print"),
-                         F.transform(F.regexp_extract_all(text_column, F.lit(SENTENCE), F.lit(0)), _sentence).alias("__keys"))
+                         _keyed(F.regexp_extract_all(text_column, F.lit(SENTENCE), F.lit(0))).alias("__keys"))
     spread = keyed.select("__id", "__print", F.explode(_runs(F.col("__keys"), runs)).alias("__r")).select(
         "__id", "__print", F.col("__r.pos").alias("__pos"), F.col("__r.k").alias("__k"), F.col("__r.x").alias("__x"), F.col("__r.m").alias("__m"))
+    spread = written(spread, "runs")  # both sides of the join below read it
     repeats = (spread.groupBy("__x", "__m").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
                .where(F.col("__n") > 1).drop("__n"))
     found = spread.join(repeats, ["__x", "__m"])
@@ -113,11 +113,21 @@ def dedup_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return joined.mapInArrow(_cut(id_column, text_column, to_arrow_schema(schema)), schema)
 
 
-def _sentence(s: Column) -> Column:
-    """(x, m, w): hashes of the sentence's key and its words."""
-    key = F.regexp_replace(ascii_lower(strip_blanks(s)), f"{_B}+", " ")
-    return F.struct(F.xxhash64(key).alias("x"), F.hash(key).alias("m"),
-                    (F.length(key) - F.length(F.replace(key, F.lit(" "), F.lit(""))) + F.when(key == "", 0).otherwise(1)).alias("w"))
+def _keyed(sentences: Column) -> Column:
+    """(x, m, w) of each sentence: hashes of its key, and its words. One step a
+    ``transform``, as a lambda computes an expression anew wherever it stands."""
+    keys = F.transform(F.transform(sentences, strip_blanks), ascii_lower)
+
+    def evened(key: Column) -> Column:  # the regular expression only where it has work
+        uneven = F.contains(key, F.lit("  "))
+        for blank in "\t\n\x0b\x0c\r":
+            uneven = uneven | F.contains(key, F.lit(blank))
+        return F.when(uneven, F.regexp_replace(key, f"{_B}+", " ")).otherwise(key)
+
+    def hashed(key: Column) -> Column:
+        words = F.octet_length(key) - F.octet_length(F.replace(key, F.lit(" "), F.lit(""))) + F.when(key == "", 0).otherwise(1)
+        return F.struct(F.xxhash64(key).alias("x"), F.hash(key).alias("m"), words.alias("w"))
+    return F.transform(F.transform(keys, evened), hashed)
 
 
 def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
