@@ -1,5 +1,5 @@
-from .kernels import (EWM_INDEX, drop_index, ewm_epoch, ewm_means, first_difference, gain, loss,
-                      rolling_mean, rolling_std, series_window, trailing)
+from .kernels import (block_window, ewm_means, first_difference, gain, in_blocks, in_one_pass, loss,
+                      out_of_blocks, rolling_mean, rolling_std, series_window, trailing)
 
-__all__ = ["EWM_INDEX", "drop_index", "ewm_epoch", "ewm_means", "first_difference", "gain", "loss",
-           "rolling_mean", "rolling_std", "series_window", "trailing"]
+__all__ = ["block_window", "ewm_means", "first_difference", "gain", "in_blocks", "in_one_pass", "loss",
+           "out_of_blocks", "rolling_mean", "rolling_std", "series_window", "trailing"]

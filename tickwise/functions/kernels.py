@@ -1,27 +1,41 @@
 """Window kernels over partitioned time series.
 
 Every kernel works on *all* series at once: a series is the rows sharing
-``keys`` (``symbol`` for the bars table, ``request_id`` for batch requests),
-ordered by ``order``. Frames count rows, never calendar days (V4), and all
-rolling frames use "min 1 row" semantics (V3), which Spark's frame
-aggregates have natively.
-
-Kernels that share one ``(keys, order)`` window spec are planned by Catalyst
-as one Exchange on ``keys`` plus one sort; the exponential mean adds one
-more sort per epoch size and no exchange.
+``keys`` (``symbol`` for the bars table, a request's parameter set in batch
+evaluation), ordered by ``order``. Frames count rows, never calendar days
+(V4), and all rolling frames use "min 1 row" semantics (V3), which Spark's
+frame aggregates have natively.
+
+``in_blocks`` cuts long series into blocks of consecutive rows, so that one
+series spans as many tasks as it has blocks: positions come from counts per
+(series, year) and a running sum over those few counts; each block gets the
+last rows of the block before as a halo, which rolling frames read and
+``out_of_blocks`` drops again. Windows partitioned by ``keys + BLOCK`` are then
+exact. Series that are known to be short (one request's range) can stay whole:
+``in_one_pass`` numbers them with a window and marks the same blocks.
 """
 
 from __future__ import annotations
 
 import math
+import sys
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+BLOCK_ROWS = 512  # q^-r stays below e^562 within a block for any span from 2
+BLOCK, POSITION, HALO, SEEN = "__blk", "__i", "__halo", "__seen"
+_MARKS = (BLOCK, POSITION, HALO, SEEN)
 
-def series_window(keys=("symbol",), order: str = "date") -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(order)
+
+def _list(cols) -> list[str]:
+    return [cols] if isinstance(cols, str) else list(cols)
+
+
+def series_window(keys=("symbol",), order="date") -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(*_list(order))
 
 
 def trailing(w: WindowSpec, n: int) -> WindowSpec:
@@ -57,128 +71,142 @@ def loss(diff: Column) -> Column:
     return F.when(diff < 0, -diff).otherwise(F.lit(0.0))
 
 
+# --- blocks -------------------------------------------------------------------
+
+
+def _same(a: DataFrame, b: DataFrame, cols) -> Column:
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])
+
+
+def in_blocks(df: DataFrame, col: str = "close", keys=("symbol",), order="date", halo: int = 0,
+              cut: Column | None = None) -> DataFrame:
+    """Cut every series into blocks of ``BLOCK_ROWS`` rows (more if the halo
+    needs it), each with the ``halo`` rows before it.
+
+    ``order`` may list tie-break columns after the date: rows that are equal in
+    all of them have no defined order (V16). ``cut`` is a coarse, monotone
+    function of the first order column (default: its year); rows are only ever
+    numbered within one (series, cut), whose counts are summed up per series.
+    """
+    keys, order = _list(keys), _list(order)
+    size = max(BLOCK_ROWS, -(-halo // BLOCK_ROWS) * BLOCK_ROWS)
+    df = df.withColumn("__cut", F.year(order[0]) if cut is None else cut)
+    counts = df.groupBy(*keys, "__cut").agg(F.count(F.lit(1)).alias("__n"), F.count(col).alias("__c"))
+    ahead = Window.partitionBy(*keys).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate([*keys, "__cut"])],
+                            F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n0"),
+                            F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__c0"))
+    within = Window.partitionBy(*keys, "__cut").orderBy(*order)
+    df = df.withColumns({POSITION: F.row_number().over(within) - 1,
+                         SEEN: F.count(col).over(within.rowsBetween(Window.unboundedPreceding, 0))})
+    on = reduce(lambda x, y: x & y, [df[k].eqNullSafe(offsets[f"__k{j}"]) for j, k in enumerate([*keys, "__cut"])])
+    df = (df.join(offsets, on).withColumns({POSITION: F.col(POSITION) + F.col("__n0"), SEEN: F.col(SEEN) + F.col("__c0")})
+          .drop("__cut", "__n0", "__c0", *[f"__k{j}" for j in range(len(keys) + 1)]))
+    own = F.floor(F.col(POSITION) / F.lit(size))
+    if halo:
+        is_tail = F.col(POSITION) % size >= size - halo
+        homes = F.when(is_tail, F.array(own, own + 1)).otherwise(F.array(own))
+        df = df.withColumn(BLOCK, F.explode(homes)).withColumn(HALO, F.col(BLOCK) > own)
+    else:
+        df = df.withColumns({BLOCK: own, HALO: F.lit(False)})
+    return df.repartition(*keys, BLOCK)
+
+
+def in_one_pass(df: DataFrame, col: str = "close", keys=("symbol",), order="date") -> DataFrame:
+    """The marks of ``in_blocks`` for series that fit one task; windows stay
+    partitioned by ``keys`` alone."""
+    w = series_window(keys, order)
+    return df.withColumns({
+        POSITION: F.row_number().over(w) - 1,
+        SEEN: F.count(col).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    }).withColumns({BLOCK: F.floor(F.col(POSITION) / F.lit(BLOCK_ROWS)), HALO: F.lit(False)})
+
+
+def block_window(keys=("symbol",)) -> WindowSpec:
+    """Order of the rows of one block, halo first."""
+    return Window.partitionBy(*keys, BLOCK).orderBy(POSITION)
+
+
+def out_of_blocks(df: DataFrame) -> DataFrame:
+    return df.where(~F.col(HALO)).drop(*[c for c in df.columns if c in _MARKS])
+
+
 # --- exponential mean -------------------------------------------------------
 #
 # e[0] = x[0];  e[t] = a*x[t] + q*e[t-1],  a = 2/(span+1), q = 1-a   (V5)
 #
-# Spark has no recursive window function. Unrolled, the recurrence is
-#   e[t] = sum_{k<=t} w_k q^(t-k) x_k,   w_0 = 1 (seed), w_k = a otherwise,
-# which is evaluated with running aggregates only:
-#   i = ordinal of the row among the series' non-null values; rows are cut
-#   into epochs of E rows, ep = i div E, r = i mod E.
-#   R = running sum over the epoch of w x q^-r   (exponents stay below E)
-#   P = R at the end of the previous epoch, carried forward by last(ignorenulls)
-#   e = q^r R + q^(r+E) P
-# Epochs older than the previous one weigh less than q^E <= 2^-60 and are
-# dropped; E is chosen per span so that q^-E cannot overflow. Each level costs
-# one sort and two running windows inside the ``keys`` partitioning, and
-# spans with compatible epoch sizes share them.
-
-_PRECISION_BITS = 60
-_MAX_EXPONENT = 600.0  # q^-(E-1) * |x| * E stays far below 1e308
-_EPOCH_GRAIN = 64
-
-
-def _epoch_bounds(span: int) -> tuple[int, int]:
-    lnq = -math.log(1.0 - 2.0 / (span + 1.0))
-    lo = math.ceil(_PRECISION_BITS * math.log(2.0) / lnq)
-    hi = math.floor(_MAX_EXPONENT / lnq)
-    return lo, hi
-
-
-def _epoch_for(spans, preferred: int | None = None) -> int | None:
-    bounds = [_epoch_bounds(s) for s in spans]
-    lo = max(b[0] for b in bounds)
-    hi = min(b[1] for b in bounds)
-    if preferred is not None and lo <= preferred <= hi:
-        return preferred
-    e = -(-lo // _EPOCH_GRAIN) * _EPOCH_GRAIN
-    return e if e <= hi else None
-
-
-def _group_spans(spans, preferred=None):
-    """Greedy grouping of spans that can share one epoch size."""
-    groups = []
-    for s in sorted(set(spans)):
-        for g in groups:
-            e = _epoch_for(g["spans"] + [s], preferred)
-            if e is not None:
-                g["spans"].append(s)
-                g["epoch"] = e
-                break
-        else:
-            groups.append({"spans": [s], "epoch": _epoch_for([s], preferred)})
-    return groups
-
-
-EWM_INDEX = "__ewm_i"
-
-
-def ewm_means(df: DataFrame, specs, keys=("symbol",), order: str = "date",
-              index_col: str | None = None, epoch_hint: int | None = None) -> DataFrame:
-    """Add one exponential-mean column per ``(source, span, out)`` spec.
-
-    All sources in one call must share the same null pattern (they derive
-    from one base column); null rows get a NULL result and do not break the
-    recurrence (V15: the mean runs over the non-null values). ``index_col``
-    names an ordinal column from an earlier call with the same null pattern
-    (chained means, such as MACD's signal, reuse it).
+# Spark has no recursive window function. Within a block, with r the number
+# of the value in the block (from 0) and w = 1 for the seed, a otherwise,
+#   R = running sum of w x q^-r,      e = q^r R + q^(r+1) P,
+# where P is the mean at the end of the block before. With M the values up to
+# the end of a block and S = q^(m-1) R at its end (m values in the block),
+#   P = sum over earlier blocks j of S_j q^(M_before - M_j):
+# a frame over one row per block, as far back as q^distance times the largest
+# double is not zero. Nothing older can be told from zero in double precision,
+# so the recurrence is kept down to underflow, over any number of blocks.
+
+_REACH = math.log(sys.float_info.max) - math.log(5e-324)
+
+
+def _reach(span: int) -> int:
+    """Values after which even the largest double has decayed to zero."""
+    return math.ceil(_REACH / -math.log(1.0 - 2.0 / (span + 1.0)))
+
+
+def ewm_means(df: DataFrame, specs, keys=("symbol",)) -> DataFrame:
+    """Add one exponential-mean column per ``(source, span, out)`` spec to
+    a frame with the marks of ``in_blocks`` or ``in_one_pass``.
+
+    All sources must share the null pattern of the marked column; null rows get
+    a NULL result and do not break the recurrence (V15: the mean runs over the
+    non-null values). NaN and overflow stay with all later values, as in the
+    recurrence.
     """
-    specs = list(specs)
-    if not specs:
-        return df
+    keys, specs = _list(keys), list(specs)
     for _, span, _ in specs:
         if span < 1:
             raise ValueError("span must be >= 1")
-    if index_col is None:
-        index_col = EWM_INDEX
-        w_run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn(index_col, F.count(specs[0][0]).over(w_run) - F.lit(1))
-    i = F.col(index_col)
-    final = {}
     smooth = [s for s in specs if s[1] > 1]
-    for src, span, out in specs:
-        if span == 1:  # a = 1: the mean is the value itself
-            final[out] = F.col(src)
-    temp = []
-    for g in _group_spans([s[1] for s in smooth], epoch_hint):
-        E = g["epoch"]
-        ep_c = f"__ewm_ep{E}"
-        if ep_c not in df.columns:  # kept until drop_index: chained calls reuse its sort
-            df = df.withColumn(ep_c, F.floor(i / F.lit(E)))
-        ep = F.col(ep_c)
-        r = i - ep * F.lit(E)
-        w_epoch = (Window.partitionBy(*keys, ep_c).orderBy(order)
-                   .rowsBetween(Window.unboundedPreceding, 0))
-        w_prev = (Window.partitionBy(*keys).orderBy(ep_c, order)
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        members = [s for s in smooth if s[1] in g["spans"]]
-        running, carried = {}, {}
-        for src, span, out in members:
-            a = 2.0 / (span + 1.0)
-            q = 1.0 - a
-            x = F.col(src)
-            weight = F.when(i == 0, F.lit(1.0)).otherwise(F.lit(a))
-            term = F.when(x.isNotNull(), weight * x * F.pow(F.lit(q), -r))
-            run_c, prev_c = f"__{out}_run", f"__{out}_prev"
-            running[run_c] = F.sum(term).over(w_epoch)
-            end = (r == E - 1) & x.isNotNull()
-            carried[prev_c] = F.last(F.when(end, F.col(run_c)), ignorenulls=True).over(w_prev)
-            final[out] = F.when(
-                x.isNotNull(),
-                F.pow(F.lit(q), r) * F.col(run_c)
-                + F.pow(F.lit(q), r + F.lit(E)) * F.coalesce(F.col(prev_c), F.lit(0.0)))
-            temp += [run_c, prev_c]
-        df = df.withColumns(running).withColumns(carried)
+    final = {out: F.when(~F.col(HALO), F.col(src)) for src, span, out in specs if span == 1}  # a = 1: the value itself
+    if not smooth:
+        return df.withColumns(final)
+    running = block_window(keys).rowsBetween(Window.unboundedPreceding, 0)
+    here = F.col(smooth[0][0]).isNotNull() & ~F.col(HALO)
+    df = df.withColumn("__r", F.count(F.when(here, 1)).over(running) - 1)
+    r = F.col("__r")
+    terms = {}
+    for src, span, out in smooth:
+        a = 2.0 / (span + 1.0)
+        weight = F.when(F.col(SEEN) == 1, F.lit(1.0)).otherwise(F.lit(a))
+        terms[f"__{out}_t"] = F.when(here, weight * F.col(src) * F.pow(F.lit(1.0 - a), -r))
+    df = df.withColumns(terms)
+    ends = df.where(here).groupBy(*keys, BLOCK).agg(
+        F.max(SEEN).alias("__upto"), F.count(F.lit(1)).alias("__c"), *[F.sum(f"__{out}_t").alias(f"__{out}_s") for _, _, out in smooth])
+    carried, sticky = {}, {}
+    for _, span, out in smooth:
+        q = 1.0 - 2.0 / (span + 1.0)
+        s = F.pow(F.lit(q), F.col("__c") - 1) * F.col(f"__{out}_s")
+        # Frames look at the values seen before this block (__B): by distance, whatever the blocks hold.
+        near = Window.partitionBy(*keys).orderBy("__upto").rangeBetween(-(_reach(span) + BLOCK_ROWS), -1)
+        ahead = Window.partitionBy(*keys).orderBy("__upto").rowsBetween(Window.unboundedPreceding, -1)
+        carried[f"__{out}_l"] = F.collect_list(F.struct(F.col("__upto").alias("M"), s.alias("s"))).over(near)
+        sticky[f"__{out}_v"] = F.sum(F.when(F.isnan(s) | (F.abs(s) == float("inf")), s)).over(ahead)
+    ends = ends.withColumns({**carried, **sticky}).withColumn("__B", F.col("__upto") - F.col("__c"))
+    previous = {}
+    for _, span, out in smooth:
+        q = F.lit(1.0 - 2.0 / (span + 1.0))
+        # Horner over the blocks, oldest first: P = (..(s1 q^(M2-M1) + s2) q^(M3-M2) ..) with the last step to __B.
+        total = F.aggregate(f"__{out}_l", F.struct(F.lit(0).cast("long").alias("M"), F.lit(0.0).alias("s")),
+                            lambda acc, e: F.struct(e["M"].alias("M"), (acc["s"] * F.pow(q, e["M"] - acc["M"]) + e["s"]).alias("s")))
+        previous[f"__{out}_p"] = F.coalesce(f"__{out}_v", total["s"])
+    ends = ends.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate([*keys, BLOCK])], *[v.alias(n) for n, v in previous.items()])
+    on = reduce(lambda x, y: x & y, [df[k].eqNullSafe(ends[f"__k{j}"]) for j, k in enumerate([*keys, BLOCK])])
+    df = df.join(ends, on, "left").drop(*[f"__k{j}" for j in range(len(keys) + 1)])
+    for src, span, out in smooth:
+        q = F.lit(1.0 - 2.0 / (span + 1.0))
+        run = F.sum(f"__{out}_t").over(running)
+        first = F.col(SEEN) == r + 1  # no value before this block
+        before = F.when(first, F.lit(0.0)).otherwise(F.pow(q, r + 1) * F.col(f"__{out}_p"))
+        final[out] = F.when(here, F.pow(q, r) * run + before)
     df = df.withColumns(final)
-    return df.drop(*temp)
-
-
-def ewm_epoch(spans) -> int | None:
-    """The epoch size a set of spans would share (to pass as a hint)."""
-    g = _group_spans([s for s in spans if s > 1])
-    return g[0]["epoch"] if len(g) == 1 else None
-
-
-def drop_index(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c == EWM_INDEX or c.startswith("__ewm_ep")])
+    return df.drop("__r", *terms, *[f"__{out}_p" for _, _, out in smooth])

@@ -3,8 +3,10 @@
 Each function takes a bars-shaped DataFrame that is *already* restricted to
 the requested symbols and dates (V1: the range filter comes first; see
 ``tickwise.operators.series.series``) and returns it with the indicator
-columns added, for every series at once. Nothing is collected; the plan is
-``Window(Sort(Exchange(keys)))`` over the scan.
+columns added, for every series at once. Nothing is collected. Long series are
+cut into blocks with a halo (``kernels.in_blocks``), so a symbol spreads over
+as many tasks as it has blocks; ``whole=True`` keeps each series in one task,
+for series of bounded length.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import (EWM_INDEX, drop_index, ewm_epoch, ewm_means, first_difference,
-                                 gain, loss, rolling_mean, rolling_std, series_window, trailing)
+from ..functions import kernels as K
+from ..functions.kernels import first_difference, gain, loss, rolling_mean, rolling_std, trailing
 from ..schema import require_columns
 
 # Defaults and bounds of the live endpoints.
@@ -26,23 +28,30 @@ DEFAULTS = {
 }
 
 
-def sma(df: DataFrame, window: int = 20, keys=("symbol",), order: str = "date",
-        col: str = "close", out: str = "sma") -> DataFrame:
-    """Simple moving average over the last ``window`` rows (min 1)."""
+def _marked(df: DataFrame, col: str, keys, order, halo: int, whole: bool) -> DataFrame:
     require_columns(df, col)
-    return df.withColumn(out, rolling_mean(col, window, series_window(keys, order)))
+    return K.in_one_pass(df, col, keys, order) if whole else K.in_blocks(df, col, keys, order, halo)
+
+
+def _window(keys, order, whole: bool):
+    return K.series_window(keys, K.POSITION) if whole else K.block_window(keys)
+
+
+def sma(df: DataFrame, window: int = 20, keys=("symbol",), order="date",
+        col: str = "close", out: str = "sma", whole: bool = False) -> DataFrame:
+    """Simple moving average over the last ``window`` rows (min 1)."""
+    df = _marked(df, col, keys, order, window - 1, whole)
+    return K.out_of_blocks(df.withColumn(out, rolling_mean(col, window, _window(keys, order, whole))))
 
 
-def ema(df: DataFrame, window: int = 20, keys=("symbol",), order: str = "date",
-        col: str = "close", out: str = "ema") -> DataFrame:
+def ema(df: DataFrame, window: int = 20, keys=("symbol",), order="date",
+        col: str = "close", out: str = "ema", whole: bool = False) -> DataFrame:
     """Exponential mean, alpha = 2/(window+1), seeded by the first value."""
-    require_columns(df, col)
-    return drop_index(ewm_means(df, [(col, window, out)], keys, order))
+    df = _marked(df, col, keys, order, 0, whole)
+    return K.out_of_blocks(K.ewm_means(df, [(col, window, out)], keys))
 
 
-def _rsi_columns(df: DataFrame, period: int, keys, order, col: str, out: str,
-                 diff_col: str = "__diff") -> DataFrame:
-    w = series_window(keys, order)
+def _rsi_columns(df: DataFrame, period: int, w, col: str, out: str, diff_col: str = "__diff") -> DataFrame:
     df = df.withColumn(diff_col, first_difference(col, w))
     ag = F.avg(gain(F.col(diff_col))).over(trailing(w, period))
     al = F.avg(loss(F.col(diff_col))).over(trailing(w, period))
@@ -55,72 +64,69 @@ def _rsi_columns(df: DataFrame, period: int, keys, order, col: str, out: str,
     return df.withColumn(out, value).drop(diff_col, "__avg_gain", "__avg_loss")
 
 
-def rsi(df: DataFrame, period: int = 14, keys=("symbol",), order: str = "date",
-        col: str = "close", out: str = "rsi") -> DataFrame:
+def rsi(df: DataFrame, period: int = 14, keys=("symbol",), order="date",
+        col: str = "close", out: str = "rsi", whole: bool = False) -> DataFrame:
     """RSI from *simple* rolling means of gains and losses (V7, V8)."""
-    require_columns(df, col)
-    return _rsi_columns(df, period, keys, order, col, out)
+    df = _marked(df, col, keys, order, period, whole)  # a row more: the oldest difference needs it
+    return K.out_of_blocks(_rsi_columns(df, period, _window(keys, order, whole), col, out))
 
 
 def macd(df: DataFrame, fast_period: int = 12, slow_period: int = 26, signal_period: int = 9,
-         keys=("symbol",), order: str = "date", col: str = "close",
-         out=("macd", "signal", "histogram")) -> DataFrame:
+         keys=("symbol",), order="date", col: str = "close",
+         out=("macd", "signal", "histogram"), whole: bool = False) -> DataFrame:
     """MACD line, signal (EMA of the line, V6) and histogram.
 
-    Fast and slow means share one epoch scan; the signal reuses its index and sort.
+    Fast and slow means share one pass; the signal reuses its blocks.
     ``fast < slow`` is not required.
     """
-    require_columns(df, col)
     m, s, h = out
-    df = ewm_means(df, [(col, fast_period, "__fast"), (col, slow_period, "__slow")], keys, order)
+    df = _marked(df, col, keys, order, 0, whole)
+    df = K.ewm_means(df, [(col, fast_period, "__fast"), (col, slow_period, "__slow")], keys)
     df = df.withColumn(m, F.col("__fast") - F.col("__slow"))
-    df = ewm_means(df, [(m, signal_period, s)], keys, order, index_col=EWM_INDEX,
-                   epoch_hint=ewm_epoch([fast_period, slow_period]))
-    df = df.withColumn(h, F.col(m) - F.col(s))
-    return drop_index(df.drop("__fast", "__slow"))
+    df = K.ewm_means(df, [(m, signal_period, s)], keys)
+    return K.out_of_blocks(df.withColumn(h, F.col(m) - F.col(s)).drop("__fast", "__slow"))
 
 
-def bollinger(df: DataFrame, period: int = 20, std_dev: float = 2.0, keys=("symbol",),
-              order: str = "date", col: str = "close",
-              out=("upper", "middle", "lower")) -> DataFrame:
-    """middle = SMA, bands = middle +- k * sample deviation."""
-    require_columns(df, col)
+def bollinger(df: DataFrame, period: int = 20, std_dev: float | str = 2.0, keys=("symbol",),
+              order="date", col: str = "close",
+              out=("upper", "middle", "lower"), whole: bool = False) -> DataFrame:
+    """middle = SMA, bands = middle +- k * sample deviation (V10, V11);
+    ``std_dev`` may name a column that holds k."""
     up, mid, low = out
-    w = series_window(keys, order)
+    df = _marked(df, col, keys, order, period - 1, whole)
+    w = _window(keys, order, whole)
     df = df.withColumns({mid: rolling_mean(col, period, w), "__sd": rolling_std(col, period, w)})
-    k = F.lit(float(std_dev))
-    return (df.withColumns({up: F.col(mid) + F.col("__sd") * k,
-                            low: F.col(mid) - F.col("__sd") * k})
-              .drop("__sd"))
+    k = F.col(std_dev) if isinstance(std_dev, str) else F.lit(float(std_dev))
+    return K.out_of_blocks(df.withColumns({up: F.col(mid) + F.col("__sd") * k,
+                                           low: F.col(mid) - F.col("__sd") * k}).drop("__sd"))
 
 
 def suite(df: DataFrame, sma_window: int = 20, ema_window: int = 20, rsi_period: int = 14,
           macd_periods=(12, 26, 9), bb_period: int = 20, bb_std: float = 2.0,
-          keys=("symbol",), order: str = "date", col: str = "close") -> DataFrame:
+          keys=("symbol",), order="date", col: str = "close", whole: bool = False) -> DataFrame:
     """All five indicators over all series in one plan.
 
-    Every window shares the ``keys`` partitioning: one Exchange for the whole
-    suite, one sort for the row frames, one more for the exponential means.
+    Every window shares the partitioning by block; the means of equal windows
+    are one column (V11).
     """
-    require_columns(df, col)
     fast, slow, sig = macd_periods
-    w = series_window(keys, order)
-    df = df.withColumns({
-        "sma": rolling_mean(col, sma_window, w),
-        "bb_middle": rolling_mean(col, bb_period, w),
-        "__sd": rolling_std(col, bb_period, w),
-    })
+    df = _marked(df, col, keys, order, max(sma_window - 1, bb_period - 1, rsi_period), whole)
+    w = _window(keys, order, whole)
+    rolled = {"sma": rolling_mean(col, sma_window, w), "__sd": rolling_std(col, bb_period, w)}
+    if bb_period != sma_window:
+        rolled["bb_middle"] = rolling_mean(col, bb_period, w)
+    df = df.withColumns(rolled)
+    if bb_period == sma_window:
+        df = df.withColumn("bb_middle", F.col("sma"))
     k = F.lit(float(bb_std))
     df = df.withColumns({"bb_upper": F.col("bb_middle") + F.col("__sd") * k,
                          "bb_lower": F.col("bb_middle") - F.col("__sd") * k}).drop("__sd")
-    df = _rsi_columns(df, rsi_period, keys, order, col, "rsi")
-    df = ewm_means(df, [(col, ema_window, "ema"), (col, fast, "__fast"), (col, slow, "__slow")],
-                   keys, order)
+    df = _rsi_columns(df, rsi_period, w, col, "rsi")
+    df = K.ewm_means(df, [(col, ema_window, "ema"), (col, fast, "__fast"), (col, slow, "__slow")], keys)
     df = df.withColumn("macd", F.col("__fast") - F.col("__slow"))
-    df = ewm_means(df, [("macd", sig, "macd_signal")], keys, order, index_col=EWM_INDEX,
-                   epoch_hint=ewm_epoch([ema_window, fast, slow]))
+    df = K.ewm_means(df, [("macd", sig, "macd_signal")], keys)
     df = df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
-    return drop_index(df.drop("__fast", "__slow"))
+    return K.out_of_blocks(df.drop("__fast", "__slow"))
 
 
 SUITE_COLUMNS = ("sma", "ema", "rsi", "macd", "macd_signal", "macd_histogram",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import series_window
+from ..functions import kernels as K
 
 
 def warmup_rows(indicator: str, params: dict) -> int:
@@ -27,12 +27,13 @@ def warmup_rows(indicator: str, params: dict) -> int:
     raise ValueError(f"unknown indicator {indicator}")
 
 
-def trim_warmup(df: DataFrame, skip: int, keys=("symbol",), order: str = "date") -> DataFrame:
-    """Keep rows whose 0-based position in their series is >= ``skip``."""
+def trim_warmup(df: DataFrame, skip: int, keys=("symbol",), order="date") -> DataFrame:
+    """Keep rows whose 0-based position in their series is >= ``skip``;
+    positions come from counts per (series, year), see ``kernels.in_blocks``."""
     if skip <= 0:
         return df
-    pos = F.row_number().over(series_window(keys, order))
-    return df.withColumn("__pos", pos).where(F.col("__pos") > skip).drop("__pos")
+    marked = K.in_blocks(df.withColumn("__one", F.lit(1)), "__one", keys, order)
+    return K.out_of_blocks(marked.where(F.col(K.POSITION) >= skip)).drop("__one")
 
 
 def fill_missing(df: DataFrame, columns, value: float = 0.0) -> DataFrame:
@@ -49,28 +50,22 @@ def to_long(df: DataFrame, value_columns, ids=("symbol", "date"),
     return df.unpivot(list(ids), list(value_columns), name, value)
 
 
-def documents(df: DataFrame, keys, point_columns, header: dict | None = None,
-              order: str = "date") -> DataFrame:
-    """One response document per series: header fields, ``data_points``
-    and the date-ordered list of points.
+def documents(points: DataFrame, point_columns, order: str = "date") -> DataFrame:
+    """One response document per request: symbol, indicator, parameters
+    (numbers by name), ``data_points``, the clamped range and the ordered
+    points.
 
-    A document is as long as one series, which is bounded by the requested
-    calendar range (one bar per symbol and day), so collecting its points is
-    safe; the aggregation itself is a normal shuffle on ``keys``.
+    ``points`` has the header columns (request_id, symbol, indicator,
+    parameters, start_date, end_date) on every row. A document is as long as
+    one request's range, which is bounded by its calendar days, so collecting
+    its points is safe; the aggregation itself is a normal shuffle.
     """
     point = F.struct(F.col(order).alias("date"), *[F.col(c) for c in point_columns])
-    agg = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("data_points"),
-        F.min(order).alias("first_date"),
-        F.max(order).alias("last_date"),
-        F.sort_array(F.collect_list(point)).alias("data"),
-    )
-    for k, v in (header or {}).items():
-        agg = agg.withColumn(k, v if isinstance(v, F.Column) else F.lit(v))
-    return agg
+    return points.groupBy("request_id", "symbol", "indicator", "parameters", "start_date", "end_date").agg(
+        F.count(F.lit(1)).alias("data_points"), F.sort_array(F.collect_list(point)).alias("data"))
 
 
 def documents_json(docs: DataFrame) -> DataFrame:
     """Text form of the documents (dates ISO, NULL values kept as null)."""
-    return docs.select(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
-                       .alias("document"))
+    head = ["symbol", "indicator", "parameters", "data_points", "start_date", "end_date", "data"]
+    return docs.select("request_id", F.to_json(F.struct(*head), {"ignoreNullFields": "false"}).alias("document"))
