@@ -2,7 +2,7 @@
 
 The tier table has a handful of fixed rows, so lookups are literal-map
 expressions evaluated inside whole-stage codegen: no join, no broadcast,
-no shuffle. ``policy_frame`` exposes the same rows as a DataFrame.
+no shuffle.
 
 Unknown tiers fall back to the free row everywhere (the reference gives
 them four different meanings; SURVEY §7.4 records the decision).
@@ -12,11 +12,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import TIER_POLICY
-
 
 @dataclass(frozen=True)
 class Tier:
@@ -46,7 +44,8 @@ FALLBACK_TIER = "free"
 # Minimum tier per indicator (rank gate of the live router).
 REQUIRED_TIER = {"sma": "free", "ema": "free", "rsi": "pro", "macd": "pro", "bollinger": "premium"}
 
-# Parameter bounds of the live endpoints (lo, hi, integer?).
+# Parameter bounds of the live endpoints (lo, hi, integer?). The
+# functions below take other bounds or policies as arguments.
 PARAM_BOUNDS = {
     ("sma", "window"): (1, 200, True),
     ("ema", "window"): (1, 200, True),
@@ -59,15 +58,11 @@ PARAM_BOUNDS = {
 }
 
 
-def policy_frame(spark: SparkSession, policy=DEFAULT_POLICY) -> DataFrame:
-    """O33 as a table."""
-    rows = [(t.name, t.rank, t.requests_per_day, t.data_limit_days, list(t.allowed))
-            for t in policy]
-    return spark.createDataFrame(rows, TIER_POLICY)
-
-
-def max_daily_limit(policy=DEFAULT_POLICY) -> int:
-    return max(t.requests_per_day for t in policy if t.requests_per_day is not None)
+# The alternate endpoints' bounds, where they differ.
+ALTERNATE_BOUNDS = PARAM_BOUNDS | {
+    ("macd", "fast_period"): (1, 50, True),
+    ("macd", "signal_period"): (1, 50, True),
+}
 
 
 def _struct(t: Tier) -> Column:
@@ -142,15 +137,15 @@ def reject_range(start: Column, end: Column, limit_days: Column, as_of) -> Colum
             .otherwise(F.lit(200)))
 
 
-def params_within_bounds(indicator: Column, params: Column) -> Column:
+def params_within_bounds(indicator: Column, params: Column, bounds=PARAM_BOUNDS) -> Column:
     """Every known parameter parses and lies within its bounds; a
     missing parameter takes its (valid) default. Unknown names are ignored,
     as query strings ignore unknown arguments."""
-    lo_map = F.create_map(*[x for (i, p), (lo, hi, _) in PARAM_BOUNDS.items()
+    lo_map = F.create_map(*[x for (i, p), (lo, hi, _) in bounds.items()
                             for x in (F.lit(f"{i}.{p}"), F.lit(float(lo)))])
-    hi_map = F.create_map(*[x for (i, p), (lo, hi, _) in PARAM_BOUNDS.items()
+    hi_map = F.create_map(*[x for (i, p), (lo, hi, _) in bounds.items()
                             for x in (F.lit(f"{i}.{p}"), F.lit(float(hi)))])
-    int_map = F.create_map(*[x for (i, p), (_, _, is_int) in PARAM_BOUNDS.items()
+    int_map = F.create_map(*[x for (i, p), (_, _, is_int) in bounds.items()
                              for x in (F.lit(f"{i}.{p}"), F.lit(is_int))])
     ind = F.lower(indicator)
 

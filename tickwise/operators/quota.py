@@ -7,49 +7,43 @@ rejected requests consume nothing, so "allowed" is exactly "among the first
 report ``used = 0``.
 
 Scale: one user-day may hold a large share of all requests. The decision is
-therefore a top-k: ``row_number() <= literal`` lets Spark insert a partial
-WindowGroupLimit *before* the shuffle, so at most ``max_limit`` rows per
-user-day and map task cross the network; the winners are joined back on the
-unique ``request_id`` (uniformly distributed). Counts per user-day are plain
-partial aggregates.
+therefore a ranking in two steps (``skew.first_n``), each cut by the row's own
+limit; the winners are joined back on the unique ``request_id``. Counts per
+user-day are plain partial aggregates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .policy import DEFAULT_POLICY, max_daily_limit, tier_limits
+from .policy import DEFAULT_POLICY, tier_limits
+from .skew import first_n
 
 
 def day_of(ts: Column) -> Column:
-    return F.to_date(ts)
+    """The UTC calendar day of a timestamp, whatever the session's zone."""
+    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
 
 
 def with_daily_limit(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLICY,
                      user_col: str = "user_id") -> DataFrame:
     """Attach the requesting user's tier and daily limit (users is joined on
-    its unique id; requests keep their partitioning if users is small)."""
+    its unique id; a hot user's side can be split at run time)."""
     u = users.select(F.col("id").alias(user_col), F.col("tier"))
     out = requests.join(u, user_col, "left")
     return out.withColumn("daily_limit", tier_limits(F.col("tier"), policy)["requests_per_day"])
 
 
-def quota_decision(requests: DataFrame, policy=DEFAULT_POLICY, limit_col: str = "daily_limit",
+def quota_decision(requests: DataFrame, limit_col: str = "daily_limit",
                    user_col: str = "user_id", ts_col: str = "ts",
                    id_col: str = "request_id") -> DataFrame:
     """O40 + O41 per request: allowed, used (count before the check),
     remaining (before the check, as the limiter reports it) and the reset
     date (next midnight) for blocked requests."""
     req = requests.withColumn("day", day_of(F.col(ts_col)))
-    kmax = max_daily_limit(policy)
-    w = Window.partitionBy(user_col, "day").orderBy(ts_col, id_col)
-    winners = (req.where(F.col(limit_col).isNotNull())
-                  .select(user_col, "day", ts_col, id_col, limit_col)
-                  .withColumn("__rank", F.row_number().over(w))
-                  .where(F.col("__rank") <= F.lit(kmax))
-                  .where(F.col("__rank") <= F.col(limit_col))
-                  .select(F.col(id_col), F.col("__rank")))
+    limited = req.where(F.col(limit_col).isNotNull()).select(user_col, "day", ts_col, id_col, limit_col)
+    winners = first_n(limited, [user_col, "day"], [ts_col, id_col], limit_col, id_col).select(id_col, "__rank")
     out = req.join(winners, id_col, "left")
     limit = F.col(limit_col)
     unlimited = limit.isNull()
@@ -74,14 +68,17 @@ def daily_counts(requests: DataFrame, user_col: str = "user_id", ts_col: str = "
                          F.min(ts_col).alias("first_ts")))
 
 
+def with_user_limit(counts: DataFrame, users: DataFrame, policy=DEFAULT_POLICY, user_col: str = "user_id") -> DataFrame:
+    u = users.select(F.col("id").alias(user_col), "tier")
+    return counts.join(u, user_col, "left").withColumn("daily_limit", tier_limits(F.col("tier"), policy)["requests_per_day"])
+
+
 def quota_usage(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLICY,
                 user_col: str = "user_id", ts_col: str = "ts") -> DataFrame:
     """O42 per user and day: tier, limit, used (allowed requests; 0 for
     unlimited tiers), remaining, and the reset date when the day is used up."""
-    counts = daily_counts(requests, user_col, ts_col)
-    u = users.select(F.col("id").alias(user_col), "tier")
-    out = counts.join(u, user_col, "left")
-    limit = tier_limits(F.col("tier"), policy)["requests_per_day"]
+    out = with_user_limit(daily_counts(requests, user_col, ts_col), users, policy, user_col)
+    limit = F.col("daily_limit")
     used = F.when(limit.isNull(), F.lit(0)).otherwise(F.least(F.col("requests").cast("int"), limit))
     return out.select(
         user_col, "day", "tier",
@@ -92,8 +89,21 @@ def quota_usage(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLICY,
     )
 
 
-def quota_retention(counters: DataFrame, as_of, hours: int = 24,
-                    first_col: str = "first_ts") -> DataFrame:
-    """Keep counters first used within ``hours`` before ``as_of``."""
+def consumed_counters(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLICY,
+                      user_col: str = "user_id", ts_col: str = "ts") -> DataFrame:
+    """The limiter's counters: allowed requests per (user, day) - rejected ones
+    consume nothing, unlimited tiers count all - and the first use. A limit of
+    0 leaves no counter."""
+    out = with_user_limit(daily_counts(requests, user_col, ts_col), users, policy, user_col)
+    used = F.least(F.col("requests"), F.col("daily_limit").cast("long"))  # no limit drops out
+    return out.select(user_col, "day", used.alias("requests"), "first_ts").where(F.col("requests") > 0)
+
+
+def quota_retention(requests: DataFrame, users: DataFrame, as_of, hours: int = 24, policy=DEFAULT_POLICY,
+                    user_col: str = "user_id", ts_col: str = "ts") -> DataFrame:
+    """Counters first used within ``hours`` before ``as_of``. A counter's
+    day is never before its first use's, so older days are left out at the scan."""
     cutoff = F.lit(as_of).cast("timestamp") - F.make_interval(hours=F.lit(hours))
-    return counters.where(F.col(first_col) >= cutoff)
+    midnight = F.date_trunc("day", cutoff)
+    recent = requests.where(F.col(ts_col) >= midnight)
+    return consumed_counters(recent, users, policy, user_col, ts_col).where(F.col("first_ts") >= cutoff)

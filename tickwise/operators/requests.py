@@ -2,155 +2,222 @@
 
 ``request_status`` applies the endpoint's gate order to every request at
 once; ``evaluate`` computes each accepted request's points over its *own*
-truncated series (V1), all requests in one job.
+truncated series (V1) with its *own* parameters, all indicators and requests
+in one job.
 
 The request -> bars match is an equi-join on (symbol, year bucket) with the
-inclusive date range as a residual predicate: each request is exploded into
-the few calendar years it spans, each bar carries its own year, so every bar
-in range matches exactly once and no join degenerates into a per-symbol
-nested loop. A hot symbol spreads over its year buckets, and AQE's skew
-split handles a hot (symbol, year) on the request side.
+inclusive date range as a residual predicate: each distinct range is exploded
+into the few calendar years it spans, each bar carries its own year, so every
+bar in range matches exactly once. Equal ranges are matched once, and tables
+of one row per range go back to the requests by ``skew.spread_join``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..operators import indicators as I
-from .policy import (DEFAULT_POLICY, clamp_range, default_range, max_daily_limit,
-                     params_within_bounds, tier_gate, tier_limits)
+from . import identity as ID
+from .policy import DEFAULT_POLICY, PARAM_BOUNDS, REQUIRED_TIER, clamp_range, default_range, indicator_allowed, params_within_bounds, tier_gate, tier_limits
 from .quota import day_of
+from .skew import first_n, spread_join
+
+SHARED_BY = 4096  # requests that read one copy of a range's points
 
 
 def range_join(requests: DataFrame, bars: DataFrame, start_col: str = "start_date",
                end_col: str = "end_date", symbol_col: str = "symbol") -> DataFrame:
-    """Every (request, bar) with the bar's date inside the request's range."""
-    s, e = F.col(start_col), F.col(end_col)
-    r = (requests.where(s <= e)
-                 .withColumn("__bucket", F.explode(F.sequence(F.year(s), F.year(e)))))
+    """Every (request, bar) with the bar's date inside the request's range; an
+    open end (NULL) reaches to the first or last bar."""
+    first, last = data_range(bars)
+    s, e = F.coalesce(F.col(start_col), first), F.coalesce(F.col(end_col), last)
+    r = requests.withColumns({"__s": s, "__e": e})
+    s, e = F.col("__s"), F.col("__e")
+    r = r.where(s <= e).withColumn("__bucket", F.explode(F.sequence(F.year(s), F.year(e))))
     b = bars.withColumnRenamed(symbol_col, "__bar_symbol").withColumn("__bucket", F.year("date"))
     joined = r.join(b, (r[symbol_col] == b["__bar_symbol"]) & (r["__bucket"] == b["__bucket"]))
     return (joined.where((F.col("date") >= s) & (F.col("date") <= e))
-                  .drop("__bucket", "__bar_symbol"))
+                  .drop("__bucket", "__bar_symbol", "__s", "__e"))
 
 
 def data_range(bars: DataFrame):
-    """Global first and last bar date as scalar subqueries (evaluated once,
-    no join)."""
-    return (bars.select(F.min("date")).scalar(), bars.select(F.max("date")).scalar())
+    """Global first and last bar date, from one scalar subquery."""
+    ends = bars.agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last")).alias("r")).scalar()
+    return ends["first"], ends["last"]
+
+
+def identified(requests: DataFrame, users: DataFrame, api_keys: DataFrame | None = None) -> DataFrame:
+    """Requests with the user that they act for (an API key decides, if one is
+    presented), the tier, and whether that user is known and active."""
+    r = requests
+    if api_keys is not None and "api_key" in r.columns:
+        key = F.when(ID.key_format_ok(F.col("api_key")), F.col("api_key"))
+        active = api_keys.where(F.col("is_active")).select(F.col("key").alias("__key"), F.col("user_id").alias("__key_user"))
+        r = (r.withColumn("__key", key).join(active, "__key", "left")
+             .withColumn("user_id", F.when(F.col("api_key").isNull(), F.col("user_id")).otherwise(F.col("__key_user"))).drop("__key", "__key_user"))
+    u = users.select(F.col("id").alias("user_id"), F.col("is_active").alias("__active"), "tier")
+    return r.join(u, "user_id", "left").withColumn("__identity", F.coalesce("__active", F.lit(False))).drop("__active")
+
+
+def _points(ranges: DataFrame, bars: DataFrame) -> DataFrame:
+    """Bars within each (symbol, eff_start, eff_end): whole months by their
+    counts, the months at both ends by their days."""
+    months = (bars.select("symbol", F.date_trunc("month", "date").cast("date").alias("__month"), F.dayofmonth("date").alias("d"))
+              .groupBy("symbol", "__month", "d").agg(F.count(F.lit(1)).alias("n"))
+              .groupBy("symbol", "__month").agg(F.collect_list(F.struct("d", "n")).alias("__days")))  # 31 at most
+    s, e = F.col("eff_start"), F.col("eff_end")
+    spread = ranges.where(s <= e).withColumn("__month", F.explode(F.sequence(F.trunc(s, "month"), F.trunc(e, "month"), F.expr("interval 1 month"))))
+    low = F.when(F.col("__month") == F.trunc(s, "month"), F.dayofmonth(s)).otherwise(1)
+    high = F.when(F.col("__month") == F.trunc(e, "month"), F.dayofmonth(e)).otherwise(31)
+    met = spread.withColumns({"__low": low, "__high": high}).join(months, ["symbol", "__month"])
+    inside = F.aggregate(F.filter("__days", lambda x: x["d"].between(F.col("__low"), F.col("__high"))), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return met.groupBy("symbol", "eff_start", "eff_end").agg(F.sum(inside).alias("points"))
 
 
 def request_status(requests: DataFrame, users: DataFrame, bars: DataFrame, as_of,
-                   policy=DEFAULT_POLICY, default_days: int = 365) -> DataFrame:
-    """Identity 401 -> tier 403 -> bounds 422 -> quota 429 (consuming)
-    -> range clamp -> unknown symbol 404 -> empty range 404 -> 200.
+                   policy=DEFAULT_POLICY, default_days: int = 365, api_keys: DataFrame | None = None,
+                   bounds=PARAM_BOUNDS) -> DataFrame:
+    """Unknown indicator 404 -> identity 401 -> tier 403 -> bounds 422 ->
+    quota 429 (consuming) -> range clamp -> unknown symbol 404 -> empty range
+    404 -> 200.
 
     Only requests that pass identity, tier and bounds take part in the
     quota ranking, as only they reach the limiter.
     """
-    u = users.select(F.col("id").alias("user_id"), F.col("is_active").alias("__user_active"),
-                     F.col("tier"))
-    r = requests.join(u, "user_id", "left")
+    r = identified(requests, users, api_keys)
     lim = tier_limits(F.col("tier"), policy)
-    r = r.withColumns({
-        "__identity": F.coalesce(F.col("__user_active"), F.lit(False)),
-        "__tier_ok": tier_gate(F.col("tier"), F.col("indicator"), policy),
-        "__bounds_ok": params_within_bounds(F.col("indicator"), F.col("params")),
-        "daily_limit": lim["requests_per_day"],
-        "__limit_days": lim["data_limit_days"],
-    })
-    eligible = F.col("__identity") & F.col("__tier_ok") & F.col("__bounds_ok")
-
-    # Quota: top-k per user-day among eligible requests (see operators.quota).
-    w = Window.partitionBy("user_id", "__day").orderBy("ts", "request_id")
-    winners = (r.where(eligible & F.col("daily_limit").isNotNull())
-                .select("request_id", "user_id", "ts", "daily_limit",
-                        day_of(F.col("ts")).alias("__day"))
-                .withColumn("__rank", F.row_number().over(w))
-                .where(F.col("__rank") <= F.lit(max_daily_limit(policy)))
-                .where(F.col("__rank") <= F.col("daily_limit"))
-                .select("request_id", F.lit(True).alias("__quota_ok")))
-    r = r.join(winners, "request_id", "left")
-    quota_ok = F.col("daily_limit").isNull() | F.col("__quota_ok").isNotNull()
-
+    known_indicator = F.coalesce(F.lower("indicator").isin(*REQUIRED_TIER), F.lit(False))
+    gate = (F.when(~known_indicator, F.lit("unknown_indicator"))
+            .when(~F.col("__identity"), F.lit("unauthenticated"))
+            .when(~(tier_gate(F.col("tier"), F.col("indicator"), policy) & indicator_allowed(F.col("tier"), F.col("indicator"), policy)), F.lit("tier"))
+            .when(~params_within_bounds(F.col("indicator"), F.col("params"), bounds), F.lit("bounds")))
     d0, d1 = data_range(bars)
     s, e = default_range(F.col("start_date"), F.col("end_date"), as_of, default_days)
-    cs, ce = clamp_range(s, e, F.col("__limit_days"), as_of, d0, d1)
-    r = r.withColumns({"eff_start": cs, "eff_end": ce})
-
-    gate = (F.when(~F.col("__identity"), F.lit(401))
-            .when(~F.col("__tier_ok"), F.lit(403))
-            .when(~F.col("__bounds_ok"), F.lit(422))
-            .when(~quota_ok, F.lit(429)))
-    r = r.withColumn("__gate", gate)
-
-    known = bars.select(F.col("symbol"), F.lit(True).alias("__known")).distinct()
-    r = r.join(known, "symbol", "left")
-    pending = r.where(F.col("__gate").isNull() & F.col("__known").isNotNull())
-    counts = (range_join(pending.select("request_id", "symbol", "eff_start", "eff_end"),
-                         bars.select("symbol", "date"), "eff_start", "eff_end")
-              .groupBy("request_id").agg(F.count(F.lit(1)).alias("points")))
-    r = r.join(counts, "request_id", "left")
-    points = F.coalesce(F.col("points"), F.lit(0))
-    status = (F.when(F.col("__gate").isNotNull(), F.col("__gate"))
-              .when(F.col("__known").isNull(), F.lit(404))
-              .when(points == 0, F.lit(404))
-              .otherwise(F.lit(200)))
-    reason = (F.when(F.col("__gate") == 401, F.lit("unauthenticated"))
-              .when(F.col("__gate") == 403, F.lit("tier"))
-              .when(F.col("__gate") == 422, F.lit("bounds"))
-              .when(F.col("__gate") == 429, F.lit("quota"))
-              .when(F.col("__known").isNull(), F.lit("unknown_symbol"))
-              .when(points == 0, F.lit("empty_range"))
-              .otherwise(F.lit("ok")))
-    return r.select("request_id", "user_id", "symbol", "indicator", "tier",
-                    status.alias("status_code"), reason.alias("reason"),
-                    "eff_start", "eff_end",
-                    F.when(status == 200, points).otherwise(F.lit(0)).alias("points"))
-
-
-def request_points(requests: DataFrame, bars: DataFrame, start_col: str = "start_date",
-                   end_col: str = "end_date") -> DataFrame:
-    """O54 input: each request's own series, (request_id, date, close)."""
-    r = requests.select("request_id", "symbol", start_col, end_col)
-    return (range_join(r, bars.select("symbol", "date", "close"), start_col, end_col)
-            .select("request_id", "date", "close"))
-
-
-def evaluate(requests: DataFrame, bars: DataFrame, indicator: str, params: dict | None = None,
-             start_col: str = "start_date", end_col: str = "end_date") -> DataFrame:
-    """One indicator with one parameter set for a table of requests.
-
-    Identical requests give identical points, so each distinct (symbol,
-    start, end) is evaluated once, with windows partitioned by that range
-    (each range sees only its own rows, V1; a range is bounded by the calendar
-    days it spans). The points are joined back to the requests on the same
-    key: the window output is already partitioned by it, so only the request
-    table moves for the join, and a range requested many times is the case
-    AQE's skew split handles.
+    cs, ce = clamp_range(s, e, lim["data_limit_days"], as_of, d0, d1)
+    r = r.withColumns({"__gate": gate, "daily_limit": lim["requests_per_day"], "eff_start": cs, "eff_end": ce, "__day": day_of(F.col("ts"))})
+
+    contest = r.where(F.col("__gate").isNull() & F.col("daily_limit").isNotNull()).select("request_id", "user_id", "__day", "ts", "daily_limit")
+    winners = first_n(contest, ["user_id", "__day"], ["ts", "request_id"], "daily_limit", "request_id").select("request_id", F.lit(True).alias("__won"))
+    r = r.join(winners, "request_id", "left")
+    r = r.withColumn("__gate", F.coalesce("__gate", F.when(F.col("daily_limit").isNotNull() & F.col("__won").isNull(), F.lit("quota"))))
+
+    known = bars.select("symbol").distinct().withColumn("__known", F.lit(True))
+    r = spread_join(r, known, ["symbol"], "request_id")
+    ranges = r.where(F.col("__gate").isNull() & F.col("__known")).select("symbol", "eff_start", "eff_end").distinct()
+    r = spread_join(r, _points(ranges, bars), ["symbol", "eff_start", "eff_end"], "request_id")
+    points = F.coalesce("points", F.lit(0))
+    reason = F.coalesce("__gate", F.when(F.col("__known").isNull(), F.lit("unknown_symbol")).when(points == 0, F.lit("empty_range")).otherwise(F.lit("ok")))
+    codes = {"unauthenticated": 401, "tier": 403, "bounds": 422, "quota": 429, "ok": 200}
+    status = F.lit(404)
+    for name, code in codes.items():
+        status = F.when(F.col("reason") == name, F.lit(code)).otherwise(status)
+    r = r.withColumn("reason", reason).withColumn("status_code", status)
+    return r.select("request_id", "user_id", "symbol", "indicator", "params", "tier", "status_code", "reason",
+                    "eff_start", "eff_end", F.when(F.col("status_code") == 200, points).otherwise(F.lit(0)).alias("points"))
+
+
+# --- evaluation with each request's own parameters ---------------------------------------
+
+
+def _number(params: Column, names: dict[str, str], default: dict[str, float], indicator: Column, kind: str) -> Column:
+    """The parameter that each indicator takes for a role, or its default."""
+    out = F.lit(None).cast(kind)
+    for ind, name in names.items():
+        out = F.when(indicator == ind, F.coalesce(F.try_element_at(params, F.lit(name)).try_cast(kind), F.lit(default[ind]).cast(kind))).otherwise(out)
+    return out
+
+
+def resolved(requests: DataFrame) -> DataFrame:
+    """Requests with ``indicator`` in lower case and their parameters as
+    columns: __p1 (window, period or fast period), __p2 (slow), __p3 (signal),
+    __k (multiplier); a missing one takes its default."""
+    d = I.DEFAULTS
+    ind, params = F.col("indicator"), F.coalesce("params", F.create_map().cast("map<string,string>"))
+    roles = {"sma": "window", "ema": "window", "rsi": "period", "macd": "fast_period", "bollinger": "period"}
+    r = requests.withColumn("indicator", F.lower("indicator"))
+    return r.withColumns({
+        "__p1": _number(params, roles, {i: d[i][n] for i, n in roles.items()}, ind, "int"),
+        "__p2": _number(params, {"macd": "slow_period"}, {"macd": d["macd"]["slow_period"]}, ind, "int"),
+        "__p3": _number(params, {"macd": "signal_period"}, {"macd": d["macd"]["signal_period"]}, ind, "int"),
+        "__k": _number(params, {"bollinger": "std_dev"}, {"bollinger": d["bollinger"]["std_dev"]}, ind, "double")})
+
+
+def _ewm_own_span(df: DataFrame, src: str, span: str, out: str, keys) -> DataFrame:
+    """Exponential mean whose span is a column, for series marked by
+    ``in_one_pass`` (see kernels: same sums, the earlier blocks of a series as
+    a short list on the row)."""
+    rows = K.series_window(keys, K.POSITION)
+    running = K.block_window(keys).rowsBetween(Window.unboundedPreceding, 0)
+    x, q, r = F.col(src), F.lit(1.0) - F.lit(2.0) / (F.col(span) + F.lit(1.0)), F.col("__r")
+    df = df.withColumns({"__q": F.when(F.col(span).isNotNull(), q), "__r": F.count(src).over(running) - 1})
+    q = F.col("__q")
+    weight = F.when(F.col(K.SEEN) == 1, F.lit(1.0)).otherwise(F.lit(2.0) / (F.col(span) + F.lit(1.0)))
+    df = df.withColumn("__run", F.sum(F.when(q > 0, weight * x * F.pow(q, -r))).over(running))
+    last = F.coalesce(F.lead(K.BLOCK).over(rows) != F.col(K.BLOCK), F.lit(True)) & (r >= 0)
+    df = df.withColumn("__end", F.when(last, F.struct(F.col(K.SEEN).alias("M"), (F.pow(q, r) * F.col("__run")).alias("s"))))
+    df = df.withColumn("__ends", F.collect_list("__end").over(rows.rowsBetween(Window.unboundedPreceding, -1)))
+    before = F.aggregate("__ends", F.struct(F.lit(0).cast("long").alias("M"), F.lit(0.0).alias("s")),
+                         lambda acc, e: F.struct(e["M"].alias("M"), (acc["s"] * F.pow(F.col("__q"), e["M"] - acc["M"]) + e["s"]).alias("s")))["s"]
+    first = F.col(K.SEEN) == r + 1
+    value = F.pow(q, r) * F.col("__run") + F.when(first, F.lit(0.0)).otherwise(F.pow(q, r + 1) * before)
+    return df.withColumn(out, F.when(x.isNotNull(), F.when(q > 0, value).when(q == 0, x))).drop("__q", "__r", "__run", "__end", "__ends")
+
+
+POINTS = ("value", "macd", "signal", "histogram", "upper", "middle", "lower")
+
+
+def evaluate(requests: DataFrame, bars: DataFrame, start_col: str = "start_date", end_col: str = "end_date",
+             bounds=PARAM_BOUNDS) -> DataFrame:
+    """The points of every request: (request_id, date, ``POINTS``); value
+    holds sma, ema and rsi.
+
+    ``requests`` are accepted ones: (request_id, symbol, indicator, params,
+    range). Equal (symbol, range, indicator, parameters) are computed once, in
+    a window of their own (each sees only its own rows, V1; a range is bounded
+    by the calendar days it spans, so the series stay whole); parameters vary
+    by row, so rolling frames are cut from the last rows as an array.
     """
-    p = dict(I.DEFAULTS[indicator.lower()])
-    p.update(params or {})
-    key = ("symbol", start_col, end_col)
-    ranges = requests.select(*key).distinct()
-    # Partition the points by the whole range key: a hot symbol's ranges then
-    # spread over many tasks instead of inheriting the bars' symbol buckets.
-    pts = range_join(ranges, bars.select("symbol", "date", "close"), start_col, end_col)
-    pts = pts.repartition(*key)
-    ind = indicator.lower()
-    if ind == "sma":
-        out = I.sma(pts, int(p["window"]), keys=key)
-    elif ind == "ema":
-        out = I.ema(pts, int(p["window"]), keys=key)
-    elif ind == "rsi":
-        out = I.rsi(pts, int(p["period"]), keys=key)
-    elif ind == "macd":
-        out = I.macd(pts, int(p["fast_period"]), int(p["slow_period"]), int(p["signal_period"]),
-                     keys=key)
-    elif ind == "bollinger":
-        out = I.bollinger(pts, int(p["period"]), float(p["std_dev"]), keys=key)
-    else:
-        raise ValueError(f"unknown indicator {indicator}")
-    reqs = requests.select("request_id", *key)
-    return reqs.join(out, list(key)).drop(*key)
+    ident = ["symbol", start_col, end_col, "indicator", "__p1", "__p2", "__p3", "__k"]
+    r = resolved(requests).withColumn("__key", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ident]), 256))
+    r = r.where(F.col("__p1").isNotNull())
+    asked = (r.groupBy("__key", *ident).agg(F.count(F.lit(1)).alias("__n"))
+             .withColumn("__copies", F.ceil(F.col("__n") / F.lit(SHARED_BY)).cast("int")).drop("__n"))
+    pts = range_join(asked, bars.select("symbol", "date", "close"), start_col, end_col).drop(*ident[:3]).repartition("__key")
+    keys, ind = ("__key",), F.col("indicator")
+    pts = K.in_one_pass(pts, "close", keys)
+    rows = K.series_window(keys, K.POSITION)
+    most = max(hi for (_, name), (_, hi, is_int) in bounds.items() if is_int)
+    pts = pts.withColumn("__diff", F.coalesce(F.col("close") - F.lag("close").over(rows), F.lit(0.0)))
+    recent = F.when(ind.isin("sma", "rsi", "bollinger"), F.struct(F.col("close").alias("c"), F.col("__diff").alias("d")))
+    pts = pts.withColumn("__recent", F.collect_list(recent).over(rows.rowsBetween(-(int(most) - 1), 0)))
+    n = F.size("__recent")
+    pts = pts.withColumn("__recent", F.slice("__recent", F.greatest(n - F.col("__p1") + 1, F.lit(1)), F.greatest(F.coalesce("__p1", F.lit(1)), F.lit(1))))
+
+    def total(of) -> Column:
+        return F.aggregate("__recent", F.lit(0.0), lambda acc, e: acc + F.coalesce(of(e), F.lit(0.0)))
+
+    count = F.size(F.filter("__recent", lambda e: e["c"].isNotNull()))
+    pts = pts.withColumns({"__count": count, "__mean": F.when(count > 0, total(lambda e: e["c"]) / count),
+                           "__up": total(lambda e: F.greatest(e["d"], F.lit(0.0))), "__down": total(lambda e: F.greatest(-e["d"], F.lit(0.0)))})
+    pts = pts.withColumn("__sd", F.when(F.col("__count") > 1, F.sqrt(total(lambda e: (e["c"] - F.col("__mean")) * (e["c"] - F.col("__mean"))) / (F.col("__count") - 1))))
+    # Both sums are over the same rows, so their ratio is that of the means.
+    rsi = F.when(F.col("__down") > 0, F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.col("__up") / F.col("__down"))).when(F.col("__up") > 0, F.lit(100.0))
+    pts = pts.withColumn("__one", F.when(ind.isin("ema", "macd"), F.col("__p1")))
+    pts = _ewm_own_span(pts, "close", "__one", "__fast", keys)
+    pts = _ewm_own_span(pts, "close", "__p2", "__slow", keys)
+    pts = pts.withColumn("macd", F.when(ind == "macd", F.col("__fast") - F.col("__slow")))
+    pts = _ewm_own_span(pts, "macd", "__p3", "signal", keys)
+    band = F.col("__k") * F.col("__sd")
+    is_bands = ind == "bollinger"
+    out = pts.select(
+        "__key", "__copies", "date",
+        F.when(ind == "sma", F.col("__mean")).when(ind == "ema", F.col("__fast")).when(ind == "rsi", rsi).alias("value"),
+        "macd", "signal", (F.col("macd") - F.col("signal")).alias("histogram"),
+        F.when(is_bands, F.col("__mean") + band).alias("upper"), F.when(is_bands, F.col("__mean")).alias("middle"), F.when(is_bands, F.col("__mean") - band).alias("lower"))
+    # A range that very many requests share is copied, and its requests are dealt over the copies.
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
+    reqs = spread_join(r.select("request_id", "__key"), asked.select("__key", "__copies"), ["__key"], "request_id", "inner")
+    reqs = reqs.withColumn("__copy", F.pmod(F.xxhash64("request_id"), F.col("__copies")).cast("int")).drop("__copies")
+    return reqs.join(out, ["__key", "__copy"]).drop("__key", "__copy")
