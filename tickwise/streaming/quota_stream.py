@@ -1,17 +1,19 @@
 """Quota accounting on a stream of requests.
 
-O44 counts requests per (user, UTC day) with a tumbling one-day event-time
-window; the watermark is the counter's expiry: a day is emitted (append
-mode) once the watermark passes its end, and later events for a closed day
-are dropped as late data.
-
 O45 decides allow/deny per event with ``applyInPandasWithState`` keyed by
-user. The state is two numbers (current day, allowed count), so it stays
-small however many users there are; the counter resets when the day
-changes, so no timer is needed for correctness. Events of a day older than
-the stored one (late data) are dropped. Within a micro-batch a user's events
-are sorted by (ts, request_id), which makes the result equal to the batch
-decision (O40) when micro-batches arrive in time order.
+(user, day): the state is one number, the allowed count of that day, and
+expires by event time once the day and the allowed lateness are over, so the
+store holds only open days. Every event gets a decision: one that comes in
+later than that finds a counter that starts anew, as it would in the service,
+whose counters expire too. A key's events of one micro-batch come in chunks,
+each sorted by (ts, request_id); only numbers are kept from chunk to chunk.
+Decisions follow arrival: they equal the batch decision (O40) when events
+arrive in time order.
+
+O44 counts what limited users consume per (user, UTC day): a running count
+of decisions, in update mode, so the open day is reported as well and late
+events are counted. Each micro-batch's counts are written under its number;
+``latest_counts`` keeps the last of each key. Unlimited tiers have no counter.
 
 Both write to a parquet sink under the shared checkpoint folder; nothing is
 collected on the driver.
@@ -19,9 +21,11 @@ collected on the driver.
 
 from __future__ import annotations
 
+import datetime as dt
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.policy import DEFAULT_POLICY, tier_limits
+from ..operators.quota import day_of
 from ..session import scratch_path
 
 # The state function runs in executor Python workers; ship it by value so the
@@ -55,10 +60,7 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("reset_date", T.DateType()),
 ])
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("day", T.DateType()),
-    T.StructField("count", T.LongType()),
-])
+STATE_SCHEMA = T.StructType([T.StructField("count", T.LongType())])
 
 
 def read_event_stream(spark: SparkSession, folder: str, glob: str | None = None,
@@ -71,86 +73,87 @@ def read_event_stream(spark: SparkSession, folder: str, glob: str | None = None,
     return reader.parquet(folder)
 
 
-def daily_counts_stream(requests: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Closed-day counts per user. ``ts`` must be a TIMESTAMP (not NTZ)
-    for the watermark."""
-    return (requests.withWatermark("ts", delay)
-                    .groupBy(F.col("user_id"), F.window("ts", "1 day").alias("w"))
-                    .agg(F.count(F.lit(1)).alias("requests"))
-                    .select("user_id", F.to_date(F.col("w.start")).alias("day"), "requests"))
-
-
 def _decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True)
-    if pdf.empty:
+    user, day = key
+    if state.hasTimedOut:
+        state.remove()
         return
-    pdf = pdf.sort_values(["ts", "request_id"], kind="stable")
-    if state.exists:
-        st_day, st_count = state.get
-    else:
-        st_day, st_count = None, 0
-    pdf["day"] = pdf["ts"].dt.date
-    if st_day is not None:
-        pdf = pdf[pdf["day"] >= st_day]  # late events of a closed day
-    out = []
-    for day, g in pdf.groupby("day", sort=True):
-        prior = st_count if day == st_day else 0
-        limit = g["daily_limit"].iloc[0]
-        unlimited = pd.isna(limit)
-        n = len(g)
-        pos = pd.Series(range(n), index=g.index)  # 0-based order within the day
-        if unlimited:
-            allowed = pd.Series(True, index=g.index)
-            used = pd.Series(0, index=g.index)
-            remaining = pd.Series([None] * n, index=g.index, dtype="object")
-            consumed = 0
+    count = state.get[0] if state.exists else 0
+    last = 0
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        pdf = pdf.sort_values(["ts", "request_id"], kind="stable")
+        n, limit = len(pdf), pdf["daily_limit"].iloc[0]
+        last = max(last, int(pdf["expires_ms"].iloc[0]))
+        if pd.isna(limit):
+            allowed, used, remaining = np.ones(n, bool), np.zeros(n, np.int64), pd.array([None] * n, dtype="Int64")
+            count += n
         else:
-            limit = int(limit)
-            before = pos + prior  # allowed count before this event (only allowed consume)
-            allowed = before < limit
-            used = before.where(allowed, limit)
-            remaining = (limit - before).where(allowed, 0)
-            consumed = int(allowed.sum())
-        reset = [None if a else day + pd.Timedelta(days=1) for a in allowed]
-        out.append(pd.DataFrame({
-            "request_id": g["request_id"].values, "user_id": g["user_id"].values,
-            "day": [day] * n, "allowed": allowed.values,
-            "used": used.astype("int64").values,
-            "remaining": pd.array(remaining.values, dtype="Int64"),
-            "reset_date": [r.date() if hasattr(r, "date") else r for r in reset],
-        }))
-        st_day, st_count = day, prior + consumed
-    state.update((st_day, int(st_count)))
-    if out:
-        yield pd.concat(out, ignore_index=True)
-
-
-def decisions_stream(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLICY) -> DataFrame:
+            before = count + np.arange(n)  # allowed so far: only allowed ones consume
+            allowed = before < int(limit)
+            used = np.minimum(before, int(limit))
+            remaining = pd.array(np.maximum(int(limit) - before, 0), dtype="Int64")
+            count = min(count + n, max(count, int(limit)))
+        reset = np.where(allowed, None, day + dt.timedelta(days=1))
+        yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(), "day": [day] * n,
+                            "allowed": allowed, "used": used, "remaining": remaining, "reset_date": reset})
+    state.update((int(count),))
+    if last > state.getCurrentWatermarkMs():
+        state.setTimeoutTimestamp(last)
+
+
+def decisions_stream(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLICY, lateness: str = "1 day") -> DataFrame:
     """Per-event allow/deny; ``users`` is a static table (stream-static
-    join on its unique id)."""
+    join on its unique id). ``lateness``: how long after its end a day's counter is kept."""
     u = users.select(F.col("id").alias("user_id"), "tier")
-    r = (requests.join(u, "user_id", "left")
+    r = (requests.withWatermark("ts", lateness).join(u, "user_id", "left")
                  .withColumn("daily_limit", tier_limits(F.col("tier"), policy)["requests_per_day"])
-                 .select("request_id", "user_id", "ts", "daily_limit"))
-    return (r.groupBy("user_id")
+                 .withColumn("day", day_of(F.col("ts")))
+                 .withColumn("expires_ms", F.unix_millis(F.date_add("day", 1).cast("timestamp")))
+                 .select("request_id", "user_id", "day", "ts", "daily_limit", "expires_ms"))
+    return (r.groupBy("user_id", "day")
              .applyInPandasWithState(_decide, DECISION_SCHEMA, STATE_SCHEMA, "append",
-                                     GroupStateTimeout.NoTimeout))
+                                     GroupStateTimeout.EventTimeTimeout))
+
+
+def daily_counts_stream(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLICY) -> DataFrame:
+    """Requests that limited users consumed so far, per (user, UTC day)."""
+    u = users.select(F.col("id").alias("user_id"), "tier")
+    limit = tier_limits(F.col("tier"), policy)["requests_per_day"]
+    r = requests.join(u, "user_id", "left").withColumn("daily_limit", limit).where(F.col("daily_limit") > 0)
+    return (r.groupBy("user_id", day_of(F.col("ts")).alias("day"), "daily_limit").agg(F.count(F.lit(1)).alias("n"))
+             .select("user_id", "day", F.least("n", F.col("daily_limit").cast("long")).alias("requests")))
+
+
+def _run(query) -> None:
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
 
 
-def run_to_parquet(spark: SparkSession, stream: DataFrame, name: str,
-                   mode: str = "append") -> DataFrame:
+def run_to_parquet(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a streaming query until its source is drained, into a parquet
     sink under the shared checkpoint folder; return the sink as a batch
     DataFrame."""
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
-    q = (stream.writeStream.format("parquet").outputMode(mode)
-               .option("path", out).option("checkpointLocation", ckpt)
-               .trigger(processingTime="0 seconds").start())
-    try:
-        q.processAllAvailable()
-        # One more round so watermark-driven output of the last batch is emitted.
-        q.processAllAvailable()
-    finally:
-        q.stop()
+    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    _run(stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", ckpt).start())
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_counts(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """The same for running counts: each micro-batch overwrites its own
+    folder, so a repeated batch leaves nothing twice."""
+    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    _run(stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", ckpt).start())
+    return latest_counts(spark.read.parquet(out))
+
+
+def latest_counts(counts: DataFrame) -> DataFrame:
+    """Counts only grow, so the largest of a key is its last."""
+    return counts.groupBy("user_id", "day").agg(F.max("requests").alias("requests"))
