@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 # Key format (prefix, minimum length exclusive) and the user
 # field rules of the registration model. The prefix is a deployment setting;
 # the fixture keys use "key_".
@@ -50,29 +52,61 @@ def resolve_keys(presented: DataFrame, api_keys: DataFrame, users: DataFrame,
                   .drop("__lookup", "key_user_id", "user_active"))
 
 
-def key_listing(api_keys: DataFrame) -> DataFrame:
-    """Keys with only their first 10 characters shown."""
+def key_listing(api_keys: DataFrame, user_id: int | None = None) -> DataFrame:
+    """Keys (of one user) with only their first 10 characters shown."""
+    if user_id is not None:
+        api_keys = api_keys.where(F.col("user_id") == user_id)
     hint = F.concat(F.substring(F.col("key"), 1, HINT_LENGTH), F.lit("..."))
     return api_keys.select("user_id", "id", hint.alias("key_hint"), "is_active",
                            "created_at", "expires_at")
 
 
-def intake_check(candidates: DataFrame, users: DataFrame) -> DataFrame:
-    """Validate registrations and flag conflicts with existing users.
+def intake_check(candidates: DataFrame, users: DataFrame, order: str = "candidate_id") -> DataFrame:
+    """Validate registrations and flag conflicts, with existing users and
+    with candidates before them (by ``order``): of two valid ones with the same
+    username or email the later is refused.
 
     "username OR email exists" is two equi-joins against the distinct
     username and email lists (an OR join condition would force a nested-loop
-    join)."""
-    names = users.select(F.col("username"), F.lit(True).alias("__name_taken")).distinct()
-    emails = users.select(F.col("email"), F.lit(True).alias("__email_taken")).distinct()
-    c = (candidates.join(names, "username", "left").join(emails, "email", "left"))
+    join). A candidate that is refused takes no name. Whether it is may depend
+    on earlier candidates in turn: those that are first by both names are
+    accepted and their names taken in rounds, until no candidate is open; each
+    round is one written table, so its size is that of the open ones."""
     valid_name = F.length("username").between(USERNAME_MIN, USERNAME_MAX)
     valid_email = F.col("email").rlike(EMAIL_PATTERN)
-    status = (F.when(~valid_name, F.lit("invalid_username"))
-              .when(~valid_email, F.lit("invalid_email"))
-              .when(F.col("__name_taken").isNotNull() | F.col("__email_taken").isNotNull(),
-                    F.lit("conflict"))
-              .otherwise(F.lit("ok")))
     tier = F.when(F.col("tier").isin("free", "pro", "premium"), F.col("tier")).otherwise(F.lit("free"))
-    return (c.withColumn("status", status).withColumn("tier", tier)
-             .drop("__name_taken", "__email_taken"))
+    c = candidates.withColumn("tier", tier).withColumn(
+        "status", F.when(~F.coalesce(valid_name, F.lit(False)), F.lit("invalid_username")).when(~F.coalesce(valid_email, F.lit(False)), F.lit("invalid_email")))
+    spark = candidates.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "intake")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def split(rows: DataFrame, taken: DataFrame) -> DataFrame:
+        """Marks rows that conflict with ``taken`` names."""
+        names = taken.select("username", F.lit(True).alias("__name")).distinct()
+        emails = taken.select("email", F.lit(True).alias("__email")).distinct()
+        met = rows.join(names, "username", "left").join(emails, "email", "left")
+        return met.withColumn("status", F.when(F.col("__name").isNotNull() | F.col("__email").isNotNull(), F.lit("conflict"))).drop("__name", "__email")
+
+    first = kept(split(c.where(F.col("status").isNull()), users))
+    done = [c.where(F.col("status").isNotNull()), first.where(F.col("status").isNotNull())]
+    rest = first.where(F.col("status").isNull())
+    while True:
+        by_name = rest.groupBy("username").agg(F.min(order).alias("__n"))
+        by_email = rest.groupBy("email").agg(F.min(order).alias("__e"))
+        ranked = rest.join(by_name, "username").join(by_email, "email")
+        lead = kept(ranked.withColumn("__lead", (F.col(order) == F.col("__n")) & (F.col(order) == F.col("__e"))).drop("__n", "__e"))
+        accepted = lead.where("__lead").drop("__lead")
+        done.append(accepted.withColumn("status", F.lit("ok")))
+        left = kept(split(lead.where("NOT __lead").drop("__lead"), accepted))
+        done.append(left.where(F.col("status").isNotNull()))
+        rest = left.where(F.col("status").isNull())
+        if rest.isEmpty():
+            break
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out

@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 DEFAULT_TTL_MINUTES = 30  # fixed value of the service
 
 
@@ -37,6 +39,19 @@ def materialise(results: DataFrame, path: str, cached_at, mode: str = "append")
             .write.mode(mode).partitionBy("indicator").parquet(path))
 
 
+def read_through(asked: DataFrame, entries: DataFrame, compute, as_of, ttl_minutes: int = DEFAULT_TTL_MINUTES,
+                 key_col: str = "params_key", value_cols=("value",), order=("cached_at",)) -> DataFrame:
+    """Probe, compute the misses, return all: every key of ``asked`` with its
+    fresh entry, or with what ``compute`` makes of the asked rows without one;
+    ``hit`` tells which. Store the rows without a hit by ``materialise``."""
+    live = newest_per_key(fresh(entries, as_of, ttl_minutes), value_cols, key_col, order=order).select(key_col, *value_cols)
+    asked = asked.dropDuplicates([key_col])
+    hits = asked.select(key_col).join(live, key_col)
+    misses = asked.join(live.select(key_col), key_col, "left_anti")
+    made = compute(misses).select(key_col, *value_cols)
+    return hits.withColumn("hit", F.lit(True)).unionByName(made.withColumn("hit", F.lit(False)))
+
+
 def fresh(entries: DataFrame, as_of, ttl_minutes: int = DEFAULT_TTL_MINUTES,
           key_col: str = "params_key", ts_col: str = "cached_at") -> DataFrame:
     """Entries younger than the TTL at ``as_of`` (0 means the default)."""
@@ -47,10 +62,12 @@ def fresh(entries: DataFrame, as_of, ttl_minutes: int = DEFAULT_TTL_MINUTES,
 
 
 def newest_per_key(entries: DataFrame, value_cols, key_col: str = "params_key",
-                   ts_col: str = "cached_at") -> DataFrame:
+                   ts_col: str = "cached_at", order=None) -> DataFrame:
     """The latest write per key (``max_by`` is a partial aggregate, so a hot
-    key is combined map-side)."""
-    latest = F.max_by(F.struct(*[F.col(c) for c in value_cols]), F.col(ts_col))
+    key is combined map-side). ``order``: columns, ``ts_col`` first, that tell
+    apart writes of the same time; by default the values themselves do."""
+    by = F.struct(*[F.col(c) for c in dict.fromkeys([ts_col, *(order or value_cols)])])
+    latest = F.max_by(F.struct(*[F.col(c) for c in value_cols]), by)
     return (entries.groupBy(key_col)
                    .agg(F.max(ts_col).alias(ts_col), latest.alias("__v"))
                    .select(key_col, ts_col, *[F.col("__v")[c].alias(c) for c in value_cols]))
@@ -72,15 +89,14 @@ def glob_to_regex(pattern: str) -> str:
             out.append(".")
         elif ch == "[":
             j = pattern.find("]", i + 1)
-            if j == -1:
+            body = pattern[i + 1:j] if j != -1 else ""
+            if not body or body == "^":  # nothing to choose from: the bracket itself
                 out.append(re.escape(ch))
             else:
-                body = pattern[i + 1:j]
-                if body.startswith("^"):
-                    body = "^" + body[1:].replace("\\", "\\\\")
-                else:
-                    body = body.replace("\\", "\\\\")
-                out.append("[" + body + "]")
+                negated = body.startswith("^")
+                # Inside brackets only ranges are special; Java would read [ and && as set operations.
+                chosen = "".join(c if c.isalnum() or c == "-" else "\\" + c for c in body[negated:])
+                out.append("[" + "^" * negated + chosen + "]")
                 i = j + 1
                 continue
         else:
@@ -90,12 +106,43 @@ def glob_to_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def literal_prefix(pattern: str) -> str:
+    """What every key that matches the glob starts with."""
+    return re.match(r"[^*?\[\\]*", pattern).group()
+
+
+def _matches(pattern: str, key_col: str) -> Column:
+    prefix = literal_prefix(pattern)  # reaches the scan; a regular expression doesn't
+    matched = F.col(key_col).rlike(glob_to_regex(pattern))
+    return F.col(key_col).startswith(prefix) & matched if prefix else matched
+
+
 def matching(entries: DataFrame, pattern: str, key_col: str = "params_key") -> DataFrame:
     """O52 selection: entries whose key matches the glob."""
-    return entries.where(F.col(key_col).rlike(glob_to_regex(pattern)))
+    return entries.where(_matches(pattern, key_col))
 
 
 def invalidate(entries: DataFrame, pattern: str, key_col: str = "params_key") -> DataFrame:
-    """O52 rewrite: what remains after deleting the matching keys (write it
-    back over the touched partitions with dynamic partition overwrite)."""
-    return entries.where(~F.col(key_col).rlike(glob_to_regex(pattern)))
+    """What remains after deleting the matching keys (a null key matches nothing)."""
+    return entries.where(~F.coalesce(_matches(pattern, key_col), F.lit(False)))
+
+
+def delete(spark, path: str, pattern: str, key_col: str = "params_key") -> int:
+    """O52 on a stored table: rewrites only the indicator partitions that hold
+    matching keys, and returns the number of distinct keys deleted."""
+    stored = spark.read.parquet(path)
+    gone = matching(stored, pattern, key_col)
+    touched = [r["indicator"] for r in gone.select("indicator").distinct().collect()]  # one row an indicator
+    deleted = gone.agg(F.count_distinct(key_col)).first()[0]
+    if touched:
+        kept = invalidate(stored.where(F.col("indicator").isin(touched)), pattern, key_col)
+        target = scratch_path(spark, "results")
+        kept.write.partitionBy("indicator").parquet(target)  # a partition can't be read while it is overwritten
+        rest = spark.read.schema(stored.schema).parquet(target)
+        emptied = set(touched) - {r["indicator"] for r in rest.select("indicator").distinct().collect()}
+        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("indicator").parquet(path)
+        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+        for name in emptied:
+            part = spark._jvm.org.apache.hadoop.fs.Path(files, f"indicator={name}")
+            part.getFileSystem(spark._jsc.hadoopConfiguration()).delete(part, True)
+    return deleted

@@ -7,6 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.bars import YEAR
+from .skew import spread_join
+
 
 def _date(v):
     if v is None or isinstance(v, dt.date):
@@ -20,12 +23,16 @@ def by_symbol(bars: DataFrame, symbol: str) -> DataFrame:
 
 
 def in_range(bars: DataFrame, start=None, end=None) -> DataFrame:
-    """Optional inclusive start and/or end (V2); pushed to the scan."""
+    """Optional inclusive start and/or end (V2); pushed to the scan. Of a
+    table with its years in folders only those of the range are listed."""
     start, end = _date(start), _date(end)
+    by_year = YEAR in bars.columns
     if start is not None:
         bars = bars.where(F.col("date") >= F.lit(start))
+        bars = bars.where(F.col(YEAR) >= start.year) if by_year else bars
     if end is not None:
         bars = bars.where(F.col("date") <= F.lit(end))
+        bars = bars.where(F.col(YEAR) <= end.year) if by_year else bars
     return bars
 
 
@@ -38,9 +45,9 @@ def series(bars: DataFrame, symbol: str | None = None, start=None, end=None) ->
 
 def unknown_symbols(requests: DataFrame, bars: DataFrame) -> DataFrame:
     """Requests naming a symbol that has no bars (left anti join on the
-    distinct symbol list, which is as small as the symbol universe)."""
+    distinct symbol list; a hot symbol's requests are dealt over several tasks)."""
     known = bars.select("symbol").distinct()
-    return requests.join(known, "symbol", "left_anti")
+    return spread_join(requests, known, ["symbol"], "request_id", "left_anti")
 
 
 def symbols_distinct(bars: DataFrame) -> DataFrame:
@@ -80,8 +87,3 @@ def symbol_profile(bars: DataFrame) -> DataFrame:
         F.avg("close").alias("avg_close"),
         F.sum("volume").alias("total_volume"),
     )
-
-
-def schema_profile(bars: DataFrame) -> list[tuple[str, str]]:
-    """O17 shape part: column names and types, from the schema (no job)."""
-    return [(f.name, f.dataType.simpleString()) for f in bars.schema.fields]

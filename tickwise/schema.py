@@ -1,84 +1,8 @@
-"""Schemas of the engine's tables and the source guard."""
+"""The source guard."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-BARS = T.StructType([
-    T.StructField("symbol", T.StringType()),
-    T.StructField("date", T.DateType()),
-    T.StructField("open", T.DoubleType()),
-    T.StructField("high", T.DoubleType()),
-    T.StructField("low", T.DoubleType()),
-    T.StructField("close", T.DoubleType()),
-    T.StructField("volume", T.LongType()),
-])
-
-USERS = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("username", T.StringType()),
-    T.StructField("email", T.StringType()),
-    T.StructField("is_active", T.BooleanType()),
-    T.StructField("tier", T.StringType()),
-    T.StructField("created_at", T.TimestampType()),
-])
-
-API_KEYS = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("key", T.StringType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("is_active", T.BooleanType()),
-    T.StructField("created_at", T.TimestampType()),
-    T.StructField("expires_at", T.TimestampType()),
-])
-
-TIER_POLICY = T.StructType([
-    T.StructField("tier", T.StringType()),
-    T.StructField("tier_rank", T.IntegerType()),
-    T.StructField("requests_per_day", T.IntegerType()),
-    T.StructField("data_limit_days", T.IntegerType()),
-    T.StructField("allowed", T.ArrayType(T.StringType())),
-])
-
-PARAM_BOUNDS = T.StructType([
-    T.StructField("indicator", T.StringType()),
-    T.StructField("param", T.StringType()),
-    T.StructField("default", T.DoubleType()),
-    T.StructField("lo", T.DoubleType()),
-    T.StructField("hi", T.DoubleType()),
-])
-
-REQUESTS = T.StructType([
-    T.StructField("request_id", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("api_key", T.StringType()),
-    T.StructField("symbol", T.StringType()),
-    T.StructField("indicator", T.StringType()),
-    T.StructField("params", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("start_date", T.DateType()),
-    T.StructField("end_date", T.DateType()),
-])
-
-REQUEST_LOG = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("endpoint", T.StringType()),
-    T.StructField("method", T.StringType()),
-    T.StructField("status_code", T.IntegerType()),
-    T.StructField("response_time", T.IntegerType()),
-    T.StructField("timestamp", T.TimestampType()),
-])
-
-RESULTS = T.StructType([
-    T.StructField("symbol", T.StringType()),
-    T.StructField("indicator", T.StringType()),
-    T.StructField("params_key", T.StringType()),
-    T.StructField("date", T.DateType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("cached_at", T.TimestampType()),
-])
 
 
 def require_columns(df, *columns: str) -> DataFrame:
@@ -89,5 +13,5 @@ def require_columns(df, *columns: str) -> DataFrame:
     present = set(df.columns)
     for c in columns:
         if c not in present:
-            raise ValueError(f"DataFrame must contain '{c}' column")
+            raise ValueError(f"no column {c!r} in {sorted(present)}")
     return df

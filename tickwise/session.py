@@ -1,15 +1,16 @@
 """SparkSession construction and the shared checkpoint folder.
 
 Cluster deployments pass their own settings (``spark-submit --conf``); the
-builder only fills what is unset, so a cluster's ``spark.checkpoint.dir``
+builder only fills what they leave unset, so a cluster's ``spark.checkpoint.dir``
 or shuffle sizing always wins over these local defaults.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC day boundaries for quotas, ANSI kept on
@@ -29,10 +30,13 @@ _DEFAULTS = {
 def build_session(master: str | None = None, app: str = "tickwise",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
+    """A session with the defaults above for what the submit didn't set;
+    ``extra`` and ``shuffle_partitions`` are the caller's own settings."""
+    submitted = SparkConf()  # what spark-submit and spark-defaults give
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    conf = dict(_DEFAULTS)
+    conf = {k: v for k, v in _DEFAULTS.items() if not submitted.contains(k)}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -43,51 +47,28 @@ def build_session(master: str | None = None, app: str = "tickwise",
         spark.sparkContext.setLogLevel("ERROR")
     except Exception:
         pass
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local runs and tests) is a fresh private folder created and registered.
+    Only a session in one process (tests, local runs) may leave it unset and
+    gets a private folder; elsewhere a machine's own folder would be unseen by
+    the other machines, so that is an error.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: no SparkContext on the client
-        sc = None
-    current = sc.getCheckpointDir() if sc is not None else None
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="tickwise-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", configured)
-        except Exception:  # some deployments reject runtime core settings
-            pass
-    if sc is not None:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
+    if configured:
+        return configured
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    configured = tempfile.mkdtemp(prefix="tickwise-")
+    spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
 
-def session_id(spark: SparkSession) -> str:
-    """Identity of the running application (keys per-session stored tables)."""
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:
-        return spark.conf.get("spark.app.id", "") or str(id(spark))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder (for written
-    intermediate tables and streaming checkpoints)."""
-    base = ensure_checkpoint_dir(spark)
-    base = base[len("file:"):] if base.startswith("file:") else base
-    if "://" not in base:
-        os.makedirs(base, exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-    import uuid
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, in the form that the cluster gives
+    it; Spark's writers create it."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
