@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators import indicators as I
 from ..operators import series as S
+from ..session import scratch_path
 from ..sources import bars as B
 from ..sources import testdata as td
 
@@ -48,9 +49,17 @@ def bars_date_norm(spark, sf):
 
 @query("bars_sorted")
 def bars_sorted(spark, sf):
-    laid_out = B.sorted_layout(td.bars(spark, sf))
-    return laid_out.select("symbol", "date",
-                           F.row_number().over(K.series_window()).cast("bigint").alias("i"))
+    """The layout itself: the partitions' bounds and whether any row is out of
+    order within its partition or beyond the next partition's first row."""
+    laid_out = B.sorted_layout(td.bars(spark, sf)).withColumn("at", F.monotonically_increasing_id())
+    parts = laid_out.select("symbol", "date", "at", F.shiftright("at", 33).alias("part"))
+    rows = F.struct("symbol", "date")
+    by_place = Window.partitionBy("part").orderBy("at")
+    checked = parts.withColumn("bad", F.coalesce(F.lag(rows).over(by_place) > rows, F.lit(False)))
+    ends = checked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(rows).alias("low"), F.max(rows).alias("high"), F.max("bad").alias("bad"))
+    after = F.lead("low").over(Window.orderBy("part"))  # one row a partition
+    ends = ends.withColumn("beyond", F.coalesce(F.col("high") >= after, F.lit(False)))
+    return ends.agg(F.sum("n").alias("records"), F.max(F.col("bad") | F.col("beyond")).alias("out_of_order"))
 
 
 @query("series_by_symbol")
@@ -100,36 +109,33 @@ def symbol_profile(spark, sf):
 
 @query("rolling_mean")
 def rolling_mean(spark, sf):
-    b = td.bars(spark, sf)
-    return b.select("symbol", "date",
-                    K.rolling_mean("close", 20, K.series_window()).alias("rolling_mean"))
+    b = K.in_blocks(_bars_close(spark, sf), halo=19)
+    return K.out_of_blocks(b.withColumn("rolling_mean", K.rolling_mean("close", 20, K.block_window()))).drop("close")
 
 
 @query("rolling_std")
 def rolling_std(spark, sf):
-    b = td.bars(spark, sf)
-    return b.select("symbol", "date",
-                    r4(K.rolling_std("close", 20, K.series_window())).alias("rolling_std"))
+    b = K.in_blocks(_bars_close(spark, sf), halo=19)
+    return K.out_of_blocks(b.withColumn("rolling_std", r4(K.rolling_std("close", 20, K.block_window())))).drop("close")
 
 
 @query("close_diff")
 def close_diff(spark, sf):
-    b = td.bars(spark, sf)
-    return b.select("symbol", "date",
-                    K.first_difference("close", K.series_window()).alias("close_diff"))
+    b = K.in_blocks(_bars_close(spark, sf), halo=1)
+    return K.out_of_blocks(b.withColumn("close_diff", K.first_difference("close", K.block_window()))).drop("close")
 
 
 @query("gain_loss")
 def gain_loss(spark, sf):
-    b = td.bars(spark, sf).withColumn("d", K.first_difference("close", K.series_window()))
-    return b.select("symbol", "date", K.gain(F.col("d")).alias("gain"),
-                    K.loss(F.col("d")).alias("loss"))
+    b = K.in_blocks(_bars_close(spark, sf), halo=1)
+    b = K.out_of_blocks(b.withColumn("d", K.first_difference("close", K.block_window())))
+    return b.select("symbol", "date", K.gain(F.col("d")).alias("gain"), K.loss(F.col("d")).alias("loss"))
 
 
 @query("ewm_mean")
 def ewm_mean(spark, sf):
-    b = td.bars(spark, sf).select("symbol", "date", "high")
-    out = K.drop_index(K.ewm_means(b, [("high", 10, "ewm_mean")]))
+    b = K.in_blocks(td.bars(spark, sf).select("symbol", "date", "high"), "high")
+    out = K.out_of_blocks(K.ewm_means(b, [("high", 10, "ewm_mean")]))
     return out.select("symbol", "date", r4("ewm_mean").alias("ewm_mean"))
 
 
@@ -209,6 +215,7 @@ def macd_trimmed(spark, sf):
 
 @query("bollinger_filled")
 def bollinger_filled(spark, sf):
+    """Trimmed bands, where nothing is left to fill."""
     bb = I.bollinger(_bars_close(spark, sf), 20, 2.0)
     bb = SH.fill_missing(SH.trim_warmup(bb, SH.warmup_rows("bollinger", {"period": 20})),
                          ["upper", "middle", "lower"])
@@ -216,6 +223,20 @@ def bollinger_filled(spark, sf):
                      r4("lower").alias("lower"))
 
 
+@query("bollinger_period_one_filled")
+def bollinger_period_one_filled(spark, sf):
+    """Bands of one row have no deviation: all upper and lower values are filled."""
+    bb = SH.fill_missing(I.bollinger(_bars_close(spark, sf), 1, 2.0), ["upper", "middle", "lower"])
+    return bb.select("symbol", "date", "upper", "middle", "lower")
+
+
+@query("bollinger_untrimmed_filled")
+def bollinger_untrimmed_filled(spark, sf):
+    """Untrimmed, the first row of each symbol is filled."""
+    bb = SH.fill_missing(I.bollinger(_bars_close(spark, sf), 20, 2.0), ["upper", "middle", "lower"])
+    return bb.select("symbol", "date", r4("upper").alias("upper"), "middle", r4("lower").alias("lower"))
+
+
 @query("suite_long")
 def suite_long(spark, sf):
     s = I.suite(_bars_close(spark, sf))
@@ -223,16 +244,6 @@ def suite_long(spark, sf):
     return long.select("symbol", "date", "indicator", r4("value").alias("value"))
 
 
-@query("indicator_documents")
-def indicator_documents(spark, sf):
-    s = I.sma(S.series(_bars_close(spark, sf), None, "1996-01-01", "1996-12-31"), 20)
-    docs = SH.documents(s.withColumnRenamed("sma", "value"), ["symbol"], ["value"],
-                        header={"indicator": "SMA", "window": F.lit(20)})
-    return docs.select("symbol", "indicator", "window", "data_points", "first_date", "last_date",
-                       r4(F.aggregate("data", F.lit(0.0), lambda acc, p: acc + p["value"]))
-                       .alias("value_sum"))
-
-
 # --- entitlement policy (O33-O39) -----------------------------------------------------------
 
 from ..operators import policy as P  # noqa: E402
@@ -301,6 +312,13 @@ def param_bounds(spark, sf):
                     F.when(ok, F.lit(200)).otherwise(F.lit(422)).alias("status_code"))
 
 
+@query("param_bounds_alternate")
+def param_bounds_alternate(spark, sf):
+    r = td.requests_with_params(spark, sf)
+    ok = P.params_within_bounds(F.col("indicator"), F.col("params"), P.ALTERNATE_BOUNDS)
+    return r.select("request_id", "indicator", ok.alias("params_ok"))
+
+
 # --- quotas (O40-O43) ------------------------------------------------------------------------
 
 from ..operators import quota as Q  # noqa: E402
@@ -309,7 +327,7 @@ from ..operators import quota as Q  # noqa: E402
 @query("quota_decision")
 def quota_decision(spark, sf):
     r = Q.with_daily_limit(td.requests(spark, sf), td.users(spark, sf), P.TEST_POLICY)
-    d = Q.quota_decision(r, P.TEST_POLICY)
+    d = Q.quota_decision(r)
     return d.select("request_id", "user_id", "day", "allowed", "used", "remaining", "reset_date")
 
 
@@ -318,10 +336,15 @@ def quota_usage(spark, sf):
     return Q.quota_usage(td.requests(spark, sf), td.users(spark, sf), P.TEST_POLICY)
 
 
+@query("quota_counters")
+def quota_counters(spark, sf):
+    return Q.consumed_counters(td.requests(spark, sf), td.users(spark, sf), P.TEST_POLICY).select("user_id", "day", "requests")
+
+
 @query("quota_retention")
 def quota_retention(spark, sf):
-    counters = Q.daily_counts(td.requests(spark, sf))
-    return Q.quota_retention(counters, "2024-01-30 12:00:00", 24).select("user_id", "day", "requests")
+    kept = Q.quota_retention(td.requests(spark, sf), td.users(spark, sf), "2024-01-30 12:00:00", 24, P.TEST_POLICY)
+    return kept.select("user_id", "day", "requests")
 
 
 # --- identity (O46-O48) ------------------------------------------------------------------------
@@ -371,6 +394,28 @@ def fresh_results(spark, sf):
     return RS.newest_per_key(live, ["request_id"]).select("params_key", "request_id")
 
 
+@query("results_read_through")
+def results_read_through(spark, sf):
+    """Requests of every third event look for entries that the others wrote."""
+    every = _cache_entries(spark, sf)
+    asked = every.where(F.col("request_id") % 3 == 0).select("params_key", "request_id")
+    stored = every.where(F.col("request_id") % 3 != 0).withColumn("value", F.col("request_id"))
+    computed = lambda missing: missing.withColumn("value", F.lit(-1).cast("long"))
+    out = RS.read_through(asked, stored, computed, "2024-01-30 00:00:00", 20 * 1440, order=("cached_at", "request_id"))
+    return out.select("params_key", "hit", "value")
+
+
+@query("invalidate_count")
+def invalidate_count(spark, sf):
+    keys = RS.matching(_cache_entries(spark, sf), "indicator:S[1-3]:*")
+    return keys.agg(F.count_distinct("params_key").alias("deleted"))
+
+
+@query("invalidate_rest")
+def invalidate_rest(spark, sf):
+    return RS.invalidate(_cache_entries(spark, sf), "indicator:S?:[SE]MA:*").select("params_key", "request_id")
+
+
 @query("invalidate_matches")
 def invalidate_matches(spark, sf):
     return RS.matching(_cache_entries(spark, sf), "indicator:S1:*").select("params_key", "request_id")
@@ -382,31 +427,81 @@ from ..operators import logs as LG  # noqa: E402
 from ..operators import requests as RQ  # noqa: E402
 
 
+def _status(spark, sf):
+    return RQ.request_status(td.requests_mixed(spark, sf), td.users(spark, sf), td.bars(spark, sf),
+                             BARS_AS_OF, P.TEST_POLICY, api_keys=td.api_keys(spark, sf))
+
+
 @query("batch_request_status")
 def batch_request_status(spark, sf):
-    st = RQ.request_status(td.requests(spark, sf), td.users(spark, sf), td.bars(spark, sf),
-                           BARS_AS_OF, P.TEST_POLICY)
-    return st.select("request_id", "status_code", "reason", "eff_start", "eff_end", "points")
+    return _status(spark, sf).select("request_id", "status_code", "reason", "eff_start", "eff_end", "points")
+
+
+def _accepted(spark, sf):
+    """Accepted requests, stored: the gates are computed once for all that reads them."""
+    path = scratch_path(spark, "accepted")
+    accepted = _status(spark, sf).where(F.col("status_code") == 200)
+    accepted.write.parquet(path)
+    return spark.read.schema(accepted.schema).parquet(path)
+
+
+@query("batch_evaluate")
+def batch_evaluate(spark, sf):
+    """Default range, clamp and gates, then every accepted request's points by its own parameters."""
+    out = RQ.evaluate(_accepted(spark, sf), td.bars(spark, sf), "eff_start", "eff_end")
+    return out.select("request_id", "date", *[r4(c).alias(c) for c in RQ.POINTS])
+
+
+def _documents(spark, sf, indicator, title, columns, parameters):
+    """Documents of one endpoint: accepted requests, points in date order."""
+    accepted = RQ.resolved(_accepted(spark, sf)).where(F.col("indicator") == indicator)
+    points = RQ.evaluate(accepted, td.bars(spark, sf), "eff_start", "eff_end")
+    head = accepted.select("request_id", "symbol", F.lit(title).alias("indicator"), parameters.alias("parameters"),
+                           F.col("eff_start").alias("start_date"), F.col("eff_end").alias("end_date"))
+    docs = SH.documents(head.join(points, "request_id").withColumns({c: r4(c) for c in columns}), columns)
+    line = F.aggregate("data", F.lit(""), lambda acc, p: F.concat(acc, F.concat_ws(
+        "|", p["date"].cast("string"), *[F.when(p[c].isNull(), F.lit("null")).otherwise(F.format_string("%.4f", p[c] + F.lit(0.0))) for c in columns]), F.lit(";")))
+    shown = F.concat_ws(",", F.transform(F.map_entries("parameters"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.1f", e["value"]))))
+    return docs.select("request_id", "symbol", "indicator", shown.alias("parameters"), "data_points", "start_date", "end_date", F.md5(line).alias("data_md5"))
+
+
+def _values(**names):
+    return F.create_map(*[x for k, c in names.items() for x in (F.lit(k), F.col(c).cast("double"))])
+
+
+@query("indicator_documents")
+def indicator_documents(spark, sf):
+    return _documents(spark, sf, "sma", "SMA", ["value"], _values(window="__p1"))
+
+
+@query("macd_documents")
+def macd_documents(spark, sf):
+    return _documents(spark, sf, "macd", "MACD", ["macd", "signal", "histogram"], _values(fast_period="__p1", slow_period="__p2", signal_period="__p3"))
+
+
+@query("bollinger_documents")
+def bollinger_documents(spark, sf):
+    return _documents(spark, sf, "bollinger", "Bollinger Bands", ["upper", "middle", "lower"], _values(period="__p1", std_dev="__k"))
 
 
 def _batch(spark, sf, indicator):
     r = td.requests(spark, sf).where(F.col("indicator") == indicator)
-    return RQ.evaluate(r, td.bars(spark, sf), indicator)
+    return RQ.evaluate(r, td.bars(spark, sf))
 
 
 @query("batch_sma")
 def batch_sma(spark, sf):
-    return _batch(spark, sf, "sma").select("request_id", "date", "sma")
+    return _batch(spark, sf, "sma").select("request_id", "date", F.col("value").alias("sma"))
 
 
 @query("batch_ema")
 def batch_ema(spark, sf):
-    return _batch(spark, sf, "ema").select("request_id", "date", r4("ema").alias("ema"))
+    return _batch(spark, sf, "ema").select("request_id", "date", r4("value").alias("ema"))
 
 
 @query("batch_rsi")
 def batch_rsi(spark, sf):
-    return _batch(spark, sf, "rsi").select("request_id", "date", "rsi")
+    return _batch(spark, sf, "rsi").select("request_id", "date", r4("value").alias("rsi"))
 
 
 @query("batch_macd")
@@ -430,6 +525,14 @@ def request_log_rollup(spark, sf):
                       r4("p95_ms").alias("p95_ms"), "error_ratio")
 
 
+@query("request_log_rollup_approx")
+def request_log_rollup_approx(spark, sf):
+    """The scale path: at 10,000 values a group the sketch is exact for smaller
+    groups, and gives a value of the column (nearest rank)."""
+    out = LG.rollup(td.request_log(spark, sf), exact=False)
+    return out.select("endpoint", "day", "requests", "p50_ms", "p95_ms")
+
+
 # --- streaming (O44-O45) -----------------------------------------------------------------------
 
 from ..streaming import quota_stream as QS  # noqa: E402
@@ -442,8 +545,8 @@ def _request_stream(spark, sf):
 
 @query("stream_quota_counts")
 def stream_quota_counts(spark, sf):
-    return QS.run_to_parquet(spark, QS.daily_counts_stream(_request_stream(spark, sf)),
-                             "stream-quota-counts")
+    counts = QS.daily_counts_stream(_request_stream(spark, sf), td.users(spark, sf), P.TEST_POLICY)
+    return QS.run_counts(spark, counts, "stream-quota-counts")
 
 
 @query("stream_quota_decision")

@@ -47,7 +47,7 @@ api_keys AS (
 REQUESTS = """
 requests AS (
   SELECT event_id AS request_id, ts, user_id,
-         'S' || CAST(user_id % 10 AS VARCHAR) AS symbol,
+         'S' || CAST(event_id % ((SELECT count(*) FROM supplier) + 3) AS VARCHAR) AS symbol,
          CASE event_type WHEN 'view' THEN 'sma' WHEN 'click' THEN 'ema'
               WHEN 'purchase' THEN 'rsi' WHEN 'signup' THEN 'macd'
               WHEN 'error' THEN 'bollinger' END AS indicator,
@@ -112,7 +112,7 @@ SELECT l_orderkey, l_linenumber, 'S' || CAST(l_suppkey AS VARCHAR) AS symbol,
 FROM lineitem""")
 
 sql("bars_sorted", with_(BARS) + """
-SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM bars""")
+SELECT count(*) AS records, false AS out_of_order FROM bars""")
 
 sql("series_by_symbol", with_(BARS) + """
 SELECT symbol, date, open, high, low, close, volume FROM bars WHERE symbol = 'S1'""")
@@ -298,12 +298,15 @@ SELECT symbol, date, indicator, round(value, 4) AS value
 FROM suite UNPIVOT INCLUDE NULLS (value FOR indicator IN
   (sma, ema, rsi, macd, macd_signal, macd_histogram, bb_upper, bb_middle, bb_lower))""")
 
-sql("indicator_documents", with_(BARS) + f"""
-SELECT symbol, 'SMA' AS indicator, 20 AS window, count(*) AS data_points,
-       min(date) AS first_date, max(date) AS last_date, round(sum(sma), 4) AS value_sum
-FROM (SELECT symbol, date, avg(close) OVER {_frame(20)} AS sma
-      FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31')
-GROUP BY symbol""")
+sql("bollinger_period_one_filled", with_(BARS) + """
+SELECT symbol, date, 0.0::DOUBLE AS upper, close AS middle, 0.0::DOUBLE AS lower FROM bars""")
+
+sql("bollinger_untrimmed_filled", with_(BARS) + f"""
+SELECT symbol, date,
+       round(coalesce(avg(close) OVER {_frame(20)} + stddev_samp(close) OVER {_frame(20)} * 2.0, 0.0), 4) AS upper,
+       avg(close) OVER {_frame(20)} AS middle,
+       round(coalesce(avg(close) OVER {_frame(20)} - stddev_samp(close) OVER {_frame(20)} * 2.0, 0.0), 4) AS lower
+FROM bars""")
 
 # --- policy ----------------------------------------------------------------------------------
 
@@ -373,6 +376,17 @@ FROM (SELECT request_id, indicator,
         END AS ok
       FROM (SELECT *, request_id % 250 AS n FROM requests))""")
 
+sql("param_bounds_alternate", with_(REQUESTS) + """
+SELECT request_id, indicator,
+       CASE indicator
+         WHEN 'sma' THEN n BETWEEN 1 AND 200
+         WHEN 'ema' THEN n BETWEEN 1 AND 200
+         WHEN 'rsi' THEN n BETWEEN 1 AND 100
+         WHEN 'macd' THEN n BETWEEN 1 AND 50 AND request_id % 230 BETWEEN 1 AND 200
+         ELSE n BETWEEN 1 AND 200 AND (request_id % 61) / 10.0 BETWEEN 0.1 AND 5.0
+       END AS params_ok
+FROM (SELECT *, request_id % 250 AS n FROM requests)""")
+
 # --- quotas ------------------------------------------------------------------------------------
 
 sql("quota_decision", with_(USERS, REQUESTS, TEST_POLICY, _LIMITED) + """
@@ -402,11 +416,20 @@ FROM (SELECT c.user_id, c.day, u.tier, p.requests_per_day AS daily_limit,
       LEFT JOIN tier_policy p
         ON p.tier = CASE WHEN u.tier IN ('free', 'pro', 'premium') THEN u.tier ELSE 'free' END)""")
 
-sql("quota_retention", with_(REQUESTS) + """
-SELECT user_id, day, requests FROM (
-  SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests, min(ts) AS first_ts
-  FROM requests GROUP BY 1, 2)
-WHERE first_ts >= TIMESTAMP '2024-01-29 12:00:00'""")
+_CONSUMED = """
+consumed AS (
+  SELECT c.user_id, c.day, least(c.n, p.requests_per_day) AS requests, c.first_ts, p.requests_per_day AS daily_limit
+  FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, min(ts) AS first_ts FROM requests GROUP BY 1, 2) c
+  LEFT JOIN users u ON u.id = c.user_id
+  LEFT JOIN tier_policy p ON p.tier = CASE WHEN u.tier IN ('free', 'pro', 'premium') THEN u.tier ELSE 'free' END
+)"""
+
+sql("quota_counters", with_(USERS, REQUESTS, TEST_POLICY, _CONSUMED) + """
+SELECT user_id, day, requests FROM consumed WHERE requests > 0""")
+
+sql("quota_retention", with_(USERS, REQUESTS, TEST_POLICY, _CONSUMED) + """
+SELECT user_id, day, requests FROM consumed
+WHERE first_ts >= TIMESTAMP '2024-01-29 12:00:00' AND requests > 0""")
 
 # --- identity -------------------------------------------------------------------------------------
 
@@ -432,23 +455,36 @@ FROM (
 sql("key_listing", with_(API_KEYS) + """
 SELECT user_id, id, substring(key, 1, 10) || '...' AS key_hint, is_active FROM api_keys""")
 
-sql("intake_conflicts", with_(USERS) + r"""
-SELECT candidate_id, username, email,
-       CASE WHEN NOT (length(username) BETWEEN 3 AND 50) THEN 'invalid_username'
-            WHEN NOT regexp_matches(email, '^[^@]+@[^@]+\.[^@]+$') THEN 'invalid_email'
-            WHEN username IN (SELECT username FROM users) OR email IN (SELECT email FROM users)
-              THEN 'conflict'
-            ELSE 'ok' END AS status,
-       CASE WHEN tier IN ('free', 'pro', 'premium') THEN tier ELSE 'free' END AS tier
-FROM (SELECT event_id AS candidate_id,
+# Of valid candidates that share a name the first is accepted, unless it is refused itself: settled in order.
+sql("intake_conflicts", "WITH RECURSIVE " + USERS + r""",
+candidates AS (
+  SELECT candidate_id, username, email, tier,
+         CASE WHEN NOT (length(username) BETWEEN 3 AND 50) THEN 'invalid_username'
+              WHEN NOT regexp_matches(email, '^[^@]+@[^@]+\.[^@]+$') THEN 'invalid_email'
+              WHEN username IN (SELECT username FROM users) OR email IN (SELECT email FROM users) THEN 'conflict' END AS status
+  FROM (SELECT event_id AS candidate_id,
         CASE WHEN event_id % 3 = 0 THEN 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0')
              WHEN event_id % 5 = 0 THEN 'u' || CAST(event_id % 10 AS VARCHAR)
+             WHEN event_id % 4 = 1 THEN 'twin_' || CAST(event_id % 90 AS VARCHAR)
              ELSE 'new_user_' || CAST(event_id AS VARCHAR) END AS username,
         CASE WHEN event_id % 3 = 1 THEN 'customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@example.com'
              WHEN event_id % 7 = 0 THEN 'not-an-email'
+             WHEN event_id % 4 <> 3 THEN 'twin' || CAST(event_id % 70 AS VARCHAR) || '@example.com'
              ELSE 'new' || CAST(event_id AS VARCHAR) || '@example.com' END AS email,
         CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'pro' END AS tier
-      FROM events WHERE event_type = 'signup')""")
+      FROM events WHERE event_type = 'signup')),
+open AS (SELECT *, row_number() OVER (ORDER BY candidate_id) AS n FROM candidates WHERE status IS NULL),
+taken AS (
+  SELECT 0::BIGINT AS n, []::VARCHAR[] AS names, []::BIGINT[] AS ok
+  UNION ALL
+  SELECT o.n, CASE WHEN list_has_any(t.names, ['u' || o.username, 'e' || o.email]) THEN t.names ELSE t.names || ['u' || o.username, 'e' || o.email] END,
+         CASE WHEN list_has_any(t.names, ['u' || o.username, 'e' || o.email]) THEN t.ok ELSE t.ok || [o.candidate_id] END
+  FROM taken t JOIN open o ON o.n = t.n + 1),
+accepted AS (SELECT unnest(ok) AS candidate_id FROM taken WHERE n = (SELECT max(n) FROM taken))
+SELECT c.candidate_id, username, email,
+       coalesce(status, CASE WHEN a.candidate_id IS NULL THEN 'conflict' ELSE 'ok' END) AS status,
+       CASE WHEN tier IN ('free', 'pro', 'premium') THEN tier ELSE 'free' END AS tier
+FROM candidates c LEFT JOIN accepted a USING (candidate_id)""")
 
 # --- materialised results ------------------------------------------------------------------------
 
@@ -470,7 +506,7 @@ sql("params_key", with_(REQUESTS, _CACHE) + """
 SELECT request_id, params_key FROM cache""")
 
 sql("fresh_results", with_(REQUESTS, _CACHE) + """
-SELECT params_key, arg_max(request_id, cached_at) AS request_id
+SELECT params_key, arg_max(request_id, (cached_at, request_id)) AS request_id
 FROM cache
 WHERE cached_at > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1440 MINUTE
   AND cached_at <= TIMESTAMP '2024-01-30 00:00:00'
@@ -479,46 +515,134 @@ GROUP BY params_key""")
 sql("invalidate_matches", with_(REQUESTS, _CACHE) + """
 SELECT params_key, request_id FROM cache WHERE params_key GLOB 'indicator:S1:*'""")
 
+sql("results_read_through", with_(REQUESTS, _CACHE) + """
+SELECT params_key, live.value IS NOT NULL AS hit, coalesce(live.value, -1) AS value
+FROM (SELECT DISTINCT params_key FROM cache WHERE request_id % 3 = 0) asked
+LEFT JOIN (SELECT params_key, arg_max(request_id, (cached_at, request_id)) AS value FROM cache
+           WHERE request_id % 3 <> 0 AND cached_at > TIMESTAMP '2024-01-10 00:00:00'
+             AND cached_at <= TIMESTAMP '2024-01-30 00:00:00' GROUP BY params_key) live USING (params_key)""")
+
+sql("invalidate_count", with_(REQUESTS, _CACHE) + """
+SELECT count(DISTINCT params_key) AS deleted FROM cache WHERE params_key GLOB 'indicator:S[1-3]:*'""")
+
+sql("invalidate_rest", with_(REQUESTS, _CACHE) + """
+SELECT params_key, request_id FROM cache WHERE NOT params_key GLOB 'indicator:S?:[SE]MA:*'""")
+
 # --- request tables -------------------------------------------------------------------------------
 
-sql("batch_request_status", with_(BARS, USERS, REQUESTS, TEST_POLICY, _LIMITED) + """
-, gated AS (
-  SELECT *,
-         coalesce(user_active, false) AS identity_ok,
-         (CASE tier WHEN 'free' THEN 0 WHEN 'pro' THEN 1 WHEN 'premium' THEN 2 ELSE 0 END)
-           >= (CASE lower(indicator) WHEN 'sma' THEN 0 WHEN 'ema' THEN 0 WHEN 'rsi' THEN 1
-               WHEN 'macd' THEN 1 WHEN 'bollinger' THEN 2 ELSE 0 END) AS tier_ok
-  FROM limited
+# Requests of every kind (sources.testdata.requests_mixed), with their parameters as columns.
+MIXED = """
+mixed AS (
+  SELECT request_id, ts, user_id, symbol, CASE WHEN request_id % 97 = 0 THEN 'vwap' ELSE indicator END AS indicator, indicator AS swept,
+         CASE WHEN request_id % 10 = 0 THEN 'tok_' || CAST(request_id AS VARCHAR)
+              WHEN request_id % 10 = 5 THEN 'key_' || lpad(CAST(request_id AS VARCHAR), 10, '0') END AS api_key,
+         CASE WHEN request_id % 4 IN (0, 1) THEN NULL ELSE start_date END AS start_date,
+         CASE WHEN request_id % 4 IN (0, 2) THEN NULL ELSE end_date END AS end_date,
+         CAST(request_id % 250 AS INTEGER) AS p1, CAST(request_id % 230 AS INTEGER) AS p2, 9 AS p3, (request_id % 61) / 10.0 AS k
+  FROM requests
+)"""
+
+STATUS = """
+acting AS (
+  SELECT m.* EXCLUDE (user_id), CASE WHEN m.api_key IS NULL THEN m.user_id ELSE a.user_id END AS user_id
+  FROM mixed m LEFT JOIN (SELECT key, user_id FROM api_keys WHERE is_active) a
+    ON a.key = m.api_key AND starts_with(m.api_key, 'key_') AND length(m.api_key) > 10
+), gated AS (
+  SELECT r.*, u.tier, p.requests_per_day AS daily_limit, p.data_limit_days,
+         CASE WHEN indicator = 'vwap' THEN 'unknown_indicator'
+              WHEN NOT coalesce(u.is_active, false) THEN 'unauthenticated'
+              WHEN NOT list_contains(string_split(p.allowed, ','), indicator) THEN 'tier'
+              WHEN NOT CASE indicator WHEN 'sma' THEN p1 BETWEEN 1 AND 200 WHEN 'ema' THEN p1 BETWEEN 1 AND 200
+                   WHEN 'rsi' THEN p1 BETWEEN 1 AND 100 WHEN 'macd' THEN p1 BETWEEN 1 AND 100 AND p2 BETWEEN 1 AND 200
+                   ELSE p1 BETWEEN 1 AND 200 AND k BETWEEN 0.1 AND 5.0 END THEN 'bounds' END AS gate
+  FROM acting r LEFT JOIN users u ON u.id = r.user_id
+  LEFT JOIN tier_policy p ON p.tier = CASE WHEN u.tier IN ('free', 'pro', 'premium') THEN u.tier ELSE 'free' END
 ), ranked AS (
   SELECT g.*, q.rk FROM gated g LEFT JOIN (
-    SELECT request_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE)
-                                          ORDER BY ts, request_id) AS rk
-    FROM gated WHERE identity_ok AND tier_ok) q USING (request_id)
+    SELECT request_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, request_id) AS rk
+    FROM gated WHERE gate IS NULL) q USING (request_id)
+), ranged AS (
+  SELECT *, coalesce(end_date, DATE '1999-01-01') AS e0,
+         coalesce(start_date, CAST(coalesce(end_date, DATE '1999-01-01') - 365 AS DATE)) AS s0
+  FROM ranked
 ), clamped AS (
   SELECT *,
-    CASE WHEN NOT identity_ok THEN 401 WHEN NOT tier_ok THEN 403
-         WHEN daily_limit IS NOT NULL AND rk > daily_limit THEN 429 END AS gate,
-    CAST(CASE WHEN data_limit_days IS NULL THEN greatest(start_date, (SELECT min(date) FROM bars))
-              ELSE greatest(start_date, DATE '1999-01-01' - data_limit_days, (SELECT min(date) FROM bars))
-         END AS DATE) AS eff_start,
-    least(end_date, (SELECT max(date) FROM bars)) AS eff_end,
+    coalesce(gate, CASE WHEN daily_limit IS NOT NULL AND rk > daily_limit THEN 'quota' END) AS stopped,
+    CAST(CASE WHEN data_limit_days IS NULL THEN greatest(s0, (SELECT min(date) FROM bars))
+              ELSE greatest(s0, DATE '1999-01-01' - data_limit_days, (SELECT min(date) FROM bars)) END AS DATE) AS eff_start,
+    least(e0, (SELECT max(date) FROM bars)) AS eff_end,
     symbol IN (SELECT DISTINCT symbol FROM bars) AS known
-  FROM ranked
+  FROM ranged
 ), counted AS (
   SELECT c.request_id, count(*) AS points
   FROM clamped c JOIN bars b ON b.symbol = c.symbol AND b.date BETWEEN c.eff_start AND c.eff_end
-  WHERE c.gate IS NULL AND c.known
+  WHERE c.stopped IS NULL
   GROUP BY c.request_id
-)
-SELECT c.request_id,
-       CASE WHEN gate IS NOT NULL THEN gate WHEN NOT known THEN 404
-            WHEN coalesce(n.points, 0) = 0 THEN 404 ELSE 200 END AS status_code,
-       CASE WHEN gate = 401 THEN 'unauthenticated' WHEN gate = 403 THEN 'tier'
-            WHEN gate = 429 THEN 'quota' WHEN NOT known THEN 'unknown_symbol'
-            WHEN coalesce(n.points, 0) = 0 THEN 'empty_range' ELSE 'ok' END AS reason,
-       eff_start, eff_end,
-       CASE WHEN gate IS NULL AND known AND coalesce(n.points, 0) > 0 THEN n.points ELSE 0 END AS points
-FROM clamped c LEFT JOIN counted n USING (request_id)""")
+), status AS (
+  SELECT c.*, coalesce(n.points, 0) AS points,
+         coalesce(stopped, CASE WHEN NOT known THEN 'unknown_symbol' WHEN coalesce(n.points, 0) = 0 THEN 'empty_range' ELSE 'ok' END) AS reason
+  FROM clamped c LEFT JOIN counted n USING (request_id)
+)"""
+
+_STATUS_CTES = (BARS, USERS, API_KEYS, REQUESTS, TEST_POLICY, MIXED, STATUS)
+
+sql("batch_request_status", with_(*_STATUS_CTES) + """
+SELECT request_id, CASE reason WHEN 'unauthenticated' THEN 401 WHEN 'tier' THEN 403 WHEN 'bounds' THEN 422
+                               WHEN 'quota' THEN 429 WHEN 'ok' THEN 200 ELSE 404 END AS status_code,
+       reason, eff_start, eff_end, CASE WHEN reason = 'ok' THEN points ELSE 0 END AS points
+FROM status""")
+
+# Points of accepted requests, each with its own parameters (frames and steps take them from the row).
+EVALUATED = """
+pts AS (
+  SELECT r.request_id, r.indicator, r.p1, r.p2, r.p3, r.k, b.date, b.close,
+         CASE WHEN r.indicator IN ('ema', 'macd') THEN 2.0::DOUBLE / (r.p1 + 1) ELSE 1 END AS a1,
+         CASE WHEN r.indicator = 'macd' THEN 2.0::DOUBLE / (r.p2 + 1) ELSE 1 END AS a2,
+         2.0::DOUBLE / (r.p3 + 1) AS a3
+  FROM status r JOIN bars b ON b.symbol = r.symbol AND b.date BETWEEN r.eff_start AND r.eff_end
+  WHERE r.reason = 'ok'),
+seq AS (
+  SELECT *, row_number() OVER w AS rn, coalesce(close - lag(close) OVER w, 0.0) AS d
+  FROM pts WINDOW w AS (PARTITION BY request_id ORDER BY date)),
+ewm AS (
+  SELECT request_id, rn, close AS f, close AS s, CAST(0.0 AS DOUBLE) AS g FROM seq WHERE rn = 1 AND indicator IN ('ema', 'macd')
+  UNION ALL
+  SELECT s.request_id, s.rn, a1 * close + (1 - a1) * e.f, a2 * close + (1 - a2) * e.s,
+         a3 * ((a1 * close + (1 - a1) * e.f) - (a2 * close + (1 - a2) * e.s)) + (1 - a3) * e.g
+  FROM ewm e JOIN seq s ON s.request_id = e.request_id AND s.rn = e.rn + 1),
+rolled AS (
+  SELECT *, avg(close) OVER w AS mean, stddev_samp(close) OVER w AS sd,
+         sum(CASE WHEN d > 0 THEN d ELSE 0 END) OVER w AS up, sum(CASE WHEN d < 0 THEN -d ELSE 0 END) OVER w AS down
+  FROM seq WINDOW w AS (PARTITION BY request_id ORDER BY date ROWS BETWEEN (p1 - 1) PRECEDING AND CURRENT ROW)),
+evaluated AS (
+  SELECT r.request_id, r.date,
+         round(CASE indicator WHEN 'sma' THEN mean WHEN 'ema' THEN f
+               WHEN 'rsi' THEN CASE WHEN down > 0 THEN 100.0 - 100.0 / (1.0 + up / down) WHEN up > 0 THEN 100.0 END END, 4) AS value,
+         CASE WHEN indicator = 'macd' THEN round(f - s, 4) END AS macd, CASE WHEN indicator = 'macd' THEN round(g, 4) END AS signal,
+         CASE WHEN indicator = 'macd' THEN round(f - s - g, 4) END AS histogram,
+         CASE WHEN indicator = 'bollinger' THEN round(mean + k::DOUBLE * sd, 4) END AS upper,
+         CASE WHEN indicator = 'bollinger' THEN round(mean, 4) END AS middle,
+         CASE WHEN indicator = 'bollinger' THEN round(mean - k::DOUBLE * sd, 4) END AS lower
+  FROM rolled r LEFT JOIN ewm e ON e.request_id = r.request_id AND e.rn = r.rn)"""
+
+sql("batch_evaluate", with_recursive(*_STATUS_CTES, EVALUATED) + """
+SELECT request_id, date, value, macd, signal, histogram, upper, middle, lower FROM evaluated""")
+
+
+def _documents(indicator: str, title: str, columns: tuple[str, ...], parameters: str) -> str:
+    line = " || '|' || ".join(["CAST(e.date AS VARCHAR)"] + [f"CASE WHEN e.{c} IS NULL THEN 'null' ELSE format('{{:.4f}}', e.{c} + 0.0) END" for c in columns])
+    return with_recursive(*_STATUS_CTES, EVALUATED) + f"""
+SELECT s.request_id, s.symbol, '{title}' AS indicator, {parameters} AS parameters, count(*) AS data_points,
+       s.eff_start AS start_date, s.eff_end AS end_date, md5(string_agg({line} || ';', '' ORDER BY e.date)) AS data_md5
+FROM status s JOIN evaluated e USING (request_id) WHERE s.indicator = '{indicator}'
+GROUP BY ALL"""
+
+
+sql("indicator_documents", _documents("sma", "SMA", ("value",), "'window=' || format('{:.1f}', s.p1::DOUBLE)"))
+sql("macd_documents", _documents("macd", "MACD", ("macd", "signal", "histogram"),
+                                 "'fast_period=' || format('{:.1f}', s.p1::DOUBLE) || ',signal_period=9.0,slow_period=' || format('{:.1f}', s.p2::DOUBLE)"))
+sql("bollinger_documents", _documents("bollinger", "Bollinger Bands", ("upper", "middle", "lower"),
+                                      "'period=' || format('{:.1f}', s.p1::DOUBLE) || ',std_dev=' || format('{:.1f}', s.k::DOUBLE)"))
 
 
 def _batch_points(indicator: str) -> str:
@@ -545,7 +669,7 @@ sql("batch_ema", with_recursive(BARS, REQUESTS, _batch_points("ema"),
 SELECT request_id, date, round(ema, 4) AS ema FROM ewm""")
 
 sql("batch_rsi", with_(BARS, REQUESTS, _batch_points("rsi"), _rsi_sql("pts", "request_id", 14)) + """
-SELECT request_id, date, rsi FROM rsi""")
+SELECT request_id, date, round(rsi, 4) AS rsi FROM rsi""")
 
 sql("batch_macd", with_recursive(BARS, REQUESTS, _batch_points("macd"),
                                  _ewm_recursive("pts", "request_id", "close", {}, (12, 26, 9))) + """
@@ -567,12 +691,14 @@ SELECT endpoint, CAST(timestamp AS DATE) AS day, count(*) AS requests,
        avg(CASE WHEN status_code >= 500 THEN 1.0 ELSE 0.0 END) AS error_ratio
 FROM request_log GROUP BY endpoint, CAST(timestamp AS DATE)""")
 
-# --- streaming (closed days only: the last day stays open under the watermark) ----------
+sql("request_log_rollup_approx", with_(REQUEST_LOG) + """
+SELECT endpoint, CAST(timestamp AS DATE) AS day, count(*) AS requests,
+       CAST(quantile_disc(response_time, 0.5) AS DOUBLE) AS p50_ms, CAST(quantile_disc(response_time, 0.95) AS DOUBLE) AS p95_ms
+FROM request_log GROUP BY endpoint, CAST(timestamp AS DATE)""")
+
+# --- streaming ----------
 
-sql("stream_quota_counts", with_(REQUESTS) + """
-SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests
-FROM requests
-WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM requests)
-GROUP BY 1, 2""")
+sql("stream_quota_counts", with_(USERS, REQUESTS, TEST_POLICY, _CONSUMED) + """
+SELECT user_id, day, requests FROM consumed WHERE daily_limit > 0""")
 
 SQL["stream_quota_decision"] = SQL["quota_decision"]

@@ -1,4 +1,4 @@
-"""Bars source and sink.
+"""Bars source and sink.
 
 The bars table is read lazily; nothing is resident. Filters and column
 selections written after ``read_bars`` reach the parquet scan
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..schema import require_columns
 
+YEAR = "bar_year"
 _TIMESTAMPS = (T.TimestampType, T.TimestampNTZType)
 
 
@@ -27,7 +28,9 @@ def normalise_dates(df: DataFrame, columns=("date",)) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """O1: scan a bars table (a file or a partitioned folder)."""
+    """O1: scan a bars table (a file or a partitioned folder). A table written
+    by ``write_bars`` with its years apart is read so that date filters leave
+    out whole folders: the year column is tied to the date."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     df = normalise_dates(reader.parquet(path))
     return require_columns(df, "symbol", "date", "close")
@@ -35,30 +38,21 @@ def read_bars(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 def sorted_layout(df: DataFrame, keys=("symbol",), order: str = "date",
                   partitions: int | None = None) -> DataFrame:
-    """O3: range-partition by symbol and sort each partition by (symbol, date).
+    """O3: range-partition and sort by (symbol, date): a hot symbol spans partitions.
 
     This is the write-side layout; readers never need a global sort because
     every series window sorts within its own partition.
     """
     parts = [partitions] if partitions else []
-    return df.repartitionByRange(*parts, *keys).sortWithinPartitions(*keys, order)
-
-
-def write_bars(df: DataFrame, path: str, mode: str = "overwrite",
-               partition_by: tuple[str, ...] = ()) -> None:
-    """Parquet sink in the sorted layout, optionally directory-partitioned
-    (for example by year) so later range filters prune whole folders."""
-    writer = sorted_layout(df).write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-
-
-def to_pandas_bounded(df: DataFrame, max_rows: int = 1_000_000):
-    """Hand a *filtered* result to pandas. The row bound is checked with
-    a limited probe first, so an unfiltered table is refused instead of being
-    pulled through the driver."""
-    probe = df.limit(max_rows + 1).count()
-    if probe > max_rows:
-        raise ValueError(f"result has more than {max_rows} rows; filter it before toPandas()")
-    return df.toPandas()
+    return df.repartitionByRange(*parts, *keys, order).sortWithinPartitions(*keys, order)
+
+
+def write_bars(df: DataFrame, path: str, mode: str = "overwrite", by_year: bool = False) -> None:
+    """Parquet sink in the sorted layout; ``by_year`` puts each year into a
+    folder of its own (column ``YEAR``), which ``series.in_range`` prunes by."""
+    if not by_year:
+        sorted_layout(df).write.mode(mode).parquet(path)
+        return
+    df = df.withColumn(YEAR, F.year("date"))
+    laid_out = df.repartitionByRange(YEAR, "symbol", "date").sortWithinPartitions(YEAR, "symbol", "date")
+    laid_out.write.mode(mode).partitionBy(YEAR).parquet(path)

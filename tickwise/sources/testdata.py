@@ -8,13 +8,9 @@ twin in ``tickwise.plans.oracle`` so DuckDB derives the same rows.
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, session_id
 from .bars import normalise_dates
 
 # Fixed values of the fixture derivation (FIXTURES.md §3).
@@ -36,37 +32,10 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
-    """The bars table of ``sf_dir``.
-
-    Derived once per session and written as a table bucketed and sorted by
-    symbol under the shared checkpoint folder (the stored bars table of a
-    deployment; it also cuts the lineage back to lineitem). Window queries
-    partitioned by symbol then read co-located buckets and plan no Exchange.
-    ``materialise=False`` returns the derivation itself."""
-    if not materialise:
-        return derive_bars(spark, sf_dir)
-    return stored_table(spark, sf_dir, "bars", derive_bars, bucket_by="symbol",
-                        sort_by=("symbol", "date"))
-
-
-_STORED: dict = {}
-
-
-def stored_table(spark: SparkSession, sf_dir: str, name: str, derive, bucket_by: str,
-                 sort_by=()) -> DataFrame:
-    key = (session_id(spark), os.path.abspath(sf_dir), name)
-    table = _STORED.get(key)
-    if table is None or not spark.catalog.tableExists(table):
-        table = "tickwise_%s_%s" % (name, hashlib.sha1(repr(key).encode()).hexdigest()[:12])
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        path = scratch_path(spark, table)
-        (derive(spark, sf_dir).repartition(buckets, bucket_by)
-            .write.mode("overwrite").format("parquet")
-            .bucketBy(buckets, bucket_by).sortBy(*sort_by)
-            .option("path", path).saveAsTable(table))
-        _STORED[key] = table
-    return spark.table(table)
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars table of ``sf_dir``, derived from its lineitem table: a lazy
+    plan, so building a query runs no job and always sees the current source."""
+    return derive_bars(spark, sf_dir)
 
 
 def derive_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +128,13 @@ def _indicator_of(event_type: Column) -> Column:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indicator requests: one per event (FIXTURES.md §3)."""
-    return requests_from_events(raw(spark, sf_dir, "events"))
+    """Indicator requests: one per event (FIXTURES.md §3), spread over all
+    symbols and three that have no bars."""
+    n = raw(spark, sf_dir, "supplier").agg(F.count(F.lit(1)) + 3).scalar()
+    return requests_from_events(raw(spark, sf_dir, "events"), F.concat(F.lit("S"), (F.col("event_id") % n).cast("string")))
 
 
-def requests_from_events(e: DataFrame) -> DataFrame:
+def requests_from_events(e: DataFrame, symbol: Column | None = None) -> DataFrame:
     """The request rule as a plain projection, so a stream of events maps
     to a stream of requests with the same code."""
     start = F.date_add(F.lit(REQUEST_EPOCH).cast("date"), (F.col("event_id") % 1000).cast("int"))
@@ -173,7 +144,7 @@ def requests_from_events(e: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id"),
         F.lit(None).cast("string").alias("api_key"),
-        F.concat(F.lit("S"), (F.col("user_id") % 10).cast("string")).alias("symbol"),
+        (F.lit(None).cast("string") if symbol is None else symbol).alias("symbol"),
         ind.alias("indicator"),
         default_params(ind).alias("params"),
         start.alias("start_date"),
@@ -181,10 +152,7 @@ def requests_from_events(e: DataFrame) -> DataFrame:
     )
 
 
-def requests_open_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with omitted range ends (input of the default range O36):
-    event_id mod 4 = 0 omits both, 1 omits the start, 2 the end."""
-    r = requests(spark, sf_dir)
+def _with_open_ranges(r: DataFrame) -> DataFrame:
     m = F.col("request_id") % 4
     return (r.withColumn("start_date", F.when(m.isin(0, 1), F.lit(None).cast("date"))
                          .otherwise(F.col("start_date")))
@@ -192,6 +160,23 @@ def requests_open_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
                          .otherwise(F.col("end_date"))))
 
 
+def requests_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of every kind: swept parameters (some out of bounds), open
+    ranges, an unknown indicator (request_id mod 97 = 0), and API keys in
+    place of a session (mod 10 = 0 malformed, mod 10 = 5 the key of order
+    ``request_id``)."""
+    r = _with_open_ranges(requests_with_params(spark, sf_dir))
+    m = F.col("request_id") % 10
+    key = F.when(m == 0, F.concat(F.lit("tok_"), F.col("request_id").cast("string"))).when(m == 5, key_string(F.col("request_id")))
+    return r.withColumn("api_key", key).withColumn("indicator", F.when(F.col("request_id") % 97 == 0, F.lit("vwap")).otherwise(F.col("indicator")))
+
+
+def requests_open_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with omitted range ends (input of the default range O36):
+    event_id mod 4 = 0 omits both, 1 omits the start, 2 the end."""
+    return _with_open_ranges(requests(spark, sf_dir))
+
+
 def requests_with_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests whose integer parameter sweeps 0..249 and whose Bollinger
     multiplier sweeps 0.0..6.0 (input of the bounds check O39)."""
@@ -228,9 +213,11 @@ def intake_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded_user = F.lpad(F.col("user_id").cast("string"), 9, "0")
     username = (F.when(eid % 3 == 0, F.concat(F.lit("Customer#"), padded_user))
                 .when(eid % 5 == 0, F.concat(F.lit("u"), (eid % 10).cast("string")))
+                .when(eid % 4 == 1, F.concat(F.lit("twin_"), (eid % 90).cast("string")))
                 .otherwise(F.concat(F.lit("new_user_"), eid.cast("string"))))
     email = (F.when(eid % 3 == 1, F.concat(F.lit("customer#"), padded_user, F.lit("@example.com")))
              .when(eid % 7 == 0, F.lit("not-an-email"))
+             .when(eid % 4 != 3, F.concat(F.lit("twin"), (eid % 70).cast("string"), F.lit("@example.com")))
              .otherwise(F.concat(F.lit("new"), eid.cast("string"), F.lit("@example.com"))))
     tier = F.when(eid % 2 == 0, F.lit(None).cast("string")).otherwise(F.lit("pro"))
     return e.select(eid.alias("candidate_id"), username.alias("username"),
@@ -250,6 +237,6 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["raw", "bars", "raw_bars", "users", "api_keys", "requests", "requests_from_events", "requests_open_ranges",
+__all__ = ["raw", "bars", "raw_bars", "users", "api_keys", "requests", "requests_from_events", "requests_open_ranges", "requests_mixed",
            "requests_with_params", "key_requests", "intake_candidates", "request_log",
            "normalise_dates", "key_string", "default_params"]
