@@ -11,9 +11,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tickwise.session import build_session
-    s = build_session("local[*]", app="tickwise-tests", shuffle_partitions=8)
+    shared = str(tmp_path_factory.mktemp("shared"))
+    s = build_session("local[*]", app="tickwise-tests", shuffle_partitions=8, extra={"spark.checkpoint.dir": shared, "spark.driver.memory": "6g"})
     yield s
     s.stop()
 

@@ -7,9 +7,12 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from tickwise.operators import identity as ID
 from tickwise.operators import policy as P
 from tickwise.operators import quota as Q
+from tickwise.operators import requests as RQ
 from tickwise.operators import results as RS
+from tickwise.plans.catalog import QUERIES
 from tickwise.sources import bars as B
 from tickwise.sources import testdata as td
 from tickwise.streaming import quota_stream as QS
@@ -53,7 +56,7 @@ def test_quota_rejected_requests_do_not_consume(spark):
     ts = [dt.datetime(2024, 1, 1, 9, m) for m in range(5)] + [dt.datetime(2024, 1, 2, 9, 0)]
     rows = [(i, t, 1, 2) for i, t in enumerate(ts)]
     df = spark.createDataFrame(rows, "request_id long, ts timestamp, user_id long, daily_limit int")
-    out = Q.quota_decision(df, P.TEST_POLICY).orderBy("request_id").collect()
+    out = Q.quota_decision(df).orderBy("request_id").collect()
     assert [r["allowed"] for r in out] == [True, True, False, False, False, True]
     assert [r["used"] for r in out] == [0, 1, 2, 2, 2, 0]
     assert out[2]["reset_date"] == dt.date(2024, 1, 2)
@@ -84,7 +87,7 @@ def test_materialise_fresh_and_invalidate(spark, tmp_path):
 def test_sink_roundtrip_and_source_guard(spark, tmp_path):
     path = str(tmp_path / "bars")
     bars = td.bars(spark, SF)
-    B.write_bars(bars, path, partition_by=())
+    B.write_bars(bars, path)
     back = B.read_bars(spark, path)
     assert back.count() == bars.count()
     assert dict(back.dtypes)["date"] == "date"
@@ -92,11 +95,100 @@ def test_sink_roundtrip_and_source_guard(spark, tmp_path):
         B.read_bars(spark, str(tmp_path / "missing"))
 
 
-def test_bounded_pandas(spark):
-    bars = td.bars(spark, SF)
-    assert len(B.to_pandas_bounded(bars.where("symbol = 'S1'"), 10_000)) > 0
-    with pytest.raises(ValueError):
-        B.to_pandas_bounded(bars, 10)
+def test_limits_are_the_rows_own(spark):
+    """A limit above every policy's, limits of 0, and no limited row at all."""
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), 1, 1000) for i in range(1100)]
+    df = spark.createDataFrame(rows, "request_id long, ts timestamp, user_id long, daily_limit int")
+    assert Q.quota_decision(df).where("allowed").count() == 1000
+    assert Q.quota_decision(df.withColumn("daily_limit", F.lit(0))).where("allowed").count() == 0
+    assert Q.quota_decision(df.withColumn("daily_limit", F.lit(None).cast("int"))).where("allowed").count() == 1100
+
+
+def _bars(spark, rows):
+    return spark.createDataFrame([(s, d, float(c)) for s, d, c in rows], "symbol string, date date, close double")
+
+
+def _requests(spark, rows):
+    return spark.createDataFrame(rows, "request_id long, symbol string, indicator string, params map<string,string>, start_date date, end_date date")
+
+
+def test_evaluate_uses_each_requests_parameters_and_open_ranges(spark):
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=i) for i in range(1300)]
+    closes = [100 + (i * 37) % 50 for i in range(1300)]
+    bars = _bars(spark, [("A", d, c) for d, c in zip(days, closes)])
+    r = _requests(spark, [(1, "A", "SMA", {"window": "5"}, days[10], days[60]), (2, "A", "sma", None, days[10], None), (3, "A", "ema", {"window": "3"}, None, None),
+                          (4, "A", "ema", {"window": "1"}, None, days[5]), (5, "A", "macd", {"fast_period": "3"}, days[0], None), (6, "A", "bollinger", {"std_dev": "1.5"}, days[3], days[40]),
+                          (7, "A", "rsi", {"period": "2"}, days[3], days[40]), (8, "A", "vwap", None, None, None), (9, "B", "sma", None, None, None), (10, "A", "SMA", {"window": "5"}, days[10], days[60])])
+    got = {}
+    for row in RQ.evaluate(r, bars).orderBy("date").collect():
+        got.setdefault(row["request_id"], []).append(row)
+    import pandas as pd
+    c = pd.Series(closes, dtype=float)
+    near = lambda rows, col, want: all((x[col] is None and pd.isna(w)) or abs(x[col] - w) < 1e-9 for x, w in zip(rows, want, strict=True))
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7, 10} and [x["value"] for x in got[1]] == [x["value"] for x in got[10]]
+    assert near(got[1], "value", c[10:61].rolling(5, min_periods=1).mean()) and near(got[2], "value", c[10:].rolling(20, min_periods=1).mean())
+    assert near(got[3], "value", c.ewm(span=3, adjust=False).mean()) and near(got[4], "value", c[:6])
+    line = c.ewm(span=3, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
+    assert near(got[5], "macd", line) and near(got[5], "signal", line.ewm(span=9, adjust=False).mean())
+    part = c[3:41]
+    assert near(got[6], "upper", part.rolling(20, min_periods=1).mean() + 1.5 * part.rolling(20, min_periods=1).std())
+    d = part.diff().fillna(0)
+    up, down = d.clip(lower=0).rolling(2, min_periods=1).sum(), (-d).clip(lower=0).rolling(2, min_periods=1).sum()
+    assert near(got[7], "value", [float("nan") if u == v == 0 else 100.0 if v == 0 else 100 - 100 / (1 + u / v) for u, v in zip(up, down)])
+
+
+def test_every_reason_occurs(spark):
+    got = {r["reason"] for r in QUERIES["batch_request_status"](spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
+    assert got == {"unknown_indicator", "unauthenticated", "tier", "bounds", "quota", "unknown_symbol", "empty_range", "ok"}
+
+
+def test_intake_settles_conflicts_in_order(spark):
+    users = spark.createDataFrame([("old", "old@x.yz")], "username string, email string")
+    rows = [(1, "abc", "a@x.yz", None), (2, "abc", "b@x.yz", None), (3, "bcd", "b@x.yz", "pro"), (4, "cde", "b@x.yz", None), (5, "old", "n@x.yz", None), (6, "new", "n@x.yz", None),
+            (7, "x", "q@x.yz", None), (8, "xyz", "no-email", None), (9, "xyz", "q@x.yz", None), (10, None, "r@x.yz", None)]
+    c = spark.createDataFrame(rows, "candidate_id long, username string, email string, tier string")
+    got = {r["candidate_id"]: r["status"] for r in ID.intake_check(c, users).collect()}
+    assert got == {1: "ok", 2: "conflict", 3: "ok", 4: "conflict", 5: "conflict", 6: "ok", 7: "invalid_username", 8: "invalid_email", 9: "ok", 10: "invalid_username"}
+
+
+def test_read_through_and_delete(spark, tmp_path):
+    path = str(tmp_path / "results")
+    res = spark.createDataFrame([("sma", "k1", 1.0), ("sma", "k2", 2.0), ("ema", "j1", 3.0), ("rsi", "k9", 4.0)], "indicator string, params_key string, value double")
+    RS.materialise(res, path, "2024-01-01 10:00:00")
+    asked = spark.createDataFrame([("k1",), ("k1",), ("zz",)], "params_key string")
+    out = {r["params_key"]: (r["hit"], r["value"]) for r in RS.read_through(asked, spark.read.parquet(path), lambda m: m.withColumn("value", F.lit(7.0)), "2024-01-01 10:10:00").collect()}
+    assert out == {"k1": (True, 1.0), "zz": (False, 7.0)}
+    assert RS.delete(spark, path, "k[12]") == 2 and RS.delete(spark, path, "nothing*") == 0
+    assert sorted(r[0] for r in spark.read.parquet(path).select("params_key").collect()) == ["j1", "k9"]
+    tied = res.withColumn("cached_at", F.lit("2024-01-01").cast("timestamp")).withColumn("params_key", F.lit("k"))
+    assert RS.newest_per_key(tied, ["value"]).first()["value"] == 4.0
+
+
+@pytest.mark.parametrize("pattern,yes,no", [("a[&&b]c", "a&c", "adc"), ("a[]c", "a[]c", "ac"), ("x[^y]", "xz", "xy"), ("p[[]q", "p[q", "pq"), ("a.b*", "a.bc", "axbc")])
+def test_globs_mean_the_same_in_java(spark, pattern, yes, no):
+    df = spark.createDataFrame([(yes,), (no,), (None,)], "params_key string")
+    assert [r[0] for r in RS.matching(df, pattern).collect()] == [yes]
+    assert RS.invalidate(df, pattern).count() == 2
+
+
+def test_late_events_and_open_days_are_counted(spark, tmp_path):
+    """A late event of a closed day gets a decision and is counted; so is the last day."""
+    users = spark.createDataFrame([(1, "free"), (2, "premium")], "id long, tier string")
+    flat = tmp_path / "events"
+    flat.mkdir()
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    batches = [[(1, "2024-01-01 10:00", 1), (2, "2024-01-01 11:00", 2)], [(3, "2024-01-09 10:00", 1)], [(4, "2024-01-01 09:00", 1), (5, "2024-01-09 11:00", 1), (6, "2024-01-09 12:00", 1)]]
+    for n, rows in enumerate(batches):
+        pq.write_table(pa.table({"event_id": pa.array([r[0] for r in rows], pa.int64()), "ts": pa.array([dt.datetime.fromisoformat(r[1]) for r in rows], pa.timestamp("us")),
+                                 "user_id": pa.array([r[2] for r in rows], pa.int64()), "event_type": pa.array(["view"] * len(rows)), "value": pa.array([1.0] * len(rows)),
+                                 "props": pa.array([""] * len(rows))}), str(flat / f"{n}.parquet"))
+        os.utime(str(flat / f"{n}.parquet"), (1_000_000 + n, 1_000_000 + n))
+    stream = lambda: td.requests_from_events(QS.read_event_stream(spark, str(flat), files_per_trigger=1))
+    got = {r["request_id"]: r["allowed"] for r in QS.run_to_parquet(spark, QS.decisions_stream(stream(), users, P.TEST_POLICY), "late").collect()}
+    assert got == {1: True, 2: True, 3: True, 4: True, 5: True, 6: False}
+    counts = {(r["user_id"], str(r["day"])): r["requests"] for r in QS.run_counts(spark, QS.daily_counts_stream(stream(), users, P.TEST_POLICY), "late").collect()}
+    assert counts == {(1, "2024-01-01"): 2, (1, "2024-01-09"): 2}
 
 
 def test_stream_decisions_equal_batch_over_micro_batches(spark, tmp_path):
@@ -120,8 +212,7 @@ def test_stream_decisions_equal_batch_over_micro_batches(spark, tmp_path):
     stream = QS.read_event_stream(spark, flat, files_per_trigger=1)
     got = QS.run_to_parquet(spark, QS.decisions_stream(td.requests_from_events(stream), users,
                                                        P.TEST_POLICY), "t-stream")
-    batch = Q.quota_decision(Q.with_daily_limit(td.requests(spark, SF), users, P.TEST_POLICY),
-                             P.TEST_POLICY)
+    batch = Q.quota_decision(Q.with_daily_limit(td.requests(spark, SF), users, P.TEST_POLICY))
     cols = ["request_id", "allowed", "used", "remaining"]
     a = sorted(tuple(r) for r in got.select(cols).collect())
     b = sorted(tuple(r) for r in batch.select(cols).collect())

@@ -110,3 +110,57 @@ def test_rolling_frames_count_rows(spark):
     w = K.series_window()
     got = [r[0] for r in df.select(K.rolling_mean("close", 2, w)).orderBy("date").collect()]
     assert sorted(got) == [1.0, 2.0, 4.0]
+
+
+def test_ewm_keeps_all_history_down_to_underflow(spark):
+    """A crash long ago is still seen: over three blocks, then to zero."""
+    closes = [1e18] + [0.0] * 2000
+    got = _by(I.ema(_frame(spark, {"A": closes}), 20), "A", "ema")
+    want = pd.Series(closes).ewm(span=20, adjust=False).mean().tolist()
+    assert want[1500] > 0 and np.allclose(got, want, rtol=1e-9, atol=0)
+
+
+def test_nan_stays_in_the_mean(spark):
+    closes = [1.0] * 3 + [float("nan")] + [2.0] * 1500
+    got = _by(I.ema(_frame(spark, {"A": closes}), 9), "A", "ema")
+    assert all(np.isnan(got[3:])) and got[2] == pytest.approx(1.0)
+
+
+def test_null_runs_over_blocks(spark):
+    rng = np.random.default_rng(2)
+    closes = [float(x) if rng.random() > 0.6 else None for x in rng.uniform(50, 150, 3000).round(2)]
+    got = _by(I.ema(_frame(spark, {"A": closes}), 30), "A", "ema")
+    kept = [c for c in closes if c is not None]
+    want = iter(pd.Series(kept).ewm(span=30, adjust=False).mean().tolist())
+    for c, g in zip(closes, got):
+        assert g is None if c is None else g == pytest.approx(next(want), abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 511, 512, 513, 1600])
+def test_rolling_over_block_edges(spark, n):
+    rng = np.random.default_rng(n)
+    closes = [float(x) for x in rng.integers(50, 150, n)]
+    df, c = _frame(spark, {"A": closes}), pd.Series(closes)
+    assert np.allclose(_by(I.sma(df, 200), "A", "sma"), c.rolling(200, min_periods=1).mean(), atol=1e-9)
+    d = c.diff()
+    up, down = d.clip(lower=0).fillna(0).rolling(14, min_periods=1).mean(), (-d).clip(lower=0).fillna(0).rolling(14, min_periods=1).mean()
+    want = [None if u == 0 and v == 0 else 100.0 if v == 0 else 100 - 100 / (1 + u / v) for u, v in zip(up, down)]
+    for g, w in zip(_by(I.rsi(df, 14), "A", "rsi"), want):
+        assert (g is None) == (w is None) and (g is None or g == pytest.approx(w, abs=1e-9))
+    assert np.allclose([x or 0 for x in _by(I.bollinger(df, 600), "A", "middle")], c.rolling(600, min_periods=1).mean(), atol=1e-9)
+
+
+def test_tie_break_columns_order_equal_dates(spark):
+    rows = [("A", dt.date(2000, 1, 1), 2, 5.0), ("A", dt.date(2000, 1, 1), 1, 1.0), ("A", dt.date(2000, 1, 2), 1, 3.0)]
+    df = spark.createDataFrame(rows, "symbol string, date date, n int, close double")
+    got = {(r["date"].day, r["n"]): r["sma"] for r in I.sma(df, 2, order=("date", "n")).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 3.0, (2, 1): 4.0}
+
+
+def test_whole_series_equal_blocked_ones(spark):
+    rng = np.random.default_rng(5)
+    df = _frame(spark, {"A": [float(x) for x in rng.integers(50, 150, 1300)], "B": [float(x) for x in rng.integers(1, 9, 40)]})
+    a = I.suite(df).orderBy("symbol", "date").toPandas()
+    b = I.suite(df, whole=True).orderBy("symbol", "date").toPandas()
+    for c in I.SUITE_COLUMNS:
+        assert np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-9, equal_nan=True)
