@@ -592,7 +592,7 @@ SELECT request_id, CASE reason WHEN 'unauthenticated' THEN 401 WHEN 'tier' THEN
        reason, eff_start, eff_end, CASE WHEN reason = 'ok' THEN points ELSE 0 END AS points
 FROM status""")
 
-# Points of accepted requests, each with its own parameters (frames and steps take them from the row).
+# Points of accepted requests (rounded as catalog.r2), each with its own parameters (frames and steps take them from the row).
 EVALUATED = """
 pts AS (
   SELECT r.request_id, r.indicator, r.p1, r.p2, r.p3, r.k, b.date, b.close,
@@ -617,12 +617,12 @@ rolled AS (
 evaluated AS (
   SELECT r.request_id, r.date,
          round(CASE indicator WHEN 'sma' THEN mean WHEN 'ema' THEN f
-               WHEN 'rsi' THEN CASE WHEN down > 0 THEN 100.0 - 100.0 / (1.0 + up / down) WHEN up > 0 THEN 100.0 END END, 4) AS value,
-         CASE WHEN indicator = 'macd' THEN round(f - s, 4) END AS macd, CASE WHEN indicator = 'macd' THEN round(g, 4) END AS signal,
-         CASE WHEN indicator = 'macd' THEN round(f - s - g, 4) END AS histogram,
-         CASE WHEN indicator = 'bollinger' THEN round(mean + k::DOUBLE * sd, 4) END AS upper,
-         CASE WHEN indicator = 'bollinger' THEN round(mean, 4) END AS middle,
-         CASE WHEN indicator = 'bollinger' THEN round(mean - k::DOUBLE * sd, 4) END AS lower
+               WHEN 'rsi' THEN CASE WHEN down > 0 THEN 100.0 - 100.0 / (1.0 + up / down) WHEN up > 0 THEN 100.0 END END + 0.0012345::DOUBLE, 2) AS value,
+         CASE WHEN indicator = 'macd' THEN round(f - s + 0.0012345::DOUBLE, 2) END AS macd, CASE WHEN indicator = 'macd' THEN round(g + 0.0012345::DOUBLE, 2) END AS signal,
+         CASE WHEN indicator = 'macd' THEN round(f - s - g + 0.0012345::DOUBLE, 2) END AS histogram,
+         CASE WHEN indicator = 'bollinger' THEN round(mean + k::DOUBLE * sd + 0.0012345::DOUBLE, 2) END AS upper,
+         CASE WHEN indicator = 'bollinger' THEN round(mean + 0.0012345::DOUBLE, 2) END AS middle,
+         CASE WHEN indicator = 'bollinger' THEN round(mean - k::DOUBLE * sd + 0.0012345::DOUBLE, 2) END AS lower
   FROM rolled r LEFT JOIN ewm e ON e.request_id = r.request_id AND e.rn = r.rn)"""
 
 sql("batch_evaluate", with_recursive(*_STATUS_CTES, EVALUATED) + """
@@ -630,7 +630,7 @@ SELECT request_id, date, value, macd, signal, histogram, upper, middle, lower FR
 
 
 def _documents(indicator: str, title: str, columns: tuple[str, ...], parameters: str) -> str:
-    line = " || '|' || ".join(["CAST(e.date AS VARCHAR)"] + [f"CASE WHEN e.{c} IS NULL THEN 'null' ELSE format('{{:.4f}}', e.{c} + 0.0) END" for c in columns])
+    line = " || '|' || ".join(["CAST(e.date AS VARCHAR)"] + [f"CASE WHEN e.{c} IS NULL THEN 'null' ELSE format('{{:.2f}}', e.{c} + 0.0) END" for c in columns])
     return with_recursive(*_STATUS_CTES, EVALUATED) + f"""
 SELECT s.request_id, s.symbol, '{title}' AS indicator, {parameters} AS parameters, count(*) AS data_points,
        s.eff_start AS start_date, s.eff_end AS end_date, md5(string_agg({line} || ';', '' ORDER BY e.date)) AS data_md5
@@ -666,21 +666,21 @@ SELECT request_id, date, avg(close) OVER {_rframe(20)} AS sma FROM pts""")
 
 sql("batch_ema", with_recursive(BARS, REQUESTS, _batch_points("ema"),
                                 _ewm_recursive("pts", "request_id", "close", {"ema": 20})) + """
-SELECT request_id, date, round(ema, 4) AS ema FROM ewm""")
+SELECT request_id, date, round(ema + 0.0012345::DOUBLE, 2) AS ema FROM ewm""")
 
 sql("batch_rsi", with_(BARS, REQUESTS, _batch_points("rsi"), _rsi_sql("pts", "request_id", 14)) + """
-SELECT request_id, date, round(rsi, 4) AS rsi FROM rsi""")
+SELECT request_id, date, round(rsi + 0.0012345::DOUBLE, 2) AS rsi FROM rsi""")
 
 sql("batch_macd", with_recursive(BARS, REQUESTS, _batch_points("macd"),
                                  _ewm_recursive("pts", "request_id", "close", {}, (12, 26, 9))) + """
-SELECT request_id, date, round(m_fast - m_slow, 4) AS macd, round(m_signal, 4) AS signal,
-       round(m_fast - m_slow - m_signal, 4) AS histogram FROM ewm""")
+SELECT request_id, date, round(m_fast - m_slow + 0.0012345::DOUBLE, 2) AS macd, round(m_signal + 0.0012345::DOUBLE, 2) AS signal,
+       round(m_fast - m_slow - m_signal + 0.0012345::DOUBLE, 2) AS histogram FROM ewm""")
 
 sql("batch_bollinger", with_(BARS, REQUESTS, _batch_points("bollinger")) + f"""
 SELECT request_id, date,
-       round(avg(close) OVER {_rframe(20)} + stddev_samp(close) OVER {_rframe(20)} * 2.0, 4) AS upper,
+       round(avg(close) OVER {_rframe(20)} + stddev_samp(close) OVER {_rframe(20)} * 2.0 + 0.0012345::DOUBLE, 2) AS upper,
        avg(close) OVER {_rframe(20)} AS middle,
-       round(avg(close) OVER {_rframe(20)} - stddev_samp(close) OVER {_rframe(20)} * 2.0, 4) AS lower
+       round(avg(close) OVER {_rframe(20)} - stddev_samp(close) OVER {_rframe(20)} * 2.0 + 0.0012345::DOUBLE, 2) AS lower
 FROM pts""")
 
 sql("request_log_rollup", with_(REQUEST_LOG) + """
