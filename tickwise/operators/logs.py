@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quota import day_of
+
 
 def rollup(log: DataFrame, exact: bool = False, ts_col: str = "timestamp") -> DataFrame:
     rt = F.col("response_time")
@@ -15,7 +17,7 @@ def rollup(log: DataFrame, exact: bool = False, ts_col: str = "timestamp") -> Da
         p50, p95 = F.percentile(rt, 0.5), F.percentile(rt, 0.95)
     else:
         p50, p95 = F.percentile_approx(rt, 0.5), F.percentile_approx(rt, 0.95)
-    return log.groupBy("endpoint", F.to_date(ts_col).alias("day")).agg(
+    return log.groupBy("endpoint", day_of(F.col(ts_col)).alias("day")).agg(
         F.count(F.lit(1)).alias("requests"),
         F.avg(rt).alias("avg_ms"),
         p50.cast("double").alias("p50_ms"),
