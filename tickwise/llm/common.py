@@ -15,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,18 +77,18 @@ def strip_blanks(c: Column) -> Column:
 
 def segments(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cuts Arrow batches so that the strings of ``column`` hold about
-    ``limit`` characters a piece (one longer row is a piece of its own)."""
+    ``limit`` bytes a piece (one longer row is a piece of its own); only the
+    piece at hand is turned into Python strings."""
     for batch in batches:
-        texts = batch.column(column).to_pylist()
-        start, held = 0, 0
-        for i, t in enumerate(texts):
-            n = len(t) if t is not None else 0
-            if held and held + n > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += n + 1
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy()
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(sizes):
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+            piece = batch.slice(start, stop - start)
+            yield piece, piece.column(column).to_pylist()
+            start = stop
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -99,3 +100,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (np.unique hashes, which is many times slower)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x

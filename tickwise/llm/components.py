@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 from tickwise.llm.common import written
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+SALTS = 8  # a hub's neighbours are dealt over so many tasks
+
+
+def _meet(pairs: DataFrame, lows: DataFrame) -> DataFrame:
+    """(u, v, low): pairs with the least node that ``lows`` has for u."""
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    copies = lows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["u", "salt"]).select("u", "v", "low")
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -22,23 +28,19 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
 
 
-def _distinct(edges: DataFrame) -> DataFrame:
-    return edges.where(F.col("u") != F.col("v")).distinct()
-
-
 def components(links: DataFrame) -> DataFrame:
     """links (u, v), long, in any direction -> (u, low): the least node of the
     component of every linked node but that one itself."""
-    edges = written(_distinct(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "cc")
+    edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
     seen = None
     while True:
-        both = _both(edges)
-        large = _distinct(both.join(_least(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Large star: larger neighbours move to the least node around; small star: so do a node and its smaller neighbours.
+        large = _meet(both, _least(both)).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
         lows = _least(large)
-        small = _distinct(large.join(lows, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-                          .unionByName(lows.select("u", F.col("low").alias("v"))))
-        edges = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
+        small = _meet(large, lows).select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(lows.select("u", F.col("low").alias("v")))
+        edges = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(hash(u, v, 7))")).first()
-        if now == seen:
+        if now == seen or not now[0]:
             return edges.select("u", F.col("v").alias("low"))
         seen = now

@@ -17,11 +17,13 @@ Pigeonhole, on E non-empty segments of a set, with E > d:
 2. In an order of the segments by frequency, two partners agree in one of
    their first d + 1 segments each; segments that nobody shares come first
    and cost nothing, so few remain, the rarest shared ones.
-3. Sets that agree in such a segment are candidates. First every set is held
-   against one other set of its segment (a star, not all pairs), the links
-   are verified on the whole sets of shingles and united to components; then
-   again with another order; at last all pairs that are still in different
-   components. A verified pair inside a component would change nothing.
+3. Sets that agree in such a segment are candidates if their sizes fit and a
+   second, dense sketch (4 to 8 bits a shingle; the longer of two is folded)
+   doesn't already differ in more bits than the sets may. First every set is
+   held against one hub of its segments, the set with the most common ones;
+   then against the nearest set of every other group; at last all pairs that
+   are still apart. Candidates are verified on the whole sets of shingles. A
+   pair that is known to be connected would change nothing, so it is left out.
 
 Segments travel packed (4 bytes each and a bucket) between tasks; buckets are
 as many as the texts need. Equal sets are one set throughout. If a set had
@@ -37,20 +39,26 @@ other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import UPPER, mix64, read, segments, written
+from tickwise.llm.common import UPPER, distinct, mix64, read, segments, written
 from tickwise.llm.components import components
 from tickwise.llm.shingles import shingle_sets
 
-SEGMENT_CHARS = 8_000_000  # of text sketched at a time
+SEGMENT_CHARS = 3_000_000  # of text sketched at a time
 BUCKET_BYTES = 16_000_000  # of text whose segments make one bucket, about
 SMALL_BAND = 7  # sets below 2^7 shingles: a segment a bit, nearly
+SMALL_GROUP = 64  # sets of a segment up to which groups are paired together
+CHUNK_WORDS = 1 << 21  # words of dense sketches compared at a time
+MEMBERS = 250_000  # (segment, set) rows of a candidate bucket, about
 FEW_IDS = 4_000_000  # ids up to which they are broadcast (32 MB)
 _K1, _K2, _K3 = (np.uint64(k) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 _META = np.dtype([("key", "<u8"), ("sid", "<u8"), ("m", "<u4"), ("e", "<u4")])
@@ -118,17 +126,18 @@ def _dealt(owner: np.ndarray, bucket: np.ndarray, keys: np.ndarray, columns: tup
 
 
 def _opened(payloads: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
-    """What ``_dealt`` packed, one array of keys (a row each) and the columns."""
-    out = [[] for _ in range(1 + len(kinds))]
+    """What ``_dealt`` packed: the keys, the number of rows of each, the columns."""
+    out = [[] for _ in range(2 + len(kinds))]
     for p in payloads:
         owners, rows = np.frombuffer(p, np.uint32, 2).tolist()
+        out[0].append(np.frombuffer(p, np.uint64, owners, 8))
         at = 8 + 8 * owners
-        out[0].append(np.repeat(np.frombuffer(p, np.uint64, owners, 8), np.frombuffer(p, np.uint32, owners, at)))
+        out[1].append(np.frombuffer(p, np.uint32, owners, at))
         at += 4 * owners
-        for part, kind in zip(out[1:], kinds):
+        for part, kind in zip(out[2:], kinds):
             part.append(np.frombuffer(p, kind, rows, at))
             at += rows * np.dtype(kind).itemsize
-    return [np.concatenate(o) if o else np.empty(0, k) for o, k in zip(out, (np.uint64, *kinds))]
+    return [np.concatenate(o) if o else np.empty(0, k) for o, k in zip(out, (np.uint64, np.uint32, *kinds))]
 
 
 def _table(kind: int, rows: list[tuple[int, bytes]]) -> dict:
@@ -178,11 +187,11 @@ def _shared(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         rest = table.filter(pa.array(kinds != 1))
-        keys, fp = _opened(table.filter(pa.array(kinds == 1)).column("payload").to_pylist(), ("<u4",))
+        keys, rows, fp = _opened(table.filter(pa.array(kinds == 1)).column("payload").to_pylist(), ("<u4",))
         if not len(keys):
             return rest
         known, number = np.unique(keys, return_inverse=True)
-        both = np.unique(fp.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))
+        both = distinct(fp.astype(np.uint64) << np.uint64(32) | np.repeat(number.astype(np.uint64), rows))
         fp, number = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         runs = np.diff(_groups(fp))
         often = np.repeat(runs, runs)
@@ -194,97 +203,203 @@ def _shared(buckets: int):
     return run
 
 
-PREFIX = "sid long, m long, segments binary"
+PREFIX = "sid long, m long, common double, segments binary"
 
 
 def _prefixes(num: int, den: int):
-    """Entries of one bucket with their shared segments -> (sid, m, first shared segments) of sets that can have a partner."""
+    """Entries of one bucket with their shared segments -> (sid, m, mean frequency of its
+    segments, first shared segments) of sets that can have a partner."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         meta = np.concatenate([np.frombuffer(p, _META) for p in table.filter(pa.array(kinds == 0)).column("payload").to_pylist()] or [np.empty(0, _META)])
         meta = meta[np.unique(meta["key"], return_index=True)[1]]
-        keys, fp, often, bucket = _opened(table.filter(pa.array(kinds == 1)).column("payload").to_pylist(), ("<u4", "<u4", "<u4"))
+        keys, rows, fp, often, bucket = _opened(table.filter(pa.array(kinds == 1)).column("payload").to_pylist(), ("<u4", "<u4", "<u4"))
+        keys = np.repeat(keys, rows)
         order = np.lexsort((fp, bucket, often, keys))
-        keys, segment = keys[order], bucket[order].astype(np.uint64) << np.uint64(32) | fp[order].astype(np.uint64)
+        keys, segment, often = keys[order], bucket[order].astype(np.uint64) << np.uint64(32) | fp[order].astype(np.uint64), often[order]
         cuts = _groups(keys)
         found = meta[np.searchsorted(meta["key"], keys[cuts[:-1]])] if len(keys) else meta[:0]
         shared = np.diff(cuts)
         spare = allowed(found["m"].astype(np.int64), num, den)
         go = shared >= np.maximum(found["e"].astype(np.int64) - spare, 1)
         take = np.minimum(spare + 1 - (found["e"] - shared), shared)  # those that nobody shares come first
+        common = (np.add.reduceat(often.astype(np.float64), cuts[:-1]) + found["e"] - shared) / found["e"] if len(keys) else np.empty(0)
         chosen = np.flatnonzero(go)
         return pa.Table.from_pydict({
-            "sid": pa.array(found["sid"][chosen].view(np.int64)), "m": pa.array(found["m"][chosen].astype(np.int64)),
+            "sid": pa.array(found["sid"][chosen].view(np.int64)), "m": pa.array(found["m"][chosen].astype(np.int64)), "common": pa.array(common[chosen]),
             "segments": pa.array([segment[cuts[i]:cuts[i] + take[i]].tobytes() for i in chosen.tolist()], pa.binary())})
     return run
 
 
-_MEMBER = np.dtype([("segment", "<u8"), ("sid", "<i8"), ("comp", "<i8"), ("m", "<i8")])
+def dense_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bits of a set, 4 to 8 a shingle, as 64-bit words (a power of two)."""
+    words = 1 << max(0, int(len(shingles) - 1).bit_length() - 4)
+    place = mix64(shingles ^ _K1)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    at = (place >> np.uint64(6) & np.uint64(words - 1)).astype(np.int64)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, at, bit)
+    return out
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch that the same set has with fewer words."""
+    while len(sketch) > words:
+        sketch = sketch[:len(sketch) // 2] ^ sketch[len(sketch) // 2:]
+    return sketch
 
 
 def _members(buckets: int):
+    """Sets with their segments -> packs by segment bucket: a table of the sets, and (segment, row in it)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.frombuffer(p, np.uint64) for p in batch.column("segments").to_pylist()]
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            rows = np.zeros(int(sizes.sum()), _MEMBER)
-            rows["segment"] = np.concatenate(parts) if parts else 0
-            for c in ("sid", "comp", "m"):
-                rows[c] = np.repeat(batch.column(c).to_numpy(), sizes)
-            home = ((rows["segment"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            sketches = batch.column("sketch").to_pylist()
+            own = {c: batch.column(c).to_numpy() for c in ("sid", "comp", "m", "common")}
+            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            segment = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+            home = (mix64(segment) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             cuts = _groups(home[order])
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(home[order[a]]) for a in cuts[:-1]] if len(rows) else [], pa.int32()),
-                                              "payload": pa.array([rows[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+            rows = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                at = order[a:b]
+                who, number = np.unique(owner[at], return_inverse=True)
+                rows.append((int(home[at[0]]), pickle.dumps((segment[at], number.astype(np.int32), *(own[c][who] for c in own), [sketches[i] for i in who.tolist()]))))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
     return run
 
 
-def _candidates(star: bool, seed: int, num: int, den: int):
-    """Sets that agree in a segment, in different components, of fitting sizes:
-    per set one other (star), or all such pairs."""
+def _bits_apart(x: np.ndarray, y: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Bits in which the dense sketches of the sets x[i] and y[i] differ, the longer folded."""
+    out = np.zeros(len(x), np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    short = np.minimum(sizes[x], sizes[y])
+    for n in np.unique(short).tolist():
+        at = np.flatnonzero(short == n)
+        who = distinct(np.concatenate([x[at], y[at]]))
+        bits = np.stack([folded(words[i], n) for i in who.tolist()])
+        for i in range(0, len(at), step := max(1, CHUNK_WORDS // n)):
+            some = at[i:i + step]
+            out[some] = np.bitwise_count(bits[np.searchsorted(who, x[some])] ^ bits[np.searchsorted(who, y[some])]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _pairs_of(owner: np.ndarray, cuts: np.ndarray, comp: np.ndarray, fits) -> Iterator[np.ndarray]:
+    """Pairs of sets that agree in a segment, fit, and are of different components, as
+    x * sets + y with x < y; in parts of bounded size, a pair may come again."""
+    n = np.int64(len(comp))
+
+    def coded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        go = (comp[a] != comp[b]) & fits(a, b)
+        a, b = a[go], b[go]
+        return np.minimum(a, b) * n + np.maximum(a, b)
+
+    sizes = np.diff(cuts)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    for k in range(1, SMALL_GROUP):  # small groups together: rows k apart
+        at = np.flatnonzero((group[k:] == group[:-k]) & (sizes[group[k:]] <= SMALL_GROUP))
+        if not len(at):
+            break
+        for i in range(0, len(at), 1_000_000):
+            yield coded(owner[at[i:i + 1_000_000]], owner[at[i:i + 1_000_000] + k])
+    seen = set()
+    for g in np.flatnonzero(sizes > SMALL_GROUP).tolist():
+        members = distinct(owner[cuts[g]:cuts[g + 1]])
+        if (mark := hashlib.blake2b(members, digest_size=16).digest()) in seen:  # near copies meet in many segments: once is enough
+            continue
+        seen.add(mark)
+        parts, of, many = np.unique(comp[members], return_inverse=True, return_counts=True)
+        small = members[of.reshape(-1) != many.argmax()]  # of each pair one is outside the largest component
+        for i in range(0, len(small), step := max(1, 1_000_000 // len(members))):
+            x = small[i:i + step]
+            yield coded(np.repeat(x, len(members)), np.tile(members, len(x)))
+
+
+def _candidates(mode: str, num: int, den: int):
+    """Candidates (u, v) between sets of different components that agree in a
+    segment of this bucket: per set its hub; per set the nearest one, and the
+    nearest of a larger component; or all."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(p, _MEMBER) for p in table.column("payload").to_pylist()])
-        rows = np.unique(rows)
-        place = mix64(rows["sid"].view(np.uint64) ^ mix64(np.array([seed], np.uint64)))
-        order = np.lexsort((place, rows["segment"]))
-        rows, place = rows[order], place[order]
-        cuts = _groups(rows["segment"])
-        sizes = np.diff(cuts)
-        mixed = (np.minimum.reduceat(rows["comp"], cuts[:-1]) < np.maximum.reduceat(rows["comp"], cuts[:-1])) if len(rows) else np.empty(0, bool)
-        if star:
-            live = np.repeat(mixed, sizes)
-            head = np.repeat(cuts[:-1], sizes)
-            live &= rows["comp"] != rows["comp"][head]
-            x, y = rows[live], rows[head[live]]
-            keep = (x["m"] * den >= num * y["m"]) & (y["m"] * den >= num * x["m"])
-            x, y, place = x["sid"][keep], y["sid"][keep], place[head[live]][keep]
-            order = np.lexsort((place, x))  # one for each set
-            x, y = x[order], y[order]
-            first = _groups(x)[:-1]
-            pairs = np.stack([x[first], y[first]], 1) if len(x) else np.empty((0, 2), np.int64)
+        segment, owner, sid, comp, m, common, sketches, n = [], [], [], [], [], [], [], 0
+        for p in table.column("payload").to_pylist():
+            seg, number, *columns, some = pickle.loads(p)
+            segment.append(seg)
+            owner.append(number.astype(np.int64) + n)
+            for whole, part in zip((sid, comp, m, common), columns):
+                whole.append(part)
+            sketches += some
+            n += len(some)
+        segment, owner, sid, comp, m, common = (np.concatenate(c) for c in (segment, owner, sid, comp, m, common))
+        # A set sketched in two bands is one set. Numbers by hub order: the most common first.
+        _, first, same = np.unique(sid, return_index=True, return_inverse=True)
+        order = np.lexsort((sid[first], -common[first]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        owner = place[same.reshape(-1)[owner]]
+        first = first[order]
+        sid, comp, m = sid[first], np.unique(comp[first], return_inverse=True)[1].reshape(-1), m[first]
+        words = [np.frombuffer(sketches[i], np.uint64) for i in first.tolist()]
+        order = np.lexsort((owner, segment))
+        segment, owner = segment[order], owner[order]
+        cuts = _groups(segment)
+        mixed = np.minimum.reduceat(comp[owner], cuts[:-1]) < np.maximum.reduceat(comp[owner], cuts[:-1]) if len(owner) else np.empty(0, bool)
+        live = np.repeat(mixed, np.diff(cuts))
+        segment, owner = segment[live], owner[live]
+        cuts = _groups(segment)
+        sets = np.int64(len(sid))
+
+        def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (m[a] * den >= num * m[b]) & (m[b] * den >= num * m[a])
+
+        def near(codes: np.ndarray) -> np.ndarray:
+            """(x, y, bits apart) of the pairs whose dense sketches may belong to partners."""
+            x, y = codes // sets, codes % sets
+            apart = _bits_apart(x, y, words)
+            ok = apart * (den + num) <= (m[x] + m[y]) * (den - num)
+            return np.stack([x[ok], y[ok], apart[ok]], 1)
+
+        if mode == "hub":
+            head = np.repeat(owner[cuts[:-1]], np.diff(cuts)) if len(owner) else owner
+            go = (comp[owner] != comp[head]) & fits(owner, head)
+            found = near(distinct(owner[go] * sets + head[go]))
+            found = found[np.lexsort((found[:, 1], found[:, 0]))]
+            pairs = found[_groups(found[:, 0])[:-1], :2]
         else:
-            found = [np.empty((0, 2), np.int64)]
-            for a, b in zip(cuts[:-1][mixed], cuts[1:][mixed]):
-                group = rows[a:b]
-                for i in range(len(group) - 1):
-                    one, others = group[i], group[i + 1:]
-                    ok = (others["comp"] != one["comp"]) & (others["m"] * den >= num * one["m"]) & (one["m"] * den >= num * others["m"])
-                    other = others["sid"][ok]
-                    found.append(np.stack([np.full(len(other), one["sid"]), other], 1))
-                if sum(map(len, found)) > 1_000_000:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-            pairs = np.concatenate(found)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pa.Table.from_pydict({"u": pa.array(pairs[:, 1]), "v": pa.array(pairs[:, 0])})
+            size = np.bincount(comp, minlength=1)
+            held, pairs = [], np.empty((0, 3), np.int64)
+            for part in _pairs_of(owner, cuts, comp, fits):
+                held.append(part)
+                if sum(map(len, held)) > 2_000_000:
+                    pairs = _chosen(np.concatenate([pairs, near(distinct(np.concatenate(held)))]), mode, comp, size)
+                    held = []
+            if held:
+                pairs = _chosen(np.concatenate([pairs, near(distinct(np.concatenate(held)))]), mode, comp, size)
+        return pa.Table.from_pydict({"u": pa.array(sid[pairs[:, 0]]), "v": pa.array(sid[pairs[:, 1]])})
     return run
 
 
+def _chosen(pairs: np.ndarray, mode: str, comp: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All pairs, or, from the set of the smaller component, the nearest one and the nearest of the largest component around."""
+    if mode == "all" or not len(pairs):
+        return np.unique(pairs, axis=0)
+    x, y, apart = pairs.T
+    turn = size[comp[x]] > size[comp[y]]
+    x, y = np.where(turn, y, x), np.where(turn, x, y)
+    out = []
+    for order in (np.lexsort((y, apart, x)), np.lexsort((y, apart, -size[comp[y]], x))):
+        out.append(order[_groups(x[order])[:-1]])
+    best = distinct(np.concatenate(out))
+    return np.stack([x[best], y[best], apart[best]], 1)
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in segments(batches, "text", SEGMENT_CHARS // 4):
             h, offsets = shingle_sets(texts, words)
-            yield pa.RecordBatch.from_pydict({"sid": pa.array(_set_ids(h, offsets).view(np.int64)),
-                                              "shingles": pa.array([h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())})
+            sets = [h[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_pydict({"sid": pa.array(_set_ids(h, offsets).view(np.int64)), "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
+                                              "sketch": pa.array([dense_sketch(s).tobytes() for s in sets], pa.binary())})
     return run
 
 
@@ -318,21 +433,27 @@ def near_duplicates(docs: DataFrame, num: int = 3, den: int = 4, words: int = 5,
         if finer == 1 << 20 or met.where(F.col("weak")).isEmpty():
             break
     heads = met.where(F.col("kind") == 2).select("doc_id", "n", "sid")
-    prefixes = written(met.where(F.col("kind") < 2).groupBy("bucket").applyInArrow(_prefixes(num, den), PREFIX), "prefixes")
-
+    prefixes = met.where(F.col("kind") < 2).groupBy("bucket").applyInArrow(_prefixes(num, den), PREFIX)
+    prefixes = written(prefixes, "prefixes")
     sets = _shingles_of(docs, heads, prefixes, words)
-    links = spark.createDataFrame([], "u long, v long")
-    labels = None
-    for seed in (1, 2, None):  # two stars, then all pairs that are left
-        labelled = prefixes.withColumn("comp", F.col("sid")) if labels is None else (
-            prefixes.join(labels.select(F.col("u").alias("sid"), "low"), "sid", "left").withColumn("comp", F.coalesce("low", "sid")))
-        packed = labelled.select("sid", "comp", "m", "segments").mapInArrow(_members(buckets), "bucket int, payload binary")
-        pairs = packed.groupBy("bucket").applyInArrow(_candidates(seed is not None, seed or 0, num, den), "u long, v long").distinct()
+    able = prefixes.join(sets.select("sid", "sketch"), "sid")
+    rows = prefixes.agg(F.sum(F.octet_length("segments") / 8)).first()[0] or 0
+    packs = max(1, int(-(-rows // MEMBERS)))
+
+    links, labels = [], None  # labels (sid, comp): equal only for sets that are known to be connected
+    for mode in ("hub", "near", "all"):
+        labelled = able.withColumn("comp", F.col("sid")) if labels is None else able.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        packed = labelled.select("sid", "comp", "m", "common", "segments", "sketch").mapInArrow(_members(packs), "bucket int, payload binary")
+        pairs = packed.groupBy("bucket").applyInArrow(_candidates(mode, num, den), "u long, v long").distinct()
         held = pairs.join(sets.select(F.col("sid").alias("u"), F.col("shingles").alias("a")), "u").join(
             sets.select(F.col("sid").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
-        found = written(held.mapInArrow(_verify(num, den), "u long, v long"), "links")
-        links = links.unionByName(found)
-        labels = components(links)
+        links.append(written(held.mapInArrow(_verify(num, den), "u long, v long"), "links"))
+        if mode == "hub":  # a set's hub, or the hub's own
+            labels = _follow(links[0], links[0].groupBy(F.col("u").alias("sid")).agg(F.min("v").alias("comp")))
+        elif mode == "near":
+            moved = _follow(links[1], labels)
+            labels = moved.unionByName(labels.join(moved.select("sid"), "sid", "left_anti"))
+    labels = components(reduce(DataFrame.unionByName, links))
 
     nodes = heads.where(F.col("n") > 0).join(labels.select(F.col("u").alias("sid"), "low"), "sid", "left").withColumn("node", F.coalesce("low", "sid"))
     least = nodes.groupBy("node").agg(F.min("doc_id").alias("component_id"))
@@ -340,6 +461,13 @@ def near_duplicates(docs: DataFrame, num: int = 3, den: int = 4, words: int = 5,
     return joined.unionByName(heads.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _follow(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each linking set (u) with the label of one that it links to (v)."""
+    to = links.groupBy(F.col("u").alias("sid")).agg(F.min("v").alias("to"))
+    known = labels.select(F.col("sid").alias("to"), "comp")
+    return to.join(known, "to", "left").select("sid", F.coalesce("comp", "to").alias("comp"))
+
+
 def _shingles_of(docs: DataFrame, heads: DataFrame, prefixes: DataFrame, words: int) -> DataFrame:
     """(sid, shingles) of the sets that can have partners, from the text of one document each."""
     wanted = prefixes.select("sid").distinct()
@@ -347,7 +475,7 @@ def _shingles_of(docs: DataFrame, heads: DataFrame, prefixes: DataFrame, words:
     ids = chosen.select("doc_id").distinct()
     ids = F.broadcast(ids) if chosen.count() <= FEW_IDS else ids
     texts = docs.join(ids, "doc_id", "left_semi").select("text")
-    return written(texts.mapInArrow(_sets(words), "sid long, shingles binary").join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    return written(texts.mapInArrow(_sets(words), "sid long, shingles binary, sketch binary").join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
 
 
 def op5_paritysketch(spark: SparkSession, sf_dir: str) -> DataFrame:

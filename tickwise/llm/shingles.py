@@ -68,8 +68,12 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> tuple[np.ndarray, n
             held += len(raw[j]) + 1
             j += 1
         owner, h = _hash_chunk(raw[i:j], words)
-        order = np.lexsort((h, owner))
-        owner, h = owner[order], h[order]
+        if (owner[1:] < owner[:-1]).any():  # short texts come last
+            order = np.argsort(owner, kind="stable")
+            owner, h = owner[order], h[order]
+        ends = np.cumsum(np.bincount(owner, minlength=j - i)).tolist()
+        for a, b in zip([0, *ends], ends):
+            h[a:b].sort()
         new = np.ones(len(h), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
         parts.append(h[new])
