@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tickwise.llm.common import read, segments
+from tickwise.llm.common import distinct, read, segments
 
 MAX_ALTERNATIVES = 16  # literals kept apart while a query is derived
 SEGMENT_CHARS = 4_000_000  # texts indexed at a time; a longer text is scanned without an index
@@ -195,7 +195,7 @@ class _Index:
         at = np.flatnonzero(slots)
         starts = np.cumsum([0, *(len(r) + 1 for r in raw[:-1])])
         rows = np.searchsorted(starts, at, "right") - 1
-        pairs = np.unique(slots[at].astype(np.int64) * len(raw) + rows)
+        pairs = distinct(slots[at].astype(np.int64) * len(raw) + rows)
         cut = np.searchsorted(pairs // len(raw), np.arange(1, len(self.wanted) + 2))
         return {g: pairs[cut[i]:cut[i + 1]] % len(raw) for i, g in enumerate(self.wanted)}
 
