@@ -42,8 +42,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tickwise.llm.common import read, segments
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-SEGMENT_CHARS = 4_000_000
-CACHED = 150_000  # words, and chunks, remembered by a task in each of two generations
+SEGMENT_CHARS = 1_500_000
+CACHED = 200_000  # words and chunks remembered by a task in each of two generations
 _NEVER = np.int64(1) << 40
 _LAST = 1 << 40
 
@@ -225,9 +225,10 @@ class _Memory(dict):
         super().__init__()
         self.size, self.old = size, {}
 
-    def missing(self, keys: set) -> list:
-        """Keys that are in neither generation; the others come to the new one."""
-        if len(self) > self.size:
+    def missing(self, keys: set, turn: bool = True) -> list:
+        """Keys that are in neither generation; the others come to the new
+        one. With ``turn`` a full generation becomes the old one first."""
+        if turn and len(self) > self.size:
             self.old = dict(self)
             self.clear()
         old, out = self.old, []
@@ -244,18 +245,20 @@ class _Memory(dict):
 def _encode(path: str, id_column: str, full: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        words, known = _Memory(CACHED), _Memory(CACHED)  # -> tokens, ids and text joined, ids
+        known = _Memory(CACHED)  # word or chunk -> tokens, ids and text joined, ids; a word is the chunk of itself
 
         def joined(parts: list[tuple]) -> tuple:
             return (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]), [i for p in parts for i in p[3]] if full else None)
 
         def learn(new: set[str]) -> None:
             split = {c: bpe.words.findall(c) for c in known.missing(new) if c not in bpe.special}
-            asked = words.missing({w for ws in split.values() for w in ws})
+            parts = {w for ws in split.values() for w in ws}
+            asked = known.missing(parts, turn=False)
             for w, ids in zip(asked, bpe.encode_words(asked)):
-                words[w] = (len(ids), " ".join(map(str, ids)), bpe.decode(ids), ids if full else None)
+                known[w] = (len(ids), " ".join(map(str, ids)), bpe.decode(ids), ids if full else None)
             for c, ws in split.items():
-                known[c] = words[ws[0]] if len(ws) == 1 else joined([words[w] for w in ws])
+                if len(ws) != 1 or ws[0] != c:
+                    known[c] = joined([known[w] for w in ws]) if len(ws) != 1 else known[ws[0]]
             for w, i in bpe.special.items():
                 known[w] = (1, str(i), w, [i] if full else None)
 
