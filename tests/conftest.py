@@ -14,7 +14,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     from tickwise.session import build_session
     shared = str(tmp_path_factory.mktemp("shared"))
-    s = build_session("local[*]", app="tickwise-tests", shuffle_partitions=8, extra={"spark.checkpoint.dir": shared, "spark.driver.memory": "6g"})
+    s = build_session("local[*]", app="tickwise-tests", shuffle_partitions=4, extra={"spark.checkpoint.dir": shared, "spark.driver.memory": "6g"})
     yield s
     s.stop()
 
