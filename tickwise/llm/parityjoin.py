@@ -53,7 +53,7 @@ from tickwise.llm.common import UPPER, distinct, mix64, read, segments, written
 from tickwise.llm.components import components
 from tickwise.llm.shingles import shingle_sets
 
-SEGMENT_CHARS = 3_000_000  # of text sketched at a time
+SEGMENT_CHARS = 2_000_000  # of text sketched at a time
 BUCKET_BYTES = 16_000_000  # of text whose segments make one bucket, about
 SMALL_BAND = 7  # sets below 2^7 shingles: a segment a bit, nearly
 SMALL_GROUP = 64  # sets of a segment up to which groups are paired together
@@ -317,9 +317,10 @@ def _pairs_of(owner: np.ndarray, cuts: np.ndarray, comp: np.ndarray, fits) -> It
 
 
 def _candidates(mode: str, num: int, den: int):
-    """Candidates (u, v) between sets of different components that agree in a
-    segment of this bucket: per set its hub; per set the nearest one, and the
-    nearest of a larger component; or all."""
+    """Candidates (u, v, kind, score) between sets of different components that
+    agree in a segment of this bucket: per set its hub; per set the nearest
+    one (kind 0), and the nearest of the largest component around (kind 1); or
+    all. The lowest score of a set and kind is the best over all buckets."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         segment, owner, sid, comp, m, common, sketches, n = [], [], [], [], [], [], [], 0
         for p in table.column("payload").to_pylist():
@@ -365,6 +366,8 @@ def _candidates(mode: str, num: int, den: int):
             found = near(distinct(owner[go] * sets + head[go]))
             found = found[np.lexsort((found[:, 1], found[:, 0]))]
             pairs = found[_groups(found[:, 0])[:-1], :2]
+            pairs = np.column_stack([pairs, np.zeros(len(pairs), np.int64)])
+            score = -common[first][pairs[:, 1]]
         else:
             size = np.bincount(comp, minlength=1)
             held, pairs = [], np.empty((0, 3), np.int64)
@@ -375,22 +378,34 @@ def _candidates(mode: str, num: int, den: int):
                     held = []
             if held:
                 pairs = _chosen(np.concatenate([pairs, near(distinct(np.concatenate(held)))]), mode, comp, size)
-        return pa.Table.from_pydict({"u": pa.array(sid[pairs[:, 0]]), "v": pa.array(sid[pairs[:, 1]])})
+            score = pairs[:, 2].astype(np.float64)
+            if mode == "near":
+                pairs, score = _sides(pairs, comp, size)
+            else:
+                pairs[:, 2] = 0
+        return pa.Table.from_pydict({"u": pa.array(sid[pairs[:, 0]]), "v": pa.array(sid[pairs[:, 1]]), "kind": pa.array(pairs[:, 2].astype(np.int32)), "score": pa.array(score)})
     return run
 
 
-def _chosen(pairs: np.ndarray, mode: str, comp: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All pairs, or, from the set of the smaller component, the nearest one and the nearest of the largest component around."""
-    if mode == "all" or not len(pairs):
-        return np.unique(pairs, axis=0)
+def _sides(pairs: np.ndarray, comp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per set the nearest one (kind 0) and the nearest of the largest component around (kind 1), as (x, y, kind) and bits apart."""
     x, y, apart = pairs.T
-    turn = size[comp[x]] > size[comp[y]]
+    turn = size[comp[x]] > size[comp[y]]  # from the set of the smaller component
     x, y = np.where(turn, y, x), np.where(turn, x, y)
     out = []
     for order in (np.lexsort((y, apart, x)), np.lexsort((y, apart, -size[comp[y]], x))):
-        out.append(order[_groups(x[order])[:-1]])
-    best = distinct(np.concatenate(out))
-    return np.stack([x[best], y[best], apart[best]], 1)
+        out.append(order[_groups(x[order])[:-1]] if len(order) else order)
+    kind = np.repeat([0, 1], [len(out[0]), len(out[1])])
+    best = np.concatenate(out)
+    return np.stack([x[best], y[best], kind], 1), apart[best].astype(np.float64)
+
+
+def _chosen(pairs: np.ndarray, mode: str, comp: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(x, y, bits apart) of the pairs that can still be chosen."""
+    if mode == "all" or not len(pairs):
+        return np.unique(pairs, axis=0)
+    found, apart = _sides(pairs, comp, size)
+    return np.unique(np.column_stack([found[:, :2], apart.astype(np.int64)]), axis=0)
 
 
 def _sets(words: int):
@@ -444,7 +459,11 @@ def near_duplicates(docs: DataFrame, num: int = 3, den: int = 4, words: int = 5,
     for mode in ("hub", "near", "all"):
         labelled = able.withColumn("comp", F.col("sid")) if labels is None else able.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         packed = labelled.select("sid", "comp", "m", "common", "segments", "sketch").mapInArrow(_members(packs), "bucket int, payload binary")
-        pairs = packed.groupBy("bucket").applyInArrow(_candidates(mode, num, den), "u long, v long").distinct()
+        pairs = packed.groupBy("bucket").applyInArrow(_candidates(mode, num, den), "u long, v long, kind int, score double")
+        if mode == "all":
+            pairs = pairs.select("u", "v").distinct()
+        else:
+            pairs = pairs.groupBy("u", "kind").agg(F.min_by("v", F.struct("score", "v")).alias("v")).select("u", "v").distinct()
         held = pairs.join(sets.select(F.col("sid").alias("u"), F.col("shingles").alias("a")), "u").join(
             sets.select(F.col("sid").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
         links.append(written(held.mapInArrow(_verify(num, den), "u long, v long"), "links"))
