@@ -43,7 +43,7 @@ from tickwise.llm.common import read, segments
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 SEGMENT_CHARS = 1_500_000
-CACHED = 200_000  # words and chunks remembered by a task in each of two generations
+CACHED = 400_000  # words and chunks remembered by a task in each of two generations
 _NEVER = np.int64(1) << 40
 _LAST = 1 << 40
 
@@ -245,35 +245,33 @@ class _Memory(dict):
 def _encode(path: str, id_column: str, full: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        known = _Memory(CACHED)  # word or chunk -> tokens, ids and text joined, ids; a word is the chunk of itself
-
-        def joined(parts: list[tuple]) -> tuple:
-            return (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]), [i for p in parts for i in p[3]] if full else None)
+        known = _Memory(CACHED)  # word or chunk -> its ids, as text; a word is the chunk of itself
+        shown = {str(i): t for i, t in bpe.token.items()}
 
         def learn(new: set[str]) -> None:
             split = {c: bpe.words.findall(c) for c in known.missing(new) if c not in bpe.special}
-            parts = {w for ws in split.values() for w in ws}
-            asked = known.missing(parts, turn=False)
+            asked = known.missing({w for ws in split.values() for w in ws}, turn=False)
             for w, ids in zip(asked, bpe.encode_words(asked)):
-                known[w] = (len(ids), " ".join(map(str, ids)), bpe.decode(ids), ids if full else None)
+                known[w] = " ".join(map(str, ids))
             for c, ws in split.items():
                 if len(ws) != 1 or ws[0] != c:
-                    known[c] = joined([known[w] for w in ws]) if len(ws) != 1 else known[ws[0]]
+                    known[c] = " ".join([known[w] for w in ws])
             for w, i in bpe.special.items():
-                known[w] = (1, str(i), w, [i] if full else None)
+                known[w] = str(i)
 
         for batch, texts in segments(batches, "text", SEGMENT_CHARS):
             split = [bpe.chunks(t) if t else [] for t in texts]
             learn({c for chunks in split for c in chunks})
             counts, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
             for chunks in split:
-                got = [g for g in map(known.__getitem__, chunks) if g[0]]
-                decoded = " ".join([g[2] for g in got])
-                counts.append(sum([g[0] for g in got]))
-                ids_sha.append(hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest())
+                ids = " ".join(filter(None, map(known.__getitem__, chunks)))
+                tokens = ids.split()
+                decoded = " ".join(map(shown.__getitem__, tokens))
+                counts.append(len(tokens))
+                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if full:
-                    all_ids.append([i for g in got for i in g[3]])
+                    all_ids.append(list(map(int, tokens)))
                     all_text.append(decoded)
             more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())] if full else []
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([batch.column(id_column), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
