@@ -192,6 +192,39 @@ def test_spans_remove_a_planted_passage(spark):
         assert got[i]["text"][:a] + got[i]["text"][b:] == got[i]["kept"]
 
 
+def test_spans_of_short_sentences(spark):
+    """Passages of one to three words a sentence go as a whole, wherever they stand."""
+    rnd = random.Random(4)
+    own = []
+    for g in range(12):
+        passage = [" ".join(f"p{g}x{rnd.randrange(10**6)}" for _ in range(rnd.randint(1, 1 + g % 3))) + "!! " for _ in range(60)]
+        for i in range(3):
+            before, after = (["".join(f"o{rnd.randrange(10**6)}. " for _ in range(rnd.randint(0, 5)))] for _ in range(2))
+            own.append((3 * g + i, "".join(before), "".join(passage), "".join(after)))
+    df = spark.createDataFrame([(i, a + p + b) for i, a, p, b in own], "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in sentences.dedup_spans(df, grown=sentences.GROWN).collect()}
+    assert got == {i: a + b if i % 3 else a + p + b for i, a, p, b in own}
+
+
+def test_grown_runs_against_brute_force():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        n = rng.integers(0, 40, 4)
+        w = rng.integers(1, 12, n.sum())
+        w[rng.random(len(w)) < 0.1] = 40
+        hi = np.repeat(np.cumsum(n), n)
+        lo = hi - np.repeat(n, n)
+        w[lo == np.arange(len(w))] = 0  # a text may begin with an empty sentence
+        start, k = sentences._shortest(np.concatenate([[0], np.cumsum(w)]), lo, hi, 20)
+        want = set()
+        for i in range(len(w)):
+            want |= {(i, j - i) for j in range(i + 2, hi[i] + 1) if w[i:j].sum() >= 20 and (j == i + 2 or w[i:j - 1].sum() < 20)}
+            want |= {(j, i + 1 - j) for j in range(lo[i], i) if w[j:i + 1].sum() >= 20 and (j == i - 1 or w[j + 1:i + 1].sum() < 20)}
+        got = list(zip(start.tolist(), k.tolist()))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 # --- 6 mixing ---
 
 @pytest.mark.parametrize("share,epochs,weights", [(0.7, 3, mixing.WEIGHTS), (1.9, 2, {}), (5.0, 2, {}), (0.3, 1, {"source": {"src1": 9}, "lang": {"fr": 7}})])

@@ -4,7 +4,11 @@ A text is cut into sentences (up to and with ``. ! ?`` or a line end and the
 blanks after it; nothing is lost between them). Every run of several
 consecutive sentences is hashed - two sentences of 20 words or more together,
 three of 10 or more - and, so that a single very long sentence is covered
-too, each sentence of 50 words or more. One aggregation per hash finds the
+too, each sentence of 50 words or more. Where sentences are shorter than that,
+a run grows until it holds 20 words, however many sentences it takes: the
+shortest one from each sentence and the shortest one up to each. So every
+sentence of a repeated passage of two sentences and 20 words or more lies in
+a run of that passage. One aggregation per hash finds the
 first document of a run, combining before the shuffle; runs that occur once
 end there. All other occurrences go back to their documents, and the
 sentences that any of them covers are removed.
@@ -26,31 +30,87 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tickwise.llm.common import UPPER, ascii_lower, read, strip_blanks, written
+from tickwise.llm.common import UPPER, ascii_lower, mix64, read, strip_blanks, written
 
 #: (sentences, words at least) of the runs that count.
 RUNS = ((1, 50), (2, 20), (3, 10))
 _B = r"[\x20\x09-\x0D]"
+#: Words that a run of any number of sentences grows to, from and up to each sentence.
+GROWN = 20
+SENTENCES = 250_000  # whose runs are made at a time
+_MORE = np.uint64(0x9E3779B97F4A7C15)
 #: One sentence; the same in Java, Python and RE2. Together the matches are the whole text.
 SENTENCE = rf"[^.!?\n]+[.!?\n]*{_B}*|[.!?\n]+{_B}*"
 
 
-def _runs(keys: Column, runs) -> Column:
-    """Array of (pos, k, x, m) of the runs of an array of (x, m, w)."""
-    def of(k: int, words: int) -> Column:
-        places = F.when(F.size(keys) >= k, F.sequence(F.lit(0), F.size(keys) - k)).otherwise(F.array().cast("array<int>"))
-        parts = F.transform(places, lambda i: F.struct(i.alias("pos"), *[F.get(keys, i + j).alias(f"s{j}") for j in range(k)]))
-        long = F.filter(parts, lambda r: sum((r[f"s{j}"]["w"] for j in range(k)), F.lit(0)) >= words)
-        return F.transform(long, lambda r: F.struct(
-            r["pos"].alias("pos"), F.lit(k).alias("k"), F.xxhash64(*[r[f"s{j}"]["x"] for j in range(k)], F.lit(k)).alias("x"),
-            F.hash(*[r[f"s{j}"]["m"] for j in range(k)], F.lit(k)).alias("m")))
-    return F.concat(*[of(k, words) for k, words in runs])
+def _shortest(total: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, sentences) of the shortest runs of two sentences and ``words``
+    words or more from each sentence and up to each sentence; ``total`` counts
+    the words before each sentence, lo and hi bound the text around it."""
+    at = np.arange(len(lo))
+    end = np.maximum(np.searchsorted(total, total[at] + words), at + 2)
+    start = np.minimum(np.searchsorted(total, total[at + 1] - words, "right") - 1, at - 1)
+    on, up = end <= hi, start >= lo
+    again = np.zeros(len(at), bool)
+    again[up] = end[start[up]] == at[up] + 1  # the same run, from its start
+    up &= ~again
+    return np.concatenate([at[on], start[up]]), np.concatenate([(end - at)[on], (at + 1 - start)[up]])
+
+
+def _hashed(x: np.ndarray, m: np.ndarray, start: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of each run, from those of its sentences."""
+    a, b = mix64(k.astype(np.uint64)), mix64(~k.astype(np.uint64))
+    for j in range(int(k.max(initial=0))):
+        on = np.flatnonzero(k > j)
+        a[on] = mix64(a[on] * _MORE + x[start[on] + j])
+        b[on] = mix64(b[on] * _MORE + m[start[on] + j])
+    return a.view(np.int64), (b >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _runs(runs, grown: int | None):
+    """Texts as arrays of (x, m, w) -> their runs (pos, k, x, m)."""
+    def of(piece: pa.RecordBatch) -> pa.RecordBatch:
+        keys = piece.column("__keys")
+        each = keys.flatten()
+        x, m, w = (each.field(c).to_numpy() for c in ("x", "m", "w"))
+        n = pc.list_value_length(keys).to_numpy()
+        text, hi = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n), n)
+        lo, at = hi - np.repeat(n, n), np.arange(len(hi))
+        total = np.concatenate([[0], np.cumsum(w, dtype=np.int64)])
+        starts, sizes = [], []
+        for k, words in runs:
+            own = at[at + k <= hi]
+            own = own[total[own + k] - total[own] >= words]
+            starts.append(own)
+            sizes.append(np.full(len(own), k))
+        if grown is not None:
+            own, size = _shortest(total, lo, hi, grown)
+            new = ~np.isin(size, [k for k, words in runs if words <= grown])  # the others are there already
+            starts.append(own[new])
+            sizes.append(size[new])
+        start, size = np.concatenate(starts), np.concatenate(sizes)
+        one, two = _hashed(x.view(np.uint64), m.view(np.uint32).astype(np.uint64), start, size)
+        whose = pa.array(text[start])
+        return pa.RecordBatch.from_pydict({"__id": piece.column("__id").take(whose), "__print": piece.column("__print").take(whose),
+                                           "__pos": pa.array((start - lo[start]).astype(np.int32)), "__k": pa.array(size.astype(np.int32)), "__x": pa.array(one), "__m": pa.array(two)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column("__keys")).to_numpy())
+            start = 0
+            while start < len(ends):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SENTENCES, "right")))
+                yield of(batch.slice(start, stop - start))
+                start = stop
+    return run
 
 
 def _cut(id_column: str, text_column: str, schema: pa.Schema):
@@ -87,16 +147,17 @@ def _cut(id_column: str, text_column: str, schema: pa.Schema):
     return run
 
 
-def dedup_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", runs=RUNS) -> DataFrame:
+def dedup_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", runs=RUNS, grown: int | None = None) -> DataFrame:
     """``docs`` with ``n_sentences``, ``n_removed``, ``removed`` ("start:end"
-    in code points, comma-joined) and ``kept`` (the text after)."""
+    in code points, comma-joined) and ``kept`` (the text after). ``grown``:
+    words of the runs of any number of sentences; without it, ``runs`` alone count."""
     fingerprint = F.xxhash64(text_column)
     texts = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull())
     # The keys of a document's sentences, in order, computed row by row (no shuffle).
     keyed = texts.select(F.col(id_column).alias("__id"), fingerprint.alias("__print"),
                          _keyed(F.regexp_extract_all(text_column, F.lit(SENTENCE), F.lit(0))).alias("__keys"))
-    spread = keyed.select("__id", "__print", F.explode(_runs(F.col("__keys"), runs)).alias("__r")).select(
-        "__id", "__print", F.col("__r.pos").alias("__pos"), F.col("__r.k").alias("__k"), F.col("__r.x").alias("__x"), F.col("__r.m").alias("__m"))
+    made = T.StructType([T.StructField("__id", keyed.schema["__id"].dataType), *T.StructType.fromDDL("__print long, __pos int, __k int, __x long, __m int")])
+    spread = keyed.mapInArrow(_runs(runs, grown), made)
     spread = written(spread, "runs")  # both sides of the join below read it
     repeats = (spread.groupBy("__x", "__m").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
                .where(F.col("__n") > 1).drop("__n"))
@@ -132,7 +193,7 @@ def _keyed(sentences: Column) -> Column:
 
 def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept").alias("text"))
+    return dedup_spans(docs, grown=GROWN).select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept").alias("text"))
 
 
 def _op8_sql() -> str:
