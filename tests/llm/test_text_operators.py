@@ -319,5 +319,62 @@ def test_many_near_copies_of_one_text(spark):
     assert [r[0] for r in got] == [0]
 
 
+def family(seed, n, shared, size=120):
+    """Texts that begin with one template of ``shared`` words."""
+    rnd = random.Random(seed)
+    return [(i, " ".join([f"t{j}" for j in range(shared)] + [f"o{rnd.randrange(10**9)}" for _ in range(size - shared)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed,shared", [(1, 0), (2, 84), (3, 100), (4, 112)])
+def test_parity_join_of_hot_segments(spark, seed, shared, monkeypatch):
+    """Segments of more than a few sets: by shingles and block by block, the same links."""
+    monkeypatch.setattr(parityjoin, "HOT", 7)
+    monkeypatch.setattr(parityjoin, "BLOCK", 9)
+    monkeypatch.setattr(parityjoin, "BUCKET_BYTES", 20_000)
+    own = near_copies(seed, 40)
+    own += [(1000 + i, t) for i, t in family(seed, 60, shared)] if shared else []
+    own += [(2000 + i, t.replace("t5 ", "") + " end") for i, t in own[-10:]]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    assert rows(parityjoin.near_duplicates(df), "doc_id", "n_shingles", "component_id") == sorted(brute.near_duplicates(own), key=str)
+
+
+def test_template_family_makes_no_pairs(spark, monkeypatch):
+    """Families with 70 % and 82 % of the words in common link nothing; their sets must not meet all with all."""
+    seen, real = [], parityjoin._cooled
+
+    def cooled(*a):
+        seen.append((a[0], (out := real(*a))[0]))
+        return out
+    monkeypatch.setattr(parityjoin, "HOT", 50)
+    monkeypatch.setattr(parityjoin, "_cooled", cooled)
+    own = family(5, 300, 84) + [(1000 + i, t.replace("t", "s")) for i, t in family(6, 300, 98)]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    assert parityjoin.near_duplicates(df).select("component_id").distinct().count() == 600
+
+    def pairs_met(prefixes):
+        import numpy as np
+        met = {}
+        for r in prefixes.collect():
+            for segment in np.frombuffer(r["segments"] + r["hot"], np.uint64).tolist():
+                met.setdefault(segment, []).append(r["smaller"])
+        return sum(len(g) * (len(g) - 1) // 2 - g.count(False) * (g.count(False) - 1) // 2 for g in met.values())
+    before, after = pairs_met(seen[0][0]), pairs_met(seen[0][1].drop("hot").withColumn("hot", F.lit(b"")))
+    assert before > 40_000 and after < before / 20, (before, after)
+
+
+def test_blocks_of_a_hot_segment_are_small_and_cover_all_pairs():
+    import numpy as np
+    sid, owner = np.arange(500) * 7919, np.arange(500)
+    busy = np.array([11, 42], np.uint64)
+    segment, who = parityjoin._in_blocks(np.full(500, 42, np.uint64), owner, sid, busy, np.array([3, 10]))
+    groups = [who[segment == s] for s in np.unique(segment)]
+    met = np.zeros((500, 500), bool)
+    for g in groups:
+        met[np.ix_(g, g)] = True
+    assert met.all() and len(groups) == 45 and max(map(len, groups)) < 150
+    same = parityjoin._in_blocks(np.full(500, 41, np.uint64), owner, sid, busy, np.array([3, 10]))
+    assert (same[0] == 41).all() and (same[1] == owner).all()
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")

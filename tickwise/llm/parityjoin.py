@@ -25,6 +25,16 @@ Pigeonhole, on E non-empty segments of a set, with E > d:
    are still apart. Candidates are verified on the whole sets of shingles. A
    pair that is known to be connected would change nothing, so it is left out.
 
+A segment that more than ``HOT`` sets have among their first (of a template, say)
+is left to a second pigeonhole, on whole shingles: of m shingles, at most
+m(1 - t) are not the partner's, so two partners among the sets of hot segments
+agree in one of their first m(1 - t) + 1 shingles each, the rarest among these
+sets first. Shingles that nobody shares count against a set: the smaller of two
+partners has 2 t / (1 + t) of its shingles in common, so pairs of sets that both
+share less are left out, as none can link. A shingle that more than ``BLOCK``
+sets have even so is cut into blocks of about so many, and each pair of blocks
+meets by itself.
+
 Segments travel packed (4 bytes each and a bucket) between tasks; buckets are
 as many as the texts need. Equal sets are one set throughout. If a set had
 E <= d segments (the bands make that all but impossible), the sketches are
@@ -59,6 +69,8 @@ SMALL_BAND = 7  # sets below 2^7 shingles: a segment a bit, nearly
 SMALL_GROUP = 64  # sets of a segment up to which groups are paired together
 CHUNK_WORDS = 1 << 21  # words of dense sketches compared at a time
 MEMBERS = 250_000  # (segment, set) rows of a candidate bucket, about
+HOT = 5_000  # sets that a segment may have; those of a hotter one meet by shingles
+BLOCK = 50_000  # sets that a shingle may have; those of a hotter one meet in pairs of blocks of so many
 FEW_IDS = 4_000_000  # ids up to which they are broadcast (32 MB)
 _K1, _K2, _K3 = (np.uint64(k) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 _META = np.dtype([("key", "<u8"), ("sid", "<u8"), ("m", "<u4"), ("e", "<u4")])
@@ -203,12 +215,14 @@ def _shared(buckets: int):
     return run
 
 
-PREFIX = "sid long, m long, common double, segments binary"
+PREFIX = "sid long, m long, common double, smaller boolean, segments binary, hot binary"
 
 
-def _prefixes(num: int, den: int):
+def _prefixes(num: int, den: int, hot: int, whole: bool = False):
     """Entries of one bucket with their shared segments -> (sid, m, mean frequency of its
-    segments, first shared segments) of sets that can have a partner."""
+    segments, whether it can be the smaller of two partners, first shared segments, those of
+    them with a frequency above ``hot``) of sets that can have a partner. ``whole``: the
+    segments are single shingles, so what nobody shares is known not to be a partner's."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         meta = np.concatenate([np.frombuffer(p, _META) for p in table.filter(pa.array(kinds == 0)).column("payload").to_pylist()] or [np.empty(0, _META)])
@@ -220,17 +234,111 @@ def _prefixes(num: int, den: int):
         cuts = _groups(keys)
         found = meta[np.searchsorted(meta["key"], keys[cuts[:-1]])] if len(keys) else meta[:0]
         shared = np.diff(cuts)
-        spare = allowed(found["m"].astype(np.int64), num, den)
+        size = found["m"].astype(np.int64)
+        spare = size * (den - num) // den if whole else allowed(size, num, den)  # a partner has num / den of the shingles at least
         go = shared >= np.maximum(found["e"].astype(np.int64) - spare, 1)
         take = np.minimum(spare + 1 - (found["e"] - shared), shared)  # those that nobody shares come first
         common = (np.add.reduceat(often.astype(np.float64), cuts[:-1]) + found["e"] - shared) / found["e"] if len(keys) else np.empty(0)
+        smaller = (size - found["e"] + shared) * (den + num) >= 2 * num * size if whole else np.ones(len(size), bool)
         chosen = np.flatnonzero(go)
+        ends = cuts[:-1] + take
+        calm = np.concatenate([[0], np.cumsum(often <= hot)])  # the frequent ones come last
+        turns = np.minimum(cuts[:-1] + calm[cuts[1:]] - calm[cuts[:-1]], ends)
         return pa.Table.from_pydict({
-            "sid": pa.array(found["sid"][chosen].view(np.int64)), "m": pa.array(found["m"][chosen].astype(np.int64)), "common": pa.array(common[chosen]),
-            "segments": pa.array([segment[cuts[i]:cuts[i] + take[i]].tobytes() for i in chosen.tolist()], pa.binary())})
+            "sid": pa.array(found["sid"][chosen].view(np.int64)), "m": pa.array(found["m"][chosen].astype(np.int64)), "common": pa.array(common[chosen]), "smaller": pa.array(smaller[chosen]),
+            "segments": pa.array([segment[cuts[i]:turns[i]].tobytes() for i in chosen.tolist()], pa.binary()),
+            "hot": pa.array([segment[turns[i]:ends[i]].tobytes() for i in chosen.tolist()], pa.binary())})
+    return run
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets -> their frequent segments, counted."""
+    for batch in batches:
+        segment, n = np.unique(np.frombuffer(b"".join(batch.column("hot").to_pylist()), np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"segment": pa.array(segment.view(np.int64)), "n": pa.array(n)})
+
+
+def _hot(prefixes: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segments that more than ``hot`` sets have among their first, and how many have them."""
+    found = prefixes.select("hot").where(F.octet_length("hot") > 0).mapInArrow(_meetings, "segment long, n long").groupBy("segment").agg(F.sum("n").alias("n")).where(F.col("n") > hot).collect()
+    segment, n = np.array([r["segment"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(segment)
+    return segment[order], n[order]
+
+
+def _parted(shared):
+    """Sets whose ``hot`` keeps the segments that are hot indeed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(p, np.uint64) for p in batch.column("hot").to_pylist()]
+            among = [np.isin(p, shared.value) for p in parts]
+            calm = [s + p[~a].tobytes() for s, p, a in zip(batch.column("segments").to_pylist(), parts, among)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(calm, pa.binary()), pa.array([p[a].tobytes() for p, a in zip(parts, among)], pa.binary())], names=batch.schema.names)
+    return run
+
+
+def _singly(buckets: int):
+    """Sets -> rows as of ``_sketches``, each shingle a segment."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(p, np.uint64) for p in batch.column("shingles").to_pylist()]
+            if not parts:
+                continue
+            sids, m = batch.column("sid").to_numpy().view(np.uint64), np.array([len(p) for p in parts])
+            h, owner = mix64(np.concatenate(parts) ^ _K3), np.repeat(np.arange(len(parts)), m)
+            bucket, fp = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), h & np.uint64(0xFFFFFFFF)
+            order = np.lexsort((fp, bucket, owner))
+            owner, bucket, fp = owner[order], bucket[order], fp[order]
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1]) | (fp[1:] != fp[:-1])
+            owner, bucket, fp = owner[new], bucket[new], fp[new]
+            meta = np.zeros(len(parts), _META)
+            meta["key"], meta["sid"], meta["m"], meta["e"] = sids, sids, m, np.bincount(owner, minlength=len(parts))
+            home = (sids % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            cuts = _groups(home[order])
+            yield pa.RecordBatch.from_pydict(_table(0, [(int(home[order[a]]), meta[order[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]))
+            yield pa.RecordBatch.from_pydict(_table(1, list(_dealt(owner, bucket, sids, (fp.astype(np.uint32),)))))
     return run
 
 
+def _cooled(prefixes: DataFrame, sets: DataFrame, num: int, den: int, hot: int, block: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Instead of a hot segment, the sets that have one get their rarest shingles (among
+    these sets): partners agree in one of the first m - num / den m + 1 of each. Then the
+    shingles that are hot still, and how many sets have them."""
+    busy, _ = _hot(prefixes, hot)
+    calm = prefixes.withColumn("segments", F.concat("segments", "hot"))
+    if not len(busy):
+        return calm, busy, busy.astype(np.int64)
+    parted = written(prefixes.mapInArrow(_parted(prefixes.sparkSession.sparkContext.broadcast(busy)), PREFIX), "parted")
+    among = written(parted.where(F.octet_length("hot") > 0).select("sid").distinct(), "among")
+    members = sets.join(F.broadcast(among) if among.count() <= FEW_IDS else among, "sid", "left_semi").select("sid", "shingles")
+    size = members.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    met = members.mapInArrow(_singly(buckets), ROWS).groupBy("bucket").applyInArrow(_shared(buckets), ROWS)
+    rare = written(met.groupBy("bucket").applyInArrow(_prefixes(num, den, block, whole=True), PREFIX), "rare")
+    busy, n = _hot(rare, block)
+    return parted.where(F.octet_length("segments") > 0).unionByName(rare.withColumn("segments", F.concat("segments", "hot"))), busy, n
+
+
+def _in_blocks(segment: np.ndarray, owner: np.ndarray, sid: np.ndarray, busy: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a hot segment fall into blocks, and each pair of blocks is a segment of
+    its own: a set is in those of its block with every other."""
+    if not len(busy):
+        return segment, owner
+    at = np.minimum(np.searchsorted(busy, segment), len(busy) - 1)
+    n = np.where(busy[at] == segment, blocks[at], 1)
+    split = np.flatnonzero(n > 1)
+    copies = n[split]
+    own = (mix64(sid[owner[split]].view(np.uint64) ^ _K2) % copies.astype(np.uint64)).astype(np.int64)
+    row = np.repeat(np.arange(len(split)), copies)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+    row, other = row[other != own[row]], other[other != own[row]]
+    pair = np.minimum(own[row], other) * copies[row] + np.maximum(own[row], other)
+    dealt = mix64(segment[split][row] ^ mix64(pair.astype(np.uint64) ^ _K3))
+    return np.concatenate([segment[n == 1], dealt]), np.concatenate([owner[n == 1], owner[split][row]])
+
+
 def dense_sketch(shingles: np.ndarray) -> np.ndarray:
     """Parity bits of a set, 4 to 8 a shingle, as 64-bit words (a power of two)."""
     words = 1 << max(0, int(len(shingles) - 1).bit_length() - 4)
@@ -249,15 +357,17 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def _members(buckets: int):
+def _members(buckets: int, shared):
     """Sets with their segments -> packs by segment bucket: a table of the sets, and (segment, row in it)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.frombuffer(p, np.uint64) for p in batch.column("segments").to_pylist()]
             sketches = batch.column("sketch").to_pylist()
             own = {c: batch.column(c).to_numpy() for c in ("sid", "comp", "m", "common")}
+            smaller = batch.column("smaller").to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             segment = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+            segment, owner = _in_blocks(segment, owner, own["sid"], *shared.value)
             home = (mix64(segment) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             cuts = _groups(home[order])
@@ -265,7 +375,7 @@ def _members(buckets: int):
             for a, b in zip(cuts[:-1], cuts[1:]):
                 at = order[a:b]
                 who, number = np.unique(owner[at], return_inverse=True)
-                rows.append((int(home[at[0]]), pickle.dumps((segment[at], number.astype(np.int32), *(own[c][who] for c in own), [sketches[i] for i in who.tolist()]))))
+                rows.append((int(home[at[0]]), pickle.dumps((segment[at], number.astype(np.int32), smaller[owner[at]], *(own[c][who] for c in own), [sketches[i] for i in who.tolist()]))))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
     return run
 
@@ -285,9 +395,10 @@ def _bits_apart(x: np.ndarray, y: np.ndarray, words: list[np.ndarray]) -> np.nda
     return out
 
 
-def _pairs_of(owner: np.ndarray, cuts: np.ndarray, comp: np.ndarray, fits) -> Iterator[np.ndarray]:
-    """Pairs of sets that agree in a segment, fit, and are of different components, as
-    x * sets + y with x < y; in parts of bounded size, a pair may come again."""
+def _pairs_of(owner: np.ndarray, smaller: np.ndarray, cuts: np.ndarray, comp: np.ndarray, fits) -> Iterator[np.ndarray]:
+    """Pairs of sets that agree in a segment, fit, one of which can be the smaller of
+    two partners by it, and that are of different components, as x * sets + y
+    with x < y; in parts of bounded size, a pair may come again."""
     n = np.int64(len(comp))
 
     def coded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -297,23 +408,23 @@ def _pairs_of(owner: np.ndarray, cuts: np.ndarray, comp: np.ndarray, fits) -> It
 
     sizes = np.diff(cuts)
     group = np.repeat(np.arange(len(sizes)), sizes)
-    for k in range(1, SMALL_GROUP):  # small groups together: rows k apart
-        at = np.flatnonzero((group[k:] == group[:-k]) & (sizes[group[k:]] <= SMALL_GROUP))
-        if not len(at):
-            break
+    for k in range(1, sizes[sizes <= SMALL_GROUP].max(initial=0)):  # small groups together: rows k apart
+        at = np.flatnonzero((group[k:] == group[:-k]) & (sizes[group[k:]] <= SMALL_GROUP) & (smaller[k:] | smaller[:-k]))
         for i in range(0, len(at), 1_000_000):
             yield coded(owner[at[i:i + 1_000_000]], owner[at[i:i + 1_000_000] + k])
     seen = set()
     for g in np.flatnonzero(sizes > SMALL_GROUP).tolist():
         members = distinct(owner[cuts[g]:cuts[g + 1]])
-        if (mark := hashlib.blake2b(members, digest_size=16).digest()) in seen:  # near copies meet in many segments: once is enough
+        can = np.isin(members, owner[cuts[g]:cuts[g + 1]][smaller[cuts[g]:cuts[g + 1]]])
+        if (mark := hashlib.blake2b(members.tobytes() + can.tobytes(), digest_size=16).digest()) in seen:  # near copies meet in many segments: once is enough
             continue
         seen.add(mark)
         parts, of, many = np.unique(comp[members], return_inverse=True, return_counts=True)
-        small = members[of.reshape(-1) != many.argmax()]  # of each pair one is outside the largest component
-        for i in range(0, len(small), step := max(1, 1_000_000 // len(members))):
-            x = small[i:i + step]
-            yield coded(np.repeat(x, len(members)), np.tile(members, len(x)))
+        small = of.reshape(-1) != many.argmax()  # of each pair one is outside the largest component
+        for some, others in ((members[small & can], members), (members[small & ~can], members[can])):
+            for i in range(0, len(some), step := max(1, 1_000_000 // max(1, len(others)))):
+                x = some[i:i + step]
+                yield coded(np.repeat(x, len(others)), np.tile(others, len(x)))
 
 
 def _candidates(mode: str, num: int, den: int):
@@ -322,16 +433,17 @@ def _candidates(mode: str, num: int, den: int):
     one (kind 0), and the nearest of the largest component around (kind 1); or
     all. The lowest score of a set and kind is the best over all buckets."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        segment, owner, sid, comp, m, common, sketches, n = [], [], [], [], [], [], [], 0
+        segment, owner, smaller, sid, comp, m, common, sketches, n = [], [], [], [], [], [], [], [], 0
         for p in table.column("payload").to_pylist():
-            seg, number, *columns, some = pickle.loads(p)
+            seg, number, can, *columns, some = pickle.loads(p)
             segment.append(seg)
             owner.append(number.astype(np.int64) + n)
+            smaller.append(can)
             for whole, part in zip((sid, comp, m, common), columns):
                 whole.append(part)
             sketches += some
             n += len(some)
-        segment, owner, sid, comp, m, common = (np.concatenate(c) for c in (segment, owner, sid, comp, m, common))
+        segment, owner, smaller, sid, comp, m, common = (np.concatenate(c) for c in (segment, owner, smaller, sid, comp, m, common))
         # A set sketched in two bands is one set. Numbers by hub order: the most common first.
         _, first, same = np.unique(sid, return_index=True, return_inverse=True)
         order = np.lexsort((sid[first], -common[first]))
@@ -342,11 +454,11 @@ def _candidates(mode: str, num: int, den: int):
         sid, comp, m = sid[first], np.unique(comp[first], return_inverse=True)[1].reshape(-1), m[first]
         words = [np.frombuffer(sketches[i], np.uint64) for i in first.tolist()]
         order = np.lexsort((owner, segment))
-        segment, owner = segment[order], owner[order]
+        segment, owner, smaller = segment[order], owner[order], smaller[order]
         cuts = _groups(segment)
-        mixed = np.minimum.reduceat(comp[owner], cuts[:-1]) < np.maximum.reduceat(comp[owner], cuts[:-1]) if len(owner) else np.empty(0, bool)
+        mixed = (np.minimum.reduceat(comp[owner], cuts[:-1]) < np.maximum.reduceat(comp[owner], cuts[:-1])) & np.logical_or.reduceat(smaller, cuts[:-1]) if len(owner) else np.empty(0, bool)
         live = np.repeat(mixed, np.diff(cuts))
-        segment, owner = segment[live], owner[live]
+        segment, owner, smaller = segment[live], owner[live], smaller[live]
         cuts = _groups(segment)
         sets = np.int64(len(sid))
 
@@ -371,7 +483,7 @@ def _candidates(mode: str, num: int, den: int):
         else:
             size = np.bincount(comp, minlength=1)
             held, pairs = [], np.empty((0, 3), np.int64)
-            for part in _pairs_of(owner, cuts, comp, fits):
+            for part in _pairs_of(owner, smaller, cuts, comp, fits):
                 held.append(part)
                 if sum(map(len, held)) > 2_000_000:
                     pairs = _chosen(np.concatenate([pairs, near(distinct(np.concatenate(held)))]), mode, comp, size)
@@ -448,17 +560,21 @@ def near_duplicates(docs: DataFrame, num: int = 3, den: int = 4, words: int = 5,
         if finer == 1 << 20 or met.where(F.col("weak")).isEmpty():
             break
     heads = met.where(F.col("kind") == 2).select("doc_id", "n", "sid")
-    prefixes = met.where(F.col("kind") < 2).groupBy("bucket").applyInArrow(_prefixes(num, den), PREFIX)
+    prefixes = met.where(F.col("kind") < 2).groupBy("bucket").applyInArrow(_prefixes(num, den, HOT), PREFIX)
     prefixes = written(prefixes, "prefixes")
     sets = _shingles_of(docs, heads, prefixes, words)
+    prefixes, busy, n = _cooled(prefixes, sets, num, den, HOT, BLOCK)
+    blocks = -(-n // BLOCK)
+    shared = spark.sparkContext.broadcast((busy, blocks))
     able = prefixes.join(sets.select("sid", "sketch"), "sid")
     rows = prefixes.agg(F.sum(F.octet_length("segments") / 8)).first()[0] or 0
+    rows += int((n * (blocks - 2)).sum())
     packs = max(1, int(-(-rows // MEMBERS)))
 
     links, labels = [], None  # labels (sid, comp): equal only for sets that are known to be connected
     for mode in ("hub", "near", "all"):
         labelled = able.withColumn("comp", F.col("sid")) if labels is None else able.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        packed = labelled.select("sid", "comp", "m", "common", "segments", "sketch").mapInArrow(_members(packs), "bucket int, payload binary")
+        packed = labelled.select("sid", "comp", "m", "common", "smaller", "segments", "sketch").mapInArrow(_members(packs, shared), "bucket int, payload binary")
         pairs = packed.groupBy("bucket").applyInArrow(_candidates(mode, num, den), "u long, v long, kind int, score double")
         if mode == "all":
             pairs = pairs.select("u", "v").distinct()
