@@ -107,6 +107,26 @@ def test_multi_index_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_multi_index_recall_beside_many_equal_vectors(spark):
+    """A third of the rows is one vector; recall of the queries outside that group."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(9000, 64))
+    x[2::3] = x[2]
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    df = frame(spark, list(enumerate(x.tolist())))
+    got = {}
+    for r in multiindex.neighbours(df, asked(df)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q in range(0, 9000, 20):
+        if q % 3 != 2:
+            s = x @ x[q]
+            s[q] = -np.inf
+            s[2::3] = s[2]
+            recall.append(len(got[q] & set(np.lexsort((np.arange(9000), -s))[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.92, np.mean(recall)
+
+
 def test_multi_index_edges(spark):
     got = sorted(tuple(r) for r in multiindex.neighbours(frame(spark, EDGES), asked(frame(spark, EDGES)), 3).collect())
     want = brute(EDGES, 3, False, False)

@@ -6,7 +6,7 @@ that the squared distances of both halves, summed, order rows exactly as the
 inner product does. Each half is quantised by its own ``CENTROIDS`` centroids
 (k-means on a bounded sample); a pair of centroids is a cell, and every row is
 entered in its cell. A query walks the cells by summed distance with a heap
-(from a pair, the next of either half) until they hold ``PROBE`` of all rows,
+(from a pair, the next of either half) until they hold ``PROBE`` of all rows (of equal vectors, k+1 count),
 and the entries of these cells are reranked by the inner product of the
 original vectors, in double precision.
 
@@ -239,15 +239,18 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, probe: float
         model[r["dim"]] = longest, [k_means(h, max(1, min(CENTROIDS, int(r["n"] ** 0.5)))) for h in _halves(x, longest)]
     models = spark.sparkContext.broadcast(model)
     entered = written(rows.mapInArrow(_enter(models), "dim int, cell int, id long, x binary"), "entries")
-    sizes = entered.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()  # CENTROIDS^2 rows a dim
+    # Of equal vectors only k + 1 rows can matter: so many count for the walks.
+    each = entered.groupBy("dim", "cell", "id", F.xxhash64("x").alias("print")).agg(F.count("*").alias("n"))
+    equal = each.groupBy("dim", "cell", "print").agg(F.sum("n").alias("n"), F.least(F.count("*"), F.lit(k + 1)).alias("few"))
+    sizes = equal.groupBy("dim", "cell").agg(F.sum("n").alias("n"), F.sum("few").alias("few")).collect()  # CENTROIDS^2 rows a dim
     place = {}
     for dim, (_, c) in model.items():
-        counts = np.zeros(len(c[0]) * len(c[1]), np.int64)
+        counts, few = np.zeros((2, len(c[0]) * len(c[1])), np.int64)
         for r in sizes:
             if r["dim"] == dim:
-                counts[r["cell"]] = r["n"]
+                counts[r["cell"]], few[r["cell"]] = r["n"], r["few"]
         ends = np.cumsum(counts)
-        place[dim] = ((ends - counts) // BLOCK).astype(np.int64), (np.maximum(ends - 1, ends - counts) // BLOCK).astype(np.int64), counts
+        place[dim] = ((ends - counts) // BLOCK).astype(np.int64), (np.maximum(ends - 1, ends - counts) // BLOCK).astype(np.int64), few
     blocks = spark.sparkContext.broadcast(place)
     ranges = spark.sparkContext.broadcast({d: (a, b) for d, (a, b, _) in place.items()})
     packed = (entered.mapInArrow(_block_of(ranges), "dim int, cell int, id long, x binary, block int")
