@@ -36,6 +36,7 @@ blocks; other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -58,10 +59,12 @@ BLOCK_IDS = 65_536
 END_ID = 0
 LEVEL = 3  # of zstandard
 SEGMENT_BYTES = 2_000_000  # of text encoded at a time
-REMEMBERED = 150_000  # pieces in each of two generations
+REMEMBERED = 400_000  # pieces in each of two generations
 LONG_PIECE = 64  # characters; longer pieces are not remembered
-#: Before such a blank a word of the pre-tokenizer ends, whatever stands around.
-_CUT = re.compile(r" (?=[!-~\w])")
+JOINED = 20_000  # pieces that go through the library as one text
+#: Before such a blank or line end a word of the pre-tokenizer ends, whatever stands around.
+_CUT = re.compile(r"(?=[ \n][!-~\w])")
+_PLAIN = re.compile(r"[ \n][!-~\w]+")
 _POLY = 0xEDB88320  # of crc32, bits reversed
 
 
@@ -132,36 +135,68 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        steps = json.loads(self.library.to_str())
+        kind = steps["pre_tokenizer"] or {}
+        if steps["normalizer"] or kind.get("type") != "ByteLevel" or not kind.get("use_regex") or kind.get("add_prefix_space"):
+            raise ValueError(f"{path}: not a byte-level BPE of the supported kind")
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.line_end = self._ids(["\n"])[0]
         self.known = _Memory(REMEMBERED)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _plain(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space but their first sign, as one text
+        with line ends between them: each is a word and an id of its own."""
+        out = []
+        for at in range(0, len(pieces), JOINED):
+            part = pieces[at:at + JOINED]
+            ids = self._ids(["".join([p if p[0] == "\n" else "\n" + p for p in part]) + "\n"])[0]
+            ends = np.flatnonzero(np.frombuffer(ids, "<u4") == np.frombuffer(self.line_end, "<u4")[0])
+            if len(self.line_end) != 4 or len(ends) != len(part) + 1:
+                out += self._ids(part)
+            else:
+                starts = 4 * ends[:-1] + [0 if p[0] == "\n" else 4 for p in part]
+                out += [ids[a:b] for a, b in zip(starts.tolist(), (4 * ends[1:]).tolist())]
+        return out
+
+    def _learn(self, into: dict, pieces: list[str]) -> None:
+        plain = [p for p in pieces if _PLAIN.fullmatch(p)]
+        other = [p for p in pieces if not _PLAIN.fullmatch(p)]
+        into.update(zip(plain, self._plain(plain)))
+        into.update(zip(other, self._ids(other)))
+
+    def _cut(self, text: str) -> tuple[str | None, list[str]]:
+        """What stands before the first cut and the pieces after it. A line end
+        put before the text makes its first word a piece like others: the head
+        is None then, and one line end too many is to be dropped."""
+        if any(a in text for a in self.added):
+            return text, []
+        first, *pieces = _CUT.split("\n" + text)
+        return (first[1:] if first else None), pieces
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [None if t and any(s in t for s in self.added) else _CUT.split(t) if t else [] for t in texts]
-        for pieces in cut:
-            if pieces:
-                pieces[0] = "\n" + pieces[0]  # no blank before it; other pieces never start with white space
-        known, local = self.known, {}
-        asked = {p for pieces in cut if pieces for p in pieces}
-        new = known.missing({p for p in asked if len(p) <= LONG_PIECE})
+        cut = [self._cut(t or "") for t in texts]
+        asked = set().union(*[pieces for _, pieces in cut])
         long = [p for p in asked if len(p) > LONG_PIECE]
-        text_of = lambda p: p[1:] if p[0] == "\n" else " " + p
-        known.update(zip(new, self._ids([text_of(p) for p in new])))
-        local.update(zip(long, self._ids([text_of(p) for p in long])))
+        known, local = self.known, {}
+        self._learn(known, known.missing(asked.difference(long)))
+        self._learn(local, long)
         out = []
-        for t, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self._ids([t])[0])
-            elif local:
-                out.append(b"".join([local[p] if len(p) > LONG_PIECE else known[p] for p in pieces]))
-            else:
-                out.append(b"".join(map(known.__getitem__, pieces)))
+        for head, pieces in cut:
+            ids = b"".join([local[p] if len(p) > LONG_PIECE else known[p] for p in pieces] if local else map(known.__getitem__, pieces))
+            out.append(ids[len(self.line_end):] if head is None else self._ids([head])[0] + ids if head else ids)
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One a worker process, with what it remembers."""
+    return Encoder(path)
+
+
 class _Shard:
     """Blocks of one shard, in order."""
 
@@ -210,10 +245,10 @@ def _blocks(path: str, block: int, kind: str, end: int, schema: pa.Schema):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(path), _Shard(TaskContext.get().partitionId(), block, kind)
+        encode, shard = encoder(path).encode, _Shard(TaskContext.get().partitionId(), block, kind)
         for batch, texts in segments(batches, "__text", SEGMENT_BYTES):
             rows = []
-            for doc, ids in zip(batch.column("__id").to_pylist(), encoder.encode(texts)):
+            for doc, ids in zip(batch.column("__id").to_pylist(), encode(texts)):
                 rows.extend(shard.add(doc, ids + tail))
             if rows:
                 yield table(rows)
