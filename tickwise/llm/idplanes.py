@@ -22,10 +22,12 @@ piece is shifted by the bytes that follow and all are combined by xor, a
 partial aggregate). ``read_ids`` gives the ids of one range of places and
 reads only the blocks that the index names.
 
-Encoding is done by the tokenizers library. The pre-tokenizer always ends a
-word before a blank that stands before a letter, digit or sign, so texts are
-cut there and each distinct piece goes through the library once while it is
-remembered; texts with the string of an added token go through it whole.
+Encoding is done by the tokenizers library. A word of its pre-tokenizer ends
+before every blank or line end that stands before a letter, digit or sign, so
+texts are cut there as arrays and each distinct piece is encoded once while it
+is remembered: a run of letters (with signs behind it) by the library's model,
+anything else by the library as a whole. Texts with other white space or with
+the string of an added token go through the library whole.
 
 Cases: a null text is encoded as the empty text (the end id alone); rows with
 a null id come first; rows that repeat an id come in the order of their texts'
@@ -40,11 +42,13 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,19 +56,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tickwise.llm.bpe import _Memory
-from tickwise.llm.common import read, scratch, segments, ship
+from tickwise.llm.bpe import _byte_chars, _Memory
+from tickwise.llm.common import read, scratch, ship
 
 BLOCK_IDS = 65_536
 END_ID = 0
 LEVEL = 3  # of zstandard
-SEGMENT_BYTES = 2_000_000  # of text encoded at a time
-REMEMBERED = 400_000  # pieces in each of two generations
+SEGMENT_BYTES = 6_000_000  # of text encoded at a time
+REMEMBERED = 250_000  # pieces in each of two generations
 LONG_PIECE = 64  # characters; longer pieces are not remembered
-JOINED = 20_000  # pieces that go through the library as one text
-#: Before such a blank or line end a word of the pre-tokenizer ends, whatever stands around.
-_CUT = re.compile(r"(?=[ \n][!-~\w])")
-_PLAIN = re.compile(r"[ \n][!-~\w]+")
+#: White space that does not just end a word (RE2).
+_UNEVEN = r"[ \n]([^!-~\pL\pN]|$)"
+#: Two words of the pre-tokenizer: letters, and signs without an apostrophe.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_FRONT = "\x01"  # before the first piece of a text
 _POLY = 0xEDB88320  # of crc32, bits reversed
 
 
@@ -127,9 +132,9 @@ def shifted_crc(crc: int, after: int) -> int:
 
 
 class Encoder:
-    """Texts -> ids as bytes, through the tokenizers library."""
+    """Texts -> ids, through the tokenizers library; the end id after each text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
@@ -139,62 +144,76 @@ class Encoder:
         kind = steps["pre_tokenizer"] or {}
         if steps["normalizer"] or kind.get("type") != "ByteLevel" or not kind.get("use_regex") or kind.get("add_prefix_space"):
             raise ValueError(f"{path}: not a byte-level BPE of the supported kind")
+        self.model, self.shown = self.library.model, _byte_chars()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.line_end = self._ids(["\n"])[0]
-        self.known = _Memory(REMEMBERED)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _plain(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without white space but their first sign, as one text
-        with line ends between them: each is a word and an id of its own."""
-        out = []
-        for at in range(0, len(pieces), JOINED):
-            part = pieces[at:at + JOINED]
-            ids = self._ids(["".join([p if p[0] == "\n" else "\n" + p for p in part]) + "\n"])[0]
-            ends = np.flatnonzero(np.frombuffer(ids, "<u4") == np.frombuffer(self.line_end, "<u4")[0])
-            if len(self.line_end) != 4 or len(ends) != len(part) + 1:
-                out += self._ids(part)
-            else:
-                starts = 4 * ends[:-1] + [0 if p[0] == "\n" else 4 for p in part]
-                out += [ids[a:b] for a, b in zip(starts.tolist(), (4 * ends[1:]).tolist())]
-        return out
+        self.end = np.array([end_id], "<u4")
+        self.front = {" ": b"", "\n": self._whole(["\n"])[0], _FRONT: self.end.tobytes()}
+        self.known, self.signs = _Memory(REMEMBERED), {"": b""}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii() or word[0] == " ":
+            word = "".join([self.shown[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _learn(self, into: dict, pieces: list[str]) -> None:
-        plain = [p for p in pieces if _PLAIN.fullmatch(p)]
-        other = [p for p in pieces if not _PLAIN.fullmatch(p)]
-        into.update(zip(plain, self._plain(plain)))
-        into.update(zip(other, self._ids(other)))
-
-    def _cut(self, text: str) -> tuple[str | None, list[str]]:
-        """What stands before the first cut and the pieces after it. A line end
-        put before the text makes its first word a piece like others: the head
-        is None then, and one line end too many is to be dropped."""
-        if any(a in text for a in self.added):
-            return text, []
-        first, *pieces = _CUT.split("\n" + text)
-        return (first[1:] if first else None), pieces
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._cut(t or "") for t in texts]
-        asked = set().union(*[pieces for _, pieces in cut])
-        long = [p for p in asked if len(p) > LONG_PIECE]
+        """A piece is a blank (not written), line end or the front of a text, and what follows."""
+        signs, front, other = self.signs, self.front, []
+        for p in pieces:
+            lead, body = (p[0], p[1:]) if p[0] in front else (" ", p)
+            if (m := _LETTERS.fullmatch(body)) is None:
+                other.append(p)
+                continue
+            word, tail = m.groups()
+            if tail not in signs:
+                if len(signs) > 10_000:
+                    signs.clear()
+                signs[tail] = self._word(tail) if tail else b""
+            into[p] = front[lead] + self._word(" " + word if lead == " " else word) + signs[tail]
+        written = [p[1:] if p[0] == _FRONT else p if p[0] == "\n" else " " + p for p in other]
+        for p, ids in zip(other, self._whole(written)):
+            into[p] = front[_FRONT] + ids if p[0] == _FRONT else ids
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        long = {p for p in pieces if len(p) > LONG_PIECE}
         known, local = self.known, {}
-        self._learn(known, known.missing(asked.difference(long)))
-        self._learn(local, long)
-        out = []
-        for head, pieces in cut:
-            ids = b"".join([local[p] if len(p) > LONG_PIECE else known[p] for p in pieces] if local else map(known.__getitem__, pieces))
-            out.append(ids[len(self.line_end):] if head is None else self._ids([head])[0] + ids if head else ids)
-        return out
+        self._learn(known, known.missing([p for p in pieces if p not in long] if long else pieces))
+        self._learn(local, list(long))
+        return [local[p] if p in long else known[p] for p in pieces] if long else list(map(known.__getitem__, pieces))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and how many each text has."""
+        texts = texts.fill_null("")
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        for a in self.added:
+            uneven = pc.or_(uneven, pc.match_substring(texts, a))
+        even = pc.binary_join_element_wise(pa.scalar(_FRONT), pc.if_else(uneven, "", texts), "")
+        lists = pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")
+        flat = lists.flatten().dictionary_encode()
+        values = self._pieces(flat.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts, data, at = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(values), "<u4"), flat.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = data[np.repeat(starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        counts = np.diff(last, prepend=0)
+        # The end id stands in front of each text so far.
+        if whole := np.flatnonzero(uneven.to_numpy(zero_copy_only=False)).tolist():
+            parts, before = [], 0
+            for i, own in zip(whole, self._whole([texts[i].as_py() for i in whole])):
+                parts += [ids[before:last[i]], np.frombuffer(own, "<u4")]
+                before, counts[i] = last[i], counts[i] + len(own) // 4
+            ids = np.concatenate([*parts, ids[before:]])
+        return np.concatenate([ids[1:], self.end[:len(texts)]]), counts
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, end_id: int) -> Encoder:
     """One a worker process, with what it remembers."""
-    return Encoder(path)
+    return Encoder(path, end_id)
 
 
 class _Shard:
@@ -202,34 +221,30 @@ class _Shard:
 
     def __init__(self, shard: int, block: int, kind: str):
         self.shard, self.block, self.kind = shard, block, kind
-        self.chunk = self.start = self.seq = self.held = 0
-        self.data: list[bytes] = []
-        self.docs: list = []
-        self.counts: list[int] = []
-
-    def add(self, doc, ids: bytes) -> Iterator[tuple]:
-        left, at = len(ids) // 4, 0
-        while left:
-            take = min(left, self.block - self.held)
-            self.data.append(ids[4 * at:4 * (at + take)])
-            self.docs.append(doc)
-            self.counts.append(take)
-            self.held += take
-            left, at = left - take, at + take
-            if self.held == self.block:
-                yield self._row(left)
-        self.seq += 1
+        self.chunk = self.start = self.seq = 0
+        self.ids, self.docs, self.counts = np.empty(0, "<u4"), [], np.empty(0, np.int64)
+
+    def add(self, docs: list, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        self.docs += docs
+        while len(self.ids) >= self.block:
+            yield self._row(self.block)
 
     def end(self) -> Iterator[tuple]:
-        if self.held:
-            self.seq -= 1  # the last document is in this block
-            yield self._row(0)
-
-    def _row(self, after: int) -> tuple:
-        ids = np.frombuffer(b"".join(self.data), "<u4")
-        row = (self.shard, self.chunk, self.start, len(ids), self.kind, to_planes(ids, self.kind), self.seq - len(self.docs) + 1, self.docs, self.counts, after)
-        self.chunk, self.start, self.held = self.chunk + 1, self.start + len(ids), 0
-        self.data, self.docs, self.counts = [], [], []
+        if len(self.ids):
+            yield self._row(len(self.ids))
+
+    def _row(self, n: int) -> tuple:
+        ends = np.cumsum(self.counts)
+        k = int(np.searchsorted(ends, n))  # the document that the block's last id is of
+        counts, after = self.counts[:k + 1].copy(), int(ends[k]) - n
+        counts[k] -= after
+        row = (self.shard, self.chunk, self.start, n, self.kind, to_planes(self.ids[:n], self.kind), self.seq, self.docs[:k + 1], counts.tolist(), after)
+        done = k if after else k + 1
+        self.ids, self.docs, self.counts = self.ids[n:], self.docs[done:], self.counts[done:].copy()
+        if after:
+            self.counts[0] = after
+        self.chunk, self.start, self.seq = self.chunk + 1, self.start + n, self.seq + done
         return row
 
 
@@ -238,22 +253,23 @@ def _chunk_schema(id_type: T.DataType) -> T.StructType:
             .add("doc_ids", T.ArrayType(id_type)).add("counts", T.ArrayType(T.IntegerType())).add("after", T.LongType()))
 
 
-def _blocks(path: str, block: int, kind: str, end: int, schema: pa.Schema):
-    tail = np.array([end], "<u4").tobytes()
-
+def _blocks(path: str, block: int, kind: str, end_id: int, schema: pa.Schema):
     def table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(path).encode, _Shard(TaskContext.get().partitionId(), block, kind)
-        for batch, texts in segments(batches, "__text", SEGMENT_BYTES):
-            rows = []
-            for doc, ids in zip(batch.column("__id").to_pylist(), encode(texts)):
-                rows.extend(shard.add(doc, ids + tail))
-            if rows:
-                yield table(rows)
-        if rows := list(shard.end()):
-            yield table(rows)
+        encode, shard = encoder(path, end_id).encode, _Shard(TaskContext.get().partitionId(), block, kind)
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column("__text")).fill_null(0).to_numpy())
+            at = 0
+            while at < len(ends):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SEGMENT_BYTES, "right")))
+                part = batch.slice(at, stop - at)
+                for row in shard.add(part.column("__id").to_pylist(), *encode(part.column("__text"))):
+                    yield table([row])
+                at = stop
+        for row in shard.end():
+            yield table([row])
     return run
 
 
