@@ -12,6 +12,7 @@ from tickwise.llm.prefixtrie import OP13_SQL, op13_prefixtrie
 from tickwise.llm.secrets import op10_secrets
 from tickwise.llm.sentences import OP8_SQL, op8_spans
 from tickwise.llm.sharding import op4_sharding
+from tickwise.llm.spellings import OP12_SQL, op12_spellings
 
 QUERIES = {
     "op1_covertree": op1_covertree,
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_secrets": op10_secrets,
     "op11_idplanes": op11_idplanes,
+    "op12_spellings": op12_spellings,
     "op13_prefixtrie": op13_prefixtrie,
 }
 
@@ -34,5 +36,6 @@ SQL = {
     "op6_mixing": OP6_SQL,
     "op7_linededup": OP7_SQL,
     "op8_spans": OP8_SQL,
+    "op12_spellings": OP12_SQL,
     "op13_prefixtrie": OP13_SQL,
 }
