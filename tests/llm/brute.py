@@ -57,7 +57,7 @@ def near_duplicates(rows, num=75, den=100):
     return [(doc, len(sets[i]), None if doc is None else min(low[root(i)])) for i, (doc, _) in enumerate(rows)]
 
 
-def spans(rows, pattern, runs):
+def spans(rows, pattern, runs, grown=None):
     """rows (doc_id, text) -> (doc_id, n_sentences, n_removed, kept)."""
     def key(s):
         return re.sub(r"[\x20\x09-\x0D]+", " ", s.strip(BLANKS).translate(LOWER))
@@ -66,12 +66,15 @@ def spans(rows, pattern, runs):
     own = []
     for r, (doc, _) in enumerate(rows):
         keys = [key(s) for s in cut[r]]
-        mine = []
-        for k, words in runs if doc is not None else ():
-            for p in range(len(keys) - k + 1):
-                if sum(len(x.split(" ")) if x else 0 for x in keys[p:p + k]) >= words:
-                    mine.append((p, k, tuple(keys[p:p + k])))
-                    found[mine[-1][2]].add((doc, p))
+        words_of = [len(x.split(" ")) if x else 0 for x in keys]
+        taken = {(p, k) for k, words in runs for p in range(len(keys) - k + 1) if sum(words_of[p:p + k]) >= words}
+        if grown is not None:
+            for p in range(len(keys)):
+                taken |= set([(p, k) for k in range(2, len(keys) - p + 1) if sum(words_of[p:p + k]) >= grown][:1])
+                taken |= set([(p - k + 1, k) for k in range(2, p + 2) if sum(words_of[p - k + 1:p + 1]) >= grown][:1])
+        mine = [(p, k, tuple(keys[p:p + k])) for p, k in taken] if doc is not None else []
+        for p, _, run in mine:
+            found[run].add((doc, p))
         own.append(mine)
     out = []
     for r, (doc, _) in enumerate(rows):

@@ -176,9 +176,10 @@ def test_line_threshold(spark):
 
 def test_spans(edge, edge_rows, docs, doc_rows, no_docs):
     for df, own in ((edge, edge_rows), (docs, doc_rows)):
-        got = rows(sentences.dedup_spans(df), "doc_id", "n_sentences", "n_removed", "kept")
-        assert got == sorted(brute.spans(pairs(own), sentences.SENTENCE, sentences.RUNS), key=str)
-    assert sentences.dedup_spans(no_docs).count() == 0
+        for grown in (None, sentences.GROWN):
+            got = rows(sentences.dedup_spans(df, grown=grown), "doc_id", "n_sentences", "n_removed", "kept")
+            assert got == sorted(brute.spans(pairs(own), sentences.SENTENCE, sentences.RUNS, grown), key=str)
+    assert sentences.dedup_spans(no_docs, grown=sentences.GROWN).count() == 0
 
 
 def test_spans_remove_a_planted_passage(spark):

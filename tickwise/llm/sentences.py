@@ -14,13 +14,16 @@ end there. All other occurrences go back to their documents, and the
 sentences that any of them covers are removed.
 
 "First" is the occurrence in the smallest document id, at the smallest
-position. Sentences compare by their key: blanks at both ends off, inner
+position; if runs of one document overlap, each is held against its own first
+place, so a sentence of a first place goes if another run that covers it came
+before. Sentences compare by their key: blanks at both ends off, inner
 blanks as one space, A-Z lower-cased. A run is known by 96 bits.
 
 Cases: null and empty texts have no sentences and stay as they are (kept text
 empty); documents are told apart by id, a row repeated with its id counts
 once and all its copies are treated alike; rows with a null id take no part
-and keep all; a run repeated inside one document keeps its first place; an
+and keep all; a run repeated inside one document keeps its first place, but for
+sentences that its other places cover; an
 empty table gives no rows; other columns are kept by ``dedup_spans`` (names
 starting with two underscores are reserved).
 """
@@ -212,7 +215,19 @@ keyed AS (
   SELECT doc_id, rid, list(key ORDER BY pos) AS keys,
          list(CASE WHEN key = '' THEN 0 ELSE length(key) - length(replace(key, ' ', '')) + 1 END ORDER BY pos) AS ws
   FROM parts WHERE doc_id IS NOT NULL GROUP BY doc_id, rid),
-runs AS ({each}),
+cums AS (
+  SELECT rid, pos, w, sum(w) OVER (PARTITION BY rid ORDER BY pos) AS upto, count(*) OVER (PARTITION BY rid) AS n
+  FROM (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM keyed)),
+ends AS (SELECT rid, upto, min(pos) AS pos FROM cums GROUP BY rid, upto),
+starts AS (SELECT rid, upto - w AS before, max(pos) AS pos FROM cums GROUP BY rid, upto - w),
+grown AS (
+  SELECT c.rid, c.pos, greatest(e.pos, c.pos + 1) - c.pos + 1 AS k FROM cums c ASOF JOIN ends e ON c.rid = e.rid AND c.upto - c.w + {GROWN} <= e.upto
+  WHERE greatest(e.pos, c.pos + 1) <= c.n
+  UNION SELECT c.rid, least(s.pos, c.pos - 1), c.pos - least(s.pos, c.pos - 1) + 1 FROM cums c ASOF JOIN starts s ON c.rid = s.rid AND c.upto - {GROWN} >= s.before
+  WHERE c.pos > 1),
+runs AS (
+  {each}
+  UNION ALL SELECT doc_id, rid, pos, k, keys[pos:pos + k - 1] FROM grown JOIN keyed USING (rid) WHERE k NOT IN ({", ".join(str(k) for k, words in RUNS if words <= GROWN)})),
 firsts AS (SELECT run, min(doc_id) AS first FROM runs GROUP BY run HAVING count(*) > 1),
 again AS (
   SELECT rid, pos, k FROM (
