@@ -5,21 +5,21 @@ once; ``evaluate`` computes each accepted request's points over its *own*
 truncated series (V1) with its *own* parameters, all indicators and requests
 in one job.
 
-The request -> bars match is an equi-join on (symbol, year bucket) with the
-inclusive date range as a residual predicate: each distinct range is exploded
-into the few calendar years it spans, each bar carries its own year, so every
-bar in range matches exactly once. Equal ranges are matched once, and tables
-of one row per range go back to the requests by ``skew.spread_join``.
+The request -> bars match of ``evaluate`` is an equi-join on (symbol, year) with
+the range index (``rangeindex``): each distinct range is exploded into the few
+calendar years it spans and takes its slice of each. ``range_join`` gives the
+bars themselves. Equal ranges are matched once, and tables of one row per range
+go back to the requests by ``skew.spread_join``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels as K
 from ..operators import indicators as I
 from . import identity as ID
+from . import rangeindex as RI
 from .policy import DEFAULT_POLICY, PARAM_BOUNDS, REQUIRED_TIER, clamp_range, default_range, indicator_allowed, params_within_bounds, tier_gate, tier_limits
 from .quota import day_of
 from .skew import first_n, spread_join
@@ -144,80 +144,34 @@ def resolved(requests: DataFrame) -> DataFrame:
         "__k": _number(params, {"bollinger": "std_dev"}, {"bollinger": d["bollinger"]["std_dev"]}, ind, "double")})
 
 
-def _ewm_own_span(df: DataFrame, src: str, span: str, out: str, keys) -> DataFrame:
-    """Exponential mean whose span is a column, for series marked by
-    ``in_one_pass`` (see kernels: same sums, the earlier blocks of a series as
-    a short list on the row)."""
-    rows = K.series_window(keys, K.POSITION)
-    running = K.block_window(keys).rowsBetween(Window.unboundedPreceding, 0)
-    x, q, r = F.col(src), F.lit(1.0) - F.lit(2.0) / (F.col(span) + F.lit(1.0)), F.col("__r")
-    df = df.withColumns({"__q": F.when(F.col(span).isNotNull(), q), "__r": F.count(src).over(running) - 1})
-    q = F.col("__q")
-    weight = F.when(F.col(K.SEEN) == 1, F.lit(1.0)).otherwise(F.lit(2.0) / (F.col(span) + F.lit(1.0)))
-    df = df.withColumn("__run", F.sum(F.when(q > 0, weight * x * F.pow(q, -r))).over(running))
-    last = F.coalesce(F.lead(K.BLOCK).over(rows) != F.col(K.BLOCK), F.lit(True)) & (r >= 0)
-    df = df.withColumn("__end", F.when(last, F.struct(F.col(K.SEEN).alias("M"), (F.pow(q, r) * F.col("__run")).alias("s"))))
-    df = df.withColumn("__ends", F.collect_list("__end").over(rows.rowsBetween(Window.unboundedPreceding, -1)))
-    before = F.aggregate("__ends", F.struct(F.lit(0).cast("long").alias("M"), F.lit(0.0).alias("s")),
-                         lambda acc, e: F.struct(e["M"].alias("M"), (acc["s"] * F.pow(F.col("__q"), e["M"] - acc["M"]) + e["s"]).alias("s")))["s"]
-    first = F.col(K.SEEN) == r + 1
-    value = F.pow(q, r) * F.col("__run") + F.when(first, F.lit(0.0)).otherwise(F.pow(q, r + 1) * before)
-    return df.withColumn(out, F.when(x.isNotNull(), F.when(q > 0, value).when(q == 0, x))).drop("__q", "__r", "__run", "__end", "__ends")
-
-
 POINTS = ("value", "macd", "signal", "histogram", "upper", "middle", "lower")
 
 
-def evaluate(requests: DataFrame, bars: DataFrame, start_col: str = "start_date", end_col: str = "end_date",
-             bounds=PARAM_BOUNDS) -> DataFrame:
+def evaluate(requests: DataFrame, bars: DataFrame | None = None, start_col: str = "start_date", end_col: str = "end_date",
+             index: DataFrame | None = None, indicators=tuple(RI.NEEDS)) -> DataFrame:
     """The points of every request: (request_id, date, ``POINTS``); value
     holds sma, ema and rsi.
 
     ``requests`` are accepted ones: (request_id, symbol, indicator, params,
-    range). Equal (symbol, range, indicator, parameters) are computed once, in
-    a window of their own (each sees only its own rows, V1; a range is bounded
-    by the calendar days it spans, so the series stay whole); parameters vary
-    by row, so rolling frames are cut from the last rows as an array.
+    range); a window, period or span below 1 gives no points. Equal (symbol,
+    range, indicator, parameters) are computed once, each from its own rows
+    only (V1), out of the range index: ``index``, or one made of ``bars`` for
+    this call. Parameters vary by row and have no upper bound. ``indicators``:
+    those to evaluate; requests of others give no points.
     """
+    index = RI.stored_index(bars) if index is None else index
     ident = ["symbol", start_col, end_col, "indicator", "__p1", "__p2", "__p3", "__k"]
     r = resolved(requests).withColumn("__key", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ident]), 256))
-    r = r.where(F.col("__p1").isNotNull())
+    sound = (F.col("__p1") >= 1) & F.coalesce(F.col("__p2") >= 1, F.lit(True)) & F.coalesce(F.col("__p3") >= 1, F.lit(True))
+    r = r.where(sound & F.col("indicator").isin(*indicators))
     asked = (r.groupBy("__key", *ident).agg(F.count(F.lit(1)).alias("__n"))
              .withColumn("__copies", F.ceil(F.col("__n") / F.lit(SHARED_BY)).cast("int")).drop("__n"))
-    pts = range_join(asked, bars.select("symbol", "date", "close"), start_col, end_col).drop(*ident[:3]).repartition("__key")
-    keys, ind = ("__key",), F.col("indicator")
-    pts = K.in_one_pass(pts, "close", keys)
-    rows = K.series_window(keys, K.POSITION)
-    most = max(hi for (_, name), (_, hi, is_int) in bounds.items() if is_int)
-    pts = pts.withColumn("__diff", F.coalesce(F.col("close") - F.lag("close").over(rows), F.lit(0.0)))
-    recent = F.when(ind.isin("sma", "rsi", "bollinger"), F.struct(F.col("close").alias("c"), F.col("__diff").alias("d")))
-    pts = pts.withColumn("__recent", F.collect_list(recent).over(rows.rowsBetween(-(int(most) - 1), 0)))
-    n = F.size("__recent")
-    pts = pts.withColumn("__recent", F.slice("__recent", F.greatest(n - F.col("__p1") + 1, F.lit(1)), F.greatest(F.coalesce("__p1", F.lit(1)), F.lit(1))))
-
-    def total(of) -> Column:
-        return F.aggregate("__recent", F.lit(0.0), lambda acc, e: acc + F.coalesce(of(e), F.lit(0.0)))
-
-    count = F.size(F.filter("__recent", lambda e: e["c"].isNotNull()))
-    pts = pts.withColumns({"__count": count, "__mean": F.when(count > 0, total(lambda e: e["c"]) / count),
-                           "__up": total(lambda e: F.greatest(e["d"], F.lit(0.0))), "__down": total(lambda e: F.greatest(-e["d"], F.lit(0.0)))})
-    pts = pts.withColumn("__sd", F.when(F.col("__count") > 1, F.sqrt(total(lambda e: (e["c"] - F.col("__mean")) * (e["c"] - F.col("__mean"))) / (F.col("__count") - 1))))
-    # Both sums are over the same rows, so their ratio is that of the means.
-    rsi = F.when(F.col("__down") > 0, F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.col("__up") / F.col("__down"))).when(F.col("__up") > 0, F.lit(100.0))
-    pts = pts.withColumn("__one", F.when(ind.isin("ema", "macd"), F.col("__p1")))
-    pts = _ewm_own_span(pts, "close", "__one", "__fast", keys)
-    pts = _ewm_own_span(pts, "close", "__p2", "__slow", keys)
-    pts = pts.withColumn("macd", F.when(ind == "macd", F.col("__fast") - F.col("__slow")))
-    pts = _ewm_own_span(pts, "macd", "__p3", "signal", keys)
-    band = F.col("__k") * F.col("__sd")
-    is_bands = ind == "bollinger"
-    out = pts.select(
-        "__key", "__copies", "date",
-        F.when(ind == "sma", F.col("__mean")).when(ind == "ema", F.col("__fast")).when(ind == "rsi", rsi).alias("value"),
-        "macd", "signal", (F.col("macd") - F.col("signal")).alias("histogram"),
-        F.when(is_bands, F.col("__mean") + band).alias("upper"), F.when(is_bands, F.col("__mean")).alias("middle"), F.when(is_bands, F.col("__mean") - band).alias("lower"))
-    # A range that very many requests share is copied, and its requests are dealt over the copies.
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
     reqs = spread_join(r.select("request_id", "__key"), asked.select("__key", "__copies"), ["__key"], "request_id", "inner")
     reqs = reqs.withColumn("__copy", F.pmod(F.xxhash64("request_id"), F.col("__copies")).cast("int")).drop("__copies")
-    return reqs.join(out, ["__key", "__copy"]).drop("__key", "__copy")
+    # A range that very many requests share is copied, and its requests are dealt over the copies.
+    copied = asked.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
+    keys = ["__key", "__copy"]
+    found = RI.slices(copied, index, start_col, end_col, F.col("indicator"), keys)
+    ind, b, p1, p2, p3, k = (F.col(c) for c in ("indicator", "__b", "__p1", "__p2", "__p3", "__k"))
+    out = found.select(*keys, RI.points(ind, b, p1, p2, p3, k, indicators).alias("__points"))
+    return reqs.join(out, keys).select("request_id", F.inline("__points"))

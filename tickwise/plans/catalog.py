@@ -35,13 +35,6 @@ def r4(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 4)
 
 
-def r2(c) -> F.Column:
-    """Two decimals for the many rows of batch evaluation. The odd shift, the
-    same in the SQL, keeps exact halves (spans such as 3 or 7 give many) off
-    the rounding boundary, where the last bit would decide."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(0.0012345), 2)
-
-
 # --- scans, filters, statistics (O1-O17) ------------------------------------------
 
 @query("bars_scan")
@@ -456,18 +449,18 @@ def _accepted(spark, sf):
 def batch_evaluate(spark, sf):
     """Default range, clamp and gates, then every accepted request's points by its own parameters."""
     out = RQ.evaluate(_accepted(spark, sf), td.bars(spark, sf), "eff_start", "eff_end")
-    return out.select("request_id", "date", *[r2(c).alias(c) for c in RQ.POINTS])
+    return out.select("request_id", "date", *[r4(c).alias(c) for c in RQ.POINTS])
 
 
 def _documents(spark, sf, indicator, title, columns, parameters):
     """Documents of one endpoint: accepted requests, points in date order."""
     accepted = RQ.resolved(_accepted(spark, sf)).where(F.col("indicator") == indicator)
-    points = RQ.evaluate(accepted, td.bars(spark, sf), "eff_start", "eff_end")
+    points = RQ.evaluate(accepted, td.bars(spark, sf), "eff_start", "eff_end", indicators=[indicator])
     head = accepted.select("request_id", "symbol", F.lit(title).alias("indicator"), parameters.alias("parameters"),
                            F.col("eff_start").alias("start_date"), F.col("eff_end").alias("end_date"))
-    docs = SH.documents(head.join(points, "request_id").withColumns({c: r2(c) for c in columns}), columns)
+    docs = SH.documents(head.join(points, "request_id").withColumns({c: r4(c) for c in columns}), columns)
     line = F.aggregate("data", F.lit(""), lambda acc, p: F.concat(acc, F.concat_ws(
-        "|", p["date"].cast("string"), *[F.when(p[c].isNull(), F.lit("null")).otherwise(F.format_string("%.2f", p[c] + F.lit(0.0))) for c in columns]), F.lit(";")))
+        "|", p["date"].cast("string"), *[F.when(p[c].isNull(), F.lit("null")).otherwise(F.format_string("%.4f", p[c] + F.lit(0.0))) for c in columns]), F.lit(";")))
     shown = F.concat_ws(",", F.transform(F.map_entries("parameters"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.1f", e["value"]))))
     return docs.select("request_id", "symbol", "indicator", shown.alias("parameters"), "data_points", "start_date", "end_date", F.md5(line).alias("data_md5"))
 
@@ -493,7 +486,7 @@ def bollinger_documents(spark, sf):
 
 def _batch(spark, sf, indicator):
     r = td.requests(spark, sf).where(F.col("indicator") == indicator)
-    return RQ.evaluate(r, td.bars(spark, sf))
+    return RQ.evaluate(r, td.bars(spark, sf), indicators=[indicator])
 
 
 @query("batch_sma")
@@ -503,26 +496,26 @@ def batch_sma(spark, sf):
 
 @query("batch_ema")
 def batch_ema(spark, sf):
-    return _batch(spark, sf, "ema").select("request_id", "date", r2("value").alias("ema"))
+    return _batch(spark, sf, "ema").select("request_id", "date", r4("value").alias("ema"))
 
 
 @query("batch_rsi")
 def batch_rsi(spark, sf):
-    return _batch(spark, sf, "rsi").select("request_id", "date", r2("value").alias("rsi"))
+    return _batch(spark, sf, "rsi").select("request_id", "date", r4("value").alias("rsi"))
 
 
 @query("batch_macd")
 def batch_macd(spark, sf):
     m = _batch(spark, sf, "macd")
-    return m.select("request_id", "date", r2("macd").alias("macd"), r2("signal").alias("signal"),
-                    r2("histogram").alias("histogram"))
+    return m.select("request_id", "date", r4("macd").alias("macd"), r4("signal").alias("signal"),
+                    r4("histogram").alias("histogram"))
 
 
 @query("batch_bollinger")
 def batch_bollinger(spark, sf):
     bb = _batch(spark, sf, "bollinger")
-    return bb.select("request_id", "date", r2("upper").alias("upper"), "middle",
-                     r2("lower").alias("lower"))
+    return bb.select("request_id", "date", r4("upper").alias("upper"), "middle",
+                     r4("lower").alias("lower"))
 
 
 @query("request_log_rollup")
