@@ -74,10 +74,6 @@ def loss(diff: Column) -> Column:
 # --- blocks -------------------------------------------------------------------
 
 
-def _same(a: DataFrame, b: DataFrame, cols) -> Column:
-    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])
-
-
 def in_blocks(df: DataFrame, col: str = "close", keys=("symbol",), order="date", halo: int = 0,
               cut: Column | None = None) -> DataFrame:
     """Cut every series into blocks of ``BLOCK_ROWS`` rows (more if the halo
@@ -122,6 +118,17 @@ def in_one_pass(df: DataFrame, col: str = "close", keys=("symbol",), order="date
     }).withColumns({BLOCK: F.floor(F.col(POSITION) / F.lit(BLOCK_ROWS)), HALO: F.lit(False)})
 
 
+def is_marked(df: DataFrame) -> bool:
+    """Whether ``df`` has the marks already (a table of stored blocks)."""
+    return set(_MARKS) <= set(df.columns)
+
+
+def stored_halo(df: DataFrame) -> int | None:
+    """Rows that each stored block brings along from the one before; None for
+    marks that were made in this plan."""
+    return df.schema[HALO].metadata.get("rows")
+
+
 def block_window(keys=("symbol",)) -> WindowSpec:
     """Order of the rows of one block, halo first."""
     return Window.partitionBy(*keys, BLOCK).orderBy(POSITION)
@@ -153,9 +160,11 @@ def _reach(span: int) -> int:
     return math.ceil(_REACH / -math.log(1.0 - 2.0 / (span + 1.0)))
 
 
-def ewm_means(df: DataFrame, specs, keys=("symbol",)) -> DataFrame:
+def ewm_means(df: DataFrame, specs, keys=("symbol",), state: DataFrame | None = None) -> DataFrame:
     """Add one exponential-mean column per ``(source, span, out)`` spec to
-    a frame with the marks of ``in_blocks`` or ``in_one_pass``.
+    a frame with the marks of ``in_blocks`` or ``in_one_pass``. ``state``
+    (keys and a column for each ``out``): the means that series have reached
+    before these rows; a series without one starts with its first value.
 
     All sources must share the null pattern of the marked column; null rows get
     a NULL result and do not break the recurrence (V15: the mean runs over the
@@ -172,12 +181,17 @@ def ewm_means(df: DataFrame, specs, keys=("symbol",)) -> DataFrame:
         return df.withColumns(final)
     running = block_window(keys).rowsBetween(Window.unboundedPreceding, 0)
     here = F.col(smooth[0][0]).isNotNull() & ~F.col(HALO)
+    reached = {out: f"__{out}_0" for _, _, out in smooth}
+    if state is not None:
+        known = state.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], *[F.col(out).alias(c) for out, c in reached.items()])
+        df = df.join(known, reduce(lambda x, y: x & y, [df[k].eqNullSafe(known[f"__k{j}"]) for j, k in enumerate(keys)]), "left").drop(*[f"__k{j}" for j in range(len(keys))])
     df = df.withColumn("__r", F.count(F.when(here, 1)).over(running) - 1)
     r = F.col("__r")
     terms = {}
     for src, span, out in smooth:
         a = 2.0 / (span + 1.0)
-        weight = F.when(F.col(SEEN) == 1, F.lit(1.0)).otherwise(F.lit(a))
+        seed = (F.col(SEEN) == 1) if state is None else (F.col(SEEN) == 1) & F.col(reached[out]).isNull()
+        weight = F.when(seed, F.lit(1.0)).otherwise(F.lit(a))
         terms[f"__{out}_t"] = F.when(here, weight * F.col(src) * F.pow(F.lit(1.0 - a), -r))
     df = df.withColumns(terms)
     ends = df.where(here).groupBy(*keys, BLOCK).agg(
@@ -200,13 +214,23 @@ def ewm_means(df: DataFrame, specs, keys=("symbol",)) -> DataFrame:
                             lambda acc, e: F.struct(e["M"].alias("M"), (acc["s"] * F.pow(q, e["M"] - acc["M"]) + e["s"]).alias("s")))
         previous[f"__{out}_p"] = F.coalesce(f"__{out}_v", total["s"])
     ends = ends.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate([*keys, BLOCK])], *[v.alias(n) for n, v in previous.items()])
-    on = reduce(lambda x, y: x & y, [df[k].eqNullSafe(ends[f"__k{j}"]) for j, k in enumerate([*keys, BLOCK])])
+    # Stored blocks have no null keys: a plain equality keeps to their buckets.
+    equal = Column.eqNullSafe if stored_halo(df) is None else Column.__eq__
+    on = reduce(lambda x, y: x & y, [equal(df[k], ends[f"__k{j}"]) for j, k in enumerate([*keys, BLOCK])])
     df = df.join(ends, on, "left").drop(*[f"__k{j}" for j in range(len(keys) + 1)])
     for src, span, out in smooth:
         q = F.lit(1.0 - 2.0 / (span + 1.0))
         run = F.sum(f"__{out}_t").over(running)
         first = F.col(SEEN) == r + 1  # no value before this block
         before = F.when(first, F.lit(0.0)).otherwise(F.pow(q, r + 1) * F.col(f"__{out}_p"))
+        if state is not None:
+            before = before + F.coalesce(F.pow(q, F.col(SEEN)) * F.col(reached[out]), F.lit(0.0))
         final[out] = F.when(here, F.pow(q, r) * run + before)
     df = df.withColumns(final)
-    return df.drop("__r", *terms, *[f"__{out}_p" for _, _, out in smooth])
+    return df.drop("__r", *terms, *[f"__{out}_p" for _, _, out in smooth], *reached.values())
+
+
+def ewm_state(df: DataFrame, outs, keys=("symbol",), order="date") -> DataFrame:
+    """The last mean of each series, for ``ewm_means`` of the rows that follow."""
+    last = [F.max_by(out, F.when(F.col(out).isNotNull(), F.struct(*_list(order)))).alias(out) for out in outs]
+    return df.groupBy(*keys).agg(*last)

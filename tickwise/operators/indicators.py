@@ -6,7 +6,8 @@ the requested symbols and dates (V1: the range filter comes first; see
 columns added, for every series at once. Nothing is collected. Long series are
 cut into blocks with a halo (``kernels.in_blocks``), so a symbol spreads over
 as many tasks as it has blocks; ``whole=True`` keeps each series in one task,
-for series of bounded length.
+for series of bounded length. A table of stored blocks (``sources.read_blocks``)
+is taken as it is: its rows stand where the windows need them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ DEFAULTS = {
 
 def _marked(df: DataFrame, col: str, keys, order, halo: int, whole: bool) -> DataFrame:
     require_columns(df, col)
+    if K.is_marked(df):
+        if K.stored_halo(df) is not None and K.stored_halo(df) < halo:
+            raise ValueError(f"stored blocks have {K.stored_halo(df)} rows of the block before, {halo} are needed")
+        return df
     return K.in_one_pass(df, col, keys, order) if whole else K.in_blocks(df, col, keys, order, halo)
 
 
@@ -103,14 +108,18 @@ def bollinger(df: DataFrame, period: int = 20, std_dev: float | str = 2.0, keys=
 
 def suite(df: DataFrame, sma_window: int = 20, ema_window: int = 20, rsi_period: int = 14,
           macd_periods=(12, 26, 9), bb_period: int = 20, bb_std: float = 2.0,
-          keys=("symbol",), order="date", col: str = "close", whole: bool = False) -> DataFrame:
+          keys=("symbol",), order="date", col: str = "close", whole: bool = False,
+          state: DataFrame | None = None, means: str | None = None, keep: bool = False) -> DataFrame:
     """All five indicators over all series in one plan.
 
     Every window shares the partitioning by block; the means of equal windows
-    are one column (V11).
+    are one column (V11). For rows that follow others (``operators.incremental``):
+    ``means`` names the column that exponential means run over, ``state`` what
+    they have reached; ``keep`` leaves the columns of ``STATE``.
     """
     fast, slow, sig = macd_periods
-    df = _marked(df, col, keys, order, max(sma_window - 1, bb_period - 1, rsi_period), whole)
+    source = means or col
+    df = _marked(df, source, keys, order, max(sma_window - 1, bb_period - 1, rsi_period), whole)
     w = _window(keys, order, whole)
     rolled = {"sma": rolling_mean(col, sma_window, w), "__sd": rolling_std(col, bb_period, w)}
     if bb_period != sma_window:
@@ -122,12 +131,16 @@ def suite(df: DataFrame, sma_window: int = 20, ema_window: int = 20, rsi_period:
     df = df.withColumns({"bb_upper": F.col("bb_middle") + F.col("__sd") * k,
                          "bb_lower": F.col("bb_middle") - F.col("__sd") * k}).drop("__sd")
     df = _rsi_columns(df, rsi_period, w, col, "rsi")
-    df = K.ewm_means(df, [(col, ema_window, "ema"), (col, fast, "__fast"), (col, slow, "__slow")], keys)
-    df = df.withColumn("macd", F.col("__fast") - F.col("__slow"))
-    df = K.ewm_means(df, [("macd", sig, "macd_signal")], keys)
+    of = lambda outs: None if state is None else state.select(*keys, *outs)
+    df = K.ewm_means(df, [(source, ema_window, "ema"), (source, fast, "macd_fast"), (source, slow, "macd_slow")], keys, of(["ema", "macd_fast", "macd_slow"]))
+    df = df.withColumn("macd", F.col("macd_fast") - F.col("macd_slow"))
+    df = K.ewm_means(df, [("macd", sig, "macd_signal")], keys, of(["macd_signal"]))
     df = df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
-    return K.out_of_blocks(df.drop("__fast", "__slow"))
+    return K.out_of_blocks(df if keep else df.drop("macd_fast", "macd_slow"))
 
 
+#: Exponential means that a series has reached.
+STATE = ("ema", "macd_fast", "macd_slow", "macd_signal")
+
 SUITE_COLUMNS = ("sma", "ema", "rsi", "macd", "macd_signal", "macd_histogram",
                  "bb_upper", "bb_middle", "bb_lower")
