@@ -12,6 +12,7 @@ from tickwise.operators import policy as P
 from tickwise.operators import quota as Q
 from tickwise.operators import requests as RQ
 from tickwise.operators import results as RS
+from tickwise.operators import store as ST
 from tickwise.plans.catalog import QUERIES
 from tickwise.sources import bars as B
 from tickwise.sources import testdata as td
@@ -158,8 +159,10 @@ def test_read_through_and_delete(spark, tmp_path):
     asked = spark.createDataFrame([("k1",), ("k1",), ("zz",)], "params_key string")
     out = {r["params_key"]: (r["hit"], r["value"]) for r in RS.read_through(asked, spark.read.parquet(path), lambda m: m.withColumn("value", F.lit(7.0)), "2024-01-01 10:10:00").collect()}
     assert out == {"k1": (True, 1.0), "zz": (False, 7.0)}
-    assert RS.delete(spark, path, "k[12]") == 2 and RS.delete(spark, path, "nothing*") == 0
-    assert sorted(r[0] for r in spark.read.parquet(path).select("params_key").collect()) == ["j1", "k9"]
+    kept = str(tmp_path / "store")
+    ST.append(res, kept, "2024-01-01 10:00:00")
+    assert ST.invalidate(spark, kept, "k[12]") == 2 and ST.invalidate(spark, kept, "nothing*") == 0
+    assert sorted(r[0] for r in ST.read(spark, kept).select("params_key").collect()) == ["j1", "k9"]
     tied = res.withColumn("cached_at", F.lit("2024-01-01").cast("timestamp")).withColumn("params_key", F.lit("k"))
     assert RS.newest_per_key(tied, ["value"]).first()["value"] == 4.0
 

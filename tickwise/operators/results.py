@@ -1,9 +1,10 @@
 """Materialised indicator results.
 
 The service caches whole responses under a derived key with a TTL. Here the
-cache is a parquet table partitioned by indicator with ``params_key`` and
-``cached_at`` columns: writes append, fresh reads filter on age and keep
-the newest entry per key, invalidation rewrites only what does not match.
+cache is a table with ``params_key`` and ``cached_at`` columns: writes append,
+fresh reads filter on age and keep the newest entry per key, invalidation is a
+selection. ``materialise`` appends to a plain folder; ``operators.store`` keeps
+the table in whole versions, with deletion and key lookup.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-
 DEFAULT_TTL_MINUTES = 30  # fixed value of the service
 
 
@@ -111,7 +110,7 @@ def literal_prefix(pattern: str) -> str:
     return re.match(r"[^*?\[\\]*", pattern).group()
 
 
-def _matches(pattern: str, key_col: str) -> Column:
+def key_matches(pattern: str, key_col: str) -> Column:
     prefix = literal_prefix(pattern)  # reaches the scan; a regular expression doesn't
     matched = F.col(key_col).rlike(glob_to_regex(pattern))
     return F.col(key_col).startswith(prefix) & matched if prefix else matched
@@ -119,30 +118,9 @@ def _matches(pattern: str, key_col: str) -> Column:
 
 def matching(entries: DataFrame, pattern: str, key_col: str = "params_key") -> DataFrame:
     """O52 selection: entries whose key matches the glob."""
-    return entries.where(_matches(pattern, key_col))
+    return entries.where(key_matches(pattern, key_col))
 
 
 def invalidate(entries: DataFrame, pattern: str, key_col: str = "params_key") -> DataFrame:
     """What remains after deleting the matching keys (a null key matches nothing)."""
-    return entries.where(~F.coalesce(_matches(pattern, key_col), F.lit(False)))
-
-
-def delete(spark, path: str, pattern: str, key_col: str = "params_key") -> int:
-    """O52 on a stored table: rewrites only the indicator partitions that hold
-    matching keys, and returns the number of distinct keys deleted."""
-    stored = spark.read.parquet(path)
-    gone = matching(stored, pattern, key_col)
-    touched = [r["indicator"] for r in gone.select("indicator").distinct().collect()]  # one row an indicator
-    deleted = gone.agg(F.count_distinct(key_col)).first()[0]
-    if touched:
-        kept = invalidate(stored.where(F.col("indicator").isin(touched)), pattern, key_col)
-        target = scratch_path(spark, "results")
-        kept.write.partitionBy("indicator").parquet(target)  # a partition can't be read while it is overwritten
-        rest = spark.read.schema(stored.schema).parquet(target)
-        emptied = set(touched) - {r["indicator"] for r in rest.select("indicator").distinct().collect()}
-        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("indicator").parquet(path)
-        files = spark._jvm.org.apache.hadoop.fs.Path(path)
-        for name in emptied:
-            part = spark._jvm.org.apache.hadoop.fs.Path(files, f"indicator={name}")
-            part.getFileSystem(spark._jsc.hadoopConfiguration()).delete(part, True)
-    return deleted
+    return entries.where(~F.coalesce(key_matches(pattern, key_col), F.lit(False)))
