@@ -1,22 +1,25 @@
 """Quota accounting on a stream of requests.
 
-O45 decides allow/deny per event with ``applyInPandasWithState`` keyed by
-(user, day): the state is one number, the allowed count of that day, and
-expires by event time once the day and the allowed lateness are over, so the
-store holds only open days. Every event gets a decision: one that comes in
-later than that finds a counter that starts anew, as it would in the service,
-whose counters expire too. A key's events of one micro-batch come in chunks,
-each sorted by (ts, request_id); only numbers are kept from chunk to chunk.
-Decisions follow arrival: they equal the batch decision (O40) when events
-arrive in time order.
-
-O44 counts what limited users consume per (user, UTC day): a running count
-of decisions, in update mode, so the open day is reported as well and late
-events are counted. Each micro-batch's counts are written under its number;
-``latest_counts`` keeps the last of each key. Unlimited tiers have no counter.
+One state processor (``transformWithState``) keyed by (user, UTC day) decides
+every event. Its state is the list of request ids that have consumed the day's
+quota, at most the daily limit; a request that comes again is known by its id,
+gets its decision again and consumes nothing. An event-time timer drops the
+state once the day and the allowed lateness are over, so the store holds only
+open days of limited users; unlimited tiers have no state. Every event gets a
+decision: one that comes later than that finds a counter that starts anew, as
+it would in the service, whose counters expire too, and leaves no state.
+
+A key's events of one micro-batch come in chunks, each sorted by (ts,
+request_id). Decisions follow arrival: they equal the batch decision (O40) when
+events arrive in time order.
+
+O44 writes what each micro-batch consumed per (user, day): increments, so the
+open day is reported as well and late events are counted without state for
+days that are over. ``latest_counts`` sums them up to the daily limit.
 
 Both write to a parquet sink under the shared checkpoint folder; nothing is
-collected on the driver.
+collected on the driver. A query that is started again on its checkpoint goes
+on where it was. The state store is RocksDB, which ``transformWithState`` needs.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.policy import DEFAULT_POLICY, tier_limits
 from ..operators.quota import day_of
@@ -60,7 +63,17 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("reset_date", T.DateType()),
 ])
 
-STATE_SCHEMA = T.StructType([T.StructField("count", T.LongType())])
+COUNT_SCHEMA = T.StructType([
+    T.StructField("user_id", T.LongType()),
+    T.StructField("day", T.DateType()),
+    T.StructField("daily_limit", T.LongType()),
+    T.StructField("requests", T.LongType()),
+])
+
+STATE_SCHEMA = T.StructType([T.StructField("consumed", T.ArrayType(T.LongType()))])
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_event_stream(spark: SparkSession, folder: str, glob: str | None = None,
@@ -73,87 +86,116 @@ def read_event_stream(spark: SparkSession, folder: str, glob: str | None = None,
     return reader.parquet(folder)
 
 
-def _decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    user, day = key
-    if state.hasTimedOut:
-        state.remove()
-        return
-    count = state.get[0] if state.exists else 0
-    last = 0
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        pdf = pdf.sort_values(["ts", "request_id"], kind="stable")
-        n, limit = len(pdf), pdf["daily_limit"].iloc[0]
-        last = max(last, int(pdf["expires_ms"].iloc[0]))
-        if pd.isna(limit):
+class QuotaProcessor(StatefulProcessor):
+    """Decisions of one (user, day), or with ``counts`` what they consume."""
+
+    def __init__(self, counts: bool = False):
+        self.counts = counts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("consumed", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        user, day = key
+        held = list(self.state.get()[0]) if self.state.exists() else []
+        place = {r: n for n, r in enumerate(held)}  # consumed before that many others
+        before, limit, last = len(place), None, 0
+        for pdf in rows:
+            if pdf.empty:
+                continue
+            pdf = pdf.sort_values(["ts", "request_id"], kind="stable")
+            limit = pdf["daily_limit"].iloc[0]
+            limit = None if pd.isna(limit) else int(limit)
+            last = max(last, int(pdf["expires_ms"].iloc[0]))
+            ids = pdf["request_id"].tolist()
+            if limit is not None:
+                for r in ids:
+                    if len(place) >= limit:
+                        break
+                    place.setdefault(r, len(place))
+            if not self.counts:
+                yield self._decided(ids, user, day, limit, place)
+        if self.counts and limit and len(place) > before:
+            yield pd.DataFrame({"user_id": [user], "day": [day], "daily_limit": [limit], "requests": [len(place) - before]})
+        # Nothing is kept beyond the lateness: its timer would be over already.
+        if len(place) > before and last > timerValues.getCurrentWatermarkInMs():
+            self.state.update((list(place),))
+            self.handle.registerTimer(last)
+
+    @staticmethod
+    def _decided(ids: list, user, day, limit: int | None, place: dict) -> pd.DataFrame:
+        n = len(ids)
+        if limit is None:
             allowed, used, remaining = np.ones(n, bool), np.zeros(n, np.int64), pd.array([None] * n, dtype="Int64")
-            count += n
         else:
-            before = count + np.arange(n)  # allowed so far: only allowed ones consume
-            allowed = before < int(limit)
-            used = np.minimum(before, int(limit))
-            remaining = pd.array(np.maximum(int(limit) - before, 0), dtype="Int64")
-            count = min(count + n, max(count, int(limit)))
+            used = np.array([place.get(r, limit) for r in ids], np.int64)
+            allowed = np.array([r in place for r in ids], bool)
+            remaining = pd.array(limit - used, dtype="Int64")
         reset = np.where(allowed, None, day + dt.timedelta(days=1))
-        yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "user_id": pdf["user_id"].to_numpy(), "day": [day] * n,
-                            "allowed": allowed, "used": used, "remaining": remaining, "reset_date": reset})
-    state.update((int(count),))
-    if last > state.getCurrentWatermarkMs():
-        state.setTimeoutTimestamp(last)
+        return pd.DataFrame({"request_id": ids, "user_id": [user] * n, "day": [day] * n, "allowed": allowed, "used": used, "remaining": remaining, "reset_date": reset})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
 
-def decisions_stream(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLICY, lateness: str = "1 day") -> DataFrame:
-    """Per-event allow/deny; ``users`` is a static table (stream-static
-    join on its unique id). ``lateness``: how long after its end a day's counter is kept."""
+    def close(self) -> None:
+        pass
+
+
+def _processed(requests: DataFrame, users: DataFrame, policy, lateness: str, counts: bool) -> DataFrame:
     u = users.select(F.col("id").alias("user_id"), "tier")
     r = (requests.withWatermark("ts", lateness).join(u, "user_id", "left")
                  .withColumn("daily_limit", tier_limits(F.col("tier"), policy)["requests_per_day"])
                  .withColumn("day", day_of(F.col("ts")))
                  .withColumn("expires_ms", F.unix_millis(F.date_add("day", 1).cast("timestamp")))
                  .select("request_id", "user_id", "day", "ts", "daily_limit", "expires_ms"))
-    return (r.groupBy("user_id", "day")
-             .applyInPandasWithState(_decide, DECISION_SCHEMA, STATE_SCHEMA, "append",
-                                     GroupStateTimeout.EventTimeTimeout))
+    if counts:
+        r = r.where(F.col("daily_limit") > 0)
+    return r.groupBy("user_id", "day").transformWithStateInPandas(QuotaProcessor(counts), COUNT_SCHEMA if counts else DECISION_SCHEMA, "Append", "EventTime")
 
 
-def daily_counts_stream(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLICY) -> DataFrame:
-    """Requests that limited users consumed so far, per (user, UTC day)."""
-    u = users.select(F.col("id").alias("user_id"), "tier")
-    limit = tier_limits(F.col("tier"), policy)["requests_per_day"]
-    r = requests.join(u, "user_id", "left").withColumn("daily_limit", limit).where(F.col("daily_limit") > 0)
-    return (r.groupBy("user_id", day_of(F.col("ts")).alias("day"), "daily_limit").agg(F.count(F.lit(1)).alias("n"))
-             .select("user_id", "day", F.least("n", F.col("daily_limit").cast("long")).alias("requests")))
+def decisions_stream(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLICY, lateness: str = "1 day") -> DataFrame:
+    """Per-event allow/deny; ``users`` is a static table (stream-static
+    join on its unique id). ``lateness``: how long after its end a day's counter is kept."""
+    return _processed(requests, users, policy, lateness, counts=False)
+
 
+def daily_counts_stream(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLICY, lateness: str = "1 day") -> DataFrame:
+    """Requests of limited users that each micro-batch consumed, per (user, UTC day)."""
+    return _processed(requests, users, policy, lateness, counts=True)
 
-def _run(query) -> None:
+
+def start(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str):
+    """Start a stream into a parquet folder; call it again with the same
+    folders to go on."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
-        query.processAllAvailable()
+        return stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).start()
     finally:
-        query.stop()
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
 def run_to_parquet(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a streaming query until its source is drained, into a parquet
     sink under the shared checkpoint folder; return the sink as a batch
     DataFrame."""
-    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    _run(stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", ckpt).start())
+    out = scratch_path(spark, f"{name}-out")
+    query = start(spark, stream, out, scratch_path(spark, f"{name}-ckpt"))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def run_counts(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """The same for running counts: each micro-batch overwrites its own
-    folder, so a repeated batch leaves nothing twice."""
-    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    _run(stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", ckpt).start())
-    return latest_counts(spark.read.parquet(out))
+    return latest_counts(run_to_parquet(spark, stream, name))
 
 
 def latest_counts(counts: DataFrame) -> DataFrame:
-    """Counts only grow, so the largest of a key is its last."""
-    return counts.groupBy("user_id", "day").agg(F.max("requests").alias("requests"))
+    """Consumed requests per (user, day): the increments, up to the limit (a
+    counter that started anew doesn't know of those before)."""
+    total = F.least(F.sum("requests"), F.max("daily_limit"))
+    return counts.groupBy("user_id", "day").agg(total.alias("requests"))
