@@ -61,6 +61,19 @@ def key_listing(api_keys: DataFrame, user_id: int | None = None) -> DataFrame:
                            "created_at", "expires_at")
 
 
+def deactivate_keys(api_keys: DataFrame, revocations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """O47, write side: (keys after, revocations with ``status_code``). A
+    revocation (user_id, key id in ``key_id``) counts if that key is the
+    user's: 200, also if the key is inactive already; else 404 and nothing
+    changes. Repeated ones count alike; null ids find nothing."""
+    owned = api_keys.select(F.col("id").alias("key_id"), "user_id").distinct().withColumn("__owned", F.lit(True))
+    told = revocations.join(owned, ["key_id", "user_id"], "left")
+    told = told.withColumn("status_code", F.when(F.col("__owned"), F.lit(200)).otherwise(F.lit(404))).drop("__owned").select(*revocations.columns, "status_code")
+    gone = revocations.select(F.col("key_id").alias("id"), "user_id").distinct().withColumn("__gone", F.lit(True))
+    after = api_keys.join(gone, ["id", "user_id"], "left").withColumn("is_active", F.col("is_active") & F.col("__gone").isNull())
+    return after.select(*api_keys.columns), told
+
+
 def intake_check(candidates: DataFrame, users: DataFrame, order: str = "candidate_id") -> DataFrame:
     """Validate registrations and flag conflicts, with existing users and
     with candidates before them: of two valid ones with the same username or

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .policy import DEFAULT_POLICY, tier_limits
 from .skew import first_n
 
+SHARED_UNLIMITED = 999999  # fixed value of the limiter with shared counters
+
 
 def day_of(ts: Column) -> Column:
     """The UTC calendar day of a timestamp, whatever the session's zone."""
@@ -37,10 +39,11 @@ def with_daily_limit(requests: DataFrame, users: DataFrame, policy=DEFAULT_POLIC
 
 def quota_decision(requests: DataFrame, limit_col: str = "daily_limit",
                    user_col: str = "user_id", ts_col: str = "ts",
-                   id_col: str = "request_id") -> DataFrame:
+                   id_col: str = "request_id", unlimited_remaining: int | None = None) -> DataFrame:
     """O40 + O41 per request: allowed, used (count before the check),
     remaining (before the check, as the limiter reports it) and the reset
-    date (next midnight) for blocked requests."""
+    date (next midnight) for blocked requests. ``unlimited_remaining``: what
+    unlimited tiers are told (null, or the shared counters' 999999)."""
     req = requests.withColumn("day", day_of(F.col(ts_col)))
     limited = req.where(F.col(limit_col).isNotNull()).select(user_col, "day", ts_col, id_col, limit_col)
     winners = first_n(limited, [user_col, "day"], [ts_col, id_col], limit_col, id_col).select(id_col, "__rank")
@@ -53,7 +56,7 @@ def quota_decision(requests: DataFrame, limit_col: str = "daily_limit",
                 "used": F.when(unlimited, F.lit(0))
                          .when(F.col("__rank").isNotNull(), F.col("__rank") - 1)
                          .otherwise(limit).cast("int"),
-                "remaining": F.when(unlimited, F.lit(None).cast("int"))
+                "remaining": F.when(unlimited, F.lit(unlimited_remaining).cast("int"))
                               .when(F.col("__rank").isNotNull(), limit - F.col("__rank") + 1)
                               .otherwise(F.lit(0)).cast("int"),
                 "reset_date": F.when(~allowed, F.date_add(F.col("day"), 1)),

@@ -51,6 +51,18 @@ def read_through(asked: DataFrame, entries: DataFrame, compute, as_of, ttl_minut
     return hits.withColumn("hit", F.lit(True)).unionByName(made.withColumn("hit", F.lit(False)))
 
 
+def hit_counts(asked: DataFrame, entries: DataFrame, as_of, ttl_minutes: int = DEFAULT_TTL_MINUTES,
+               key_col: str = "params_key") -> DataFrame:
+    """Hits and misses of a table of requests, per indicator (the third part
+    of the key): every request counts, fresh entries answer it. Requests are
+    counted by key first, so a hot key is one row in the join."""
+    live = fresh(entries, as_of, ttl_minutes).select(key_col).distinct().withColumn("__hit", F.lit(1))
+    by_key = asked.groupBy(key_col).agg(F.count(F.lit(1)).alias("__n")).join(live, key_col, "left")
+    hits = F.coalesce(F.sum(F.when(F.col("__hit") == 1, F.col("__n"))), F.lit(0))
+    return (by_key.groupBy(F.lower(F.split_part(F.col(key_col), F.lit(":"), F.lit(3))).alias("indicator"))
+            .agg(F.sum("__n").alias("requests"), hits.alias("hits"), (F.sum("__n") - hits).alias("misses")))
+
+
 def fresh(entries: DataFrame, as_of, ttl_minutes: int = DEFAULT_TTL_MINUTES,
           key_col: str = "params_key", ts_col: str = "cached_at") -> DataFrame:
     """Entries younger than the TTL at ``as_of`` (0 means the default)."""

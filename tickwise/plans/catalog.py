@@ -105,6 +105,19 @@ def symbol_profile(spark, sf):
     return S.symbol_profile(td.bars(spark, sf))
 
 
+@query("dataset_profile")
+def dataset_profile(spark, sf):
+    return S.dataset_profile(td.bars(spark, sf))
+
+
+@query("date_range_stored")
+def date_range_stored(spark, sf):
+    """Range and records of a stored table, from its footers."""
+    path = scratch_path(spark, "bars")
+    B.write_bars(td.bars(spark, sf), path)
+    return S.stored_range(spark, path)
+
+
 # --- window kernels (O18-O22) -------------------------------------------------------
 
 @query("rolling_mean")
@@ -187,6 +200,48 @@ def indicator_suite(spark, sf):
     return suite_rounded(I.suite(_bars_close(spark, sf)))
 
 
+# --- stored series (O3, O22, O28) ------------------------------------------------------
+
+from ..operators import incremental as INC  # noqa: E402
+
+
+def _blocks(spark, sf):
+    path = scratch_path(spark, "blocks")
+    B.write_blocks(_bars_close(spark, sf), path)
+    return B.read_blocks(spark, path)
+
+
+@query("sma_stored")
+def sma_stored(spark, sf):
+    return I.sma(_blocks(spark, sf), 20).select("symbol", "date", "sma")
+
+
+@query("suite_stored")
+def suite_stored(spark, sf):
+    return suite_rounded(I.suite(_blocks(spark, sf)))
+
+
+APPENDED = ("1998-01-01", "1998-01-20", "1999-06-01")
+
+
+@query("suite_appended")
+def suite_appended(spark, sf):
+    """The suite of the bars from 1998 on, appended in three steps to the
+    state that the bars before have left."""
+    path = scratch_path(spark, "bars")
+    B.write_bars(_bars_close(spark, sf), path, by_year=True)
+    bars = B.read_bars(spark, path)
+    state, out = INC.suite_state(S.in_range(bars, end="1997-12-31")), []
+    for start, end in zip(APPENDED, (*APPENDED[1:], None)):
+        stored = scratch_path(spark, "state")
+        state.write.parquet(stored)
+        state = spark.read.schema(INC.STATE_SCHEMA).parquet(stored)
+        new = S.in_range(bars, start, None if end is None else S.day_before(end))
+        points, state = INC.append_suite(new, state)
+        out.append(suite_rounded(points))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # --- output shaping (O6, O29-O32) -------------------------------------------------------
 
 from ..operators import shaping as SH  # noqa: E402
@@ -331,6 +386,13 @@ def quota_decision(spark, sf):
     return d.select("request_id", "user_id", "day", "allowed", "used", "remaining", "reset_date")
 
 
+@query("quota_remaining_shared")
+def quota_remaining_shared(spark, sf):
+    """What the limiter with shared counters reports: unlimited tiers as a large number."""
+    r = Q.with_daily_limit(td.requests(spark, sf), td.users(spark, sf), P.TEST_POLICY)
+    return Q.quota_decision(r, unlimited_remaining=Q.SHARED_UNLIMITED).select("request_id", "remaining")
+
+
 @query("quota_usage")
 def quota_usage(spark, sf):
     return Q.quota_usage(td.requests(spark, sf), td.users(spark, sf), P.TEST_POLICY)
@@ -363,6 +425,23 @@ def key_listing(spark, sf):
     return ID.key_listing(td.api_keys(spark, sf)).select("user_id", "id", "key_hint", "is_active")
 
 
+def _revocations(spark, sf):
+    return td.raw(spark, sf, "events").select("event_id", "user_id", F.col("event_id").alias("key_id"))
+
+
+@query("key_revocations")
+def key_revocations(spark, sf):
+    """Every event's user revokes the key of its number: most are someone else's."""
+    _, told = ID.deactivate_keys(td.api_keys(spark, sf), _revocations(spark, sf))
+    return told.select("event_id", "status_code")
+
+
+@query("keys_after_revocations")
+def keys_after_revocations(spark, sf):
+    after, _ = ID.deactivate_keys(td.api_keys(spark, sf), _revocations(spark, sf))
+    return after.select("id", "user_id", "is_active")
+
+
 @query("intake_conflicts")
 def intake_conflicts(spark, sf):
     out = ID.intake_check(td.intake_candidates(spark, sf), td.users(spark, sf))
@@ -372,6 +451,7 @@ def intake_conflicts(spark, sf):
 # --- materialised results (O49-O52) ---------------------------------------------------------------
 
 from ..operators import results as RS  # noqa: E402
+from ..operators import store as ST  # noqa: E402
 
 
 def _cache_entries(spark, sf):
@@ -405,6 +485,37 @@ def results_read_through(spark, sf):
     return out.select("params_key", "hit", "value")
 
 
+@query("cache_hits")
+def cache_hits(spark, sf):
+    """Hits and misses per indicator of every third event's request."""
+    every = _cache_entries(spark, sf)
+    return RS.hit_counts(every.where(F.col("request_id") % 3 == 0), every.where(F.col("request_id") % 3 != 0), "2024-01-30 00:00:00", 20 * 1440)
+
+
+def _store(spark, sf):
+    """A stored cache: even requests appended, one glob deleted, odd requests appended."""
+    path = scratch_path(spark, "store")
+    rows = _cache_entries(spark, sf).withColumn("indicator", F.lower(F.split_part("params_key", F.lit(":"), F.lit(3)))).drop("cached_at")
+    ST.append(rows.where(F.col("request_id") % 2 == 0), path, "2024-01-01 00:00:00")
+    ST.invalidate(spark, path, "indicator:S?:[SE]MA:*")
+    ST.append(rows.where(F.col("request_id") % 2 == 1), path, "2024-01-02 00:00:00")
+    return path
+
+
+@query("store_after_invalidation")
+def store_after_invalidation(spark, sf):
+    path = _store(spark, sf)
+    ST.compact(spark, path)
+    return ST.read(spark, path).select("request_id", "params_key", "indicator", F.to_date("cached_at").alias("cached_on"))
+
+
+@query("store_lookup")
+def store_lookup(spark, sf):
+    """A glob over a stored cache: its prefix reaches the scan."""
+    path = _store(spark, sf)
+    return RS.matching(ST.read(spark, path), "indicator:S1:*").select("request_id", "params_key")
+
+
 @query("invalidate_count")
 def invalidate_count(spark, sf):
     keys = RS.matching(_cache_entries(spark, sf), "indicator:S[1-3]:*")
@@ -533,6 +644,14 @@ def request_log_rollup_approx(spark, sf):
     return out.select("endpoint", "day", "requests", "p50_ms", "p95_ms")
 
 
+@query("request_log_rollup_weekly")
+def request_log_rollup_weekly(spark, sf):
+    """Weeks from stored days: the log is read once, for the days."""
+    path = scratch_path(spark, "log-days")
+    LG.daily_sketches(td.request_log(spark, sf)).write.parquet(path)
+    return LG.merged_rollup(spark.read.parquet(path))
+
+
 # --- streaming (O44-O45) -----------------------------------------------------------------------
 
 from ..streaming import quota_stream as QS  # noqa: E402

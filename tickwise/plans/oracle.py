@@ -145,6 +145,15 @@ SELECT symbol, count(*) AS records, min(date) AS start_date, max(date) AS end_da
        CAST(sum(volume) AS BIGINT) AS total_volume
 FROM bars GROUP BY symbol""")
 
+_PROFILED = (("symbol", "string"), ("date", "date"), ("open", "double"), ("high", "double"), ("low", "double"), ("close", "double"), ("volume", "bigint"))
+sql("dataset_profile", with_(BARS) + " UNION ALL ".join(
+    f"""
+SELECT {n} AS position, '{c}' AS "column", '{kind}' AS type, count(*) AS records, count(*) - count({c}) AS nulls,
+       CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM bars""" for n, (c, kind) in enumerate(_PROFILED, 1)))
+
+sql("date_range_stored", with_(BARS) + """
+SELECT min(date) AS start_date, max(date) AS end_date, count(*) AS records FROM bars""")
+
 # --- window kernels -------------------------------------------------------------
 
 _W = "PARTITION BY symbol ORDER BY date"
@@ -266,6 +275,10 @@ SELECT symbol, date, sma, round(ema, 4) AS ema, rsi, round(macd, 4) AS macd,
        round(bb_upper, 4) AS bb_upper, bb_middle, round(bb_lower, 4) AS bb_lower
 FROM suite""")
 
+SQL["sma_stored"] = SQL["sma"]
+SQL["suite_stored"] = SQL["indicator_suite"]
+SQL["suite_appended"] = SQL["indicator_suite"] + " WHERE date >= DATE '1998-01-01'"
+
 # --- output shaping -------------------------------------------------------------------
 
 sql("sma_trimmed", with_(BARS) + f"""
@@ -403,6 +416,10 @@ FROM (SELECT *, CAST(ts AS DATE) AS day,
                   AS INTEGER) AS rk
       FROM limited)""")
 
+sql("quota_remaining_shared", with_(USERS, REQUESTS, TEST_POLICY, _LIMITED) + """
+SELECT request_id, CASE WHEN daily_limit IS NULL THEN 999999 ELSE greatest(daily_limit - rk + 1, 0) END AS remaining
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, request_id) AS INTEGER) AS rk FROM limited)""")
+
 sql("quota_usage", with_(USERS, REQUESTS, TEST_POLICY) + """
 SELECT user_id, day, tier, daily_limit, used,
        CASE WHEN daily_limit IS NOT NULL THEN greatest(daily_limit - used, 0) END AS remaining,
@@ -455,6 +472,13 @@ FROM (
 sql("key_listing", with_(API_KEYS) + """
 SELECT user_id, id, substring(key, 1, 10) || '...' AS key_hint, is_active FROM api_keys""")
 
+sql("key_revocations", with_(API_KEYS) + """
+SELECT event_id, CASE WHEN k.id IS NULL THEN 404 ELSE 200 END AS status_code
+FROM events e LEFT JOIN api_keys k ON k.id = e.event_id AND k.user_id = e.user_id""")
+
+sql("keys_after_revocations", with_(API_KEYS) + """
+SELECT id, user_id, is_active AND NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id = id AND e.user_id = k.user_id) AS is_active FROM api_keys k""")
+
 # Of valid candidates that share a name the first is accepted, unless it is refused itself: settled in order.
 sql("intake_conflicts", "WITH RECURSIVE " + USERS + r""",
 candidates AS (
@@ -522,6 +546,21 @@ LEFT JOIN (SELECT params_key, arg_max(request_id, (cached_at, request_id)) AS va
            WHERE request_id % 3 <> 0 AND cached_at > TIMESTAMP '2024-01-10 00:00:00'
              AND cached_at <= TIMESTAMP '2024-01-30 00:00:00' GROUP BY params_key) live USING (params_key)""")
 
+sql("cache_hits", with_(REQUESTS, _CACHE) + """
+SELECT lower(split_part(params_key, ':', 3)) AS indicator, count(*) AS requests, count(live.k) AS hits, count(*) - count(live.k) AS misses
+FROM cache LEFT JOIN (SELECT DISTINCT params_key AS k FROM cache WHERE request_id % 3 <> 0 AND cached_at > TIMESTAMP '2024-01-10 00:00:00'
+                        AND cached_at <= TIMESTAMP '2024-01-30 00:00:00') live ON live.k = params_key
+WHERE request_id % 3 = 0 GROUP BY 1""")
+
+sql("store_after_invalidation", with_(REQUESTS, _CACHE) + """
+SELECT request_id, params_key, lower(split_part(params_key, ':', 3)) AS indicator,
+       CASE WHEN request_id % 2 = 0 THEN DATE '2024-01-01' ELSE DATE '2024-01-02' END AS cached_on
+FROM cache WHERE request_id % 2 = 1 OR NOT params_key GLOB 'indicator:S?:[SE]MA:*'""")
+
+sql("store_lookup", with_(REQUESTS, _CACHE) + """
+SELECT request_id, params_key FROM cache
+WHERE params_key GLOB 'indicator:S1:*' AND (request_id % 2 = 1 OR NOT params_key GLOB 'indicator:S?:[SE]MA:*')""")
+
 sql("invalidate_count", with_(REQUESTS, _CACHE) + """
 SELECT count(DISTINCT params_key) AS deleted FROM cache WHERE params_key GLOB 'indicator:S[1-3]:*'""")
 
@@ -696,6 +735,12 @@ SELECT endpoint, CAST(timestamp AS DATE) AS day, count(*) AS requests,
        CAST(quantile_disc(response_time, 0.5) AS DOUBLE) AS p50_ms, CAST(quantile_disc(response_time, 0.95) AS DOUBLE) AS p95_ms
 FROM request_log GROUP BY endpoint, CAST(timestamp AS DATE)""")
 
+sql("request_log_rollup_weekly", with_(REQUEST_LOG) + """
+SELECT endpoint, CAST(date_trunc('week', timestamp) AS DATE) AS period, count(*) AS requests, avg(response_time) AS avg_ms,
+       CAST(quantile_disc(response_time, 0.5) AS DOUBLE) AS p50_ms, CAST(quantile_disc(response_time, 0.95) AS DOUBLE) AS p95_ms,
+       avg(CASE WHEN status_code >= 500 THEN 1.0 ELSE 0.0 END) AS error_ratio
+FROM request_log GROUP BY 1, 2""")
+
 # --- streaming ----------
 
 sql("stream_quota_counts", with_(USERS, REQUESTS, TEST_POLICY, _CONSUMED) + """
