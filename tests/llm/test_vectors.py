@@ -127,6 +127,34 @@ def test_multi_index_recall_beside_many_equal_vectors(spark):
     assert np.mean(recall) >= 0.92, np.mean(recall)
 
 
+def _recall(df, probe):
+    rows = df.collect()
+    x, ids = np.array([r["embedding"] for r in rows], np.float64), np.array([r["vec_id"] for r in rows])
+    got = {}
+    for r in multiindex.neighbours(df, asked(df), probe=probe).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[at]
+        s[at] = -np.inf
+        hits.append(len(got[ids[at]] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("kind", ["test table", "directions", "clusters"])
+def test_recall_is_that_of_the_budget(spark, kind):
+    """The share of rows that is walked decides, not the size of the table."""
+    if kind == "test table":
+        df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    else:
+        rng = np.random.default_rng(2)
+        x = rng.normal(size=(5000, 64)) if kind == "directions" else rng.normal(size=(50, 64))[rng.integers(0, 50, 5000)] + 0.35 * rng.normal(size=(5000, 64))
+        df = frame(spark, list(enumerate((x / np.linalg.norm(x, axis=1)[:, None]).tolist())))
+    assert _recall(df, multiindex.PROBE) >= 0.9
+    quarter = _recall(df, multiindex.PROBE / 4)
+    assert quarter >= 0.9 if kind == "clusters" else quarter < 0.75
+
+
 def test_multi_index_edges(spark):
     got = sorted(tuple(r) for r in multiindex.neighbours(frame(spark, EDGES), asked(frame(spark, EDGES)), 3).collect())
     want = brute(EDGES, 3, False, False)
