@@ -170,6 +170,21 @@ def predict(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id"
     return out.select(*keep, "lang_pred", "score")
 
 
+def lowest_score(docs: DataFrame, filters: Filters, sample: int = 5000, quantile: float = 0.01, margin: float = 0.5) -> float:
+    """The score below which a text is in none of the learned languages:
+    ``margin`` times the ``quantile`` of the scores of about ``sample``
+    labelled rows (those that may be learned from) that get their own
+    language. 0 without such rows."""
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    n = rows.count()
+    if not n:
+        return 0.0
+    some = rows.where(F.pmod(F.xxhash64(F.lit("lowest"), "doc_id"), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20))
+    own = predict(some, filters, keep=("lang",)).where(F.col("lang") == F.col("lang_pred"))
+    low = own.agg(F.percentile_approx("score", quantile, 10_000)).first()[0]
+    return margin * low if low else 0.0
+
+
 def identify(docs: DataFrame, **learning) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs``."""
     filters = learn(docs.select("doc_id", "text", "lang"), **learning)
