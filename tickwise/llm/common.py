@@ -65,6 +65,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, results, *needed: str) -> DataFrame:
+    """``df`` without columns that have the names of results: those take their place."""
+    if clash := {c.lower() for c in results} & {c.lower() for c in needed}:
+        raise ValueError(f"columns {sorted(clash)} are read and would be replaced: rename them")
+    return df.drop(*results)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; other letters keep their case. ``lower`` does it for strings
     of ASCII alone, many times faster."""

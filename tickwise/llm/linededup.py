@@ -3,7 +3,9 @@
 Lines are exploded, normalised and hashed; one aggregation per hash finds the
 smallest and the largest document that holds it (more than one document: they
 differ), combining before the shuffle, so that a line that most documents
-share costs a task one row per partition. Hashes of lines to drop go back to
+share costs a task one row per partition. Repeats are stored before the join
+with all lines, so adaptive execution can split a line that many documents
+share. Hashes of lines to drop go back to
 their documents by position, where the text is put together again from the
 lines that stay, in order. Texts are moved at most once, exploded lines never.
 
@@ -12,8 +14,11 @@ A line is known by 96 bits (xxhash64 and murmur3 of its key).
 Cases: a null or empty text is one empty line; documents are told apart by
 id, so a row that is repeated with its id counts as one document, and rows
 with a null id take no part and keep all lines; equal lines of one document
-stay or go together; an empty table gives no rows; other columns are kept by
-``dedup_lines`` (the names starting with two underscores are reserved).
+stay or go together (ties: the smallest id keeps them); lines of any length are
+hashed whole, and a very long text is one row throughout; an empty table gives no
+rows; other columns are kept by ``dedup_lines``, but for those with the names of
+its results, which take their place (names starting with two underscores are
+reserved).
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import UPPER, ascii_lower, read, strip_blanks, written
+from tickwise.llm.common import UPPER, ascii_lower, read, strip_blanks, without, written
 
 LEAST = 10  # code points that a key needs
 DOCUMENTS = 2  # a key in so many documents is a repeat
@@ -32,6 +37,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     least: code points that a key needs; documents: distinct documents from
     which on a key is a repeat."""
+    docs = without(docs, ("n_lines", "n_dropped", "kept"), id_column, text_column)
     lines = F.split(F.coalesce(F.col(text_column), F.lit("")), "\n", -1)
     fingerprint = F.xxhash64(text_column)  # tells apart different rows of one id
     keyed = (docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), fingerprint.alias("__print"), F.posexplode(lines).alias("__pos", "__line"))
@@ -43,7 +49,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     else:
         repeats = (long.groupBy("__h", "__id").agg(F.lit(1).alias("__one")).groupBy("__h")
                    .agg(F.min("__id").alias("__first"), F.sum("__one").alias("__n")).where(F.col("__n") >= documents))
-    found = long.join(repeats.select("__h", "__first"), "__h").where(F.col("__id") > F.col("__first")).select("__id", "__print", "__pos")
+    repeats = written(repeats.select("__h", "__first"), "repeats")
+    found = long.join(repeats, "__h").where(F.col("__id") > F.col("__first")).select("__id", "__print", "__pos")
     # One flag a line, in order, of documents that lose some; a set, as rows may be repeated.
     gone = found.groupBy("__id", "__print").agg(F.sort_array(F.collect_set("__pos")).alias("__gone"))
     joined = (docs.withColumn("__lines", lines).withColumn("__p", fingerprint)  # below the join: split once a row

@@ -23,8 +23,9 @@ Cases: null and empty texts have no tokens (they follow the epochs they fall
 in); null languages and sources are nodes named ``(none)``; a source without
 a number is in domain ``other``; null ids are ordered as empty; repeated rows
 are rows of their own; documents of equal hash are ordered by tokens and by a
-hash of the text; an empty table gives no rows; other columns are kept by
-``mix`` (names starting with two underscores are reserved).
+hash of the text; very long texts are one row; an empty table gives no rows;
+other columns are kept by ``mix``, but for those with the names of its results,
+which take their place (names starting with two underscores are reserved).
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import read, strip_blanks, written
+from tickwise.llm.common import read, strip_blanks, without, written
 
 SEED = 17
 SHARE = 0.7  # budget as a share of the corpus, where none is given
@@ -103,6 +104,7 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, budget: int | None = None, sha
         seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows of ``docs`` once per epoch that they are taken in, with ``domain``,
     ``n_tokens``, ``epoch`` (from 0) and ``take_tokens``."""
+    docs = without(docs, ("domain", "n_tokens", "epoch", "take_tokens"), id_column, text_column, "lang", "source")
     keys = [f"__{level}" for level in LEVELS]
     rows = _nodes(docs, text_column)
     leaves = written(rows.groupBy(*keys).agg(F.sum("__tokens").alias("__sum"), F.count("*").alias("__rows")), "mix-leaves")

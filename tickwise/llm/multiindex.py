@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickwise.llm.common import read, written
+from tickwise.llm.common import read, ship, written
 from tickwise.llm.covertree import _print
 from tickwise.llm.vectors import best, by_dim, fewest, sample, usable
 
@@ -233,6 +233,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, probe: float
     """(query_id, rank, vec_id, score): about the k rows of ``vectors`` with
     the largest inner product for each row of ``queries``."""
     spark = vectors.sparkSession
+    ship(spark)
     rows, asked = usable(vectors, id_column, vector_column, zero=False), usable(queries, id_column, vector_column, zero=False)
     stats = rows.mapInArrow(_longest, "dim int, a double, b double, n long").groupBy("dim").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).collect()
     some = sample(rows, SAMPLE)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tickwise.llm.common import distinct, read, segments
+from tickwise.llm.common import distinct, read, segments, ship
 
 MAX_ALTERNATIVES = 16  # literals kept apart while a query is derived
 SEGMENT_CHARS = 4_000_000  # texts indexed at a time; a longer text is scanned without an index
@@ -61,7 +61,8 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("bearer", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    # From the start of a run of its signs only, so that no run is read twice.
+    Rule("bearer", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 
 # A query is True (no condition), a trigram (bytes), ("and", parts) or ("or", parts).
@@ -233,6 +234,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                  rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per input row: the id, ``n_<kind>`` of each base rule,
     ``base_sha256``, ``spans`` ("kind:start:end", code points) and ``n_spans``."""
+    ship(docs.sparkSession)
     docs = docs.select(docs[id_column].alias(id_column), docs[text_column].alias("text"))
     schema = T.StructType([
         docs.schema[0], *(T.StructField(f"n_{r.kind}", T.LongType()) for r in rules if r.base),

@@ -24,8 +24,9 @@ empty); documents are told apart by id, a row repeated with its id counts
 once and all its copies are treated alike; rows with a null id take no part
 and keep all; a run repeated inside one document keeps its first place, but for
 sentences that its other places cover; an
-empty table gives no rows; other columns are kept by ``dedup_spans`` (names
-starting with two underscores are reserved).
+empty table gives no rows; other columns are kept by ``dedup_spans``, but for
+those with the names of its results, which take their place (names starting with
+two underscores are reserved).
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tickwise.llm.common import UPPER, ascii_lower, mix64, read, strip_blanks, written
+from tickwise.llm.common import UPPER, ascii_lower, mix64, read, ship, strip_blanks, without, written
 
 #: (sentences, words at least) of the runs that count.
 RUNS = ((1, 50), (2, 20), (3, 10))
@@ -154,6 +155,8 @@ def dedup_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """``docs`` with ``n_sentences``, ``n_removed``, ``removed`` ("start:end"
     in code points, comma-joined) and ``kept`` (the text after). ``grown``:
     words of the runs of any number of sentences; without it, ``runs`` alone count."""
+    ship(docs.sparkSession)
+    docs = without(docs, ("n_sentences", "n_removed", "removed", "kept"), id_column, text_column)
     fingerprint = F.xxhash64(text_column)
     texts = docs.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull())
     # The keys of a document's sentences, in order, computed row by row (no shuffle).
