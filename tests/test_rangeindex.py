@@ -112,3 +112,15 @@ def test_no_frame_is_collected(spark, stored):
     assert "Window [" not in plan
     built = RI.range_index(spark.createDataFrame([], BARS))._jdf.queryExecution().executedPlan().toString()
     assert built.count("Exchange hashpartitioning") == 1 and "collect_list" in built and "Window [collect" not in built
+
+
+def test_gates_ask_the_index_or_the_bars(spark):
+    """Both give the same statuses and points."""
+    from tickwise.operators import policy as P
+    from tickwise.sources import testdata as td
+    sf = "/root/testdata/sf0.001"
+    bars = td.bars(spark, sf)
+    ask = lambda **how: RQ.request_status(td.requests_mixed(spark, sf), td.users(spark, sf), bars, "1999-01-01", P.TEST_POLICY, api_keys=td.api_keys(spark, sf), **how)
+    columns = ("request_id", "status_code", "reason", "eff_start", "eff_end", "points")
+    a, b = (sorted(map(tuple, df.select(*columns).collect())) for df in (ask(), ask(index=RI.stored_index(bars))))
+    assert a == b and len({x[2] for x in a}) >= 6

@@ -84,8 +84,9 @@ def intake_check(candidates: DataFrame, users: DataFrame, order: str = "candidat
     "username OR email exists" is two equi-joins against the distinct
     username and email lists (an OR join condition would force a nested-loop
     join). Candidates that are first by both names are accepted at once and
-    those that share a name with them refused. What is left depends on earlier
-    candidates that may be refused themselves: ``_settled``.
+    those that share a name with them refused, in rounds while these settle
+    half of what is open. What is left depends on earlier candidates that may
+    be refused themselves: ``_settled``.
     """
     valid_name = F.length("username").between(USERNAME_MIN, USERNAME_MAX)
     valid_email = F.col("email").rlike(EMAIL_PATTERN)
@@ -95,18 +96,23 @@ def intake_check(candidates: DataFrame, users: DataFrame, order: str = "candidat
     c = _kept(c.withColumn("__place", F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("at"), F.col("__row").alias("row"))))
 
     first = _kept(_split(c.where(F.col("status").isNull()), users))
-    rest = first.where(F.col("status").isNull())
-    by_name = rest.groupBy("username").agg(F.min("__place").alias("__n"))
-    by_email = rest.groupBy("email").agg(F.min("__place").alias("__e"))
-    leads = (F.col("__place.row") == F.col("__n.row")) & (F.col("__place.row") == F.col("__e.row"))
-    ranked = _kept(rest.join(by_name, "username").join(by_email, "email").withColumn("__lead", leads).drop("__n", "__e"))
-    accepted = ranked.where("__lead").drop("__lead")
-    left = _kept(_split(ranked.where(~F.col("__lead")).drop("__lead"), accepted))
-    done = [c.where(F.col("status").isNotNull()), first.where(F.col("status").isNotNull()), accepted.withColumn("status", F.lit("ok")), left.where(F.col("status").isNotNull())]
-    still = left.where(F.col("status").isNull())
-    if not still.isEmpty():
-        ok = _settled(still)
-        done.append(still.join(ok, "__row", "left").withColumn("status", F.when(F.col("__ok"), F.lit("ok")).otherwise(F.lit("conflict"))).drop("__ok"))
+    done = [c.where(F.col("status").isNotNull()), first.where(F.col("status").isNotNull())]
+    still = first.where(F.col("status").isNull())
+    n = still.count()
+    while n:
+        by_name = still.groupBy("username").agg(F.min("__place").alias("__n"))
+        by_email = still.groupBy("email").agg(F.min("__place").alias("__e"))
+        leads = (F.col("__place.row") == F.col("__n.row")) & (F.col("__place.row") == F.col("__e.row"))
+        ranked = _kept(still.join(by_name, "username").join(by_email, "email").withColumn("__lead", leads).drop("__n", "__e"))
+        accepted = ranked.where("__lead").drop("__lead")
+        left = _kept(_split(ranked.where(~F.col("__lead")).drop("__lead"), accepted))
+        done += [accepted.withColumn("status", F.lit("ok")), left.where(F.col("status").isNotNull())]
+        still, before = left.where(F.col("status").isNull()), n
+        n = still.count()
+        if 2 * n > before:  # long chains: such rounds would take them apart link by link
+            ok = _settled(still)
+            done.append(still.join(ok, "__row", "left").withColumn("status", F.when(F.col("__ok"), F.lit("ok")).otherwise(F.lit("conflict"))).drop("__ok"))
+            break
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -110,6 +110,22 @@ def slices(ranges: DataFrame, index: DataFrame, start_col: str, end_col: str, in
     return met.select(*keys, *own, block.alias("b")).groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in own], F.sort_array(F.collect_list("b")).alias("__b"))
 
 
+def index_range(index: DataFrame):
+    """First and last date of an index, from one scalar subquery."""
+    ends = index.agg(F.struct(F.min(F.get("d", F.lit(0))).alias("first"), F.max(F.element_at("d", -1)).alias("last")).alias("r")).scalar()
+    return ends["first"], ends["last"]
+
+
+def counts(ranges: DataFrame, index: DataFrame, start_col: str, end_col: str) -> DataFrame:
+    """(symbol, start, end, ``points``): bars of each distinct range, from the
+    years' counts; only the years at its ends are looked into."""
+    s, e, year = F.col(start_col), F.col(end_col), F.col("bar_year")
+    spread = ranges.where(s <= e).withColumn("bar_year", F.explode(F.sequence(F.year(s), F.year(e))))
+    met = spread.join(index.select("symbol", "bar_year", "d", "n"), ["symbol", "bar_year"])
+    inside = F.when((year > F.year(s)) & (year < F.year(e)), F.col("n")).otherwise(F.size(F.filter("d", lambda x: x.between(s, e))))
+    return met.groupBy("symbol", start_col, end_col).agg(F.sum(inside).alias("points"))
+
+
 # --- running values over all slices ---------------------------------------------------
 
 

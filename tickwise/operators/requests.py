@@ -76,15 +76,16 @@ def _points(ranges: DataFrame, bars: DataFrame) -> DataFrame:
     return met.groupBy("symbol", "eff_start", "eff_end").agg(F.sum(inside).alias("points"))
 
 
-def request_status(requests: DataFrame, users: DataFrame, bars: DataFrame, as_of,
+def request_status(requests: DataFrame, users: DataFrame, bars: DataFrame | None, as_of,
                    policy=DEFAULT_POLICY, default_days: int = 365, api_keys: DataFrame | None = None,
-                   bounds=PARAM_BOUNDS) -> DataFrame:
+                   bounds=PARAM_BOUNDS, index: DataFrame | None = None) -> DataFrame:
     """Unknown indicator 404 -> identity 401 -> tier 403 -> bounds 422 ->
     quota 429 (consuming) -> range clamp -> unknown symbol 404 -> empty range
     404 -> 200.
 
     Only requests that pass identity, tier and bounds take part in the
-    quota ranking, as only they reach the limiter.
+    quota ranking, as only they reach the limiter. ``index``: a range index of
+    the bars, which answers for them.
     """
     r = identified(requests, users, api_keys)
     lim = tier_limits(F.col("tier"), policy)
@@ -93,7 +94,7 @@ def request_status(requests: DataFrame, users: DataFrame, bars: DataFrame, as_of
             .when(~F.col("__identity"), F.lit("unauthenticated"))
             .when(~(tier_gate(F.col("tier"), F.col("indicator"), policy) & indicator_allowed(F.col("tier"), F.col("indicator"), policy)), F.lit("tier"))
             .when(~params_within_bounds(F.col("indicator"), F.col("params"), bounds), F.lit("bounds")))
-    d0, d1 = data_range(bars)
+    d0, d1 = data_range(bars) if index is None else RI.index_range(index)
     s, e = default_range(F.col("start_date"), F.col("end_date"), as_of, default_days)
     cs, ce = clamp_range(s, e, lim["data_limit_days"], as_of, d0, d1)
     r = r.withColumns({"__gate": gate, "daily_limit": lim["requests_per_day"], "eff_start": cs, "eff_end": ce, "__day": day_of(F.col("ts"))})
@@ -103,10 +104,11 @@ def request_status(requests: DataFrame, users: DataFrame, bars: DataFrame, as_of
     r = r.join(winners, "request_id", "left")
     r = r.withColumn("__gate", F.coalesce("__gate", F.when(F.col("daily_limit").isNotNull() & F.col("__won").isNull(), F.lit("quota"))))
 
-    known = bars.select("symbol").distinct().withColumn("__known", F.lit(True))
+    known = (bars if index is None else index).select("symbol").distinct().withColumn("__known", F.lit(True))
     r = spread_join(r, known, ["symbol"], "request_id")
     ranges = r.where(F.col("__gate").isNull() & F.col("__known")).select("symbol", "eff_start", "eff_end").distinct()
-    r = spread_join(r, _points(ranges, bars), ["symbol", "eff_start", "eff_end"], "request_id")
+    found = _points(ranges, bars) if index is None else RI.counts(ranges, index, "eff_start", "eff_end")
+    r = spread_join(r, found, ["symbol", "eff_start", "eff_end"], "request_id")
     points = F.coalesce("points", F.lit(0))
     reason = F.coalesce("__gate", F.when(F.col("__known").isNull(), F.lit("unknown_symbol")).when(points == 0, F.lit("empty_range")).otherwise(F.lit("ok")))
     codes = {"unauthenticated": 401, "tier": 403, "bounds": 422, "quota": 429, "ok": 200}

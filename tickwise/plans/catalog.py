@@ -535,23 +535,28 @@ def invalidate_matches(spark, sf):
 # --- request tables (O53-O54) and request log (O55) --------------------------------------------------
 
 from ..operators import logs as LG  # noqa: E402
+from ..operators import rangeindex as RI  # noqa: E402
 from ..operators import requests as RQ  # noqa: E402
 
 
-def _status(spark, sf):
-    return RQ.request_status(td.requests_mixed(spark, sf), td.users(spark, sf), td.bars(spark, sf),
-                             BARS_AS_OF, P.TEST_POLICY, api_keys=td.api_keys(spark, sf))
+def _status(spark, sf, index):
+    return RQ.request_status(td.requests_mixed(spark, sf), td.users(spark, sf), None,
+                             BARS_AS_OF, P.TEST_POLICY, api_keys=td.api_keys(spark, sf), index=index)
+
+
+def _index(spark, sf):
+    return RI.stored_index(_bars_close(spark, sf))
 
 
 @query("batch_request_status")
 def batch_request_status(spark, sf):
-    return _status(spark, sf).select("request_id", "status_code", "reason", "eff_start", "eff_end", "points")
+    return _status(spark, sf, _index(spark, sf)).select("request_id", "status_code", "reason", "eff_start", "eff_end", "points")
 
 
-def _accepted(spark, sf):
+def _accepted(spark, sf, index):
     """Accepted requests, stored: the gates are computed once for all that reads them."""
     path = scratch_path(spark, "accepted")
-    accepted = _status(spark, sf).where(F.col("status_code") == 200)
+    accepted = _status(spark, sf, index).where(F.col("status_code") == 200)
     accepted.write.parquet(path)
     return spark.read.schema(accepted.schema).parquet(path)
 
@@ -559,14 +564,16 @@ def _accepted(spark, sf):
 @query("batch_evaluate")
 def batch_evaluate(spark, sf):
     """Default range, clamp and gates, then every accepted request's points by its own parameters."""
-    out = RQ.evaluate(_accepted(spark, sf), td.bars(spark, sf), "eff_start", "eff_end")
+    index = _index(spark, sf)
+    out = RQ.evaluate(_accepted(spark, sf, index), None, "eff_start", "eff_end", index)
     return out.select("request_id", "date", *[r4(c).alias(c) for c in RQ.POINTS])
 
 
 def _documents(spark, sf, indicator, title, columns, parameters):
     """Documents of one endpoint: accepted requests, points in date order."""
-    accepted = RQ.resolved(_accepted(spark, sf)).where(F.col("indicator") == indicator)
-    points = RQ.evaluate(accepted, td.bars(spark, sf), "eff_start", "eff_end", indicators=[indicator])
+    index = _index(spark, sf)
+    accepted = RQ.resolved(_accepted(spark, sf, index)).where(F.col("indicator") == indicator)
+    points = RQ.evaluate(accepted, None, "eff_start", "eff_end", index, [indicator])
     head = accepted.select("request_id", "symbol", F.lit(title).alias("indicator"), parameters.alias("parameters"),
                            F.col("eff_start").alias("start_date"), F.col("eff_end").alias("end_date"))
     docs = SH.documents(head.join(points, "request_id").withColumns({c: r4(c) for c in columns}), columns)
