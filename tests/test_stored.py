@@ -68,7 +68,7 @@ def _appended(spark, bars, days, tmp_path):
     for n, (a, b) in enumerate(zip(days, [*days[1:], None])):
         state.write.parquet(str(tmp_path / f"state{n}"))
         state = spark.read.schema(INC.STATE_SCHEMA).parquet(str(tmp_path / f"state{n}"))
-        points, state = INC.append_suite(S.in_range(bars, a, b - dt.timedelta(days=1) if b else None), state)
+        points, state = INC.append_suite(S.in_range(bars, a, b - dt.timedelta(days=1) if b else None), state, path=str(tmp_path / f"points{n}") if n % 2 else None)
         out.append(points.toPandas())
     return pd.concat(out), state
 

@@ -51,9 +51,11 @@ def late_bars(new_bars: DataFrame, state: DataFrame) -> DataFrame:
     return new_bars.join(state.select("symbol", "last_date"), "symbol").where(F.col("date") <= F.col("last_date")).select(*new_bars.columns)
 
 
-def append_suite(new_bars: DataFrame, state: DataFrame, parameters: dict = PARAMETERS) -> tuple[DataFrame, DataFrame]:
+def append_suite(new_bars: DataFrame, state: DataFrame, parameters: dict = PARAMETERS, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(points of the new bars, state after them). Equal to the suite over the
-    whole history, cut to the new bars."""
+    whole history, cut to the new bars. ``path``: a new folder to store the
+    points in at once, with the means of ``indicators.STATE``, so that the state
+    is read off them instead of computing them again."""
     rows = max(tail_rows(parameters), 1)
     dated = new_bars.select("symbol", "date", "close").join(state.select("symbol", "last_date"), "symbol", "left")
     fresh = dated.where(F.col("last_date").isNull() | (F.col("date") > F.col("last_date"))).select("symbol", "date", "close", F.lit(True).alias("__new"))
@@ -63,6 +65,9 @@ def append_suite(new_bars: DataFrame, state: DataFrame, parameters: dict = PARAM
     # The tail only feeds the rolling windows: the means go on from the state.
     marked = both.withColumn("__fresh", F.when(F.col("__new"), F.col("close")))
     points = I.suite(marked, **parameters, means="__fresh", state=state, keep=True).where("__new").drop("__new", "__fresh")
+    if path is not None:
+        points.write.parquet(path)
+        points = points.sparkSession.read.schema(points.schema).parquet(path)
     reached = _tails(both, rows).join(K.ewm_state(points, I.STATE), "symbol")
     before = state.select("symbol", *[F.col(c).alias(f"__{c}") for c in I.STATE])
     moved = reached.join(before, "symbol", "left").select("symbol", "last_date", "tail", *[F.coalesce(c, f"__{c}").alias(c) for c in I.STATE])

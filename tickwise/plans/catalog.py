@@ -237,7 +237,7 @@ def suite_appended(spark, sf):
         state.write.parquet(stored)
         state = spark.read.schema(INC.STATE_SCHEMA).parquet(stored)
         new = S.in_range(bars, start, None if end is None else S.day_before(end))
-        points, state = INC.append_suite(new, state)
+        points, state = INC.append_suite(new, state, path=scratch_path(spark, "points"))
         out.append(suite_rounded(points))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
