@@ -193,6 +193,30 @@ def test_spans_remove_a_planted_passage(spark):
         assert got[i]["text"][:a] + got[i]["text"][b:] == got[i]["kept"]
 
 
+def test_spans_of_ids_with_several_texts(spark):
+    """One id with a third of all rows and different texts, runs within and
+    across them, equal rows, and texts too short for a run."""
+    rnd = random.Random(11)
+    stock = [" ".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randint(3, 14))) + "." for _ in range(12)]
+    own = []
+    for i in range(90):
+        text = " ".join(rnd.choice(stock) for _ in range(rnd.randint(1, 9)))
+        own.append((3 if i % 3 == 0 else rnd.choice([1, 3, 4, 5, 6, 7]), text))
+    own += own[:10] + [(3, "Short."), (1, None), (4, ""), (None, own[0][1])]
+    df = spark.createDataFrame(own, "doc_id long, text string")
+    for grown in (None, sentences.GROWN):
+        got = rows(sentences.dedup_spans(df, grown=grown), "doc_id", "n_sentences", "n_removed", "kept")
+        assert got == sorted(brute.spans(own, sentences.SENTENCE, sentences.RUNS, grown), key=str)
+
+
+@pytest.mark.parametrize("most", [2, 8192])
+def test_spans_of_hot_and_other_runs(spark, docs, doc_rows, monkeypatch, most):
+    """The same rows whether runs meet their first document by broadcast or by shuffle."""
+    monkeypatch.setattr(sentences, "HOT_RUNS", most)
+    got = rows(sentences.dedup_spans(docs, grown=sentences.GROWN), "doc_id", "n_sentences", "n_removed", "kept")
+    assert got == sorted(brute.spans(pairs(doc_rows), sentences.SENTENCE, sentences.RUNS, sentences.GROWN), key=str)
+
+
 def test_spans_of_short_sentences(spark):
     """Passages of one to three words a sentence go as a whole, wherever they stand."""
     rnd = random.Random(4)

@@ -13,6 +13,11 @@ first document of a run, combining before the shuffle; runs that occur once
 end there. All other occurrences go back to their documents, and the
 sentences that any of them covers are removed.
 
+The few runs with the most occurrences (at most ``HOT_RUNS``, whatever the
+corpus) meet their first document by a broadcast of those runs; the others by
+a shuffle in which no key has more than a ``HOT_RUNS``-th of all rows. Later
+places of a run within its text are told where the runs are made.
+
 "First" is the occurrence in the smallest document id, at the smallest
 position; if runs of one document overlap, each is held against its own first
 place, so a sentence of a first place goes if another run that covers it came
@@ -33,6 +38,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +56,7 @@ _B = r"[\x20\x09-\x0D]"
 #: Words that a run of any number of sentences grows to, from and up to each sentence.
 GROWN = 20
 SENTENCES = 250_000  # whose runs are made at a time
+HOT_RUNS = 8192  # runs broadcast at most: those with more than such a share of all rows
 _MORE = np.uint64(0x9E3779B97F4A7C15)
 #: One sentence; the same in Java, Python and RE2. Together the matches are the whole text.
 SENTENCE = rf"[^.!?\n]+[.!?\n]*{_B}*|[.!?\n]+{_B}*"
@@ -80,7 +87,8 @@ def _hashed(x: np.ndarray, m: np.ndarray, start: np.ndarray, k: np.ndarray) -> t
 
 
 def _runs(runs, grown: int | None):
-    """Texts as arrays of (x, m, w) -> their runs (pos, k, x, m)."""
+    """Texts as arrays of (x, m, w) -> their runs (pos, k, x, m; again: the
+    text holds the run at an earlier place)."""
     def of(piece: pa.RecordBatch) -> pa.RecordBatch:
         keys = piece.column("__keys")
         each = keys.flatten()
@@ -103,8 +111,12 @@ def _runs(runs, grown: int | None):
         start, size = np.concatenate(starts), np.concatenate(sizes)
         one, two = _hashed(x.view(np.uint64), m.view(np.uint32).astype(np.uint64), start, size)
         whose = pa.array(text[start])
+        mixed = one.view(np.uint64) ^ mix64(text[start].astype(np.uint64) + _MORE)
+        order = np.lexsort((start, mixed))
+        again = np.zeros(len(start), bool)
+        again[order[1:]] = (mixed[order[1:]] == mixed[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
         return pa.RecordBatch.from_pydict({"__id": piece.column("__id").take(whose), "__print": piece.column("__print").take(whose),
-                                           "__pos": pa.array((start - lo[start]).astype(np.int32)), "__k": pa.array(size.astype(np.int32)), "__x": pa.array(one), "__m": pa.array(two)})
+                                           "__pos": pa.array((start - lo[start]).astype(np.int32)), "__k": pa.array(size.astype(np.int32)), "__again": pa.array(again), "__x": pa.array(one), "__m": pa.array(two)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,24 +174,44 @@ def dedup_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     # The keys of a document's sentences, in order, computed row by row (no shuffle).
     keyed = texts.select(F.col(id_column).alias("__id"), fingerprint.alias("__print"),
                          _keyed(F.regexp_extract_all(text_column, F.lit(SENTENCE), F.lit(0))).alias("__keys"))
-    made = T.StructType([T.StructField("__id", keyed.schema["__id"].dataType), *T.StructType.fromDDL("__print long, __pos int, __k int, __x long, __m int")])
-    spread = keyed.mapInArrow(_runs(runs, grown), made)
-    spread = written(spread, "runs")  # both sides of the join below read it
-    repeats = (spread.groupBy("__x", "__m").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
-               .where(F.col("__n") > 1).drop("__n"))
-    found = spread.join(repeats, ["__x", "__m"])
-    # Of equal runs of one document only the first place can be the first occurrence.
-    start = F.min("__pos").over(Window.partitionBy("__id", "__x", "__m"))
-    again = found.withColumn("__start", start).where((F.col("__id") > F.col("__first")) | (F.col("__pos") > F.col("__start")))
-    covered = again.select("__id", "__print", F.explode(F.sequence("__pos", F.col("__pos") + F.col("__k") - 1)).alias("__pos"))
-    gone = covered.groupBy("__id", "__print").agg(F.collect_set("__pos").alias("__gone"))
-    joined = (docs.withColumn("__p", fingerprint).join(gone, (docs[id_column] == gone["__id"]) & (F.col("__p") == gone["__print"]), "left")
-              .select(*[docs[c] for c in docs.columns], "__gone"))
+    made = T.StructType([T.StructField("__id", keyed.schema["__id"].dataType),
+                         *T.StructType.fromDDL("__print long, __pos int, __k int, __again boolean, __x long, __m int")])
+    spread = written(keyed.mapInArrow(_runs(runs, grown), made), "runs")
+    # Only ids with several texts need the print to tell rows apart.
+    prints = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), fingerprint.alias("__print"))
+    several = written(prints.groupBy("__id").agg(F.min("__print").alias("lo"), F.max("__print").alias("hi")).where("lo < hi")
+                      .select("__id", F.lit(True).alias("__several")), "several")
+    covered = _repeats(spread.join(several, "__id", "left").withColumn("__print", F.when(F.col("__several"), F.col("__print"))))
+    gone = (covered.select("__id", "__print", F.explode(F.sequence("__pos", F.col("__pos") + F.col("__k") - 1)).alias("__pos"))
+            .groupBy("__id", "__print").agg(F.collect_set("__pos").alias("__gone")))
+    told = several.withColumnRenamed("__id", "__sid")
+    own = docs.join(told, docs[id_column] == told["__sid"], "left").withColumn("__p", F.when(F.col("__several"), fingerprint)).drop("__sid", "__several")
+    joined = (own.join(gone, (own[id_column] == gone["__id"]) & F.col("__p").eqNullSafe(gone["__print"]), "left")
+              .select(*[own[c] for c in docs.columns], "__gone"))
     schema = T.StructType([*docs.schema, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("removed", T.StringType()), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(_cut(id_column, text_column, to_arrow_schema(schema)), schema)
 
 
+def _repeats(spread: DataFrame) -> DataFrame:
+    """(id, print, pos, k) of the runs that are not the first of their kind."""
+    size = F.col("__mk").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("__k")
+    bits = F.shiftleft(F.col("__m").cast("long"), 32).bitwiseOR(F.col("__k").cast("long"))
+    # A run's length is part of its key, so it needs no column of its own.
+    once = spread.where(~F.col("__again")).select("__id", "__print", "__pos", "__x", bits.alias("__mk"))
+    total = once.count()
+    repeats = written(once.groupBy("__x", "__mk").agg(F.min("__id").alias("__first"), F.count("*").alias("__n")).where(F.col("__n") > 1), "repeats")
+    hot = F.broadcast(repeats.where(F.col("__n") > -(-total // HOT_RUNS)).select("__x", "__mk", "__first"))  # fewer than HOT_RUNS rows
+    cold = repeats.where(F.col("__n") <= -(-total // HOT_RUNS)).select("__x", "__mk", "__first").hint("merge")  # grows with the corpus: never broadcast
+    later = [once.join(hot, ["__x", "__mk"]), once.join(hot, ["__x", "__mk"], "left_anti").join(cold, ["__x", "__mk"])]
+    out = [found.where(F.col("__id") > F.col("__first")).select("__id", "__print", "__pos", size) for found in later]
+    out.append(spread.where("__again").select("__id", "__print", "__pos", "__k"))
+    # Texts that share an id are one document: the first place is the earliest of all.
+    start = F.min("__pos").over(Window.partitionBy("__id", "__x", "__mk"))
+    beside = once.where(F.col("__print").isNotNull()).withColumn("__start", start).where(F.col("__pos") > F.col("__start"))
+    return reduce(DataFrame.unionAll, [*out, beside.select("__id", "__print", "__pos", size)])
+
+
 def _keyed(sentences: Column) -> Column:
     """(x, m, w) of each sentence: hashes of its key, and its words. One step a
     ``transform``, as a lambda computes an expression anew wherever it stands."""
