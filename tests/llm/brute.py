@@ -1,8 +1,13 @@
 """Plain Python versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import xxhash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BLANKS = " \t\n\x0b\x0c\r"
@@ -139,3 +144,59 @@ def mixed(rows, weights, share, max_epochs, seed, budget=None):
                 out.append((d, k[0], n, e, min(n, part)))
             part -= n
     return sorted(out, key=str)
+
+
+def rendezvous(key, weights):
+    """The shard with the smallest -ln(u) / weight; ties to the smaller number."""
+    def drawn(shard):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", shard), seed=xxhash.xxh64_intdigest(key.encode(), seed=42))
+        return -math.log(((h >> 12) + 0.5) / 2 ** 52) / weights[shard]
+    return min(range(len(weights)), key=lambda s: (drawn(s), s))
+
+
+def languages(rows, positions, most, least, ratio):
+    """rows (doc_id, text, lang) -> (doc_id, language, share), all rows learned from but the held-out ones."""
+    word = 2 ** 32
+
+    def grams(text):
+        raw = b"  " + text.lower().encode() + b"    "
+        a = [b if b >= 128 or chr(b).isalpha() else 32 for b in raw]
+        return [tuple(a[i:i + 4]) for i in range(len(a) - 3) if (32, 32) not in (tuple(a[i:i + 2]), tuple(a[i + 1:i + 3]), tuple(a[i + 2:i + 4]))]
+
+    def places(gram):
+        code = int.from_bytes(bytes(gram), "big")
+        out = []
+        odd = (2654435769, 2246822519, 3266489917, 668265263)
+        for j in range(3):
+            x = code * odd[j] % word
+            x = (x ^ x >> 15) * odd[j + 1] % word
+            out.append(x >> 33 - positions.bit_length())
+        return out
+
+    known = [(t, lang) for d, t, lang in rows if d is not None and t is not None and lang is not None and zlib.crc32(str(d).encode()) % 3 != 1]
+    counts, n_docs = defaultdict(Counter), Counter(lang for _, lang in known)
+    for t, lang in known:
+        counts[lang].update(grams(t))
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items() if n >= least} for lang, c in counts.items()}
+    top = Counter()
+    for r in rates.values():
+        for g, x in r.items():
+            top[g] = max(top[g], x)
+    filters = {}
+    for lang in sorted(n_docs):
+        kept = sorted((g for g, x in rates.get(lang, {}).items() if x >= ratio * top[g]), key=lambda g: (-counts[lang][g], g))[:most]
+        filters[lang] = {p for g in kept for p in places(g)}
+    out = []
+    for d, t, _ in rows:
+        if not filters or not t or not re.search(r"[^\W\d_]", t):
+            out.append((d, "und", 0.0))
+            continue
+        seen, best = [places(g) for g in grams(t)], (-1.0, None)
+        for lang, bits in filters.items():
+            false = (len(bits) / positions) ** 3
+            share = sum(all(p in bits for p in at) for at in seen) / len(seen) if seen else 0.0
+            share = min(1.0, max(0.0, (share - false) / (1 - false)))
+            if share > best[0]:
+                best = share, lang
+        out.append((d, best[1] if best[0] > 0 else min(n_docs, key=lambda k: (-n_docs[k], k)), round(best[0], 9)))
+    return out

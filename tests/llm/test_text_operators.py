@@ -132,6 +132,13 @@ def test_language_ignores_labels_of_what_it_predicts(spark):
     assert rows(language.identify(hidden), "doc_id", "lang_pred", "score") == rows(language.identify(docs), "doc_id", "lang_pred", "score")
 
 
+def test_language_against_a_plain_filter(edge, docs, doc_rows, edge_rows):
+    """Learned n-grams, masks, corrected shares and winners, computed anew one text at a time."""
+    for df, own in ((docs, doc_rows), (edge, edge_rows)):
+        got = sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language.identify(df).collect()), key=str)
+        assert got == sorted(brute.languages([r[:3] for r in own], language.POSITIONS, 50_000, 3, 0.1), key=str)
+
+
 # --- 4 sharding ---
 
 def test_sharding(edge, docs, no_docs, sf_small, spark):
@@ -149,6 +156,13 @@ def test_sharding(edge, docs, no_docs, sf_small, spark):
     assert sharding.number(sharding.assign(no_docs.select("doc_id"), "doc_id", [1.0]), "shard").count() == 0
 
 
+@pytest.mark.parametrize("weights", [[1.0] * 24, [1.0, 2.5, 0.5, 4.0]])
+def test_sharding_winners_against_plain_hashing(edge, docs, weights):
+    for df in (edge, docs):
+        got = {r["doc_id"]: r["shard"] for r in sharding.assign(df.select("doc_id"), "doc_id", weights).collect()}
+        assert got == {k: brute.rendezvous("\0" if k is None else str(k), weights) for k in got}
+
+
 def test_sharding_weights_and_many_equal_rows(spark):
     keys = spark.range(20_000).select(F.col("id").alias("k"))
     n = {r["shard"]: r["count"] for r in sharding.assign(keys, "k", [1.0, 2.0, 1.0]).groupBy("shard").count().collect()}

@@ -124,6 +124,8 @@ class WordBpe:
             for k in range(min(n - i - 1, self.starts.get(chars[i:i + 3], 2)), 0, -1):
                 if (t := vocab.get(chars[i:i + k])) is not None:
                     break
+            else:
+                raise ValueError(f"the vocabulary has no token for {chars[i]!r} inside a word")
             out.append(t)
             i += k
 
