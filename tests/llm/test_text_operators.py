@@ -55,6 +55,11 @@ def test_bpe_fuzz_and_small_memory(library, monkeypatch, spark):
         assert r["decoded"] == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_stops_on_a_character_without_a_token():
+    with pytest.raises(ValueError, match="no token"):
+        bpe.tokenizer(bpe.default_path()).greedy("a\u6f22b")
+
+
 def test_bpe_verification_equals_exact_merging():
     b = bpe.tokenizer(bpe.default_path())
     rnd = random.Random(1)
