@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -144,6 +145,21 @@ def test_language_against_a_plain_filter(edge, docs, doc_rows, edge_rows):
         assert got == sorted(brute.languages([r[:3] for r in own], language.POSITIONS, 50_000, 3, 0.1), key=str)
 
 
+def test_language_learns_from_every_labelled_row(spark):
+    """Models and the gate's threshold come from all rows that may be learned from, however many there are."""
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(3, 8))) for _ in range(900)]
+    own = [(i, " ".join(draw.choices(words[:500] if i % 3 else words[400:], k=6)) + (" zq" * (i % 41 == 0)), "one" if i % 3 else "two") for i in range(9000)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, lang string")
+    found = language.identify(docs).collect()
+    got = sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in found), key=str)
+    assert got == sorted(brute.languages(own, language.POSITIONS, 50_000, 3, 0.1), key=str)
+    least = language.lowest_score(docs, language.learn(docs))
+    labels = {i: lang for i, _, lang in own}
+    scores = sorted(r["score"] for r in found if not r["held_out"] and r["lang_pred"] == labels[r["doc_id"]])
+    assert scores[math.ceil(0.01 * len(scores)) - 1] == 2 * least
+
+
 # --- 4 sharding ---
 
 def test_sharding(edge, docs, no_docs, sf_small, spark):

@@ -9,10 +9,10 @@ scored by counting, per language, the n-grams whose mask has its bit
 fill of that filter makes likely: ``(hits / n - fp) / (1 - fp)``. The highest
 share wins, ties go to the language that sorts first.
 
-Learning is bounded: about ``sample`` documents of each language (those of
-the smallest id hashes) are counted by Spark, and each language keeps its
-``grams`` most frequent n-grams, less those that are far more frequent in
-another language. Prediction reads every whole text.
+Learning reads every labelled document that isn't held out: its n-grams are
+counted by Spark, and each language keeps its ``grams`` most frequent ones, less
+those that are far more frequent in another language. Prediction reads every
+whole text.
 
 Cases: texts that are null or have no letter get ``und`` and score 0; a text
 whose n-grams are in no filter gets the most frequent learned language with
@@ -40,6 +40,7 @@ from tickwise.llm.common import read, segments
 POSITIONS = 1 << 20  # entries of the table (a power of two)
 HASHES = 3
 SEGMENT_CHARS = 1_000_000  # characters scored at a time
+HELD_GRAMS = 1_000_000  # counts that a task holds before it gives them on
 _MULTIPLIERS = tuple(np.uint32(m) for m in (2654435769, 2246822519, 3266489917, 668265263))
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD_BYTE = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
@@ -78,31 +79,45 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, sorted, and the sums of their counts."""
+    order = np.argsort(grams, kind="stable")
+    grams, n = grams[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
+    return grams[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for lang in sorted(held):
+            grams, n = held.pop(lang)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
     for batch, texts in segments(batches, "text", SEGMENT_CHARS):
         langs = np.array(batch.column("lang").to_pylist(), object)
         for lang in sorted(set(langs)):
-            codes, _ = _codes([t for t, own in zip(texts, langs) if own == lang])
-            grams, n = np.unique(codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)),
-                                              pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            codes = np.sort(_codes([t for t, own in zip(texts, langs) if own == lang])[0])
+            parts = [_summed(codes, np.ones(len(codes), np.int64)), *([held[lang]] if lang in held else [])]
+            held[lang] = _summed(*(np.concatenate(x) for x in zip(*parts)))
+        if sum(len(grams) for grams, _ in held.values()) > HELD_GRAMS:
+            yield from given()
+    yield from given()
 
 
-def learn(docs: DataFrame, sample: int = 2000, grams: int = 50_000, least: int = 3, ratio: float = 0.1) -> Filters:
-    """Fits the filters on rows (doc_id, text, lang) that aren't held out.
+def learn(docs: DataFrame, grams: int = 50_000, least: int = 3, ratio: float = 0.1) -> Filters:
+    """Fits the filters on all rows (doc_id, text, lang) that aren't held out.
 
-    sample: documents of a language to learn from, about; grams: n-grams kept
-    of each language at most; least: occurrences that an n-gram needs; ratio:
-    an n-gram is left out of languages where it is rarer than this share of
-    its highest rate.
+    grams: n-grams kept of each language at most; least: occurrences that an
+    n-gram needs; ratio: an n-gram is left out of languages where it is rarer
+    than this share of its highest rate.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return Filters((), (), np.empty(0), 0)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
-    some = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20)
-    counted = (rows.where(some).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    counted = (rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = Window.partitionBy("lang")
     rated = counted.withColumn("rate", F.col("n") / F.sum("n").over(totals)).where(F.col("n") >= least)
@@ -170,17 +185,12 @@ def predict(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id"
     return out.select(*keep, "lang_pred", "score")
 
 
-def lowest_score(docs: DataFrame, filters: Filters, sample: int = 5000, quantile: float = 0.01, margin: float = 0.5) -> float:
+def lowest_score(docs: DataFrame, filters: Filters, quantile: float = 0.01, margin: float = 0.5) -> float:
     """The score below which a text is in none of the learned languages:
-    ``margin`` times the ``quantile`` of the scores of about ``sample``
-    labelled rows (those that may be learned from) that get their own
-    language. 0 without such rows."""
+    ``margin`` times the ``quantile`` of the scores of all labelled rows (those
+    that may be learned from) that get their own language. 0 without such rows."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    n = rows.count()
-    if not n:
-        return 0.0
-    some = rows.where(F.pmod(F.xxhash64(F.lit("lowest"), "doc_id"), F.lit(1 << 20)) < min(1.0, sample / n) * (1 << 20))
-    own = predict(some, filters, keep=("lang",)).where(F.col("lang") == F.col("lang_pred"))
+    own = predict(rows, filters, keep=("lang",)).where(F.col("lang") == F.col("lang_pred"))
     low = own.agg(F.percentile_approx("score", quantile, 10_000)).first()[0]
     return margin * low if low else 0.0
 
