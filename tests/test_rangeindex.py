@@ -124,3 +124,49 @@ def test_gates_ask_the_index_or_the_bars(spark):
     columns = ("request_id", "status_code", "reason", "eff_start", "eff_end", "points")
     a, b = (sorted(map(tuple, df.select(*columns).collect())) for df in (ask(), ask(index=RI.stored_index(bars))))
     assert a == b and len({x[2] for x in a}) >= 6
+
+
+def test_index_holds_each_bar_once_and_points_come_in_batches(spark, stored):
+    """No running sums are stored or shuffled, no lambda computes a point, and equal ranges' requests travel with their range."""
+    assert set(stored.columns) == {"symbol", "bar_year", "n", "d", "x"}
+    r = spark.createDataFrame([(1, "WALK", "macd", None, DAYS[0], None)], REQUESTS)
+    plan = RQ.evaluate(r, index=stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan and "inline(" not in plan
+
+
+def test_pieces_of_any_size_give_the_same_points(spark, stored, monkeypatch):
+    from tickwise.functions import ranges as N
+    r = spark.createDataFrame([(i, s, ind, {NAME[ind]: str(3 + i % 40)}, DAYS[i], DAYS[min(1099, 20 + 17 * i % 1100)]) for i, (s, ind) in enumerate([(s, ind) for s in _series() for ind in NAME] * 3)], REQUESTS)
+    whole = sorted(map(tuple, RQ.evaluate(r, index=stored).collect()), key=str)
+    monkeypatch.setattr(N, "CELLS", 700)
+    assert sorted(map(tuple, RQ.evaluate(r, index=stored).collect()), key=str) == whole
+
+
+def test_nested_points_and_their_documents(spark, stored):
+    """One row a request: no point is exploded, joined and grouped again."""
+    from tickwise.operators import shaping as SH
+    r = spark.createDataFrame([(1, "GAPS", "macd", None, DAYS[0], DAYS[30]), (2, "WALK", "macd", None, DAYS[5], DAYS[8])], REQUESTS)
+    columns = ["macd", "signal", "histogram"]
+    rows, nested = RQ.evaluate(r, index=stored, indicators=["macd"]), RQ.evaluate(r, index=stored, indicators=["macd"], nested=True)
+    assert nested.count() == 2
+    head = r.select("request_id", "symbol", "indicator", F.create_map(F.lit("b"), F.lit(1.0), F.lit("a"), F.lit(2.0)).alias("parameters"), "start_date", "end_date")
+    a, b = (SH.documents(head.join(x, "request_id"), columns).orderBy("request_id") for x in (rows, nested))
+    assert a.columns == b.columns and [str(x) for x in a.collect()] == [str(x) for x in b.collect()]
+    assert "sort_array" not in SH.documents(head.join(nested, "request_id"), columns)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
+def test_requests_without_a_key_or_user_do_not_land_in_one_task(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(held, ("-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        asked = spark.range(4000).select(F.col("id").alias("request_id"), F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("api_key"))
+        users = spark.createDataFrame([(1, True, "pro")], "id long, is_active boolean, tier string")
+        keys = spark.createDataFrame([("key_0000000001", 1, True)], "key string, user_id long, is_active boolean")
+        out = RQ.identified(asked, users, keys)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 2000
+        assert out.where(F.col("__identity") | F.col("tier").isNotNull() | F.col("user_id").isNotNull()).isEmpty()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

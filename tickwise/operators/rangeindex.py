@@ -1,57 +1,29 @@
 """Range index of bars for batch evaluation.
 
-One row per (symbol, year) holds that year's bars as arrays in date order,
-with running sums from the start of the year: closes, their count, gains and
-losses, and deviations (with their squares) from the year's first close. The
-index is built once, by one shuffle of the bars, and every request reads it: a
-request takes the slices of the years that its range touches, and
-
-* a rolling mean or RSI sum is the difference of two running sums, whatever the
-  window's length; each year's sums are added to those of the request's years
-  before, so the numbers subtracted are no larger than the request's own total;
-* a rolling deviation comes from the sums of squares about a common reference;
-  where the subtraction would cost too many digits (``DIGITS``), from the
-  window's values in two passes;
-* an exponential mean is the recurrence itself, carried from year to year.
-
-So no window frame is collected, parameters may differ by row, and sums of
-whole prices are exact. A range's points are one row of arrays until they are
-exploded, bounded by the range's calendar days.
+One row per (symbol, year) holds that year's dates and closes as arrays in date
+order. The index is built once, by one shuffle of the bars, and every request
+reads it: a request takes the slices of the years that its range touches. A
+range's bars are then one row, bounded by its calendar days; ``functions.ranges``
+gives the points of many such rows at once. No window frame is collected, and
+parameters may differ by row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ranges as N
 from ..session import scratch_path
 
-#: A sum of squares this many times a window's own loses too many digits.
-DIGITS = 50.0
-#: Arrays of a year: dates, closes; running sum, count, gains, losses, deviations, their squares.
-ARRAYS = ("d", "x", "s", "c", "u", "w", "y", "z")
-_RUNNING = ("s", "c", "u", "w", "y", "z")
-#: Arrays that each indicator needs besides dates and counts.
-NEEDS = {"sma": "s", "ema": "x", "rsi": "uw", "macd": "x", "bollinger": "xsyz"}
-
 
 def range_index(bars: DataFrame) -> DataFrame:
     """The index of ``bars`` (symbol, date, close; symbol and date unique) as a
     lazy plan: one exchange, by (symbol, year)."""
-    w = Window.partitionBy("symbol", "bar_year").orderBy("date")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    b = bars.select("symbol", "date", F.col("close").alias("x"), F.year("date").alias("bar_year"))
-    b = b.withColumns({"k": F.first("x", ignorenulls=True).over(upto), "__diff": F.col("x") - F.lag("x").over(w)})
-    dev, diff = F.col("x") - F.col("k"), F.col("__diff")
-    zero = F.lit(0.0)
-    b = b.select("symbol", "bar_year", "date", "x", "k",
-                 F.coalesce(F.sum("x").over(upto), zero).alias("s"), F.count("x").over(upto).alias("c"),
-                 F.sum(F.when(diff > 0, diff).otherwise(zero)).over(upto).alias("u"), F.sum(F.when(diff < 0, -diff).otherwise(zero)).over(upto).alias("w"),
-                 F.coalesce(F.sum(dev).over(upto), zero).alias("y"), F.coalesce(F.sum(dev * dev).over(upto), zero).alias("z"))
-    rows = F.sort_array(F.collect_list(F.struct(F.col("date").alias("d"), *ARRAYS[1:])))
-    years = b.groupBy("symbol", "bar_year").agg(rows.alias("rows"), F.max("k").alias("k"), F.count(F.lit(1)).alias("n"))
-    # ``k`` is null before the first close and then the same: any aggregate of it will do.
-    return years.select("symbol", "bar_year", "k", "n", *[F.col(f"rows.{a}").alias(a) for a in ARRAYS])
+    b = bars.select("symbol", F.year("date").alias("bar_year"), F.struct(F.col("date").alias("d"), F.col("close").alias("x")).alias("row"))
+    # Dealt out before the aggregate: no list is made twice.
+    years = b.repartition("symbol", "bar_year").groupBy("symbol", "bar_year").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    return years.select("symbol", "bar_year", F.size("rows").cast("long").alias("n"), F.col("rows.d").alias("d"), F.col("rows.x").alias("x"))
 
 
 def write_index(bars: DataFrame, path: str) -> None:
@@ -74,14 +46,9 @@ def stored_index(bars: DataFrame) -> DataFrame:
 # --- slices -----------------------------------------------------------------------
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once a row, not once an element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def slices(ranges: DataFrame, index: DataFrame, start_col: str, end_col: str, indicator: Column, keys: list[str]) -> DataFrame:
-    """``ranges`` (told apart by ``keys``) with ``__b``: the slices of the years
-    that each touches, in order. An open end (NULL) reaches to the first or
+def slices(ranges: DataFrame, index: DataFrame, start_col: str, end_col: str, keys: list[str]) -> DataFrame:
+    """``ranges`` (told apart by ``keys``) with ``d`` and ``x``: the dates and
+    closes that each holds, in order. An open end (NULL) reaches to the first or
     last bar; ranges without bars are left out.
 
     The join is on (symbol, year) between two stored or scanned tables, so
@@ -98,16 +65,11 @@ def slices(ranges: DataFrame, index: DataFrame, start_col: str, end_col: str, in
     before = F.when(s.isNotNull() & (F.year(s) == F.col("bar_year")), F.size(F.filter("d", lambda x: x < s))).otherwise(0)
     upto = F.when(e.isNotNull() & (F.year(e) == F.col("bar_year")), F.size(F.filter("d", lambda x: x <= e))).otherwise(F.col("n")).cast("int")
     met = met.withColumns({"__from": before, "__upto": upto}).where(F.col("__upto") > F.col("__from"))
-    of = lambda a: F.slice(a, F.col("__from") + 1, F.col("__upto") - F.col("__from"))
-    needed = lambda a: indicator.isin(*[i for i, arrays in NEEDS.items() if a in arrays])
-    parts = [of("d").alias("d"), of("c").alias("c"), *[F.when(needed(a), of(a)).alias(a) for a in ("x", "s", "u", "w", "y", "z")]]
-    zero = [F.coalesce(F.get(a, F.col("__from") - 1), F.lit(0)).alias(f"{a}0") for a in _RUNNING]
-    # The gain into the slice's first row is counted where slices meet.
-    first = [F.get(a, F.col("__from")).alias(f"{a}1") for a in "uw"]
-    ends = [F.get("x", F.col("__from")).alias("xf"), F.get("x", F.col("__upto") - 1).alias("xl")]
+    of = lambda a: F.slice(a, F.col("__from") + 1, F.col("__upto") - F.col("__from")).alias(a)
     own = [c for c in ranges.columns if c not in ("symbol", start_col, end_col, *keys)]
-    block = F.struct("bar_year", "k", *parts, *zero, *first, *ends)
-    return met.select(*keys, *own, block.alias("b")).groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in own], F.sort_array(F.collect_list("b")).alias("__b"))
+    met = met.select(*keys, *own, F.struct("bar_year", of("d"), of("x")).alias("b"))
+    parts = met.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in own], F.sort_array(F.collect_list("b")).alias("b"))
+    return parts.select(*keys, *own, F.flatten("b.d").alias("d"), F.flatten("b.x").alias("x"))
 
 
 def index_range(index: DataFrame):
@@ -126,154 +88,12 @@ def counts(ranges: DataFrame, index: DataFrame, start_col: str, end_col: str) ->
     return met.groupBy("symbol", start_col, end_col).agg(F.sum(inside).alias("points"))
 
 
-# --- running values over all slices ---------------------------------------------------
-
-
-def _running(b: Column, a: str, base: str) -> Column:
-    """Running values of array ``a`` over all slices, from the range's start."""
-    kind = "bigint" if a == "c" else "double"
-    ends = F.aggregate(b, F.array(F.lit(0).cast(kind)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(x[a], -1) - x[base])))
-    return let(ends, lambda at: F.flatten(F.transform(b, lambda x, i: let(F.get(at, i) - x[base], lambda off: F.transform(x[a], lambda v: v + off)))))
-
-
-def _moves(b: Column, a: str, sign: int) -> Column:
-    """Running gains (sign 1) or losses (-1), with those where slices meet."""
-    none = F.array().cast("array<struct<off:double,total:double,x:double>>")
-
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        step = F.coalesce((x["xf"] - last["x"]) * F.lit(float(sign)), F.lit(0.0))
-        off = F.coalesce(last["total"], F.lit(0.0)) + F.greatest(step, F.lit(0.0))
-        return F.concat(acc, F.array(let(off, lambda o: F.struct(o.alias("off"), (o + F.element_at(x[a], -1) - x[f"{a}1"]).alias("total"), x["xl"].alias("x")))))
-    return let(F.aggregate(b, none, add), lambda at: F.flatten(F.transform(b, lambda x, i: let(
-        F.get(at, i)["off"] - x[f"{a}1"], lambda off: F.transform(x[a], lambda v: v + off)))))
-
-
-def _squares(b: Column) -> Column:
-    """Running (y, z): deviations from the first slice's reference and their squares."""
-    none = F.array().cast("array<struct<y:double,z:double>>")
-    ref = F.coalesce(F.get(F.filter(F.transform(b, lambda x: x["k"]), lambda k: k.isNotNull()), F.lit(0)), F.lit(0.0))
-
-    def moved(x: Column, y: Column, z: Column, c: Column, d: Column, y_at: Column, z_at: Column) -> Column:
-        y, z, c = y - x["y0"], z - x["z0"], c - x["c0"]
-        return F.struct((y_at + y + c * d).alias("y"), (z_at + z + d * 2.0 * y + c * d * d).alias("z"))
-
-    def add(acc: Column, x: Column, ref: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        d = F.coalesce(x["k"], ref) - ref
-        end = moved(x, F.element_at(x["y"], -1), F.element_at(x["z"], -1), F.element_at(x["c"], -1), d, F.coalesce(last["y"], F.lit(0.0)), F.coalesce(last["z"], F.lit(0.0)))
-        return F.concat(acc, F.array(end))
-
-    def whole(ref: Column) -> Column:
-        return let(F.aggregate(b, none, lambda acc, x: add(acc, x, ref)), lambda at: F.flatten(F.transform(b, lambda x, i: let(
-            F.struct((F.coalesce(x["k"], ref) - ref).alias("d"), F.coalesce(F.get(at, i - 1)["y"], F.lit(0.0)).alias("y"), F.coalesce(F.get(at, i - 1)["z"], F.lit(0.0)).alias("z")),
-            lambda o: F.transform(x["y"], lambda v, j: moved(x, v, F.get(x["z"], j), F.get(x["c"], j), o["d"], o["y"], o["z"]))))))
-    return let(ref, whole)
-
-
-def _scan(values: Column, span: Column) -> Column:
-    """Exponential means of arrays of values (the slices), carried from one to the next."""
-    a = F.lit(2.0) / (span + F.lit(1.0))
-    q = F.lit(1.0) - a
-
-    def step(acc: Column, v: Column, p: Column) -> Column:
-        start = F.coalesce(p["a"] * F.get(v, F.lit(0)) + p["q"] * F.try_element_at(F.try_element_at(acc, F.lit(-1)), F.lit(-1)), F.get(v, F.lit(0)))
-        rest = F.slice(v, F.lit(2), F.size(v))
-        return F.concat(acc, F.array(F.aggregate(rest, F.array(start), lambda e, x: F.concat(e, F.array(p["a"] * x + p["q"] * F.element_at(e, -1))))))
-    return let(F.struct(a.alias("a"), q.alias("q")), lambda p: F.aggregate(values, F.array().cast("array<array<double>>"), lambda acc, v: step(acc, v, p)))
-
-
 # --- points -----------------------------------------------------------------------
 
 
-def _back(running: Column, i: Column, n: Column) -> Column:
-    """What a running value grew by over the last ``n`` rows."""
-    return F.get(running, i) - F.coalesce(F.get(running, i - n), F.lit(0))
-
-
-def _point(date: Column, **values: Column) -> Column:
-    """A point; names it doesn't have are null."""
-    null = F.lit(None).cast("double")
-    return F.struct(date.alias("date"), *[values.get(c, null).alias(c) for c in ("value", "macd", "signal", "histogram", "upper", "middle", "lower")])
-
-
-def _ratio(total: Column, count: Column) -> Column:
-    return F.when(count > 0, total / count)
-
-
-def points(indicator: Column, b: Column, p1: Column, p2: Column, p3: Column, k: Column, indicators=tuple(NEEDS)) -> Column:
-    """The points of a range (an array in date order) from its slices;
-    ``indicators``: those that occur."""
-    of = {"sma": lambda: _sma(b, p1), "ema": lambda: _ema(b, p1), "rsi": lambda: _rsi(b, p1), "macd": lambda: _macd(b, p1, p2, p3), "bollinger": lambda: _bollinger(b, p1, k)}
-    out = F.lit(None)
-    for name in indicators:
-        out = F.when(indicator == name, of[name]()).otherwise(out)
-    return out
-
-
-def _dates(b: Column, body) -> Column:
-    return F.transform(F.flatten(F.transform(b, lambda x: x["d"])), body)
-
-
-def _sums(b: Column) -> list[Column]:
-    return [_running(b, a, f"{a}0").alias(a) for a in "sc"]
-
-
-def _sma(b: Column, n: Column) -> Column:
-    return let(F.struct(*_sums(b)), lambda r: _dates(b, lambda d, i: _point(d, value=_ratio(_back(r["s"], i, n), _back(r["c"], i, n)))))
-
-
-def _rsi(b: Column, n: Column) -> Column:
-    def strength(up: Column, down: Column) -> Column:
-        return F.when(down > 0, F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + up / down)).when(up > 0, F.lit(100.0))
-    return let(F.struct(_moves(b, "u", 1).alias("u"), _moves(b, "w", -1).alias("w")), lambda r: _dates(
-        b, lambda d, i: _point(d, value=strength(_back(r["u"], i, n), _back(r["w"], i, n)))))
-
-
-def _bollinger(b: Column, n: Column, k: Column) -> Column:
-    def window(r: Column, i: Column) -> Column:
-        now, then = F.get(r["yz"], i), F.get(r["yz"], i - n)
-        count = _back(r["c"], i, n)
-        return F.struct(count.alias("n"), _ratio(_back(r["s"], i, n), count).alias("mean"), now["z"].alias("z_now"),
-                        (now["y"] - F.coalesce(then["y"], F.lit(0.0))).alias("y"), (now["z"] - F.coalesce(then["z"], F.lit(0.0))).alias("z"))
-
-    def deviation(r: Column, i: Column, v: Column) -> Column:
-        within = F.slice(r["x"], F.greatest(i - n + 1, F.lit(0)) + 1, F.least(n, i + 1))
-        again = F.aggregate(within, F.lit(0.0), lambda acc, x: acc + F.coalesce((x - v["mean"]) * (x - v["mean"]), F.lit(0.0)))
-        squares = let(v["z"] - v["y"] * v["y"] / v["n"], lambda m: F.when(v["z_now"] <= m * DIGITS, m).otherwise(again))
-        return F.when(v["n"] > 1, F.sqrt(squares / (v["n"] - 1)))
-
-    def bands(d: Column, v: Column, sd: Column) -> Column:
-        return _point(d, upper=v["mean"] + k * sd, middle=v["mean"], lower=v["mean"] - k * sd)
-    all_of = F.struct(*_sums(b), _squares(b).alias("yz"), F.flatten(F.transform(b, lambda x: x["x"])).alias("x"))
-    return let(all_of, lambda r: _dates(b, lambda d, i: let(window(r, i), lambda v: let(deviation(r, i, v), lambda sd: bands(d, v, sd)))))
-
-
-def _closes(b: Column) -> Column:
-    """The closes that there are, a slice an array: exponential means run over them."""
-    return F.filter(F.transform(b, lambda x: F.filter(x["x"], lambda v: v.isNotNull())), lambda v: F.size(v) > 0)
-
-
-def _seen(b: Column) -> Column:
-    return F.struct(_running(b, "c", "c0").alias("c"), F.flatten(F.transform(b, lambda x: x["x"])).alias("x"))
-
-
-def _there(r: Column, i: Column, values: Column) -> Column:
-    """The value of a row, from those of the rows that have a close."""
-    return F.when(F.get(r["x"], i).isNotNull(), F.get(values, (F.get(r["c"], i) - 1).cast("int")))
-
-
-def _ema(b: Column, span: Column) -> Column:
-    return let(_seen(b), lambda r: let(F.flatten(_scan(_closes(b), span)), lambda e: _dates(b, lambda d, i: _point(d, value=_there(r, i, e)))))
-
-
-def _macd(b: Column, fast: Column, slow: Column, signal: Column) -> Column:
-    def line(e: Column) -> Column:
-        return F.transform(e["f"], lambda f, i: F.transform(f, lambda v, j: v - F.get(F.get(e["s"], i), j)))
-
-    def three(r: Column, m: Column, g: Column) -> Column:
-        return _dates(b, lambda d, i: let(F.struct(_there(r, i, m).alias("m"), _there(r, i, g).alias("g")),
-                                          lambda v: _point(d, macd=v["m"], signal=v["g"], histogram=v["m"] - v["g"])))
-    means = lambda v: F.struct(_scan(v, fast).alias("f"), _scan(v, slow).alias("s"))
-    return let(_seen(b), lambda r: let(_closes(b), lambda v: let(means(v), lambda e: let(line(e), lambda m: let(
-        F.flatten(_scan(m, signal)), lambda g: let(F.flatten(m), lambda flat: three(r, flat, g)))))))
+def points(found: DataFrame, columns, nested: bool = False) -> DataFrame:
+    """The points of ranges with their slices (ids, indicator, p1, p2, p3, k, d,
+    x), for each of the ids; see ``functions.ranges.points``."""
+    values = [f"{c} double" for c in columns]
+    schema = f"request_id long, points array<struct<{', '.join(['date: date', *[v.replace(' ', ': ') for v in values]])}>>" if nested else ", ".join(["request_id long, date date", *values])
+    return found.select("ids", "indicator", "p1", "p2", "p3", "k", "d", "x").mapInArrow(N.points(tuple(columns), nested), schema)

@@ -17,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranges as N
 from ..operators import indicators as I
 from . import identity as ID
 from . import rangeindex as RI
 from .policy import DEFAULT_POLICY, PARAM_BOUNDS, REQUIRED_TIER, clamp_range, default_range, indicator_allowed, params_within_bounds, tier_gate, tier_limits
 from .quota import day_of
-from .skew import first_n, spread_join
+from .skew import apart, first_n, spread_join
 
 SHARED_BY = 4096  # requests that read one copy of a range's points
 
@@ -54,11 +55,12 @@ def identified(requests: DataFrame, users: DataFrame, api_keys: DataFrame | None
     r = requests
     if api_keys is not None and "api_key" in r.columns:
         key = F.when(ID.key_format_ok(F.col("api_key")), F.col("api_key"))
-        active = api_keys.where(F.col("is_active")).select(F.col("key").alias("__key"), F.col("user_id").alias("__key_user"))
-        r = (r.withColumn("__key", key).join(active, "__key", "left")
+        active = api_keys.where(F.col("is_active") & ID.key_format_ok(F.col("key"))).select(F.col("key").alias("__key"), F.col("user_id").alias("__key_user"))
+        r = (r.withColumn("__key", key).withColumn("__key", apart("__key", "request_id")).join(active, "__key", "left")
              .withColumn("user_id", F.when(F.col("api_key").isNull(), F.col("user_id")).otherwise(F.col("__key_user"))).drop("__key", "__key_user"))
-    u = users.select(F.col("id").alias("user_id"), F.col("is_active").alias("__active"), "tier")
-    return r.join(u, "user_id", "left").withColumn("__identity", F.coalesce("__active", F.lit(False))).drop("__active")
+    u = users.select(F.col("id").cast("string").alias("__user"), F.col("is_active").alias("__active"), "tier")
+    r = r.withColumn("__user", apart("user_id", "request_id")).join(u, "__user", "left").drop("__user")
+    return r.withColumn("__identity", F.coalesce("__active", F.lit(False))).drop("__active")
 
 
 def _points(ranges: DataFrame, bars: DataFrame) -> DataFrame:
@@ -150,9 +152,10 @@ POINTS = ("value", "macd", "signal", "histogram", "upper", "middle", "lower")
 
 
 def evaluate(requests: DataFrame, bars: DataFrame | None = None, start_col: str = "start_date", end_col: str = "end_date",
-             index: DataFrame | None = None, indicators=tuple(RI.NEEDS)) -> DataFrame:
+             index: DataFrame | None = None, indicators=tuple(N.COLUMNS), nested: bool = False) -> DataFrame:
     """The points of every request: (request_id, date, ``POINTS``); value
-    holds sma, ema and rsi.
+    holds sma, ema and rsi. ``nested``: one row a request instead, (request_id,
+    points), with the points in date order and the indicators' columns only.
 
     ``requests`` are accepted ones: (request_id, symbol, indicator, params,
     range); a window, period or span below 1 gives no points. Equal (symbol,
@@ -163,17 +166,19 @@ def evaluate(requests: DataFrame, bars: DataFrame | None = None, start_col: str
     """
     index = RI.stored_index(bars) if index is None else index
     ident = ["symbol", start_col, end_col, "indicator", "__p1", "__p2", "__p3", "__k"]
-    r = resolved(requests).withColumn("__key", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ident]), 256))
+    key = F.unhex(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ident]), 256))
+    r = resolved(requests)
     sound = (F.col("__p1") >= 1) & F.coalesce(F.col("__p2") >= 1, F.lit(True)) & F.coalesce(F.col("__p3") >= 1, F.lit(True))
-    r = r.where(sound & F.col("indicator").isin(*indicators))
-    asked = (r.groupBy("__key", *ident).agg(F.count(F.lit(1)).alias("__n"))
-             .withColumn("__copies", F.ceil(F.col("__n") / F.lit(SHARED_BY)).cast("int")).drop("__n"))
-    reqs = spread_join(r.select("request_id", "__key"), asked.select("__key", "__copies"), ["__key"], "request_id", "inner")
-    reqs = reqs.withColumn("__copy", F.pmod(F.xxhash64("request_id"), F.col("__copies")).cast("int")).drop("__copies")
+    r = r.where(sound & F.col("indicator").isin(*indicators)).select("request_id", key.alias("__key"), *ident)
     # A range that very many requests share is copied, and its requests are dealt over the copies.
-    copied = asked.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
-    keys = ["__key", "__copy"]
-    found = RI.slices(copied, index, start_col, end_col, F.col("indicator"), keys)
-    ind, b, p1, p2, p3, k = (F.col(c) for c in ("indicator", "__b", "__p1", "__p2", "__p3", "__k"))
-    out = found.select(*keys, RI.points(ind, b, p1, p2, p3, k, indicators).alias("__points"))
-    return reqs.join(out, keys).select("request_id", F.inline("__points"))
+    shared = (r.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > SHARED_BY)
+              .select("__key", F.ceil(F.col("__n") / F.lit(SHARED_BY)).cast("int").alias("__copies")))  # few rows
+    copy = F.coalesce(F.pmod(F.xxhash64("request_id"), F.col("__copies")).cast("int"), F.lit(0))
+    asked = (r.join(shared, "__key", "left").withColumn("__copy", copy).groupBy("__key", "__copy")
+             .agg(F.collect_list("request_id").alias("ids"), *[F.any_value(c).alias(c) for c in ident]))
+    found = RI.slices(asked, index, start_col, end_col, ["__key", "__copy"])
+    columns = [c for c in POINTS if any(c in N.COLUMNS[i] for i in indicators)]
+    out = RI.points(found.withColumnsRenamed({"__p1": "p1", "__p2": "p2", "__p3": "p3", "__k": "k"}), columns, nested)
+    if nested:
+        return out
+    return out.select("request_id", "date", *[F.col(c) if c in columns else F.lit(None).cast("double").alias(c) for c in POINTS])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
@@ -17,6 +17,13 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], row: str, ho
     return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
+def apart(key: str, row: str) -> Column:
+    """``key`` as a string to join by, where rows without one, which meet
+    nothing, are told apart by ``row``: they don't all land in the task that
+    null hashes to. The other side's keys must not begin with "none "."""
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("none "), F.col(row).cast("string")))
+
+
 def first_n(df: DataFrame, keys: list[str], order: list[str], limit: str, row: str, rank: str = "__rank", salts: int = SALTS) -> DataFrame:
     """Rows among the first ``limit`` (a column) of their key, with their rank.
 
