@@ -79,3 +79,17 @@ def test_state_ends_when_the_watermark_passes(spark, feed, users, tmp_path, kind
     after = rows()
     query.stop()
     assert 0 < after < full
+
+
+def test_users_share_a_key_and_unlimited_ones_have_none(spark, feed, tmp_path):
+    folder, put = feed
+    users = spark.range(64).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'premium' ELSE 'free' END AS tier")
+    put(*[(100 * k + u, f"2024-01-01 1{k}:00", u) for u in range(64) for k in range(3)])
+    query = QS.start(spark, QS.decisions_stream(_stream(spark, folder), users, P.TEST_POLICY), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    query.processAllAvailable()
+    rows = query.recentProgress[0]["stateOperators"][0]["numRowsTotal"]
+    query.stop()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 192 and all(r["allowed"] == (r["user_id"] % 2 == 0 or r["request_id"] < 200) for r in got)
+    assert all((r["remaining"] is None) == (r["user_id"] % 2 == 0) for r in got)
+    assert rows < 10
