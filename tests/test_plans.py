@@ -78,3 +78,19 @@ def test_quota_ranks_in_two_steps_after_a_shuffle_by_salt(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert re.search(r"hashpartitioning\(user_id#\d+L?, day#\d+, __salt", text)
     assert len(re.findall(r"Window \[row_number", text)) >= 2
+
+
+def test_rows_of_blocks_move_once(spark):
+    """Both reads of the rows, for the ends of their blocks and for themselves, share one exchange, and no null-safe join moves them again."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(held, ("-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        days = td.bars(spark, "/root/testdata/sf0.001").select("symbol", "date", "close")
+        for df in (I.suite(days), I.macd(days)):
+            plan = _plan(df)
+            assert len(re.findall(r"\- Exchange hashpartitioning\(__series#\d+L, __blk", plan)) == 1 and "ReusedExchange" in plan
+            assert "Exchange hashpartitioning(coalesce(symbol" not in plan
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

@@ -23,11 +23,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 BLOCK_ROWS = 512  # q^-r stays below e^562 within a block for any span from 2
 BLOCK, POSITION, HALO, SEEN = "__blk", "__i", "__halo", "__seen"
-_MARKS = (BLOCK, POSITION, HALO, SEEN)
+MARKS = (BLOCK, POSITION, HALO, SEEN)
+SERIES = "__series"  # hash of the keys: never null, so a plain join by it stays where the rows are
 
 
 def _list(cols) -> list[str]:
@@ -71,11 +73,17 @@ def loss(diff: Column) -> Column:
     return F.when(diff < 0, -diff).otherwise(F.lit(0.0))
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """Equal or both null, as a check beside the keys of a join: null-safe keys
+    would be hashed in another way than the rows lie and move them again."""
+    return F.coalesce(a == b, a.isNull() & b.isNull())
+
+
 # --- blocks -------------------------------------------------------------------
 
 
 def in_blocks(df: DataFrame, col: str = "close", keys=("symbol",), order="date", halo: int = 0,
-              cut: Column | None = None) -> DataFrame:
+              cut: Column | None = None, dealt: bool = True) -> DataFrame:
     """Cut every series into blocks of ``BLOCK_ROWS`` rows (more if the halo
     needs it), each with the ``halo`` rows before it.
 
@@ -83,21 +91,23 @@ def in_blocks(df: DataFrame, col: str = "close", keys=("symbol",), order="date",
     all of them have no defined order (V16). ``cut`` is a coarse, monotone
     function of the first order column (default: its year); rows are only ever
     numbered within one (series, cut), whose counts are summed up per series.
+    ``dealt``: whether the blocks are dealt out to tasks here.
     """
     keys, order = _list(keys), _list(order)
     size = max(BLOCK_ROWS, -(-halo // BLOCK_ROWS) * BLOCK_ROWS)
     df = df.withColumn("__cut", F.year(order[0]) if cut is None else cut)
-    counts = df.groupBy(*keys, "__cut").agg(F.count(F.lit(1)).alias("__n"), F.count(col).alias("__c"))
+    df = df.withColumn("__part", F.xxhash64(*keys, "__cut"))
+    counts = df.groupBy("__part", *keys, "__cut").agg(F.count(F.lit(1)).alias("__n"), F.count(col).alias("__c"))
     ahead = Window.partitionBy(*keys).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate([*keys, "__cut"])],
+    offsets = counts.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{j}") for j, k in enumerate([*keys, "__cut"])],
                             F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n0"),
                             F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__c0"))
-    within = Window.partitionBy(*keys, "__cut").orderBy(*order)
-    df = df.withColumns({POSITION: F.row_number().over(within) - 1,
-                         SEEN: F.count(col).over(within.rowsBetween(Window.unboundedPreceding, 0))})
-    on = reduce(lambda x, y: x & y, [df[k].eqNullSafe(offsets[f"__k{j}"]) for j, k in enumerate([*keys, "__cut"])])
+    within = Window.partitionBy("__part", *keys, "__cut").orderBy(*order)
+    df = df.repartition("__part").withColumns({POSITION: F.row_number().over(within) - 1,
+                                               SEEN: F.count(col).over(within.rowsBetween(Window.unboundedPreceding, 0))})
+    on = reduce(lambda x, y: x & y, [df["__part"] == offsets["__p"], *[_alike(df[k], offsets[f"__k{j}"]) for j, k in enumerate([*keys, "__cut"])]])
     df = (df.join(offsets, on).withColumns({POSITION: F.col(POSITION) + F.col("__n0"), SEEN: F.col(SEEN) + F.col("__c0")})
-          .drop("__cut", "__n0", "__c0", *[f"__k{j}" for j in range(len(keys) + 1)]))
+          .drop("__part", "__p", "__cut", "__n0", "__c0", *[f"__k{j}" for j in range(len(keys) + 1)]))
     own = F.floor(F.col(POSITION) / F.lit(size))
     if halo:
         is_tail = F.col(POSITION) % size >= size - halo
@@ -105,7 +115,8 @@ def in_blocks(df: DataFrame, col: str = "close", keys=("symbol",), order="date",
         df = df.withColumn(BLOCK, F.explode(homes)).withColumn(HALO, F.col(BLOCK) > own)
     else:
         df = df.withColumns({BLOCK: own, HALO: F.lit(False)})
-    return df.repartition(*keys, BLOCK)
+    df = with_series(df, keys)
+    return df.repartition(SERIES, BLOCK) if dealt else df
 
 
 def in_one_pass(df: DataFrame, col: str = "close", keys=("symbol",), order="date") -> DataFrame:
@@ -115,12 +126,12 @@ def in_one_pass(df: DataFrame, col: str = "close", keys=("symbol",), order="date
     return df.withColumns({
         POSITION: F.row_number().over(w) - 1,
         SEEN: F.count(col).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-    }).withColumns({BLOCK: F.floor(F.col(POSITION) / F.lit(BLOCK_ROWS)), HALO: F.lit(False)})
+    }).withColumns({BLOCK: F.floor(F.col(POSITION) / F.lit(BLOCK_ROWS)), HALO: F.lit(False), SERIES: F.xxhash64(*keys)})
 
 
 def is_marked(df: DataFrame) -> bool:
     """Whether ``df`` has the marks already (a table of stored blocks)."""
-    return set(_MARKS) <= set(df.columns)
+    return set(MARKS) <= set(df.columns)
 
 
 def stored_halo(df: DataFrame) -> int | None:
@@ -131,11 +142,15 @@ def stored_halo(df: DataFrame) -> int | None:
 
 def block_window(keys=("symbol",)) -> WindowSpec:
     """Order of the rows of one block, halo first."""
-    return Window.partitionBy(*keys, BLOCK).orderBy(POSITION)
+    return Window.partitionBy(*keys, SERIES, BLOCK).orderBy(POSITION)
+
+
+def with_series(df: DataFrame, keys=("symbol",)) -> DataFrame:
+    return df if SERIES in df.columns else df.withColumn(SERIES, F.xxhash64(*keys))
 
 
 def out_of_blocks(df: DataFrame) -> DataFrame:
-    return df.where(~F.col(HALO)).drop(*[c for c in df.columns if c in _MARKS])
+    return df.where(~F.col(HALO)).drop(*[c for c in df.columns if c in (*MARKS, SERIES)])
 
 
 # --- exponential mean -------------------------------------------------------
@@ -160,12 +175,16 @@ def _reach(span: int) -> int:
     return math.ceil(_REACH / -math.log(1.0 - 2.0 / (span + 1.0)))
 
 
-def ewm_means(df: DataFrame, specs, keys=("symbol",), state: DataFrame | None = None) -> DataFrame:
+def ewm_means(df: DataFrame, specs, keys=("symbol",), state: DataFrame | None = None, order="date", beside=()) -> DataFrame:
     """Add one exponential-mean column per ``(source, span, out)`` spec to
     a frame with the marks of ``in_blocks`` or ``in_one_pass``. ``state``
     (keys and a column for each ``out``): the means that series have reached
     before these rows; a series without one starts with its first value.
 
+    The rows are read twice, for the ends of their blocks and for themselves. The
+    ends take ``order`` and the columns ``beside`` along, so that both reads want
+    the same columns and the rows are shuffled once (Spark reuses the exchange).
+
     All sources must share the null pattern of the marked column; null rows get
     a NULL result and do not break the recurrence (V15: the mean runs over the
     non-null values). NaN and overflow stay with all later values, as in the
@@ -185,7 +204,7 @@ def ewm_means(df: DataFrame, specs, keys=("symbol",), state: DataFrame | None =
     if state is not None:
         known = state.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], *[F.col(out).alias(c) for out, c in reached.items()])
         df = df.join(known, reduce(lambda x, y: x & y, [df[k].eqNullSafe(known[f"__k{j}"]) for j, k in enumerate(keys)]), "left").drop(*[f"__k{j}" for j in range(len(keys))])
-    df = df.withColumn("__r", F.count(F.when(here, 1)).over(running) - 1)
+    df = with_series(df, keys).withColumn("__r", F.count(F.when(here, 1)).over(running) - 1)
     r = F.col("__r")
     terms = {}
     for src, span, out in smooth:
@@ -194,15 +213,17 @@ def ewm_means(df: DataFrame, specs, keys=("symbol",), state: DataFrame | None =
         weight = F.when(seed, F.lit(1.0)).otherwise(F.lit(a))
         terms[f"__{out}_t"] = F.when(here, weight * F.col(src) * F.pow(F.lit(1.0 - a), -r))
     df = df.withColumns(terms)
-    ends = df.where(here).groupBy(*keys, BLOCK).agg(
-        F.max(SEEN).alias("__upto"), F.count(F.lit(1)).alias("__c"), *[F.sum(f"__{out}_t").alias(f"__{out}_s") for _, _, out in smooth])
+    simple = {f.name for f in df.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)}  # a largest value exists
+    last = {f"__last{j}": F.max(c) for j, c in enumerate(c for c in dict.fromkeys([*_list(order), *beside]) if c in simple)}
+    ends = df.where(here).groupBy(*keys, SERIES, BLOCK).agg(
+        F.max(SEEN).alias("__upto"), *[m.alias(n) for n, m in last.items()], F.count(F.lit(1)).alias("__c"), *[F.sum(f"__{out}_t").alias(f"__{out}_s") for _, _, out in smooth])
     carried, sticky = {}, {}
     for _, span, out in smooth:
         q = 1.0 - 2.0 / (span + 1.0)
         s = F.pow(F.lit(q), F.col("__c") - 1) * F.col(f"__{out}_s")
         # Frames look at the values seen before this block (__B): by distance, whatever the blocks hold.
         near = Window.partitionBy(*keys).orderBy("__upto").rangeBetween(-(_reach(span) + BLOCK_ROWS), -1)
-        ahead = Window.partitionBy(*keys).orderBy("__upto").rowsBetween(Window.unboundedPreceding, -1)
+        ahead = Window.partitionBy(*keys).orderBy("__upto", *last).rowsBetween(Window.unboundedPreceding, -1)
         carried[f"__{out}_l"] = F.collect_list(F.struct(F.col("__upto").alias("M"), s.alias("s"))).over(near)
         sticky[f"__{out}_v"] = F.sum(F.when(F.isnan(s) | (F.abs(s) == float("inf")), s)).over(ahead)
     ends = ends.withColumns({**carried, **sticky}).withColumn("__B", F.col("__upto") - F.col("__c"))
@@ -213,11 +234,12 @@ def ewm_means(df: DataFrame, specs, keys=("symbol",), state: DataFrame | None =
         total = F.aggregate(f"__{out}_l", F.struct(F.lit(0).cast("long").alias("M"), F.lit(0.0).alias("s")),
                             lambda acc, e: F.struct(e["M"].alias("M"), (acc["s"] * F.pow(q, e["M"] - acc["M"]) + e["s"]).alias("s")))
         previous[f"__{out}_p"] = F.coalesce(f"__{out}_v", total["s"])
-    ends = ends.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate([*keys, BLOCK])], *[v.alias(n) for n, v in previous.items()])
+    ends = ends.select(*[F.col(k).alias(f"__k{j}") for j, k in enumerate(keys)], F.col(SERIES).alias("__s"), F.col(BLOCK).alias("__b"), *[v.alias(n) for n, v in previous.items()])
     # Stored blocks have no null keys: a plain equality keeps to their buckets.
-    equal = Column.eqNullSafe if stored_halo(df) is None else Column.__eq__
-    on = reduce(lambda x, y: x & y, [equal(df[k], ends[f"__k{j}"]) for j, k in enumerate([*keys, BLOCK])])
-    df = df.join(ends, on, "left").drop(*[f"__k{j}" for j in range(len(keys) + 1)])
+    stored = stored_halo(df) is not None
+    same = [df[k] == ends[f"__k{j}"] if stored else _alike(df[k], ends[f"__k{j}"]) for j, k in enumerate(keys)]
+    on = reduce(lambda x, y: x & y, [*same, df[BLOCK] == ends["__b"], *([] if stored else [df[SERIES] == ends["__s"]])])
+    df = df.join(ends, on, "left").drop("__s", "__b", *[f"__k{j}" for j in range(len(keys))])
     for src, span, out in smooth:
         q = F.lit(1.0 - 2.0 / (span + 1.0))
         run = F.sum(f"__{out}_t").over(running)

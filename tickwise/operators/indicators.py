@@ -53,7 +53,7 @@ def ema(df: DataFrame, window: int = 20, keys=("symbol",), order="date",
         col: str = "close", out: str = "ema", whole: bool = False) -> DataFrame:
     """Exponential mean, alpha = 2/(window+1), seeded by the first value."""
     df = _marked(df, col, keys, order, 0, whole)
-    return K.out_of_blocks(K.ewm_means(df, [(col, window, out)], keys))
+    return K.out_of_blocks(K.ewm_means(df, [(col, window, out)], keys, order=order))
 
 
 def _rsi_columns(df: DataFrame, period: int, w, col: str, out: str, diff_col: str = "__diff") -> DataFrame:
@@ -86,9 +86,9 @@ def macd(df: DataFrame, fast_period: int = 12, slow_period: int = 26, signal_per
     """
     m, s, h = out
     df = _marked(df, col, keys, order, 0, whole)
-    df = K.ewm_means(df, [(col, fast_period, "__fast"), (col, slow_period, "__slow")], keys)
+    df = K.ewm_means(df, [(col, fast_period, "__fast"), (col, slow_period, "__slow")], keys, order=order)
     df = df.withColumn(m, F.col("__fast") - F.col("__slow"))
-    df = K.ewm_means(df, [(m, signal_period, s)], keys)
+    df = K.ewm_means(df, [(m, signal_period, s)], keys, order=order)
     return K.out_of_blocks(df.withColumn(h, F.col(m) - F.col(s)).drop("__fast", "__slow"))
 
 
@@ -119,6 +119,7 @@ def suite(df: DataFrame, sma_window: int = 20, ema_window: int = 20, rsi_period:
     """
     fast, slow, sig = macd_periods
     source = means or col
+    beside = [c for c in df.columns if c not in (*K.MARKS, *keys)]
     df = _marked(df, source, keys, order, max(sma_window - 1, bb_period - 1, rsi_period), whole)
     w = _window(keys, order, whole)
     rolled = {"sma": rolling_mean(col, sma_window, w), "__sd": rolling_std(col, bb_period, w)}
@@ -132,9 +133,9 @@ def suite(df: DataFrame, sma_window: int = 20, ema_window: int = 20, rsi_period:
                          "bb_lower": F.col("bb_middle") - F.col("__sd") * k}).drop("__sd")
     df = _rsi_columns(df, rsi_period, w, col, "rsi")
     of = lambda outs: None if state is None else state.select(*keys, *outs)
-    df = K.ewm_means(df, [(source, ema_window, "ema"), (source, fast, "macd_fast"), (source, slow, "macd_slow")], keys, of(["ema", "macd_fast", "macd_slow"]))
+    df = K.ewm_means(df, [(source, ema_window, "ema"), (source, fast, "macd_fast"), (source, slow, "macd_slow")], keys, of(["ema", "macd_fast", "macd_slow"]), order, beside)
     df = df.withColumn("macd", F.col("macd_fast") - F.col("macd_slow"))
-    df = K.ewm_means(df, [("macd", sig, "macd_signal")], keys, of(["macd_signal"]))
+    df = K.ewm_means(df, [("macd", sig, "macd_signal")], keys, of(["macd_signal"]), order, beside)
     df = df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
     return K.out_of_blocks(df if keep else df.drop("macd_fast", "macd_slow"))
 

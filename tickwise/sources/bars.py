@@ -77,7 +77,7 @@ def write_blocks(bars: DataFrame, path: str, halo: int = 199, buckets: int | Non
     period + 1, whose bound is 100)."""
     spark = bars.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marked = K.in_blocks(bars.where(F.col("symbol").isNotNull()), col, halo=halo)
+    marked = K.in_blocks(bars.where(F.col("symbol").isNotNull()), col, halo=halo, dealt=False).drop(K.SERIES)
     marked = marked.withColumn(K.HALO, F.col(K.HALO).alias(K.HALO, metadata={"rows": halo}))
     name = _table(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")  # of this session; stored files stay
@@ -99,7 +99,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     else:
         layout = spark.read.schema(_LAYOUT).parquet(f"{path}/layout").first()
     blocks = spark.table(name)
-    return blocks.withColumn(K.HALO, F.col(K.HALO).alias(K.HALO, metadata={"rows": layout["halo"]}))
+    return K.with_series(blocks.withColumn(K.HALO, F.col(K.HALO).alias(K.HALO, metadata={"rows": layout["halo"]})))
 
 
 def _table(path: str) -> str:
