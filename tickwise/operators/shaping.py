@@ -59,14 +59,14 @@ def documents(points: DataFrame, point_columns, order: str = "date") -> DataFram
     parameters, start_date, end_date) on every row. A document is as long as
     one request's range, which is bounded by its calendar days, so collecting
     its points is safe; the aggregation itself is a normal shuffle. Where the
-    points of a request are one row's array already (column ``points``, in date
-    order), it becomes the document's and nothing is shuffled.
+    points of a request are one row's array already (column ``points``), whole
+    arrays are put together, and a request that comes once keeps its own.
     """
     head = ["request_id", "symbol", "indicator", "parameters", "start_date", "end_date"]
     if "points" in points.columns:
-        data = F.transform("points", lambda p: F.struct(p[order].alias("date"), *[p[c].alias(c) for c in point_columns]))
-        in_order = F.map_from_entries(F.array_sort(F.map_entries("parameters")))  # as grouping by a map gives it
-        return points.withColumn("parameters", in_order).select(*head, F.size("points").cast("long").alias("data_points"), data.alias("data"))
+        data = F.transform(F.flatten("__all"), lambda p: F.struct(p[order].alias("date"), *[p[c].alias(c) for c in point_columns]))
+        docs = points.groupBy(*head).agg(F.collect_list("points").alias("__all")).select(*head, F.sort_array(data).alias("data"))
+        return docs.select(*head, F.size("data").cast("long").alias("data_points"), "data")
     point = F.struct(F.col(order).alias("date"), *[F.col(c) for c in point_columns])
     return points.groupBy(*head).agg(
         F.count(F.lit(1)).alias("data_points"), F.sort_array(F.collect_list(point)).alias("data"))
